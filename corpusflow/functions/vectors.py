@@ -20,10 +20,15 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(_c(a), F.lit(0.0), lambda acc, x: acc + _d(x) * _d(x)))
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` (a one-element ``transform``)."""
+    return F.get(F.transform(F.array(value), fn), 0)
+
+
 def l2_normalize(a) -> Column:
     """Unit-length copy in double; a zero vector becomes NULL (no direction)."""
-    n = norm(a)
-    return F.when(n > 0, F.transform(_c(a), lambda x: _d(x) / n))
+    bound = F.struct(_c(a).alias("v"), norm(a).alias("n"))
+    return let(bound, lambda s: F.when(s["n"] > 0, F.transform(s["v"], lambda x: _d(x) / s["n"])))
 
 
 def cosine_distance(a, b) -> Column:

@@ -157,3 +157,36 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Dataset weights of the training manifest (name, weight), in order.
 PAIR_WEIGHTS = (("conv0", 5), ("conv1", 3), ("conv2", 1))
+
+
+def feed_config(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comma-separated feed-list settings, with blanks and padding, one per page row."""
+    p = table(spark, sf_dir, "pages", "page_id", "url")
+    return p.select(
+        F.col("page_id").alias("config_id"),
+        F.concat(F.lit(" "), F.col("url"), F.lit(" ,, "), F.lit(FEED_BASE), (F.col("page_id") % 7).cast("string"), F.lit(" , "))
+        .alias("rss_feeds"),
+    )
+
+
+def feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed feed documents: one fetch per page row, holding one or two entries."""
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    pid = F.col("page_id")
+    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
+
+    def entry(t):
+        return F.struct(
+            F.concat(F.lit("guid-"), pid.cast("string")).alias("id"),
+            F.lit(None).cast("string").alias("guid"),
+            F.col("url").alias("link"),
+            t.alias("title"),
+        )
+
+    return p.select(
+        pid.alias("doc_id"),
+        F.concat(F.lit(FEED_BASE), (pid % 5).cast("string")).alias("feed_url"),
+        F.when(pid % 4 == 0, F.array(entry(title), entry(F.concat(title, F.lit(" (rev)"))))).otherwise(F.array(entry(title))).alias(
+            "entries"
+        ),
+    )
