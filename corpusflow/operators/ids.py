@@ -1,4 +1,4 @@
-"""Dense, ordered surrogate ids without a single-partition global window."""
+"""Dense, ordered numbering without a single-partition global window."""
 
 from __future__ import annotations
 
@@ -8,26 +8,32 @@ from pyspark.sql import functions as F
 ID_BUCKETS = 64
 
 
-def assign_ids(df: DataFrame, order_key: Column, base: Column, out: str = "id", buckets: int = ID_BUCKETS) -> DataFrame:
-    """Add ``out = base + rank`` where rank is 1..n in ``order_key`` order (a unique long).
+def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: str = "id", buckets: int = ID_BUCKETS,
+               partition_col: str | None = None) -> DataFrame:
+    """Add ``out = base + rank`` where rank is 1..n in ``order_key`` order (a unique long),
+    over the whole frame or within each value of ``partition_col``.
 
     The key range is split into ``buckets`` equal ranges from exact min / max scalar
-    subqueries; ``row_number`` runs per range (many tasks), and each range's offset comes
-    from a per-range count table whose size is bounded by ``buckets``.
+    subqueries; ``row_number`` runs per (partition, range) in many tasks, and each range's
+    offset comes from a count table of at most (partitions x buckets) rows, which is
+    broadcast. ``partition_col`` must have few values (datasets, feeds), not one per row.
     """
+    part = [partition_col] if partition_col else []
+    base_col = base if isinstance(base, Column) else F.lit(base)
     k = df.withColumn("_k", order_key)
     lo = k.select(F.min("_k")).scalar()
     hi = k.select(F.max("_k")).scalar()
     width = (hi - lo + F.lit(1)).cast("double") / F.lit(buckets)
     k = k.withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col("_k") - lo).cast("double") / width)).cast("int"))
-    counts = k.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        "_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).alias("_off")
-    ).fillna(0, subset=["_off"])
-    ranked = k.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_k")))
-    # the offsets table has at most `buckets` rows: a proven broadcast bound
+    # one shuffle on (partition, range): the row numbers and the per-range counts come from
+    # the same exchange, so the input is not evaluated a second time for the counts
+    wb = Window.partitionBy(*part, "_b")
+    ranked = k.withColumn("_r", F.row_number().over(wb.orderBy("_k"))).withColumn("_n", F.count(F.lit(1)).over(wb))
+    counts = ranked.groupBy(*part, "_b").agg(F.max("_n").alias("_n"))
+    w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*part, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
     return (
-        ranked.join(F.broadcast(offsets), "_b")
-        .withColumn(out, (base + F.col("_off") + F.col("_r")).cast("long"))
-        .drop("_k", "_b", "_r", "_off")
+        ranked.join(F.broadcast(offsets), [*part, "_b"])
+        .withColumn(out, (base_col + F.col("_off") + F.col("_r")).cast("long"))
+        .drop("_k", "_b", "_r", "_n", "_off")
     )

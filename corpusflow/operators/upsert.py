@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import embedding_text
 from corpusflow.operators.embed import Embedder, embed
 from corpusflow.operators.ids import assign_ids
+from corpusflow.session import materialize
 
 ARTICLE_COLUMNS = (
     "id", "source", "rss_guid", "title", "url", "content", "content_preview",
@@ -114,9 +115,15 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
 
 
 def upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
-           strict_rfc: bool = False, dim: int = 64) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(snapshot, classified)``: the full next snapshot and the per-entry actions."""
+           strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(snapshot, classified)``: the full next snapshot and the per-entry actions.
+
+    The classified batch feeds the changes, the untouched-row filter and the counters, so
+    it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
+    """
     classified = classify(match_existing(entries, existing), strict_rfc)
+    if materialize_batch:
+        classified = materialize(classified)
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     changes = changed_rows(classified, ingest_ts, base, embedder, dim)
     untouched = existing.join(changes.select("id"), "id", "left_anti")

@@ -16,6 +16,7 @@ from corpusflow.plans.registry import query
 from corpusflow.plans.sqlfixtures import INGEST_TS, cte, with_ctes
 from corpusflow.sources import fixtures as FX
 from corpusflow.sources.tables import table
+from corpusflow.session import materialize
 
 EXISTING_CREATED = "2025-12-31 00:00:00"
 
@@ -26,7 +27,8 @@ def normalized(spark, sf_dir, strict_rfc=False) -> DataFrame:
 
 
 def deduped(spark, sf_dir) -> DataFrame:
-    return E.dedupe_entries(E.valid_entries(normalized(spark, sf_dir)))
+    # the landed batch after cleaning: read by the stored-table fixture and by the upsert
+    return materialize(E.dedupe_entries(E.valid_entries(normalized(spark, sf_dir))))
 
 
 def existing_articles(spark, sf_dir) -> DataFrame:
@@ -37,7 +39,7 @@ def existing_articles(spark, sf_dir) -> DataFrame:
     d = d.join(v, v.vec_id == d.entry_pos % 500)
     pos = F.col("entry_pos")
     created = F.to_timestamp(F.lit(EXISTING_CREATED))
-    return d.select(
+    return materialize(d.select(
         pos.alias("id"),
         "source",
         F.when(pos % 6 == 0, F.concat(F.lit("old-"), F.col("guid"))).otherwise(F.col("guid")).alias("rss_guid"),
@@ -49,7 +51,7 @@ def existing_articles(spark, sf_dir) -> DataFrame:
         "embedding",
         created.alias("created_at"),
         created.alias("updated_at"),
-    )
+    ))
 
 
 def upserted(spark, sf_dir):

@@ -65,3 +65,14 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     if base.startswith("file:"):
         base = base[len("file:"):]
     return os.path.join(base, *parts)
+
+
+def materialize(df):
+    """Cut lineage at a stage boundary that is read several times downstream.
+
+    A reliable checkpoint into the shared work folder (``spark.checkpoint.dir``): it
+    survives executor loss, unlike a local checkpoint, and later stages stop re-running
+    the upstream plan (Python UDFs, joins) once per consumer.
+    """
+    work_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
