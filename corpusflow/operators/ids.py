@@ -9,7 +9,7 @@ ID_BUCKETS = 64
 
 
 def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: str = "id", buckets: int = ID_BUCKETS,
-               partition_col: str | None = None) -> DataFrame:
+               partition_col: str | None = None, weight: Column | None = None) -> DataFrame:
     """Add ``out = base + rank`` where rank is 1..n in ``order_key`` order (a unique long),
     over the whole frame or within each value of ``partition_col``.
 
@@ -17,6 +17,8 @@ def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: st
     subqueries; ``row_number`` runs per (partition, range) in many tasks, and each range's
     offset comes from a count table of at most (partitions x buckets) rows, which is
     broadcast. ``partition_col`` must have few values (datasets, feeds), not one per row.
+    With ``weight`` the result is the running sum of weights (inclusive) instead of the
+    row number, e.g. cumulative counts over a frequency table.
     """
     part = [partition_col] if partition_col else []
     base_col = base if isinstance(base, Column) else F.lit(base)
@@ -28,7 +30,12 @@ def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: st
     # one shuffle on (partition, range): the row numbers and the per-range counts come from
     # the same exchange, so the input is not evaluated a second time for the counts
     wb = Window.partitionBy(*part, "_b")
-    ranked = k.withColumn("_r", F.row_number().over(wb.orderBy("_k"))).withColumn("_n", F.count(F.lit(1)).over(wb))
+    if weight is None:
+        ranked = k.withColumn("_r", F.row_number().over(wb.orderBy("_k"))).withColumn("_n", F.count(F.lit(1)).over(wb))
+    else:
+        k = k.withColumn("_w", weight)
+        running = wb.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = k.withColumn("_r", F.sum("_w").over(running)).withColumn("_n", F.sum("_w").over(wb)).drop("_w")
     counts = ranked.groupBy(*part, "_b").agg(F.max("_n").alias("_n"))
     w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -114,9 +114,9 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
     return ins.unionByName(upd)
 
 
-def upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
-           strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Returns ``(snapshot, classified)``: the full next snapshot and the per-entry actions.
+def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
+                strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(classified, changes)``: per-entry actions and the full inserted/updated rows.
 
     The classified batch feeds the changes, the untouched-row filter and the counters, so
     it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
@@ -125,10 +125,20 @@ def upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder:
     if materialize_batch:
         classified = materialize(classified)
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    changes = changed_rows(classified, ingest_ts, base, embedder, dim)
+    return classified, changed_rows(classified, ingest_ts, base, embedder, dim).select(*ARTICLE_COLUMNS)
+
+
+def apply_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
+    """Next snapshot = untouched stored rows + changed rows."""
     untouched = existing.join(changes.select("id"), "id", "left_anti")
-    snapshot = untouched.select(*ARTICLE_COLUMNS).unionByName(changes.select(*ARTICLE_COLUMNS))
-    return snapshot, classified
+    return untouched.select(*ARTICLE_COLUMNS).unionByName(changes.select(*ARTICLE_COLUMNS))
+
+
+def upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
+           strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Returns ``(snapshot, classified)``: the full next snapshot and the per-entry actions."""
+    classified, changes = plan_upsert(existing, entries, ingest_ts, embedder, strict_rfc, dim, materialize_batch)
+    return apply_changes(existing, changes), classified
 
 
 def ingest_metrics(classified: DataFrame, rejected: DataFrame, failed_feeds: DataFrame) -> DataFrame:
