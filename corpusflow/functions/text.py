@@ -87,7 +87,9 @@ def sentence_split(col) -> Column:
 def sentence_chunks(col, max_chars: int = CHUNK_MAX_CHARS, max_chunks: int = CHUNK_MAX_COUNT) -> Column:
     """Greedy packing of sentences into at most ``max_chunks`` chunks of about
     ``max_chars``; a single long sentence is never split; overflow is dropped."""
-    sents = F.filter(F.transform(sentence_split(F.coalesce(_c(col), F.lit(""))), py_strip), lambda s: s != "")
+    # The split consumes whole whitespace runs, so only the text's own edges can carry
+    # whitespace: stripping the text once equals stripping every sentence.
+    sents = F.filter(sentence_split(py_strip(F.coalesce(_c(col), F.lit("")))), lambda s: s != "")
     init = F.struct(F.array().cast("array<string>").alias("o"), F.lit("").alias("u"))
 
     def merge(acc, s):

@@ -8,9 +8,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.functions.text import _c
-from corpusflow.functions.vectors import l2_normalize
 
 DEFAULT_DIM = 64
 MAX_TOKENS = 256  # word pieces at inference time
@@ -31,22 +31,43 @@ def token_sign(tok: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
+def token_codes(text, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> Column:
+    """Per token ``2 * bucket + (1 if the sign is negative)``, hashed on the JVM."""
+    return F.transform(
+        tokens(text, max_tokens),
+        lambda t: token_bucket(t, dim) * 2 + F.when(token_sign(t) < 0, F.lit(1)).otherwise(F.lit(0)),
+    )
+
+
+def _scatter_udf(dim: int):
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def scatter(codes: pd.Series) -> pd.Series:
+        # one vectorised scatter-add for the whole Arrow batch
+        n = len(codes)
+        lens = codes.map(len).to_numpy() if n else np.zeros(0, dtype=np.int64)
+        flat = np.concatenate([np.asarray(c, dtype=np.int64) for c in codes]) if lens.sum() else np.zeros(0, np.int64)
+        rows = np.repeat(np.arange(n), lens)
+        counts = np.bincount(rows * (2 * dim) + flat, minlength=n * 2 * dim).reshape(n, dim, 2)
+        w = (counts[:, :, 0] - counts[:, :, 1]).astype(np.float64)
+        norm = np.sqrt((w * w).sum(axis=1, keepdims=True))
+        out = np.divide(w, norm, out=np.zeros_like(w), where=norm > 0).astype(np.float32)
+        return pd.Series(list(out))
+
+    return scatter
+
+
+_SCATTERS: dict[int, object] = {}
+
+
 def hashing_vector(text, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> Column:
     """Signed feature hashing of the tokens into ``dim`` buckets, L2-normalised.
 
-    Computed inside the row (no shuffle); text without tokens gives a zero vector.
+    Tokens are extracted and hashed on the JVM; the scatter-add and normalisation run as
+    one NumPy pass per Arrow batch. No shuffle. Text without tokens gives a zero vector.
     """
-    pairs = F.transform(tokens(text, max_tokens), lambda t: F.struct(token_bucket(t, dim).alias("b"), token_sign(t).alias("s")))
-
-    def dense(ps):
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dim - 1)),
-            lambda i: F.aggregate(ps, F.lit(0.0), lambda acc, p: acc + F.when(p["b"] == i, p["s"]).otherwise(F.lit(0.0))),
-        )
-
-    # bind the hashed tokens once (outside the per-dimension lambda)
-    vec = F.get(F.transform(F.array(pairs), dense), 0)
-    return F.coalesce(l2_normalize(vec), F.array_repeat(F.lit(0.0), dim)).cast("array<float>")
+    if dim not in _SCATTERS:
+        _SCATTERS[dim] = _scatter_udf(dim)
+    return _SCATTERS[dim](token_codes(text, dim, max_tokens))
 
 
 Embedder = Callable[[pd.Series], "list[list[float]]"]

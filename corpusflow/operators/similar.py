@@ -135,12 +135,22 @@ def lsh_buckets(units: DataFrame, dim: int, n_tables: int = 6, n_bits: int = 8,
     return units.mapInPandas(sign_bits, "id long, u array<double>, table int, bucket long")
 
 
+def lsh_bits(n_rows: int, bucket_target: int = 128) -> int:
+    """Sign bits per table so that a bucket holds about ``bucket_target`` rows."""
+    return max(1, round(math.log2(max(2, n_rows) / bucket_target)))
+
+
 def lsh_topk(vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "id", vec_col: str = "embedding",
-             n_tables: int = 6, n_bits: int = 8, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
+             n_tables: int = 24, n_bits: int | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS,
+             bucket_target: int = 128) -> DataFrame:
     """V5: approximate top-k from candidates that share an LSH bucket in any table,
-    re-ranked by exact cosine distance."""
+    re-ranked by exact cosine distance. Bits per table grow with log2 of the row count
+    (one count), so bucket sizes, and the work per subject, stay flat as the table grows."""
     check_k(k)
-    b = lsh_buckets(unit_vectors(vectors, id_col, vec_col), dim, n_tables, n_bits, seed)
+    units = unit_vectors(vectors, id_col, vec_col)
+    if n_bits is None:
+        n_bits = lsh_bits(units.count(), bucket_target)
+    b = lsh_buckets(units, dim, n_tables, n_bits, seed)
     b = b.withColumn("_tb", F.col("table").cast("long") * F.lit(1 << n_bits) + F.col("bucket"))
     cands = blocked_topk(b, k, "_tb", block_rows)
     # the same candidate can come from several tables
