@@ -269,3 +269,30 @@ def q_ingest_metrics(spark, sf_dir):
     failed = failed_feeds(spark, sf_dir).filter("failed")
     m = U.ingest_metrics(c, rejected, failed)
     return m.withColumn("failed_feeds", F.array_join("failed_feeds", ","))
+
+
+@query("feed_xml_read", sql=f"""
+select 'Feed ' || cast(page_id % 5 as varchar) as source, 'guid-' || cast(page_id as varchar) as guid, url as link,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {S.strip_html('html')} as content_clean
+from pages""")
+def q_feed_xml(spark, sf_dir):
+    """RSS files (written from the pages table) read back with an explicit
+    schema, flattened and normalised."""
+    import uuid
+
+    from corpusflow.session import scratch_path
+    from corpusflow.sources.feeds import read_rss
+
+    base = scratch_path(spark, "runs", f"feed_xml-{uuid.uuid4().hex[:12]}")
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    item = F.struct(
+        F.concat(F.lit("guid-"), F.col("page_id").cast("string")).alias("guid"),
+        F.col("url").alias("link"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.col("html").alias("description"),
+    )
+    docs = p.select(F.concat(F.lit("Feed "), (F.col("page_id") % 5).cast("string")).alias("title"), F.array(item).alias("item"))
+    docs.write.format("xml").option("rootTag", "rss").option("rowTag", "channel").mode("overwrite").save(f"{base}/rss")
+    flat = E.flatten_feeds(read_rss(spark, f"{base}/rss").withColumn("feed_pos", F.lit(0)))
+    n = E.normalize_entries(flat, FX.ingest_ts())
+    return n.select("source", "guid", "link", "title", "content_clean")
