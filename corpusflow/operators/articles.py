@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
 from corpusflow.operators.embed import Embedder, embed
+from corpusflow.operators.joins import broadcast_if_small
 
 LIST_COLUMNS = ("id", "source", "title", "url", "content_preview", "published_at")
 DETAIL_COLUMNS = ("id", "source", "rss_guid", "title", "url", "content", "published_at")
@@ -116,7 +117,7 @@ def quarantine(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def cascade_delete(articles: DataFrame, comments: DataFrame, delete_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Delete articles and, with them, their comments (anti joins against the delete set)."""
-    d = delete_ids.select(F.col("id").alias("_del")).distinct()
+    d = broadcast_if_small(delete_ids.select(F.col("id").alias("_del")).distinct())
     kept_articles = articles.join(d, articles.id == d._del, "left_anti")
     kept_comments = comments.join(d, comments.article_id == d._del, "left_anti")
     return kept_articles, kept_comments

@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.vectors import cosine_distance, l2_normalize, similarity
+from corpusflow.functions.vectors import cosine_distance, norm, similarity
 from corpusflow.operators.articles import check_k
+from corpusflow.session import materialize
 
 BLOCK_ROWS = 2048
 TOPK_SCHEMA = "subject_id long, id long, distance double"
@@ -38,9 +39,8 @@ def similar_to(articles: DataFrame, subject_id: int, k: int = 5, id_col: str = "
 
 def unit_vectors(vectors: DataFrame, id_col: str = "id", vec_col: str = "embedding") -> DataFrame:
     """``(id, u)`` with ``u`` the L2-normalised vector in double; zero vectors dropped."""
-    return vectors.select(F.col(id_col).cast("long").alias("id"), l2_normalize(F.col(vec_col)).alias("u")).filter(
-        F.col("u").isNotNull()
-    )
+    v = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("_v"), norm(F.col(vec_col)).alias("_n"))
+    return v.filter(F.col("_n") > 0).select("id", F.transform("_v", lambda x: x.cast("double") / F.col("_n")).alias("u"))
 
 
 def _block_topk(key, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.DataFrame:
@@ -73,12 +73,16 @@ def blocked_topk(units: DataFrame, k: int, group_col: str | None = None, block_r
     Each group is split into ``ceil(n_group / block_rows)`` hash blocks; block pairs
     are co-grouped and reduced with a NumPy matmul to a local top-k.
     """
-    g = F.col(group_col) if group_col else F.lit(0)
-    u = units.withColumn("_g", g)
-    counts = u.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
-    counts = counts.select("_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_nb"))
-    # one row per group: bounded by the number of groups (1, or tables x buckets for LSH)
-    u = u.join(F.broadcast(counts), "_g")
+    if group_col is None:
+        # one group: the block count is a scalar subquery (no join against a constant key)
+        nb = units.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int")).scalar()
+        u = units.withColumn("_g", F.lit(0)).withColumn("_nb", nb)
+    else:
+        u = units.withColumn("_g", F.col(group_col))
+        counts = u.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
+        counts = counts.select("_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_nb"))
+        # one row per group, bounded by tables x 2^bits: a proven broadcast bound
+        u = u.join(F.broadcast(counts), "_g")
     u = u.withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
     # fresh aliases on each side: both sides come from the same frame
@@ -150,8 +154,9 @@ def lsh_topk(vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "id",
     units = unit_vectors(vectors, id_col, vec_col)
     if n_bits is None:
         n_bits = lsh_bits(units.count(), bucket_target)
+    # the signature table is the index: materialised once, read for bucket sizes and pairs
     b = lsh_buckets(units, dim, n_tables, n_bits, seed)
-    b = b.withColumn("_tb", F.col("table").cast("long") * F.lit(1 << n_bits) + F.col("bucket"))
+    b = materialize(b.withColumn("_tb", F.col("table").cast("long") * F.lit(1 << n_bits) + F.col("bucket")))
     cands = blocked_topk(b, k, "_tb", block_rows)
     # the same candidate can come from several tables
     cands = cands.groupBy("subject_id", "id").agg(F.min("distance").alias("distance"))

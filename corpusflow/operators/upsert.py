@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import embedding_text
 from corpusflow.operators.embed import Embedder, embed
 from corpusflow.operators.ids import assign_ids
+from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.session import materialize
 
 ARTICLE_COLUMNS = (
@@ -35,8 +36,10 @@ def match_existing(entries: DataFrame, existing: DataFrame) -> DataFrame:
     equi left joins; an ``OR`` join condition would plan as a nested loop.
     Adds ``ex_*`` columns, ``match_by`` and ``conflict``.
     """
-    guids = entries.select(F.col("guid").alias("_k"))
-    links = entries.select(F.col("link").alias("_k"))
+    # the incoming batch is usually far smaller than the stored table: broadcast its keys
+    # (size-checked) so the stored table is filtered in place instead of shuffled
+    guids = broadcast_if_small(entries.select(F.col("guid").alias("_k")))
+    links = broadcast_if_small(entries.select(F.col("link").alias("_k")))
     by_guid = _prefixed(existing.join(guids, existing.rss_guid == guids._k, "left_semi"), "g_")
     by_url = _prefixed(existing.join(links, existing.url == links._k, "left_semi"), "u_")
     # a url match whose stored guid is also claimed by another incoming entry cannot be applied
@@ -130,7 +133,7 @@ def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embe
 
 def apply_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """Next snapshot = untouched stored rows + changed rows."""
-    untouched = existing.join(changes.select("id"), "id", "left_anti")
+    untouched = existing.join(broadcast_if_small(changes.select("id")), "id", "left_anti")
     return untouched.select(*ARTICLE_COLUMNS).unionByName(changes.select(*ARTICLE_COLUMNS))
 
 

@@ -21,6 +21,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.operators.upsert import ARTICLE_COLUMNS
 
 ARTICLE_SCHEMA = (
@@ -104,7 +105,7 @@ class SnapshotStore:
         rewrite = changes
         if old_paths:
             old = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*old_paths).withColumn("part", self.part_of())
-            kept = old.join(changes.select("id"), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
+            kept = old.join(broadcast_if_small(changes.select("id")), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
             rewrite = kept.unionByName(changes)
         rewrite.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/data/v{new_v}")
         parts = dict(m["parts"])
