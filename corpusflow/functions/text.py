@@ -37,12 +37,19 @@ def _unescape_twice(v):
     return unescape(unescape(v))
 
 
-@F.pandas_udf(T.StringType())
-def html_unescape2(s: pd.Series) -> pd.Series:
-    """``html.unescape`` applied twice; NULL becomes ''."""
+def _unescape_series(s: pd.Series) -> pd.Series:
     return s.map(_unescape_twice)
 
 
+def html_unescape2(col) -> Column:
+    """``html.unescape`` applied twice; NULL becomes ''. One Arrow-batched pandas UDF.
+
+    A fresh UDF object per use: a reused one whose output feeds another Python UDF is not
+    always split into its own Arrow evaluation node by the planner.
+    """
+    return F.pandas_udf(_unescape_series, T.StringType())(col)
+
+
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 

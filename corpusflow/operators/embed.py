@@ -56,18 +56,15 @@ def _scatter_udf(dim: int):
     return scatter
 
 
-_SCATTERS: dict[int, object] = {}
-
-
 def hashing_vector(text, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> Column:
     """Signed feature hashing of the tokens into ``dim`` buckets, L2-normalised.
 
     Tokens are extracted and hashed on the JVM; the scatter-add and normalisation run as
     one NumPy pass per Arrow batch. No shuffle. Text without tokens gives a zero vector.
     """
-    if dim not in _SCATTERS:
-        _SCATTERS[dim] = _scatter_udf(dim)
-    return _SCATTERS[dim](token_codes(text, dim, max_tokens))
+    # a fresh UDF object per use: a reused one fed by another Python UDF's output is not
+    # always split into its own Arrow evaluation node by the planner
+    return _scatter_udf(dim)(token_codes(text, dim, max_tokens))
 
 
 Embedder = Callable[[pd.Series], "list[list[float]]"]

@@ -76,3 +76,11 @@ def materialize(df):
     """
     work_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df, min_partitions: int | None = None):
+    """Give CPU-heavy per-row work (HTML cleaning, chunking, hashing) at least the
+    session's parallelism. A no-op when the input already has that many partitions, as any
+    large input does; small inputs stored as one row group are spread round-robin."""
+    n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df

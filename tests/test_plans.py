@@ -35,3 +35,16 @@ def test_single_subject_knn_scans_once_without_join(spark):
 def test_source_filter_is_pushed_to_the_scan(spark):
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet").filter("source = 'src3'").select("doc_id")
     assert "PushedFilters: [IsNotNull(source), EqualTo(source,src3)]" in plan(df)
+
+
+def test_chained_python_udfs_are_extracted(spark):
+    from pyspark.sql import functions as F
+
+    from corpusflow.functions import text as X
+    from corpusflow.operators.embed import hashing_vector
+
+    for _ in range(2):
+        a = FX.articles(spark, SF_SMALL)
+        df = a.select("id", hashing_vector(X.embedding_text(F.col("title"), F.col("content"))).alias("v"))
+        p = plan(df)
+        assert "ArrowEvalPython [scatter" in p and "ArrowEvalPython [_unescape_series" in p
