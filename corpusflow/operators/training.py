@@ -181,7 +181,7 @@ def inbatch_scores(packed: DataFrame, spec: BatchSpec, dim: int = 64) -> DataFra
         F.when(F.size("texts") > 2, hashing_vector(F.get("texts", 2), dim)).alias("n"),
     )
     anchors = emb.select("batch_id", "draw", "step", "i", "a")
-    cands = emb.select("batch_id", "draw", "step", F.col("i").alias("_i"), F.posexplode(
+    cands = emb.select("batch_id", "draw", "step", F.col("i").alias("_i"), F.posexplode_outer(
         F.when(F.col("n").isNull(), F.array("p")).otherwise(F.array("p", "n"))).alias("part", "c"))
     cands = cands.select("batch_id", "draw", "step", (F.col("part") * n + F.col("_i")).cast("int").alias("j"), "c")
     j = anchors.join(cands, ["batch_id", "draw", "step"])

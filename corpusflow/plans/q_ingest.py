@@ -252,7 +252,9 @@ def q_embed_changed_only(spark, sf_dir):
     """Embeddings are computed only for inserted rows and rows whose text changed."""
     _, c = upserted(spark, sf_dir)
     e = c.filter("needs_embedding").select("entry_pos", hashing_vector(embedding_text(F.col("title"), F.col("content_clean"))).alias("v"))
-    e = e.select("entry_pos", F.posexplode("v").alias("dim", "weight")).filter(F.col("weight") != 0)
+    # posexplode_outer: a plain posexplode infers a size(v) > 0 filter that Catalyst pushes
+    # below the join, evaluating the embedding UDFs a second time
+    e = e.select("entry_pos", F.posexplode_outer("v").alias("dim", "weight")).filter(F.col("weight") != 0)
     return e.select("entry_pos", F.col("dim").cast("int").alias("dim"), (F.round(F.col("weight").cast("double"), 6) + F.lit(0.0)).alias("weight"))
 
 

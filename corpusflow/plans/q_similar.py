@@ -107,7 +107,8 @@ cte("article_emb", sql_hash_weights("article_etext", "id", "etext"))
 def q_embed_articles(spark, sf_dir):
     """Hashing embedding of every article's embedding text (256 tokens max)."""
     a = FX.articles(spark, sf_dir).select("id", hashing_vector(embedding_text(F.col("title"), F.col("content"))).alias("v"))
-    e = a.select("id", F.posexplode("v").alias("dim", "weight")).filter(F.col("weight") != 0)
+    # posexplode_outer: no inferred size(v) > 0 filter re-running the UDFs below the join
+    e = a.select("id", F.posexplode_outer("v").alias("dim", "weight")).filter(F.col("weight") != 0)
     return e.select("id", F.col("dim").cast("int").alias("dim"), _r6(F.col("weight").cast("double")).alias("weight"))
 
 

@@ -38,7 +38,9 @@ select page_id, pos, sentence from (
   from (select page_id, {S.sentences(S.strip_html('html'))} as s from pages))""")
 def q_sentence_split(spark, sf_dir):
     """Split at whitespace that follows '.', '!' or '?'."""
-    return _clean_pages(spark, sf_dir).select("page_id", F.posexplode(X.sentence_split("clean")).alias("pos", "sentence"))
+    # outer + null filter: a plain posexplode infers a filter that re-runs the cleaning UDF
+    s = _clean_pages(spark, sf_dir).select("page_id", F.posexplode_outer(X.sentence_split("clean")).alias("pos", "sentence"))
+    return s.filter(F.col("pos").isNotNull())
 
 
 @query("sentence_chunks", sql=f"""
@@ -47,7 +49,8 @@ select page_id, pos, chunk from (
   from (select page_id, {S.sentence_chunks('c')} as ch from (select page_id, {S.strip_html('html')} as c from pages)))""")
 def q_sentence_chunks(spark, sf_dir):
     """Greedy sentence packing, at most 8 chunks of about 700 characters."""
-    return _clean_pages(spark, sf_dir).select("page_id", F.posexplode(X.sentence_chunks("clean")).alias("pos", "chunk"))
+    c = _clean_pages(spark, sf_dir).select("page_id", F.posexplode_outer(X.sentence_chunks("clean")).alias("pos", "chunk"))
+    return c.filter(F.col("pos").isNotNull())
 
 
 @query("embedding_text", sql=f"""
