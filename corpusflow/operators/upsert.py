@@ -128,7 +128,10 @@ def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embe
     if materialize_batch:
         classified = materialize(classified)
     base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
-    return classified, changed_rows(classified, ingest_ts, base, embedder, dim).select(*ARTICLE_COLUMNS)
+    changes = changed_rows(classified, ingest_ts, base, embedder, dim).select(*ARTICLE_COLUMNS)
+    # read by the size check, the untouched-row filter, the union and the store commit:
+    # embed and number once
+    return classified, (materialize(changes) if materialize_batch else changes)
 
 
 def apply_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
