@@ -1,10 +1,9 @@
-import re
-
+import duckdb
 from pyspark.sql import functions as F
 
-import pymodel as M
 from conftest import SF_SMALL
 from corpusflow.functions import text as X
+from corpusflow.plans import sqltext as S
 
 
 def one(spark, value, fn):
@@ -26,7 +25,7 @@ def test_sentence_chunks_limits(spark):
 def test_embedding_text_joins_title_and_chunks(spark):
     df = spark.createDataFrame([("<b>Title</b>", "First sentence. Second sentence.")], "t string, c string")
     r = df.select(X.embedding_text(F.col("t"), F.col("c")).alias("r")).first()["r"]
-    assert r.startswith("Title\n\n") and "First sentence." in r
+    assert r == "Title\n\nFirst sentence. Second sentence."
     empty = df.select(X.embedding_text(F.col("t"), F.lit("")).alias("r")).first()["r"]
     assert empty == "Title"
 
@@ -37,42 +36,50 @@ def test_make_preview_cases(spark):
     assert one(spark, "short text", X.make_preview) == "short text"
 
 
-EDGE_HTML = [
-    None, "", "<b></b><i></i>", "unclosed <b", "a <!-- x > y --> b", "<script>var t=1;</script>kept",
-    "a&nbsp;b c　d\x1ce f", "&amp;lt;p&amp;gt;x", "&amp b", "1 &lt; 2 &gt; 0", "&copy &middot; &quot;q&quot;",
+# (input, expected) worked out by hand from the cleaning rules
+STRIP_CASES = [
+    (None, ""), ("", ""), ("<b></b><i></i>", ""), ("unclosed <b", "unclosed <b"),
+    ("a <!-- x > y --> b", "a b"), ("<script>var t=1;</script>kept", "var t=1; kept"),
+    ("a&nbsp;b c　d\x1ce f", "a b c d e f"), ("&amp;lt;p&amp;gt;x", "x"), ("&amp b", "& b"),
+    ("1 &lt; 2 &gt; 0", "1 0"), ("&copy &middot; &quot;q&quot;", "© · \"q\""),
+]
+PREVIEW_CASES = [
+    ("x" * 280, "x" * 280), ("x" * 281, "x" * 280 + "…"), (" " + "z" * 300, "z" * 279 + "…"),
+    ("w" * 279 + " " + "v" * 5, "w" * 279 + "…"), ("a b " * 80, ("a b " * 70)[:279] + "…"),
+    ("\U0001F600" * 290, "\U0001F600" * 280 + "…"), ("", ""),
+]
+CHUNK_CASES = [
+    ("s" * 800 + ". tail.", ["s" * 800 + ".", "tail."]),
+    ("Short. " * 300, [("Short. " * 100).strip()] * 3),
+    ("Short. " * 1000, [("Short. " * 100).strip()] * 8),
+    ("no end punctuation at all", ["no end punctuation at all"]),
+    ("p" * 700, ["p" * 700]), ("", []), ("a! b? c. d", ["a! b? c. d"]),
 ]
-EDGE_PREVIEW = ["x" * 280, "x" * 281, "y" * 300, " " + "z" * 300, "\U0001F600" * 290, "w" * 279 + " " + "v" * 5,
-                "a b " * 80, ""]
-EDGE_CHUNKS = ["s" * 800 + ". tail.", "Short. " * 300, "no end punctuation at all", "p" * 700, "", "a! b? c. d"]
 
 
-def test_text_edge_rows_match_python_model(spark):
-    rows = [(i, v) for i, v in enumerate(EDGE_HTML + EDGE_PREVIEW + EDGE_CHUNKS)]
-    df = spark.createDataFrame(rows, "i int, c string")
-    out = df.select("i", "c", X.strip_html("c").alias("clean")).select(
-        "i", "c", "clean", X.make_preview("clean").alias("prev"), X.sentence_chunks("clean").alias("ch")
-    ).collect()
-    for r in out:
-        clean = M.strip_html(r.c)
-        assert r.clean == clean, r.i
-        assert r.prev == M.make_preview(clean), r.i
-        assert list(r.ch) == M.sentence_chunks(clean), r.i
+def test_edge_rows(spark):
+    for value, expected in STRIP_CASES:
+        assert one(spark, value, X.strip_html) == expected, value
+    for value, expected in PREVIEW_CASES:
+        assert one(spark, value, X.make_preview) == expected, value[:20]
+    for value, expected in CHUNK_CASES:
+        assert list(one(spark, value, X.sentence_chunks)) == expected, value[:20]
 
 
-def test_pages_match_python_model_and_have_no_tags(spark):
+def test_pages_agree_with_duckdb(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
-    out = pages.select("html", X.strip_html("html").alias("clean")).select(
-        "html", "clean", X.make_preview("clean").alias("prev"), X.sentence_chunks("clean").alias("ch")
-    ).collect()
-    tag = re.compile(r"<[^>]+>")
-    for r in out:
-        assert r.clean == M.strip_html(r.html)
-        assert not tag.search(r.clean) or "<" in M.strip_html(r.html)
-        assert r.prev == M.make_preview(r.clean)
-        assert list(r.ch) == M.sentence_chunks(r.clean)
-        # chunks are a prefix of the sentence stream
-        joined = " ".join(r.ch)
-        assert r.clean.startswith(joined[: min(len(joined), 50)])
+    got = {r.page_id: (r.clean, r.prev, list(r.ch)) for r in pages.select(
+        "page_id", X.strip_html("html").alias("clean")).select(
+        "page_id", "clean", X.make_preview("clean").alias("prev"), X.sentence_chunks("clean").alias("ch")).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{SF_SMALL}/pages.parquet')")
+    rows = con.execute(f"select page_id, c, {S.make_preview('c')}, {S.sentence_chunks('c')} from "
+                       f"(select page_id, {S.strip_html('html')} as c from pages)").fetchall()
+    assert len(rows) == len(got)
+    for pid, clean, prev, chunks in rows:
+        assert got[pid] == (clean, prev, list(chunks)), pid
+        assert "<" not in clean or ">" not in clean.split("<", 1)[1]  # no tag-like run survives
+        assert clean.startswith(chunks[0][:40]) if chunks else clean == ""
 
 
 def test_excerpt_and_backfill(spark):
