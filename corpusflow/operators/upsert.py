@@ -118,7 +118,8 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
 
 
 def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
-                strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+                strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
+                max_id: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(classified, changes)``: per-entry actions and the full inserted/updated rows.
 
     The classified batch feeds the changes, the untouched-row filter and the counters, so
@@ -127,7 +128,9 @@ def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embe
     classified = classify(match_existing(entries, existing), strict_rfc)
     if materialize_batch:
         classified = materialize(classified)
-    base = existing.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    # the highest stored id: from the store's manifest when known, else one pruned scan
+    base = F.lit(max_id).cast("long") if max_id is not None else existing.select(
+        F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     changes = changed_rows(classified, ingest_ts, base, embedder, dim).select(*ARTICLE_COLUMNS)
     # read by the size check, the untouched-row filter, the union and the store commit:
     # embed and number once

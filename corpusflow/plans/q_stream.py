@@ -85,18 +85,23 @@ def q_stream_dedupe(spark, sf_dir):
 
 
 def _slo_stream(spark, sf_dir, name):
+    """Update mode: each micro-batch emits the windows it changed (state older than the
+    watermark is dropped); the sink keeps every batch's rows and readers take the latest
+    row per window and operation."""
     base = _run_dir(spark, name)
     # a glob that matches only the events file: file stream sources take a directory or a glob
     events = spark.readStream.schema(SS.EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/[e]vents.parquet")
     agg = SS.rolling_slo(SS.request_log(events))
 
     def write(batch, batch_id):
-        batch.write.mode("overwrite").parquet(f"{base}/out")
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
 
-    q = (agg.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
+    q = (agg.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{base}/checkpoint")
          .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    out = spark.read.parquet(f"{base}/out")
+    latest = out.groupBy("window", "operation").agg(F.max_by(F.struct("n", "errors", "p95_ms"), F.col("batch")).alias("r"))
+    return latest.select("window", "operation", "r.*")
 
 
 @query("stream_slo", sql=with_ctes(f"""

@@ -72,10 +72,14 @@ class SnapshotStore:
     def manifest(self, version: int | None = None) -> dict:
         v = self.current_version() if version is None else version
         if v == 0:
-            return {"version": 0, "batch": None, "parts": {}}
+            return {"version": 0, "batch": None, "parts": {}, "max_id": 0}
         return json.loads(self._read_text(f"{self.root}/_manifests/v{v}.json"))
 
     # ------------------------------------------------------------- reads and commits
+    def max_id(self) -> int:
+        """Highest article id ever committed (kept in the manifest, no scan)."""
+        return int(self.manifest().get("max_id") or 0)
+
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         paths = [f"{self.root}/data/v{ver}/part={k}" for k, ver in sorted(m["parts"].items(), key=lambda kv: int(kv[0]))]
@@ -111,7 +115,9 @@ class SnapshotStore:
         parts = dict(m["parts"])
         for k in touched:
             parts[str(k)] = new_v
+        new_max = changes.agg(F.max("id")).first()[0]
+        max_id = max(int(m.get("max_id") or 0), int(new_max or 0))
         self._write_text(f"{self.root}/_manifests/v{new_v}.json",
-                         json.dumps({"version": new_v, "batch": batch, "parts": parts}, sort_keys=True))
+                         json.dumps({"version": new_v, "batch": batch, "parts": parts, "max_id": max_id}, sort_keys=True))
         self._write_text(f"{self.root}/_CURRENT", str(new_v))
         return new_v

@@ -36,7 +36,7 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
         norm = E.normalize_entries(batch, ingest_ts(), strict_rfc)
         entries = E.dedupe_entries(E.valid_entries(norm))
         existing = store.read()
-        _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc)
+        _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id())
         # an empty change set writes nothing (the reference skips the commit too)
         store.commit(changes, batch=f"{query_name}:{batch_id}")
 
