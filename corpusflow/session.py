@@ -25,6 +25,8 @@ def build_session(master: str = "local[8]", app: str = "corpusflow", shuffle_par
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # rows carry whole pages / documents: keep Arrow batches to ~1,000 rows (not 10,000)
+        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
         .config("spark.driver.memory", "16g")
     )
     for k, v in (extra or {}).items():
@@ -35,6 +37,23 @@ def build_session(master: str = "local[8]", app: str = "corpusflow", shuffle_par
     return spark
 
 
+# Settings for a large cluster (about 100 TB of input, ~1000 executors); apply with
+# ``SparkSession.builder.config(map=CLUSTER_CONF)`` or the cluster's defaults file.
+CLUSTER_CONF = {
+    "spark.sql.session.timeZone": UTC,
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.shuffle.partitions": "20000",          # an upper bound; AQE coalesces small stages
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.autoBroadcastJoinThreshold": "64m",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.parquet.aggregatePushdown": "true",    # min/max/count from Parquet footers
+    "spark.python.worker.reuse": "true",
+}
+
+
 def ensure_utc(spark: SparkSession) -> None:
     """All timestamps in this library are UTC instants; parsing and display depend on it."""
     if spark.conf.get("spark.sql.session.timeZone", None) != UTC:
