@@ -80,7 +80,7 @@ def embed(df: DataFrame, text_col: str, out: str = "embedding", embedder: Embedd
     """
     if embedder is None:
         return df.withColumn(out, hashing_vector(F.col(text_col), dim))
-    schema = df.schema.add(out, "array<float>")
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(batches):
         for pdf in batches:
