@@ -173,6 +173,3 @@ def recall_at_k(approx: DataFrame, exact: DataFrame, k: int) -> DataFrame:
         (F.avg(F.coalesce("h", F.lit(0)) / F.lit(k))).alias("recall_at_k"), F.count(F.lit(1)).alias("subjects")
     )
 
-
-def default_blocks(n_rows: int, block_rows: int = BLOCK_ROWS) -> int:
-    return max(1, math.ceil(n_rows / block_rows))
