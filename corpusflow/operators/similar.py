@@ -8,6 +8,7 @@ are split into sub-blocks like the exact path.
 
 from __future__ import annotations
 
+import hashlib
 import math
 
 import numpy as np
@@ -113,8 +114,18 @@ def all_pairs_topk(vectors: DataFrame, k: int = 5, id_col: str = "id", vec_col:
 
 
 def hyperplanes(dim: int, n_tables: int, n_bits: int, seed: int) -> np.ndarray:
-    """Random-hyperplane normals: a parameter of the index, not data."""
-    return np.random.default_rng(seed).standard_normal((n_tables * n_bits, dim))
+    """Sign-random (+1/-1) hyperplane normals, a parameter of the index, not data.
+
+    Entry (table t, bit b, dimension i) is +1 when the first hex digit of
+    md5("seed:t:b:i") is even, else -1; reproducible by any engine with md5.
+    """
+    out = np.empty((n_tables * n_bits, dim))
+    for t in range(n_tables):
+        for b in range(n_bits):
+            for i in range(dim):
+                h = hashlib.md5(f"{seed}:{t}:{b}:{i}".encode()).hexdigest()
+                out[t * n_bits + b, i] = 1.0 if int(h[0], 16) % 2 == 0 else -1.0
+    return out
 
 
 def lsh_buckets(units: DataFrame, dim: int, n_tables: int = 6, n_bits: int = 8, seed: int = 17) -> DataFrame:

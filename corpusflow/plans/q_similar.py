@@ -86,17 +86,53 @@ def q_all_pairs(spark, sf_dir):
     return _pairs_out(SIM.all_pairs_topk(_vectors(spark, sf_dir), K, "vec_id", "embedding"))
 
 
-@query("similar_lsh")
+LSH_TABLES, LSH_SEED, LSH_BUCKET_TARGET = 24, 17, 128
+
+cte("lsh_vecs", "select vec_id as id, cast(embedding as double[]) as e from embeddings where list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0")
+cte("lsh_bits", f"select greatest(1, round(log2(count(*) / {LSH_BUCKET_TARGET}.0)))::int as bits, max(len(e)) as dim from lsh_vecs")
+cte("lsh_planes", f"""
+select t, b, i, case when ('0x' || substr(md5('{LSH_SEED}:' || cast(t as varchar) || ':' || cast(b as varchar) || ':' || cast(i as varchar)), 1, 1))::int % 2 = 0
+                     then 1.0 else -1.0 end as sgn
+from (select unnest(range({LSH_TABLES})) as t) tt,
+     (select unnest(range((select bits from lsh_bits))) as b) bb,
+     (select unnest(range((select dim from lsh_bits))) as i) ii""")
+cte("lsh_sig", """
+select v.id, p.t, p.b, sum(v.x * p.sgn) as d
+from (select id, unnest(range(len(e))) as i, unnest(e) as x from lsh_vecs) v join lsh_planes p on p.i = v.i
+group by all""")
+cte("lsh_bucket", "select id, t, sum(case when d >= 0 then (1::bigint << b) else 0 end) as bucket from lsh_sig group by id, t")
+cte("lsh_cands", """
+select distinct a.id as subject_id, c.id as id from lsh_bucket a join lsh_bucket c on c.t = a.t and c.bucket = a.bucket and c.id <> a.id""")
+cte("lsh_top", f"""
+select subject_id, rank, id, distance from (
+  select *, row_number() over (partition by subject_id order by distance, id) as rank from (
+    select k.subject_id, k.id,
+           1 - list_dot_product(a.e, c.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(c.e, c.e))) as distance
+    from lsh_cands k join lsh_vecs a on a.id = k.subject_id join lsh_vecs c on c.id = k.id))
+where rank <= {K}""")
+cte("exact_top", ALL_PAIRS_SQL)
+
+
+@query("similar_lsh", sql=with_ctes(f"""
+select subject_id, rank, id, round(distance, 6) + 0.0 as distance, round(greatest(0, 1 - distance), 6) + 0.0 as similarity
+from lsh_top"""))
 def q_lsh(spark, sf_dir):
-    """V5: approximate top-5 neighbours from LSH buckets, exactly re-ranked."""
-    return _pairs_out(SIM.lsh_topk(_vectors(spark, sf_dir), K, 64, "vec_id", "embedding"))
+    """V5: approximate top-5 neighbours from sign-hyperplane LSH buckets, exactly re-ranked."""
+    return _pairs_out(SIM.lsh_topk(_vectors(spark, sf_dir), K, 64, "vec_id", "embedding", n_tables=LSH_TABLES,
+                                   seed=LSH_SEED, bucket_target=LSH_BUCKET_TARGET))
 
 
-@query("lsh_recall")
+@query("lsh_recall", sql=with_ctes(f"""
+select round(avg(coalesce(h, 0) / {K}.0), 6) + 0.0 as recall_at_k, count(*) as subjects
+from (select distinct subject_id from exact_top) s
+left join (select l.subject_id, count(*) as h from lsh_top l join exact_top x on x.subject_id = l.subject_id and x.id = l.id
+           group by l.subject_id) hh using (subject_id)"""))
 def q_lsh_recall(spark, sf_dir):
     """V6: recall@5 of the LSH neighbours against the exact ones."""
     v = _vectors(spark, sf_dir)
-    return SIM.recall_at_k(SIM.lsh_topk(v, K, 64, "vec_id", "embedding"), SIM.all_pairs_topk(v, K, "vec_id", "embedding"), K)
+    approx = SIM.lsh_topk(v, K, 64, "vec_id", "embedding", n_tables=LSH_TABLES, seed=LSH_SEED, bucket_target=LSH_BUCKET_TARGET)
+    r = SIM.recall_at_k(approx, SIM.all_pairs_topk(v, K, "vec_id", "embedding"), K)
+    return r.select((F.round("recall_at_k", 6) + F.lit(0.0)).alias("recall_at_k"), "subjects")
 
 
 cte("article_etext", f"select id, {S.embedding_text('title', 'content')} as etext from articles")
