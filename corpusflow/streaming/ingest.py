@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators import entries as E
 from corpusflow.operators import upsert as U
 from corpusflow.operators.embed import Embedder
+from corpusflow.session import materialize
 from corpusflow.sources.store import SnapshotStore
 
 RAW_ENTRY_SCHEMA = (
@@ -34,7 +35,8 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
                     strict_rfc: bool = False, query_name: str = "ingest") -> Callable[[DataFrame, int], None]:
     def run(batch: DataFrame, batch_id: int) -> None:
         norm = E.normalize_entries(batch, ingest_ts(), strict_rfc)
-        entries = E.dedupe_entries(E.valid_entries(norm))
+        # cleaned once: matching reads the entries' keys and rows several times
+        entries = materialize(E.dedupe_entries(E.valid_entries(norm)))
         existing = store.read()
         _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id())
         # an empty change set writes nothing (the reference skips the commit too)

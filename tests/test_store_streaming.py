@@ -61,3 +61,23 @@ def test_stream_dedupe_drops_redeliveries(spark, scratch):
     out = spark.read.parquet(f"{scratch}/out")
     valid = E.valid_entries(E.normalize_entries(raw, FX.ingest_ts()))
     assert out.count() == valid.count()
+
+
+def test_multi_batch_stream_keeps_keys_unique(spark, scratch):
+    raw = FX.raw_entries(spark, SF_SMALL)
+    # land each feed separately so the stream sees several micro-batches
+    for k in range(5):
+        raw.filter(F.col("feed_pos") == k).coalesce(1).write.parquet(f"{scratch}/landing/feed={k}")
+    store = SnapshotStore(spark, f"{scratch}/store", part_rows=8)
+    q = run_ingest_stream(spark, f"{scratch}/landing", store, f"{scratch}/ckpt", FX.ingest_ts, max_files_per_trigger=1)
+    q.awaitTermination()
+    snap = store.read()
+    n = snap.count()
+    assert n > 0 and store.current_version() >= 2
+    for key in ("id", "rss_guid", "url"):
+        assert snap.select(key).distinct().count() == n, key
+    assert snap.agg(F.max("id")).first()[0] == store.max_id()
+    v = store.current_version()
+    q2 = run_ingest_stream(spark, f"{scratch}/landing", store, f"{scratch}/ckpt2", FX.ingest_ts)
+    q2.awaitTermination()
+    assert store.current_version() == v
