@@ -97,9 +97,12 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
-def spread(df, min_partitions: int | None = None):
+def spread(df, min_partitions: int | None = None, key: str | None = None):
     """Give CPU-heavy per-row work (HTML cleaning, chunking, hashing) at least the
     session's parallelism. A no-op when the input already has that many partitions, as any
-    large input does; small inputs stored as one row group are spread round-robin."""
+    large input does; small inputs stored as one row group are spread, by hash of ``key``
+    when given (deterministic on retry without sorting the rows), else round-robin."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if df._jdf.rdd().getNumPartitions() < n else df
+    if df._jdf.rdd().getNumPartitions() >= n:
+        return df
+    return df.repartition(n, key) if key and key in df.columns else df.repartition(n)

@@ -12,8 +12,8 @@ TABLES = (
 ).split()
 
 
-# Tables whose rows carry long text: per-row work on them is CPU-heavy.
-TEXT_TABLES = ("pages", "documents")
+# Tables whose rows carry long text (per-row work on them is CPU-heavy), with their key.
+TEXT_TABLES = {"pages": "page_id", "documents": "doc_id"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -21,4 +21,4 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*columns) if columns else df
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df, key=TEXT_TABLES[name]) if name in TEXT_TABLES else df
