@@ -117,6 +117,14 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
     return ins.unionByName(upd)
 
 
+def classify_batch(existing: DataFrame, entries: DataFrame, strict_rfc: bool = False,
+                   materialize_batch: bool = True) -> DataFrame:
+    """Match and classify a batch; checkpointed because the changes, the untouched-row
+    filter and the counters all read it."""
+    classified = classify(match_existing(entries, existing), strict_rfc)
+    return materialize(classified) if materialize_batch else classified
+
+
 def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
                 strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
                 max_id: int | None = None) -> tuple[DataFrame, DataFrame]:
@@ -125,9 +133,7 @@ def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embe
     The classified batch feeds the changes, the untouched-row filter and the counters, so
     it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
     """
-    classified = classify(match_existing(entries, existing), strict_rfc)
-    if materialize_batch:
-        classified = materialize(classified)
+    classified = classify_batch(existing, entries, strict_rfc, materialize_batch)
     # the highest stored id: from the store's manifest when known, else one pruned scan
     base = F.lit(max_id).cast("long") if max_id is not None else existing.select(
         F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()

@@ -58,6 +58,11 @@ def upserted(spark, sf_dir):
     return U.upsert(existing_articles(spark, sf_dir), deduped(spark, sf_dir), FX.ingest_ts())
 
 
+def classified(spark, sf_dir):
+    """Per-entry actions only (no embedding or numbering of the changes)."""
+    return U.classify_batch(existing_articles(spark, sf_dir), deduped(spark, sf_dir))
+
+
 def failed_feeds(spark, sf_dir) -> DataFrame:
     expected = feed_list(spark, sf_dir).filter(F.col("feed_url").startswith(FX.FEED_BASE)).select("feed_url").distinct()
     landed = FX.raw_entries(spark, sf_dir).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n_entries"))
@@ -223,7 +228,7 @@ def q_upsert_match(spark, sf_dir):
 @query("upsert_classify", sql=with_ctes("select entry_pos, action, needs_embedding from upsert_e"))
 def q_upsert_classify(spark, sf_dir):
     """Insert, update, unchanged or conflict per incoming entry."""
-    _, c = upserted(spark, sf_dir)
+    c = classified(spark, sf_dir)
     return c.select("entry_pos", "action", "needs_embedding")
 
 
@@ -250,7 +255,7 @@ def q_upsert_snapshot(spark, sf_dir):
 @query("embed_changed_only", sql=with_ctes("select k as entry_pos, dim, round(weight, 6) + 0.0 as weight from upsert_emb where weight <> 0"))
 def q_embed_changed_only(spark, sf_dir):
     """Embeddings are computed only for inserted rows and rows whose text changed."""
-    _, c = upserted(spark, sf_dir)
+    c = classified(spark, sf_dir)
     e = c.filter("needs_embedding").select("entry_pos", hashing_vector(embedding_text(F.col("title"), F.col("content_clean"))).alias("v"))
     # posexplode_outer: a plain posexplode infers a size(v) > 0 filter that Catalyst pushes
     # below the join, evaluating the embedding UDFs a second time
@@ -266,7 +271,7 @@ select count(*) filter (where action = 'insert') as ingested, count(*) filter (w
 from upsert_c"""))
 def q_ingest_metrics(spark, sf_dir):
     """A1: ingested / updated / unchanged / conflicts / skipped counters and failed feeds."""
-    _, c = upserted(spark, sf_dir)
+    c = classified(spark, sf_dir)
     rejected = E.rejected_entries(normalized(spark, sf_dir))
     failed = failed_feeds(spark, sf_dir).filter("failed")
     m = U.ingest_metrics(c, rejected, failed)
