@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import embedding_text
 from corpusflow.functions.vectors import cosine_distance, l2_normalize
 from corpusflow.operators import similar as SIM
-from corpusflow.operators.embed import hashing_vector, token_bucket, tokens
+from corpusflow.operators.embed import MAX_TOKENS, hashing_vector, mean_pool, token_bucket, tokens
 from corpusflow.plans import sqltext as S
 from corpusflow.plans.q_articles import _sql_dist
 from corpusflow.plans.q_ingest import sql_hash_weights
@@ -19,7 +19,6 @@ from corpusflow.sources.tables import table
 TOPK_SUBJECT = 7
 K = 5
 POOL_VOCAB = 500   # token -> row of the embeddings table
-POOL_MAX_LEN = 8   # attention mask: the first 8 tokens are real, the rest padding
 
 
 def _r6(c):
@@ -150,22 +149,23 @@ def q_embed_articles(spark, sf_dir):
 
 @query("mean_pool", sql=f"""
 with t as (
-  select doc_id, pos, ((('0x' || substr(md5(tok), 1, 8))::bigint) % {POOL_VOCAB})::bigint as vec_id,
-         case when pos < {POOL_MAX_LEN} then 1.0 else 0.0 end as m
-  from (select doc_id, unnest(range(len(tk))) as pos, unnest(tk) as tok
-        from (select doc_id, regexp_extract_all(lower(left(text, 60)), '[a-z0-9]+')[1:256] as tk from documents)))
-select doc_id, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) + 0.0 as value from (
-  select t.doc_id, t.m, d - 1 as dim, x from t join (
+  select doc_id, ((('0x' || substr(md5(tok), 1, 8))::bigint) % {POOL_VOCAB})::bigint as vec_id
+  from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:{MAX_TOKENS}]) as tok from documents))
+select doc_id, dim, round(sum(x) / greatest(count(*), 1e-9), 6) + 0.0 as value from (
+  select t.doc_id, d - 1 as dim, x from t join (
     select vec_id, unnest(range(1, len(embedding) + 1)) as d, unnest(cast(embedding as double[])) as x from embeddings) v
   on v.vec_id = t.vec_id)
 group by doc_id, dim""")
 def q_mean_pool(spark, sf_dir):
-    """A5: masked mean pooling of token vectors into one vector per document."""
+    """Masked mean pooling of token vectors into one vector per document. Every
+    token of the whole text is read; the attention mask keeps the first 256 (the model's
+    input limit), so a document's token list is bounded by that limit."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    toks = docs.select("doc_id", F.posexplode(tokens(F.substring("text", 1, 60))).alias("pos", "tok"))
+    toks = docs.select("doc_id", F.posexplode(tokens(F.col("text"), MAX_TOKENS)).alias("pos", "tok"))
     toks = toks.select("doc_id", token_bucket(F.col("tok"), POOL_VOCAB).cast("long").alias("vec_id"),
-                       F.when(F.col("pos") < POOL_MAX_LEN, F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
-    v = _vectors(spark, sf_dir).select("vec_id", F.posexplode("embedding").alias("dim", "x"))
-    j = toks.join(v, "vec_id")
-    g = j.groupBy("doc_id", "dim").agg((F.sum(F.col("x").cast("double") * F.col("m")) / F.greatest(F.sum("m"), F.lit(1e-9))).alias("value"))
-    return g.select("doc_id", F.col("dim").cast("long").alias("dim"), _r6(F.col("value")).alias("value"))
+                       F.when(F.col("pos") < MAX_TOKENS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
+    v = _vectors(spark, sf_dir)
+    per_doc = toks.join(v, "vec_id").groupBy("doc_id").agg(F.collect_list(F.struct("m", "embedding")).alias("t"))
+    pooled = per_doc.select("doc_id", mean_pool(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: x["m"])).alias("p"))
+    out = pooled.select("doc_id", F.posexplode("p").alias("dim", "value"))
+    return out.select("doc_id", F.col("dim").cast("long").alias("dim"), _r6(F.col("value")).alias("value"))
