@@ -61,7 +61,10 @@ def sources(articles: DataFrame) -> DataFrame:
 def lookup(articles: DataFrame, ids: DataFrame, id_col: str = "article_id") -> DataFrame:
     """Batch point lookup: every requested id with ``found`` and the detail columns."""
     req = ids.select(F.col(id_col).alias("_req")).distinct()
-    a = articles.select(*DETAIL_COLUMNS)
+    # the requested ids filter the big table in place (size-checked broadcast), then the
+    # small matched set joins back
+    a = articles.select(*DETAIL_COLUMNS).join(broadcast_if_small(req.select(F.col("_req").alias("_k"))),
+                                              F.col("id") == F.col("_k"), "left_semi")
     return req.join(a, req._req == a.id, "left").select(
         F.col("_req").alias(id_col), F.col("id").isNotNull().alias("found"), *[F.col(c) for c in DETAIL_COLUMNS if c != "id"]
     )
@@ -135,7 +138,7 @@ def reindex(articles: DataFrame, ids: DataFrame | None, embedder: Embedder | Non
     if ids is None:
         todo, rest = articles, None
     else:
-        k = ids.select(F.col("id").alias("_rid")).distinct()
+        k = broadcast_if_small(ids.select(F.col("id").alias("_rid")).distinct())
         todo = articles.join(k, articles.id == k._rid, "left_semi")
         rest = articles.join(k, articles.id == k._rid, "left_anti")
     todo = todo.withColumn("_clean", X.strip_html("content"))

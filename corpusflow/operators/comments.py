@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators.articles import AUTHOR_MAX
 from corpusflow.operators.ids import assign_ids
+from corpusflow.operators.joins import broadcast_if_small
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -25,9 +26,16 @@ def validate(requests: DataFrame) -> DataFrame:
                            author.alias("author_name"), body.alias("body"), reason.alias("reject_reason"))
 
 
+def existing_ids(articles: DataFrame, requested: DataFrame, col: str = "article_id") -> DataFrame:
+    """The requested article ids that exist, as ``_aid``. The (size-checked, broadcast)
+    request ids filter the article table in place, so the big table is not shuffled."""
+    req = broadcast_if_small(requested.select(F.col(col).alias("_req")).distinct())
+    return articles.select(F.col("id").alias("_aid")).join(req, F.col("_aid") == F.col("_req"), "left_semi")
+
+
 def split_fk(valid: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, rejected): semi / anti join of the comment's article id to the articles."""
-    ids = articles.select(F.col("id").alias("_aid"))
+    ids = existing_ids(articles, valid)
     accepted = valid.join(ids, valid.article_id == ids._aid, "left_semi")
     rejected = valid.join(ids, valid.article_id == ids._aid, "left_anti").withColumn("reject_reason", F.lit("article_not_found"))
     return accepted, rejected

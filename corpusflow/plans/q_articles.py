@@ -188,9 +188,11 @@ def q_article_view(spark, sf_dir):
     arts = FX.articles(spark, sf_dir)
     subj = arts.filter(F.col("id") == VIEW_ID)
     recs = SIM.similar_to(arts, VIEW_ID, 5)
-    return recs.select(
-        "rank", "id", "source", "title", X.display_similarity("similarity").alias("similarity_display"),
-        subj.select("title").scalar().alias("subject_title"),
-        subj.select(X.display_time("published_at")).scalar().alias("subject_published"),
-        subj.select(X.strip_html("content")).scalar().alias("subject_body"),
-    ).withColumn("rank", F.col("rank").cast("long"))
+    # the page header in one scalar subquery (one row)
+    head = subj.select(F.struct(F.col("title").alias("t"), X.display_time("published_at").alias("p"),
+                                X.strip_html("content").alias("b"))).scalar()
+    out = recs.select("rank", "id", "source", "title", X.display_similarity("similarity").alias("similarity_display"),
+                      head.alias("_h"))
+    return out.select(F.col("rank").cast("long").alias("rank"), "id", "source", "title", "similarity_display",
+                      F.col("_h.t").alias("subject_title"), F.col("_h.p").alias("subject_published"),
+                      F.col("_h.b").alias("subject_body"))
