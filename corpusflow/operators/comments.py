@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusflow.operators.articles import AUTHOR_MAX
 from corpusflow.operators.ids import assign_ids
 from corpusflow.operators.joins import broadcast_if_small
+from corpusflow.session import materialize
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -48,6 +49,8 @@ def append(comments: DataFrame, requests: DataFrame, articles: DataFrame, create
     ok = v.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     bad = v.filter(F.col("reject_reason").isNotNull())
     accepted, missing = split_fk(ok, articles)
+    # the numbering reads the accepted batch three times: check the articles once
+    accepted = materialize(accepted)
     base = comments.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     rows = assign_ids(accepted, F.col(order_col).cast("long"), base, out="id")
     rows = rows.select("id", "article_id", "author_name", "body", created_at.alias("created_at"))
