@@ -48,3 +48,18 @@ def test_chained_python_udfs_are_extracted(spark):
         df = a.select("id", hashing_vector(X.embedding_text(F.col("title"), F.col("content"))).alias("v"))
         p = plan(df)
         assert "ArrowEvalPython [scatter" in p and "ArrowEvalPython [_unescape_series" in p
+
+
+def test_broadcast_only_below_the_bound(spark):
+    from corpusflow.operators.joins import broadcast_if_small
+
+    big = spark.range(0, 5000).withColumnRenamed("id", "k")
+    keys = spark.range(0, 50).withColumnRenamed("id", "k")
+    small_plan = plan(big.join(broadcast_if_small(keys, max_rows=100), "k", "left_semi"))
+    assert "BroadcastHashJoin" in small_plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        over = plan(big.join(broadcast_if_small(keys, max_rows=10), "k", "left_semi"))
+        assert "BroadcastHashJoin" not in over and "SortMergeJoin" in over
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
