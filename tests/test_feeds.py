@@ -32,3 +32,20 @@ def test_rss_and_atom_to_normalised_entries(spark, scratch):
     assert norm["https://y/1"].source == "Atom Two" and norm["https://y/1"].published_ok
     fails = FD.failed_feeds(docs).collect()
     assert not any(r.failed for r in fails)
+
+
+def test_missing_or_broken_feed_is_failed(spark, scratch):
+    import os
+
+    os.makedirs(f"{scratch}/rss")
+    open(f"{scratch}/rss/good.xml", "w").write(RSS)
+    open(f"{scratch}/rss/broken.xml", "w").write("<rss><channel><title>Broken</title><item><link>x</item></chan")
+    docs = FD.feed_documents(spark, f"{scratch}/rss/*.xml")
+    good = [r.feed_url for r in docs.collect() if r.feed_url.endswith("good.xml")][0]
+    expected = spark.createDataFrame([(good,), ("file:/never/landed.xml",)], "feed_url string")
+    got = {r.feed_url: r.failed for r in FD.failed_feeds(docs, expected).collect()}
+    assert got == {good: False, "file:/never/landed.xml": True}
+    per_file = {r.feed_url.rsplit("/", 1)[-1]: r for r in FD.failed_feeds(docs).collect()}
+    assert per_file["good.xml"].n_entries == 2 and not per_file["good.xml"].failed
+    if "broken.xml" in per_file:  # a corrupt document parses to a corrupt record with no entries
+        assert per_file["broken.xml"].failed

@@ -81,12 +81,14 @@ def test_url_match_keeps_guid_and_conflicts_are_quarantined(spark):
 
 def test_keys_defaults_and_rejections(spark):
     rows = [dict(id="", guid="g", link="https://l/1"), dict(link="https://l/2"), dict(id="only-id", link=""),
-            dict(id="x", link=None), dict(id="t", link="https://l/3", title="", content=["<b>c</b>"], summary="s")]
+            dict(id="x", link=None), dict(id="t", link="https://l/3", title="", content=["<b>c</b>"], summary="s"),
+            dict(title="no keys at all")]
     n = {r.entry_pos: r for r in E.normalize_entries(raw(spark, rows), ts()).collect()}
     assert n[0].guid == "g" and n[1].guid == "https://l/2" and n[1].title == "Untitled"
     assert n[2].reject_reason == "no_link" and n[3].reject_reason == "no_link"
     assert n[4].title == "" and n[4].content_clean == "c"
     assert n[1].content_clean == "No content" and n[1].content_preview == ""
+    assert n[5].reject_reason == "no_guid"
 
 
 def test_dedupe_last_occurrence_wins(spark):
