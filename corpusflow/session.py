@@ -63,18 +63,17 @@ def ensure_utc(spark: SparkSession) -> None:
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, snapshots and stream state.
 
-    Read from ``spark.checkpoint.dir`` (the cluster's shared folder). Only when the
-    session has none (local tests, the smoke driver) do we create one and register it.
+    Read from ``spark.checkpoint.dir`` (the cluster's shared folder) or the context's
+    checkpoint directory. Only when the session has neither (local tests, a bare driver)
+    do we create one and register it with ``setCheckpointDir`` (the config key itself
+    cannot be changed at runtime).
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    sc = spark.sparkContext
+    d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-        spark.sparkContext.setCheckpointDir(d)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(d)
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(d)
     return d.rstrip("/")
 
 
