@@ -77,7 +77,12 @@ def detail_rows(articles: DataFrame, comments: DataFrame) -> DataFrame:
     a = articles.select(*DETAIL_COLUMNS)
     c = comments.select(*[F.col(x).alias("comment_" + x) for x in COMMENT_COLUMNS if x != "article_id"],
                         F.col("article_id").alias("_aid"))
-    return a.join(c, a.id == c._aid, "left").drop("_aid")
+    # inner join with the comments as the streamed side: when one article holds a large
+    # share of all comments, adaptive execution can split that side (it cannot split the
+    # null-supplying side of an outer join); articles without comments are added by an anti join
+    with_comments = c.join(a, a.id == c._aid).select(*DETAIL_COLUMNS, *[x for x in c.columns if x != "_aid"])
+    without = a.join(c.select("_aid"), a.id == c._aid, "left_anti")
+    return with_comments.unionByName(without, allowMissingColumns=True)
 
 
 def nest_comments(articles: DataFrame, comments: DataFrame) -> DataFrame:

@@ -51,3 +51,16 @@ def test_hot_partition_ranking_is_dense(spark):
     for ds, pairs in got.items():
         pairs.sort()
         assert [r for _, r in pairs] == list(range(1, len(pairs) + 1)), ds
+
+
+def test_hot_article_detail_rows(spark):
+    from corpusflow.operators.articles import detail_rows
+
+    arts = spark.createDataFrame([(i, "s", f"g{i}", "t", f"u{i}", "c", None) for i in range(10)],
+                                 "id long, source string, rss_guid string, title string, url string, content string, "
+                                 "published_at timestamp")
+    com = spark.createDataFrame([(j, 0 if j % 3 else 1 + j % 5, None, "b", None) for j in range(900)],
+                                "id long, article_id long, author_name string, body string, created_at timestamp")
+    d = detail_rows(arts, com)
+    assert d.count() == 900 + 4  # articles 6..9 have no comments: one row each
+    assert d.filter("id = 0").count() == 600 and d.filter("comment_id is null").count() == 4
