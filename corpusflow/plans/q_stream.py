@@ -55,7 +55,7 @@ def q_stream_ingest(spark, sf_dir):
     """Landed entries -> readStream -> foreachBatch upsert into the snapshot store."""
     base = _run_dir(spark, "stream_ingest")
     FX.raw_entries(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/landing")
-    store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS)
+    store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS, files_per_part=2)
     q = SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts)
     q.awaitTermination()
     snap = store.read()

@@ -31,10 +31,12 @@ ARTICLE_SCHEMA = (
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, part_rows: int = 1_000_000):
+    def __init__(self, spark: SparkSession, root: str, part_rows: int = 1_000_000, files_per_part: int = 16):
         self.spark = spark
         self.root = root.rstrip("/")
         self.part_rows = part_rows
+        # a part of a million articles is several GB: it is written by this many tasks
+        self.files_per_part = files_per_part
         jvm = spark.sparkContext._jvm
         self._Path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -111,7 +113,9 @@ class SnapshotStore:
             old = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*old_paths).withColumn("part", self.part_of())
             kept = old.join(broadcast_if_small(changes.select("id")), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
             rewrite = kept.unionByName(changes)
-        rewrite.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{self.root}/data/v{new_v}")
+        salt = F.pmod(F.xxhash64("id"), F.lit(self.files_per_part))
+        rewrite.repartition(F.col("part"), salt).write.mode("overwrite").partitionBy("part").parquet(
+            f"{self.root}/data/v{new_v}")
         parts = dict(m["parts"])
         for k in touched:
             parts[str(k)] = new_v
