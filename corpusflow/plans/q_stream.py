@@ -18,7 +18,7 @@ from corpusflow.sources.store import SnapshotStore
 from corpusflow.streaming import ingest as SI
 from corpusflow.streaming import slo as SS
 
-STREAM_PART_ROWS = 64  # small id-range parts so that test-sized tables span several parts
+STREAM_PART_ROWS = 256  # small id-range parts so that the benchmark table spans several parts
 
 
 def _run_dir(spark, name):
