@@ -44,10 +44,15 @@ def main() -> None:
         QUERIES["embed_articles"](spark, warm).write.format("noop").mode("overwrite").save()
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    errors: dict[str, str] = {}
     for name in names:
         t0 = time.time()
-        df = QUERIES[name](spark, sf_dir)
-        df.write.format("noop").mode("overwrite").save()
+        try:
+            df = QUERIES[name](spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            continue
         times[name] = round(time.time() - t0, 3)
     # throughput figures for the baseline table
     extra_metrics = {}
@@ -57,8 +62,11 @@ def main() -> None:
     if "sentence_chunks" in times:
         extra_metrics["sentence_chunks_rows_per_s"] = round(pages / times["sentence_chunks"], 1)
     if "similar_lsh" in times:
-        r = QUERIES["lsh_recall"](spark, sf_dir).collect()[0]
-        extra_metrics["lsh_recall_at_5"] = round(float(r["recall_at_k"]), 4)
+        try:
+            r = QUERIES["lsh_recall"](spark, sf_dir).collect()[0]
+            extra_metrics["lsh_recall_at_5"] = round(float(r["recall_at_k"]), 4)
+        except Exception as e:  # noqa: BLE001
+            errors["lsh_recall"] = f"{type(e).__name__}: {str(e)[:200]}"
     m = re.search(r"sf([0-9.]+)", sf_dir)
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -68,6 +76,7 @@ def main() -> None:
         "sf": float(m.group(1)) if m else None,
         "cpus": cpus,
         "extra": extra_metrics,
+        "errors": errors,
         "scratch": scratch,
     }))
     spark.stop()
