@@ -31,15 +31,16 @@ def deduped(spark, sf_dir) -> DataFrame:
     return materialize(E.dedupe_entries(E.valid_entries(normalized(spark, sf_dir))))
 
 
-def existing_articles(spark, sf_dir) -> DataFrame:
+def existing_articles(spark, sf_dir, batch: DataFrame | None = None) -> DataFrame:
     """The upsert target: half of the de-duplicated entries, some with an older title
-    (changed by guid) and some with an older guid (matched by url only)."""
-    d = deduped(spark, sf_dir).filter(F.col("entry_pos") % 2 == 0)
+    (changed by guid) and some with an older guid (matched by url only). Pass the
+    already-materialised ``batch`` to derive it without cleaning the entries again."""
+    d = (batch if batch is not None else deduped(spark, sf_dir)).filter(F.col("entry_pos") % 2 == 0)
     v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     d = d.join(v, v.vec_id == d.entry_pos % 500)
     pos = F.col("entry_pos")
     created = F.to_timestamp(F.lit(EXISTING_CREATED))
-    return materialize(d.select(
+    return (d.select(
         pos.alias("id"),
         "source",
         F.when(pos % 6 == 0, F.concat(F.lit("old-"), F.col("guid"))).otherwise(F.col("guid")).alias("rss_guid"),
@@ -55,12 +56,14 @@ def existing_articles(spark, sf_dir) -> DataFrame:
 
 
 def upserted(spark, sf_dir):
-    return U.upsert(existing_articles(spark, sf_dir), deduped(spark, sf_dir), FX.ingest_ts())
+    batch = deduped(spark, sf_dir)
+    return U.upsert(existing_articles(spark, sf_dir, batch), batch, FX.ingest_ts())
 
 
 def classified(spark, sf_dir):
     """Per-entry actions only (no embedding or numbering of the changes)."""
-    return U.classify_batch(existing_articles(spark, sf_dir), deduped(spark, sf_dir))
+    batch = deduped(spark, sf_dir)
+    return U.classify_batch(existing_articles(spark, sf_dir, batch), batch)
 
 
 def failed_feeds(spark, sf_dir) -> DataFrame:
@@ -221,7 +224,8 @@ def q_entries_dedupe(spark, sf_dir):
 @query("upsert_match", sql=with_ctes("select entry_pos, guid, link, match_by, ex_id, conflict from upsert_m"))
 def q_upsert_match(spark, sf_dir):
     """Stored row matched by guid first, then by url; conflicting matches flagged."""
-    m = U.match_existing(deduped(spark, sf_dir), existing_articles(spark, sf_dir))
+    batch = deduped(spark, sf_dir)
+    m = U.match_existing(batch, existing_articles(spark, sf_dir, batch))
     return m.select("entry_pos", "guid", "link", "match_by", "ex_id", "conflict")
 
 
