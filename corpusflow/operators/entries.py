@@ -39,12 +39,13 @@ def entry_content(content_col, summary_col) -> Column:
     )
 
 
-def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = False) -> DataFrame:
+def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Resolve keys, title, content, preview and publication time for every entry.
 
     ``raw`` has ``feed_url, feed_title, feed_pos, entry_pos`` and the entry fields
     ``id, guid, link, title, content array<struct<value>>, summary, published, updated``.
-    Output keeps all rows with a ``reject_reason`` (NULL when valid).
+    Output keeps all rows with a ``reject_reason`` (NULL when valid); ``keep`` names extra
+    input columns carried through unchanged (e.g. a landing time).
     """
     guid = resolve_guid(F.col("id"), F.col("guid"), F.col("link"))
     reason = (
@@ -53,6 +54,7 @@ def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = Fals
     )
     parsed = parse_published(F.col("published"), F.col("updated"), strict_rfc=strict_rfc)
     base = raw.select(
+        *keep,
         "feed_url",
         "feed_pos",
         "entry_pos",
@@ -65,6 +67,7 @@ def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = Fals
         reason.alias("reject_reason"),
     )
     return base.select(
+        *keep,
         "feed_url",
         "feed_pos",
         "entry_pos",

@@ -76,7 +76,7 @@ def q_stream_dedupe(spark, sf_dir):
     raw = FX.raw_entries(spark, sf_dir)
     raw.write.mode("overwrite").parquet(f"{base}/landing/copy=1")
     raw.write.mode("overwrite").parquet(f"{base}/landing/copy=2")
-    src = spark.readStream.schema(SI.RAW_ENTRY_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{base}/landing")
+    src = SI.entry_stream(spark, f"{base}/landing", recursive=True)
     out = SI.dedupe_stream(src, FX.ingest_ts()).select("entry_pos", "guid", "content_hash")
     q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
          .outputMode("append").trigger(availableNow=True).start())

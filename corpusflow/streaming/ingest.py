@@ -24,11 +24,15 @@ RAW_ENTRY_SCHEMA = (
 )
 
 
-def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
+                 recursive: bool = False) -> DataFrame:
+    """Landed entry files as a stream, with ``_landed_at`` (the file's modification time)."""
     r = spark.readStream.schema(RAW_ENTRY_SCHEMA)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    return r.parquet(landing)
+    if recursive:
+        r = r.option("recursiveFileLookup", "true")
+    return r.parquet(landing).withColumn("_landed_at", F.col("_metadata.file_modification_time"))
 
 
 def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embedder: Embedder | None = None,
@@ -57,11 +61,17 @@ def run_ingest_stream(spark: SparkSession, landing: str, store: SnapshotStore, c
     return w.start()
 
 
-def dedupe_stream(stream: DataFrame, ingest_ts: Column, watermark: str = "1 day", strict_rfc: bool = False) -> DataFrame:
+def dedupe_stream(stream: DataFrame, ingest_ts: Column, watermark: str = "1 day", strict_rfc: bool = False,
+                  time_col: str = "_landed_at") -> DataFrame:
     """Drop identical re-deliveries of an entry while letting real updates through:
-    the key is the guid plus a hash of the normalised content."""
-    norm = E.valid_entries(E.normalize_entries(stream, ingest_ts, strict_rfc))
+    the key is the guid plus a hash of the normalised content.
+
+    The watermark is on the landing time, not the publication date: a stream drops rows
+    older than its watermark, and an old article re-delivered or updated today must not be
+    discarded as late. State is kept for ``watermark`` of landing time.
+    """
+    norm = E.valid_entries(E.normalize_entries(stream, ingest_ts, strict_rfc, keep=(time_col,)))
     h = F.md5(F.concat_ws("|", "title", "link", "content_clean", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")))
-    return norm.withColumn("content_hash", h).withWatermark("published_at", watermark).dropDuplicatesWithinWatermark(
+    return norm.withColumn("content_hash", h).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(
         ["guid", "content_hash"]
     )

@@ -49,12 +49,12 @@ def test_stream_equals_batch_and_is_idempotent(spark, scratch):
 
 
 def test_stream_dedupe_drops_redeliveries(spark, scratch):
-    from corpusflow.streaming.ingest import RAW_ENTRY_SCHEMA, dedupe_stream
+    from corpusflow.streaming.ingest import dedupe_stream, entry_stream
 
     raw = FX.raw_entries(spark, SF_SMALL)
     raw.write.parquet(f"{scratch}/land/a")
     raw.write.parquet(f"{scratch}/land/b")
-    src = spark.readStream.schema(RAW_ENTRY_SCHEMA).option("recursiveFileLookup", "true").parquet(f"{scratch}/land")
+    src = entry_stream(spark, f"{scratch}/land", recursive=True)
     q = (dedupe_stream(src, FX.ingest_ts()).select("entry_pos", "guid").writeStream.format("parquet")
          .option("path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/ck").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -81,3 +81,25 @@ def test_multi_batch_stream_keeps_keys_unique(spark, scratch):
     q2 = run_ingest_stream(spark, f"{scratch}/landing", store, f"{scratch}/ckpt2", FX.ingest_ts)
     q2.awaitTermination()
     assert store.current_version() == v
+
+
+def test_old_dated_entry_in_a_later_batch_is_not_dropped(spark, scratch):
+    import time
+
+    from corpusflow.streaming.ingest import RAW_ENTRY_SCHEMA, dedupe_stream, entry_stream
+
+    def land(name, rows):
+        spark.createDataFrame(rows, RAW_ENTRY_SCHEMA).coalesce(1).write.parquet(f"{scratch}/land/{name}")
+
+    def row(pos, guid, published):
+        return ("https://f", "F", 0, pos, guid, None, f"https://l/{guid}", "t", [], "s", published, None)
+
+    land("a", [row(0, "new", "Tue, 06 May 2026 10:00:00 GMT")])
+    time.sleep(1.1)
+    land("b", [row(1, "old", "Mon, 06 May 2019 10:00:00 GMT"), row(0, "new", "Tue, 06 May 2026 10:00:00 GMT")])
+    src = entry_stream(spark, f"{scratch}/land", max_files_per_trigger=1, recursive=True)
+    q = (dedupe_stream(src, F.to_timestamp(F.lit("2026-06-01 00:00:00"))).select("guid").writeStream.format("parquet")
+         .option("path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/ck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    got = sorted(r.guid for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert got == ["new", "old"]  # the re-delivered 'new' is dropped, the old-dated 'old' is kept
