@@ -49,12 +49,13 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{work_dir(spark)}/llm-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
-    Unlike a local checkpoint it survives lost executors, and Parquet keeps it small."""
+    Unlike a local checkpoint it survives lost executors, and Parquet keeps it small.
+    ``files``: at most so many, for tables that do not grow with the documents."""
     path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

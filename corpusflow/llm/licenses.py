@@ -132,7 +132,7 @@ def scan(docs: DataFrame, known: DataFrame | list[tuple[str, str]] | None = None
     """
     digests = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), _digests(F.col(text_col)).alias("ds"))
     rows = digests.select("id", "tk", F.posexplode("ds").alias("pos", "digest"))
-    ids = broadcast_bounded(stored(known_digests(docs.sparkSession, known)))
+    ids = broadcast_bounded(stored(known_digests(docs.sparkSession, known), 1))
     hits = rows.join(ids, "digest", "left").filter("pos = 0 or license_id is not null")
     per = hits.groupBy("id", "tk").agg(
         F.max(F.when(F.col("pos") == 0, F.col("license_id"))).alias("license_id"),

@@ -59,7 +59,7 @@ def _running(df: DataFrame, order: list[Column], value: Column, out: str) -> Dat
     are one row per bucket."""
     prior = Window.partitionBy("o_si").orderBy("o_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offs = stored(df.groupBy(F.col("si").alias("o_si"), F.col("bucket").alias("o_bucket")).agg(F.sum(value).alias("t"))
-                  .select("o_si", "o_bucket", F.coalesce(F.sum("t").over(prior), F.lit(0)).alias("o_off")))
+                  .select("o_si", "o_bucket", F.coalesce(F.sum("t").over(prior), F.lit(0)).alias("o_off")), 8)
     own = Window.partitionBy("si", "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     summed = df.withColumn(out, F.coalesce(F.sum(value).over(own), F.lit(0)))
     same = (F.col("si") == F.col("o_si")) & (F.col("bucket") == F.col("o_bucket"))
@@ -80,7 +80,7 @@ def schedule(plan: DataFrame) -> DataFrame:
     cells = min(n, 4096)
     cell = F.explode(F.sequence(F.floor(F.col("first") * cells / F.lit(n)),
                                 F.floor((F.col("first") + F.col("slots") - 1) * cells / F.lit(n) + 1)))
-    ranges = _small(stored(plan.filter("slots > 0").select("si", "slots", "first", cell.alias("r_cell"))))
+    ranges = _small(stored(plan.filter("slots > 0").select("si", "slots", "first", cell.alias("r_cell")), 1))
     x = F.pmod((F.col("id") + 1) * F.lit(PHI), F.lit(1.0)) * n
     points = plan.sparkSession.range(n).select(F.col("id").alias("slot"), x.alias("x"), F.floor(x * cells / F.lit(n)).alias("cell"))
     hit = points.join(ranges, (F.col("cell") == F.col("r_cell")) & (F.col("x") >= F.col("first"))
@@ -117,7 +117,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     slim = stored(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
                               F.size(words(text_of(text_col))).cast("long").alias("size"),
                               F.xxhash64(F.lit(seed), F.col(id_col), text_key(text_col)).alias("h")))
-    per = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
+    per = stored(slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), 1)
     goal = targets(per.select("source", "source_size"), weights, share, repeat).withColumnsRenamed(
         {"source": "p_source", "source_size": "p_size"})
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -126,7 +126,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         "source", "source_size", "n", "target", F.floor(F.col("target") + 1e-6).alias("words"))
     plan = plan.withColumn("slots", F.ceil(F.col("words") / block).cast("long")).withColumn(
         "si", F.row_number().over(by_name)).withColumn("first", F.coalesce(F.sum("slots").over(before), F.lit(0)))
-    plan = stored(plan)
+    plan = stored(plan, 1)
     side = _small(plan.select(F.col("source").alias("p_source"), "si", "source_size", "target", "words", "n"))
     known = slim.join(side, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
 
