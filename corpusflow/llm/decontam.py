@@ -16,6 +16,7 @@ from corpusflow.llm.common import ascii_lower, stored, text_key, text_of, words
 
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
+INDEX_FILES = 16
 BLOCK_WINDOWS = 100_000     # index windows broadcast at a time (about 20 MB); more take further passes
 
 
@@ -59,9 +60,9 @@ def find_windows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     blocks of at most ``BLOCK_WINDOWS`` windows, one pass over the documents each. A pass
     needs no shuffle of texts or words: only the matches are grouped by document.
     """
-    windows = stored(item_windows(items, item_id, item_text, width))
+    windows = stored(item_windows(items, item_id, item_text, width), INDEX_FILES)
     n = windows.count()
-    index = stored(_index(docs, windows, text_col)) if n else None
+    index = stored(_index(docs, windows, text_col), INDEX_FILES) if n else None
     n = index.count() if n else 0
     blocks = max(1, -(-n // BLOCK_WINDOWS))
     base = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("tk"), match_words(text_col).alias("ws"))
