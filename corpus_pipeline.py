@@ -14,7 +14,7 @@ BATCHES = 8
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold; all columns as they are."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return docs.filter(toxicity.score(model, docs) < toxicity.THRESHOLD)
+    return toxicity.scored(model, docs).filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

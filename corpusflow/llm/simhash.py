@@ -25,6 +25,7 @@ from corpusflow.llm.common import stored, text_key
 SHINGLE = 3
 RADIUS = 2
 SHARD = 2048
+LAST_BITS = 9
 FULL = (1 << 64) - 1
 
 
@@ -136,6 +137,8 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
         if len(codes) > 1 and len(out := done()):
             yield out
 
+    # shards are little data and much work: a fixed number of tasks, which Spark does not coalesce
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # free: per division path the bits that members of its shards need not share
     free, found = {0: FULL}, []
     level = fps.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("path"))
@@ -152,13 +155,14 @@ def links(fps: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame
             "fp", F.xxhash64("key", "x.c", F.col("fp").bitwiseAND(F.col("x.b"))).alias("key"), F.col("x.c").alias("path"))
         sizes = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
         sized = stored(dealt.join(sizes, "key"))
-        small = sized.filter(F.col("n") <= shard).select("key", "fp")
-        found.append(small.repartition("key").sortWithinPartitions("key", "fp").mapInPandas(run, "a long, b long"))
-        level = sized.filter(F.col("n") > shard).select("fp", "key", "path")
+        # with few free bits left a shard has at most 2 ** LAST_BITS distinct codes
+        last = [p for p, m in paths.items() if m.bit_count() <= LAST_BITS]
+        fits = (F.col("n") <= shard) | F.col("path").isin(last)
+        small = sized.filter(fits).select("key", "fp")
+        found.append(small.repartition(tasks, "key").sortWithinPartitions("key", "fp").mapInPandas(run, "a long, b long"))
+        level = sized.filter(~fits).select("fp", "key", "path")
         hot = [r["path"] for r in level.select("path").distinct().collect()]     # at most 3^depth paths
         free = {p: paths[p] for p in hot}
-        if any(m.bit_count() <= radius + 1 for m in free.values()):
-            raise ValueError("a shard of distinct codes cannot be this large")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

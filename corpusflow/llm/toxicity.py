@@ -151,16 +151,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([rows[i] for i in order], y[order], n.get(1, 0) / total if total else 0.0)
 
 
-def score(model: FactorizationMachine, docs: DataFrame, text_col: str = "text") -> Column:
-    """A column of ``docs`` with the score of its whole text, 0 to 1. Only the term slots reach
-    Python; the model is at most ``SLOTS`` rows and is broadcast once."""
+def scored(model: FactorizationMachine, docs: DataFrame, text_col: str = "text", out: str = "__score") -> DataFrame:
+    """``docs`` with the score of each whole text, 0 to 1, in column ``out``. Only the term slots
+    reach Python; the model has at most ``SLOTS`` rows and is broadcast once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def margin(t: pd.Series) -> pd.Series:
         return pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margin(list(t)), -500, 500))))
 
-    return margin(terms(text_of(text_col)))
+    # an outer explode of one array keeps the terms' expression out of the Python node's inputs
+    slots = docs.select("*", F.explode_outer(F.array(terms(text_of(text_col)))).alias("__terms"))
+    return slots.withColumn(out, margin("__terms")).drop("__terms")
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -172,6 +174,5 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     model = train(docs, labels, id_col, text_col)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    scored = slim.select("id", held_out("id").alias("held_out"), score(model, slim).alias("score"))
-    return scored.select(F.col("id").alias(id_col), "held_out", "score",
-                         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(model, slim, out="score").select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score",
+                                                   (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
