@@ -43,3 +43,25 @@ LABELLED_PAGES: list[str] = [
     <p data-main>{_BODY}</p><p data-main>{_MORE}</p><p data-main>{_LEAD}</p><div class="related recommended">You may also like <ul>{_LINKS}</ul></div>
     <p data-main>{_BODY}</p></div></div><div class="sidebar aside">{_TALK}</div><div class="comment reply">First!</div></div></body></html>""",
 ]
+
+# class and id names of common boilerplate and main elements, each put into one more labelled page
+_BOILERPLATE_NAMES = """ad ads adsbygoogle advert adverts advertisement advertising adslot sponsor sponsored sponsors promo promos promotion
+banner billboard cookie cookies consent gdpr notice notices notification alert announcement popup modal overlay lightbox toast
+header masthead topbar toolbar navbar navigation nav menu submenu breadcrumb breadcrumbs pagination pager pages toc skip
+footer colophon copyright legal disclaimer imprint sidebar aside rail widget widgets complementary contentinfo secondary
+comment comments commentlist discussion disqus replies reply respond responses reactions feedback guestbook reviews trackback
+share sharing social follow related recommended recommendations trending popular newsletter subscribe subscription signup login
+search searchform form cta donate paywall teaser teasers tags taglist metadata hidden print logo tagline
+site-header page-header main-header site-nav main-nav main-menu site-footer page-footer post-footer article-footer entry-footer
+read-more more-stories see-also most-read""".split()
+_MAIN_NAMES = """content main article post entry story text body maincontent primary hentry prose page-content main-content post-content
+article-content entry-content article-body post-body story-body entry-body article-text content-body content-area post-header
+article-header entry-header story-header content-header with-sidebar has-sidebar no-sidebar sidebar-layout page-body blog-post
+single-post article-main content-main main-column wrapper container wrap page inner outer site layout row column grid""".split()
+LABELLED_PAGES += [
+    f'<html><body><div id="{name}">{_LEAD}</div><div class="{name}">{_BODY}</div><p data-main>{_MORE}</p></body></html>'
+    for name in _BOILERPLATE_NAMES
+] + [
+    f'<html><body><div class="{name}"><p data-main>{_LEAD}</p><p data-main>{_MORE}</p></div><nav><p>{_LEAD}</p></nav></body></html>'
+    for name in _MAIN_NAMES
+]

@@ -27,7 +27,8 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-_TOKEN = re.compile(r"[a-z0-9]+")
+_HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
+_PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object"))
@@ -38,7 +39,8 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "head", "tr", "tbody", "thead", "tfoot", "caption"}
 CONTAINER = frozenset(("article", "main"))
-BOILERPLATE = -1.5       # an element whose names' log ratios sum to less is boilerplate
+SECTION = frozenset(("nav", "aside", "footer", "header", "menu", "article", "main"))     # tags that count as names
+BOILERPLATE = -1.0       # an element with a name of a lower log ratio is boilerplate
 
 
 @dataclass
@@ -62,10 +64,14 @@ class _Run:
 
 
 def _names(tag: str, attrs: str) -> tuple[str, ...]:
+    """The tag, then class, id and role values in lower case with their parts joined by "-"."""
     out = [tag]
     if tag not in ("html", "body") and "=" in attrs:
         for a, b, c in _NAMES.findall(attrs):
-            out += [f".{x}" for x in _TOKEN.findall((a or b or c).lower())]
+            for value in (a or b or c).split():
+                parts = _PART.findall(_HUMP.sub("-", value).lower())
+                if parts:
+                    out.append("." + "-".join(parts))
     return tuple(dict.fromkeys(out))
 
 
@@ -118,29 +124,26 @@ def read_page(page: str) -> tuple[list[_Run], list[int]]:
 
 
 def _contexts(names: tuple[tuple[str, ...], ...], framed: bool) -> list[list[str]]:
-    """Per open element its names, with a prefix once an article or main is open around it; on
-    a page that has one, the element list starts with a marker while none is open."""
+    """Per open element the names that count; section tags are told apart by whether an article
+    or main is open around them. On a page that has one, a last element says if none is open."""
     out, inside = [], False
     for element in names:
-        out.append([f"in {x}" if inside else x for x in element if x != "@main"])
-        inside = inside or element[0] in CONTAINER
+        tag = element[0]
+        own = [f"in {tag}" if inside else tag] if tag in SECTION else []
+        out.append(own + [x for x in element[1:] if x != "@main"])
+        inside = inside or tag in CONTAINER
     if framed and not inside:
         out.append(["(outside)"])
     return out
 
 
-def _framed(runs: list[_Run]) -> bool:
-    return any(r.kind == "open" and r.value in CONTAINER and not r.hard for r in runs)
-
-
 def learn(pages: list[str]) -> Weights:
-    """Weights from labelled pages: log ratios of main and other words, smoothed by one half."""
+    """Weights from labelled pages: smoothed log ratios of main and other text runs."""
     main, other = defaultdict(float), defaultdict(float)
     tags_main, tags_other = defaultdict(float), defaultdict(float)
-    words = [0.0, 0.0]
     for page in pages:
         runs, _ = read_page(page)
-        framed = _framed(runs)
+        framed = any(r.kind == "open" and r.value in CONTAINER for r in runs)
         marked = [any("@main" in e for e in r.names) for r in runs]
         first = next((i for i, x in enumerate(marked) if x), len(runs))
         last = max((i for i, x in enumerate(marked) if x), default=-1)
@@ -148,54 +151,55 @@ def learn(pages: list[str]) -> Weights:
             if r.kind != "text":
                 (tags_main if first <= i <= last else tags_other)[r.value] += 1
             elif r.value.strip() and not r.hard:
-                n = 1.0
-                words[not marked[i]] += n
                 for name in {x for e in _contexts(r.names, framed) for x in e}:
-                    (main if marked[i] else other)[name] += n
-    base = math.log((words[0] + 0.5) / (words[1] + 0.5))
-    name = {x: math.log((main[x] + 0.5) / (other[x] + 0.5)) - base for x in {*main, *other}}
+                    (main if marked[i] else other)[name] += 1
+    name = {x: math.log((main[x] + 0.1) / (other[x] + 0.1)) for x in {*main, *other}}
     n_main, n_other = sum(tags_main.values()) + 1, sum(tags_other.values()) + 1
     tag = {x: -min(4.0, max(0.2, math.log((tags_other[x] + 0.5) / n_other / ((tags_main[x] + 0.5) / n_main)) + 0.5))
            for x in {*tags_main, *tags_other}}
     return Weights(0.5, -1.0, tag, -0.5, name)
 
 
-_NEUTRAL = frozenset(("html", "body"))
-
-
-def _element_score(names: list[str], w: Weights) -> float:
-    """The sum of the known names' log ratios; a name unseen inside an article counts as outside."""
-    total = 0.0
-    for x in names:
-        bare = x[3:] if x.startswith("in ") else x
-        if bare not in _NEUTRAL:
-            total += w.name.get(x, w.name.get(bare, 0.0))
-    return total
+def _name_weight(name: str, w: Weights) -> float:
+    """A name's log ratio; an unknown compound has that of its worst part, other names have 0."""
+    if name in w.name:
+        return w.name[name]
+    if name.startswith("in "):
+        return w.name.get(name[3:], 0.0)
+    if "-" in name:
+        return min(w.name.get(f".{x}", 0.0) for x in name[1:].split("-"))
+    return 0.0
 
 
 def _noisy(names, framed: bool, w: Weights, memo: dict) -> bool:
-    """Whether some open element is boilerplate. A main element, and an article outside main,
-    clear what class names of outer elements said; tags such as nav or footer stand."""
+    """Whether some open element is boilerplate. A main element, and an article that is not
+    itself boilerplate, clear what class names of outer elements said; section tags stand."""
     key = (names, framed)
     if key not in memo:
-        bad = False
-        for element, full in zip(_contexts(names, framed), [*names, None]):
-            tag = full[0] if full else ""
-            own = _element_score(element, w) < BOILERPLATE
-            if tag in CONTAINER and not own and bad == "class":
-                bad = False
-            elif own and bad != "tag":
-                bad = "tag" if _element_score(element[:1], w) < BOILERPLATE else "class"
+        bad = ""
+        for element, full in zip(_contexts(names, framed), [*names, ("",)]):
+            low = [x for x in element if _name_weight(x, w) < BOILERPLATE]
+            if full[0] in CONTAINER and not low and bad == "class":
+                bad = ""
+            elif low and bad != "tag":
+                bad = "class" if low[0].startswith(".") else "tag"
         memo[key] = bool(bad)
     return memo[key]
 
 
+def _framed(runs: list[_Run], w: Weights, memo: dict) -> bool:
+    """Whether the page has an article or main that is not boilerplate itself."""
+    return any(r.kind == "text" and not r.hard and any(e[0] in CONTAINER for e in r.names) and r.value.strip()
+               and not _noisy(r.names, False, w, memo) for r in runs)
+
+
 def main_text(page: str | None, w: Weights) -> str:
     """The page's main text: blocks in page order, one per line (empty if there is none)."""
     if not page:
         return ""
     runs, parents = read_page(page)
-    framed, memo = _framed(runs), {}
+    memo: dict = {}
+    framed = _framed(runs, w, memo)
     noisy = [r.hard or _noisy(r.names, framed, w, memo) for r in runs]
     best, total, first, last, start = 0.0, 0.0, 0, -1, 0
     for i, r in enumerate(runs):
