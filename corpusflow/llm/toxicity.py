@@ -139,7 +139,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     picked = []
     for y in (0, 1):
-        picked += known.filter(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(rows_per_label).collect()
+        # hashes below this bound hold about twice as many rows as are wanted: every partition
+        # sends the driver a few candidates, not rows_per_label of them
+        share = min(1.0, 2.0 * rows_per_label / max(n.get(y, 0), 1) + 1000.0 / max(n.get(y, 0), 1))
+        near = F.shiftrightunsigned(F.xxhash64("id"), 33) <= int(share * (1 << 31))
+        picked += known.filter((F.col("y") == y) & near).orderBy(
+            F.shiftrightunsigned(F.xxhash64("id"), 33), "id").limit(rows_per_label).collect()
     sample = docs.sparkSession.createDataFrame([(r["id"], int(r["y"])) for r in picked], "id long, y int")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # at most 2 * rows_per_label ids: a proven bound
