@@ -25,6 +25,7 @@ SENTENCE_BREAK_RE = r"(?<=[.!?])" + PY_WS + "+"
 PREVIEW_LENGTH = 280
 CHUNK_MAX_CHARS = 700
 CHUNK_MAX_COUNT = 8
+NO_LIMIT = 2**31 - 1
 ELLIPSIS = "…"
 EXCERPT_LENGTH = 240
 
@@ -91,9 +92,11 @@ def sentence_split(col) -> Column:
     return F.split(_c(col), SENTENCE_BREAK_RE, -1)
 
 
-def sentence_chunks(col, max_chars: int = CHUNK_MAX_CHARS, max_chunks: int = CHUNK_MAX_COUNT) -> Column:
+def sentence_chunks(col, max_chars: int = CHUNK_MAX_CHARS, max_chunks: int | None = CHUNK_MAX_COUNT) -> Column:
     """Greedy packing of sentences into at most ``max_chunks`` chunks of about
-    ``max_chars``; a single long sentence is never split; overflow is dropped."""
+    ``max_chars``; a single long sentence is never split; overflow is dropped. With
+    ``max_chunks=None`` there is no limit and nothing is dropped."""
+    max_chunks = NO_LIMIT if max_chunks is None else max_chunks
     # The split consumes whole whitespace runs, so only the text's own edges can carry
     # whitespace: stripping the text once equals stripping every sentence.
     sents = F.filter(sentence_split(py_strip(F.coalesce(_c(col), F.lit("")))), lambda s: s != "")
@@ -118,11 +121,12 @@ def sentence_chunks(col, max_chars: int = CHUNK_MAX_CHARS, max_chunks: int = CHU
     return F.aggregate(sents, init, merge, finish)
 
 
-def embedding_text(title, content_clean) -> Column:
-    """Clean title, then a blank line and the chunks one per line; title alone if no chunks."""
+def embedding_text(title, content_clean, max_chunks: int | None = None) -> Column:
+    """Clean title, then a blank line and the chunks one per line; title alone if no chunks.
+    The whole content goes in unless ``max_chunks`` limits it."""
     # strip_html output has no edge whitespace, so with no chunks this strips back to the title
     t = strip_html(title)
-    return py_strip(F.concat(t, F.lit("\n\n"), F.array_join(sentence_chunks(content_clean), "\n")))
+    return py_strip(F.concat(t, F.lit("\n\n"), F.array_join(sentence_chunks(content_clean, max_chunks=max_chunks), "\n")))
 
 
 def excerpt(col, n: int = EXCERPT_LENGTH) -> Column:

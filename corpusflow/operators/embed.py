@@ -13,13 +13,14 @@ from pyspark.sql import types as T
 from corpusflow.functions.text import _c
 
 DEFAULT_DIM = 64
-MAX_TOKENS = 256  # word pieces at inference time
+MAX_TOKENS = 256  # input limit of a sentence encoder; only where it is asked for
 TOKEN_RE = "[a-z0-9]+"
 
 
-def tokens(text, max_tokens: int = MAX_TOKENS) -> Column:
-    """Lower-cased alphanumeric tokens, truncated to ``max_tokens``."""
-    return F.slice(F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_RE), 0), 1, max_tokens)
+def tokens(text, max_tokens: int | None = None) -> Column:
+    """Lower-cased alphanumeric tokens of the whole text, or its first ``max_tokens``."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN_RE), 0)
+    return found if max_tokens is None else F.slice(found, 1, max_tokens)
 
 
 def token_bucket(tok: Column, dim: int) -> Column:
@@ -31,7 +32,7 @@ def token_sign(tok: Column) -> Column:
     return F.when(F.conv(F.substring(F.md5(tok), 9, 1), 16, 10).cast("int") % 2 == 0, F.lit(1.0)).otherwise(F.lit(-1.0))
 
 
-def token_codes(text, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> Column:
+def token_codes(text, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
     """Per token ``2 * bucket + (1 if the sign is negative)``, hashed on the JVM."""
     return F.transform(
         tokens(text, max_tokens),
@@ -56,7 +57,7 @@ def _scatter_udf(dim: int):
     return scatter
 
 
-def hashing_vector(text, dim: int = DEFAULT_DIM, max_tokens: int = MAX_TOKENS) -> Column:
+def hashing_vector(text, dim: int = DEFAULT_DIM, max_tokens: int | None = None) -> Column:
     """Signed feature hashing of the tokens into ``dim`` buckets, L2-normalised.
 
     Tokens are extracted and hashed on the JVM; the scatter-add and normalisation run as

@@ -37,7 +37,7 @@ def existing_articles(spark, sf_dir, batch: DataFrame | None = None) -> DataFram
     already-materialised ``batch`` to derive it without cleaning the entries again."""
     d = (batch if batch is not None else deduped(spark, sf_dir)).filter(F.col("entry_pos") % 2 == 0)
     v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    d = d.join(v, v.vec_id == d.entry_pos % 500)
+    d = d.join(v, v.vec_id == d.entry_pos % FX.row_count(spark, sf_dir, "embeddings"))
     pos = F.col("entry_pos")
     created = F.to_timestamp(F.lit(EXISTING_CREATED))
     return (d.select(
@@ -99,7 +99,7 @@ select d.entry_pos as id, d.source,
        case when d.entry_pos % 4 = 0 then d.title || ' (old)' else d.title end as title,
        d.link as url, d.content_clean as content, d.content_preview, d.published_at, v.embedding,
        TIMESTAMP '{EXISTING_CREATED}' as created_at, TIMESTAMP '{EXISTING_CREATED}' as updated_at
-from entries_dedup d join embeddings v on v.vec_id = d.entry_pos % 500
+from entries_dedup d cross join (select count(*) as n from embeddings) nv join embeddings v on v.vec_id = d.entry_pos % nv.n
 where d.entry_pos % 2 = 0""")
 
 cte("upsert_m", """
@@ -144,7 +144,7 @@ select {key} as k, b as dim, cast(cast(w / sqrt(sum(w * w) over (partition by {k
   select {key}, b, sum(s) as w from (
     select {key}, ((('0x' || substr(md5(tok), 1, 8))::bigint) % {dim})::int as b,
            case when (('0x' || substr(md5(tok), 9, 1))::int) % 2 = 0 then 1.0 else -1.0 end as s
-    from (select {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+')[1:256]) as tok from {rel}))
+    from (select {key}, unnest(regexp_extract_all(lower(coalesce({text}, '')), '[a-z0-9]+')) as tok from {rel}))
   group by all)"""
 
 

@@ -18,7 +18,6 @@ from corpusflow.sources.tables import table
 
 TOPK_SUBJECT = 7
 K = 5
-POOL_VOCAB = 500   # token -> row of the embeddings table
 
 
 def _r6(c):
@@ -140,7 +139,7 @@ cte("article_emb", sql_hash_weights("article_etext", "id", "etext"))
 
 @query("embed_articles", sql=with_ctes("select k as id, dim, round(weight, 6) + 0.0 as weight from article_emb where weight <> 0"))
 def q_embed_articles(spark, sf_dir):
-    """Hashing embedding of every article's embedding text (256 tokens max)."""
+    """Hashing embedding of every article's embedding text (the whole text)."""
     a = FX.articles(spark, sf_dir).select("id", hashing_vector(embedding_text(F.col("title"), F.col("content"))).alias("v"))
     # posexplode_outer: no inferred size(v) > 0 filter re-running the UDFs below the join
     e = a.select("id", F.posexplode_outer("v").alias("dim", "weight")).filter(F.col("weight") != 0)
@@ -149,20 +148,22 @@ def q_embed_articles(spark, sf_dir):
 
 @query("mean_pool", sql=f"""
 with t as (
-  select doc_id, ((('0x' || substr(md5(tok), 1, 8))::bigint) % {POOL_VOCAB})::bigint as vec_id
-  from (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')[1:{MAX_TOKENS}]) as tok from documents))
-select doc_id, dim, round(sum(x) / greatest(count(*), 1e-9), 6) + 0.0 as value from (
-  select t.doc_id, d - 1 as dim, x from t join (
+  select doc_id, ((('0x' || substr(md5(tok), 1, 8))::bigint) % (select count(*) from embeddings))::bigint as vec_id,
+         case when pos <= {MAX_TOKENS} then 1.0 else 0.0 end as m
+  from (select doc_id, unnest(ts) as tok, unnest(range(1, len(ts) + 1)) as pos
+        from (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as ts from documents)))
+select doc_id, dim, round(sum(x * m) / greatest(sum(m), 1e-9), 6) + 0.0 as value from (
+  select t.doc_id, d - 1 as dim, x, m from t join (
     select vec_id, unnest(range(1, len(embedding) + 1)) as d, unnest(cast(embedding as double[])) as x from embeddings) v
   on v.vec_id = t.vec_id)
 group by doc_id, dim""")
 def q_mean_pool(spark, sf_dir):
     """Masked mean pooling of token vectors into one vector per document. Every
-    token of the whole text is read; the attention mask keeps the first 256 (the model's
-    input limit), so a document's token list is bounded by that limit."""
+    token of the whole text is read; the attention mask is 1 on the first 256 (the model's
+    input limit) and 0 on the others, whose vectors weigh nothing."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    toks = docs.select("doc_id", F.posexplode(tokens(F.col("text"), MAX_TOKENS)).alias("pos", "tok"))
-    toks = toks.select("doc_id", token_bucket(F.col("tok"), POOL_VOCAB).cast("long").alias("vec_id"),
+    toks = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
+    toks = toks.select("doc_id", token_bucket(F.col("tok"), FX.row_count(spark, sf_dir, "embeddings")).cast("long").alias("vec_id"),
                        F.when(F.col("pos") < MAX_TOKENS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
     v = _vectors(spark, sf_dir)
     # repeated tokens add the same vector: weight each distinct vector by its masked count

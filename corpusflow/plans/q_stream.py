@@ -68,7 +68,8 @@ def q_stream_ingest(spark, sf_dir):
 
 
 @query("stream_dedupe", sql=with_ctes(f"""
-select entry_pos, guid, md5(concat_ws('|', title, link, content_clean, {sql_ts('published_at')})) as content_hash
+select entry_pos, guid, md5(list_aggregate(list_transform([source, title, link, content_clean, content_preview,
+         case when published_ok then {sql_ts('published_at')} else '' end], lambda x: length(x) || ':' || x), 'string_agg', '')) as content_hash
 from entries_valid"""))
 def q_stream_dedupe(spark, sf_dir):
     """Every entry delivered twice; identical re-deliveries are dropped in the stream."""

@@ -54,12 +54,12 @@ def q_sentence_chunks(spark, sf_dir):
 
 
 @query("embedding_text", sql=f"""
-select page_id, {S.embedding_text("regexp_extract(html, '<title>([^<]*)</title>', 1)", 'c')} as embedding_text
+select page_id, {S.embedding_text("regexp_extract(html, '<title>([^<]*)</title>', 1)", 'c', 8)} as embedding_text
 from (select page_id, html, {S.strip_html('html')} as c from pages)""")
 def q_embedding_text(spark, sf_dir):
     """Clean title, blank line, chunks one per line."""
     df = _clean_pages(spark, sf_dir)
-    return df.select("page_id", X.embedding_text(F.regexp_extract("html", TITLE_RE, 1), F.col("clean")).alias("embedding_text"))
+    return df.select("page_id", X.embedding_text(F.regexp_extract("html", TITLE_RE, 1), F.col("clean"), X.CHUNK_MAX_COUNT).alias("embedding_text"))
 
 
 @query("published_parse", sql=with_ctes(f"""

@@ -123,7 +123,8 @@ select d.doc_id as id, d.source as source, 'guid-' || cast(d.doc_id as varchar)
        d.text as content, {S.make_preview("d.text")} as content_preview,
        e.ts as published_at, v.embedding as embedding,
        {INGEST_TS} as created_at, {INGEST_TS} as updated_at
-from documents d join events e on e.event_id = d.doc_id join embeddings v on v.vec_id = d.doc_id % 500""")
+from documents d cross join (select count(*) as n from embeddings) nv join events e on e.event_id = d.doc_id
+     join embeddings v on v.vec_id = d.doc_id % nv.n""")
 
 cte("comments", f"""
 select conv_id * 100 + turn as id, conv_id as article_id,
@@ -134,7 +135,8 @@ from conversations""")
 cte("comment_requests", """
 select conv_id * 100 + turn as request_id, conv_id * 13 + turn as article_id,
        case when role = 'system' then '' when role = 'user' then null else role || '-' || cast(conv_id as varchar) end as author_name,
-       case when turn % 5 = 4 then '   ' else ' ' || text || ' ' end as body
+       case when turn % 5 = 4 and conv_id % 2 = 0 then '   ' when turn % 5 = 4 then chr(10) || chr(9) || chr(160) || ' '
+            when conv_id % 3 = 1 then chr(9) || chr(160) || text || chr(13) || chr(10) else ' ' || text || ' ' end as body
 from conversations""")
 
 cte("request_log", """
@@ -147,6 +149,7 @@ from events""")
 cte("training_pairs", """
 select 'conv' || cast(q.conv_id % 3 as varchar) as dataset, q.conv_id * 1000 + q.turn as pair_id,
        case when q.conv_id % 3 = 2 then [q.text, a.text, b.text] else [q.text, a.text] end as texts
-from conversations q join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
-     left join benchmark b on b.item_id = q.conv_id % 40
+from conversations q cross join (select count(*) as n from benchmark) nb
+     join conversations a on a.conv_id = q.conv_id and a.turn = q.turn + 1
+     left join benchmark b on b.item_id = q.conv_id % nb.n
 where q.role = 'user' and a.role = 'assistant'""")

@@ -57,5 +57,5 @@ def sentence_chunks(x: str, max_chars: int = 700, max_chunks: int = 8) -> str:
     return f"(select case when r.u <> '' and len(r.o) < {max_chunks} then list_append(r.o, r.u) else r.o end from (select unnest([{red}]) as r))"
 
 
-def embedding_text(title: str, content_clean: str) -> str:
-    return py_strip(f"{strip_html(title)} || chr(10) || chr(10) || array_to_string({sentence_chunks(content_clean)}, chr(10))")
+def embedding_text(title: str, content_clean: str, max_chunks: int = 2**31 - 1) -> str:
+    return py_strip(f"{strip_html(title)} || chr(10) || chr(10) || array_to_string({sentence_chunks(content_clean, max_chunks=max_chunks)}, chr(10))")

@@ -20,6 +20,11 @@ FEED_BASE = "https://feeds.example.invalid/"
 ARTICLE_BASE = "https://example.invalid/"
 
 
+def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:
+    """Rows of a table whose keys run from 0 (from the Parquet footers)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").count()
+
+
 def ingest_ts() -> Column:
     return F.to_timestamp(F.lit(INGEST_TS))
 
@@ -70,7 +75,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
     e = table(spark, sf_dir, "events", "event_id", "ts")
     v = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
-    j = d.join(e, d.doc_id == e.event_id).join(v, v.vec_id == d.doc_id % 500)
+    j = d.join(e, d.doc_id == e.event_id).join(v, v.vec_id == d.doc_id % row_count(spark, sf_dir, "embeddings"))
     return j.select(
         F.col("doc_id").alias("id"),
         F.col("source"),
@@ -108,7 +113,8 @@ def comment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("role") == "user", F.lit(None))
         .otherwise(F.concat(F.col("role"), F.lit("-"), F.col("conv_id").cast("string")))
         .alias("author_name"),
-        F.when(F.col("turn") % 5 == 4, F.lit("   "))
+        F.when(F.col("turn") % 5 == 4, F.when(F.col("conv_id") % 2 == 0, F.lit("   ")).otherwise(F.lit("\n\t\u00a0 ")))
+        .when(F.col("conv_id") % 3 == 1, F.concat(F.lit("\t\u00a0"), F.col("text"), F.lit("\r\n")))
         .otherwise(F.concat(F.lit(" "), F.col("text"), F.lit(" ")))
         .alias("body"),
     )
@@ -144,7 +150,7 @@ def training_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("q.text").alias("anchor"),
         F.col("a.text").alias("positive"),
     )
-    qa = qa.join(b, b.item_id == qa.conv_id % 40, "left")
+    qa = qa.join(b, b.item_id == qa.conv_id % row_count(spark, sf_dir, "benchmark"), "left")
     ds = F.concat(F.lit("conv"), (F.col("conv_id") % 3).cast("string"))
     return qa.select(
         ds.alias("dataset"),
