@@ -2,14 +2,15 @@
 
 Layout under ``root``::
 
-    data/v<N>/part=<K>/*.parquet   rows with id in [K * part_rows, (K + 1) * part_rows)
-    _manifests/v<N>.json           {"version": N, "batch": ..., "parts": {"K": N_k}}
-    _CURRENT                       the current version number
-
-A commit rewrites only the id-range parts that hold changed rows and writes a new
-manifest that points untouched parts at their older version, then switches ``_CURRENT``
-(write to a temporary name, then rename). Readers resolve the pointer once, so a reader
-never sees a half-written version, and a path being read is never overwritten.
+    data/v<N>-<random>/part=<K>/*.parquet   rows with id in [K * part_rows, (K + 1) * part_rows)
+    _manifests/v<N>.json                    {"version": N, "batches": {...}, "parts": {"K": "v<N>-<random>"}}
+
+A commit rewrites only the id-range parts that hold changed rows, into a new data folder,
+and then creates the next manifest, which points untouched parts at their older folders.
+Manifests and data folders are created once and never overwritten or removed. The current
+version is the highest manifest that can be read, so a reader always finds a complete one;
+a manifest that a lost writer left half-written is passed over. Creating a manifest that
+exists fails: of two writers one gets a conflict error and the other's rows stay.
 New ids are appended at the top of the range, and updates in a feed mostly hit recent
 articles, so a batch touches few parts even when the table is very large.
 """
@@ -17,6 +18,8 @@ articles, so a batch touches few parts even when the table is very large.
 from __future__ import annotations
 
 import json
+import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ ARTICLE_SCHEMA = (
 )
 
 
+class CommitConflict(RuntimeError):
+    """Another writer committed first; plan the changes again on the new version."""
+
+
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str, part_rows: int = 1_000_000, files_per_part: int = 16):
         self.spark = spark
@@ -42,15 +49,14 @@ class SnapshotStore:
         self._fs = self._Path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
     # ------------------------------------------------------------- small metadata files
-    def _write_text(self, path: str, text: str) -> None:
-        tmp = self._Path(path + ".tmp")
-        out = self._fs.create(tmp, True)
+    def _create_text(self, path: str, text: str) -> None:
+        """Create a file that must not exist yet."""
+        try:
+            out = self._fs.create(self._Path(path), False)
+        except Exception as e:
+            raise CommitConflict(f"{path} exists: another writer committed this version") from e
         out.write(bytearray(text.encode("utf-8")))
         out.close()
-        dst = self._Path(path)
-        if self._fs.exists(dst):
-            self._fs.delete(dst, False)
-        self._fs.rename(tmp, dst)
 
     def _read_text(self, path: str) -> str | None:
         p = self._Path(path)
@@ -67,15 +73,25 @@ class SnapshotStore:
         reader.close()
         return "\n".join(lines)
 
+    def _numbers(self) -> list[int]:
+        """Numbers of all manifests, the highest first."""
+        folder = self._Path(f"{self.root}/_manifests")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return sorted((int(m[1]) for n in names if (m := re.fullmatch(r"v(\d+)\.json", n))), reverse=True)
+
     def current_version(self) -> int:
-        t = self._read_text(f"{self.root}/_CURRENT")
-        return int(t) if t else 0
+        return self.manifest()["version"]
 
     def manifest(self, version: int | None = None) -> dict:
-        v = self.current_version() if version is None else version
-        if v == 0:
-            return {"version": 0, "batch": None, "parts": {}, "max_id": 0}
-        return json.loads(self._read_text(f"{self.root}/_manifests/v{v}.json"))
+        for v in self._numbers() if version is None else [version] * (version > 0):
+            try:
+                return json.loads(self._read_text(f"{self.root}/_manifests/v{v}.json") or "")
+            except ValueError:
+                if version is not None:
+                    raise
+        return {"version": 0, "batches": {}, "parts": {}, "max_id": 0}
 
     # ------------------------------------------------------------- reads and commits
     def max_id(self) -> int:
@@ -84,7 +100,7 @@ class SnapshotStore:
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
-        paths = [f"{self.root}/data/v{ver}/part={k}" for k, ver in sorted(m["parts"].items(), key=lambda kv: int(kv[0]))]
+        paths = [f"{self.root}/data/{d}/part={k}" for k, d in sorted(m["parts"].items(), key=lambda kv: int(kv[0]))]
         if not paths:
             return self.spark.createDataFrame([], ARTICLE_SCHEMA)
         return self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths).select(*ARTICLE_COLUMNS)
@@ -92,36 +108,44 @@ class SnapshotStore:
     def part_of(self, id_col="id"):
         return F.floor(F.col(id_col) / F.lit(self.part_rows)).cast("long")
 
-    def commit(self, changes: DataFrame, batch: str | None = None) -> int:
+    def commit(self, changes: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Apply changed rows (inserted and updated articles, full rows keyed by id).
 
-        Returns the new version, or the current one when there is nothing to write or when
-        ``batch`` was already committed (a replayed stream batch).
+        ``batch`` is (id of the streaming query, number of its batch); the manifest keeps the
+        highest number committed by each query. Returns the new version, or the current one
+        when there is nothing to write or the query's batch was committed before (a replay).
+        Raises ``CommitConflict`` if another writer commits the same version first.
         """
         m = self.manifest()
-        if batch is not None and m.get("batch") == batch:
+        if batch is not None and batch[1] <= m["batches"].get(batch[0], -1):
             return m["version"]
         changes = changes.select(*ARTICLE_COLUMNS).withColumn("part", self.part_of())
         # the touched part numbers: at most (table size / part_rows) small integers
         touched = sorted(r[0] for r in changes.select("part").distinct().collect())
         if not touched:
             return m["version"]
-        new_v = m["version"] + 1
-        old_paths = [f"{self.root}/data/v{m['parts'][str(k)]}/part={k}" for k in touched if str(k) in m["parts"]]
+        # past every manifest that was begun, also one that a lost writer left unreadable
+        new_v = max([0, *self._numbers()]) + 1
+        folder = f"v{new_v}-{uuid.uuid4().hex[:12]}"
+        old_paths = [f"{self.root}/data/{m['parts'][str(k)]}/part={k}" for k in touched if str(k) in m["parts"]]
         rewrite = changes
         if old_paths:
             old = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*old_paths).withColumn("part", self.part_of())
             kept = old.join(broadcast_if_small(changes.select("id")), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
             rewrite = kept.unionByName(changes)
         salt = F.pmod(F.xxhash64("id"), F.lit(self.files_per_part))
-        rewrite.repartition(F.col("part"), salt).write.mode("overwrite").partitionBy("part").parquet(
-            f"{self.root}/data/v{new_v}")
+        rewrite.repartition(F.col("part"), salt).write.partitionBy("part").parquet(
+            f"{self.root}/data/{folder}")
         parts = dict(m["parts"])
         for k in touched:
-            parts[str(k)] = new_v
+            parts[str(k)] = folder
         new_max = changes.agg(F.max("id")).first()[0]
         max_id = max(int(m.get("max_id") or 0), int(new_max or 0))
-        self._write_text(f"{self.root}/_manifests/v{new_v}.json",
-                         json.dumps({"version": new_v, "batch": batch, "parts": parts, "max_id": max_id}, sort_keys=True))
-        self._write_text(f"{self.root}/_CURRENT", str(new_v))
+        batches = dict(m["batches"])
+        if batch is not None:
+            batches[batch[0]] = batch[1]
+        if self.manifest()["version"] != m["version"]:
+            raise CommitConflict(f"version {m['version']} is no longer the current one")
+        self._create_text(f"{self.root}/_manifests/v{new_v}.json", json.dumps(
+            {"version": new_v, "batches": batches, "parts": parts, "max_id": max_id}, sort_keys=True))
         return new_v

@@ -2,11 +2,13 @@
 
 Landed feed-entry files are read as a stream; each micro-batch is normalised,
 de-duplicated and upserted into the snapshot store inside ``foreachBatch``. The commit
-is keyed by the batch id, so a batch replayed after a failure is a no-op.
+is keyed by the query's id and the batch number: a batch replayed after a failure is a
+no-op, and a second query with a checkpoint of its own never looks like a replay.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,7 +38,9 @@ def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int |
 
 
 def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embedder: Embedder | None = None,
-                    strict_rfc: bool = False, query_name: str = "ingest") -> Callable[[DataFrame, int], None]:
+                    strict_rfc: bool = False, query_id: Callable[[], str] = lambda: "ingest") -> Callable[[DataFrame, int], None]:
+    """``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint."""
+
     def run(batch: DataFrame, batch_id: int) -> None:
         norm = E.normalize_entries(batch, ingest_ts(), strict_rfc)
         # cleaned once: matching reads the entries' keys and rows several times
@@ -44,18 +48,23 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
         existing = store.read()
         _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id())
         # an empty change set writes nothing (the reference skips the commit too)
-        store.commit(changes, batch=f"{query_name}:{batch_id}")
+        store.commit(changes, batch=(query_id(), batch_id))
 
     return run
 
 
+def checkpoint_id(store: SnapshotStore, checkpoint: str) -> str:
+    """The id that Spark gave the query when it created this checkpoint."""
+    return json.loads(store._read_text(f"{checkpoint.rstrip('/')}/metadata"))["id"]
+
+
 def run_ingest_stream(spark: SparkSession, landing: str, store: SnapshotStore, checkpoint: str,
                       ingest_ts: Callable[[], Column], embedder: Embedder | None = None, strict_rfc: bool = False,
                       max_files_per_trigger: int | None = None, processing_time: str | None = None):
     """Start the ingest stream. By default it processes what has landed and stops
     (``availableNow``); pass ``processing_time='30 minutes'`` for a standing query."""
     w = entry_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(
-        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc)
+        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc, lambda: checkpoint_id(store, checkpoint))
     ).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()
@@ -71,7 +80,11 @@ def dedupe_stream(stream: DataFrame, ingest_ts: Column, watermark: str = "1 day"
     discarded as late. State is kept for ``watermark`` of landing time.
     """
     norm = E.valid_entries(E.normalize_entries(stream, ingest_ts, strict_rfc, keep=(time_col,)))
-    h = F.md5(F.concat_ws("|", "title", "link", "content_clean", F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")))
+    # the time as published: an unparsable date must not hash the run's own time
+    published = F.when(F.col("published_ok"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).otherwise("")
+    fields = [F.col(c) for c in ("source", "title", "link", "content_clean", "content_preview")] + [published]
+    # each field with its length in front, so that no two rows share a joined form
+    h = F.md5(F.concat(*[F.concat(F.char_length(f).cast("string"), F.lit(":"), f) for f in fields]))
     return norm.withColumn("content_hash", h).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(
         ["guid", "content_hash"]
     )

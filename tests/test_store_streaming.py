@@ -13,7 +13,7 @@ def test_commit_rewrites_only_touched_parts(spark, scratch):
     store = SnapshotStore(spark, f"{scratch}/s", part_rows=10)
     ent = deduped(spark, SF_SMALL)
     _, changes = U.plan_upsert(store.read(), ent, FX.ingest_ts())
-    v1 = store.commit(changes, batch="b1")
+    v1 = store.commit(changes, batch=("q", 0))
     n = store.read().count()
     assert n == ent.count()
     parts_v1 = store.manifest()["parts"]
@@ -21,14 +21,14 @@ def test_commit_rewrites_only_touched_parts(spark, scratch):
     # change one title: only its part gets a new version
     one = ent.orderBy("entry_pos").limit(1).withColumn("title", F.lit("changed"))
     _, ch2 = U.plan_upsert(store.read(), one, FX.ingest_ts())
-    v2 = store.commit(ch2, batch="b2")
+    v2 = store.commit(ch2, batch=("q", 1))
     parts_v2 = store.manifest()["parts"]
     moved = [k for k in parts_v2 if parts_v2[k] != parts_v1[k]]
     assert v2 == v1 + 1 and len(moved) == 1
     assert store.read().count() == n
     assert store.read().filter(F.col("title") == "changed").count() == 1
     # a replayed batch id is a no-op
-    assert store.commit(ch2, batch="b2") == v2
+    assert store.commit(ch2, batch=("q", 1)) == v2
 
 
 def test_stream_equals_batch_and_is_idempotent(spark, scratch):
@@ -103,3 +103,40 @@ def test_old_dated_entry_in_a_later_batch_is_not_dropped(spark, scratch):
     q.awaitTermination()
     got = sorted(r.guid for r in spark.read.parquet(f"{scratch}/out").collect())
     assert got == ["new", "old"]  # the re-delivered 'new' is dropped, the old-dated 'old' is kept
+
+
+def test_two_checkpoints_feed_one_store(spark, scratch):
+    raw = FX.raw_entries(spark, SF_SMALL)
+    store = SnapshotStore(spark, f"{scratch}/store", part_rows=8)
+    for n, keep in enumerate(("feed_pos = 0", "feed_pos <> 0")):
+        raw.filter(keep).coalesce(1).write.parquet(f"{scratch}/landing{n}")
+        run_ingest_stream(spark, f"{scratch}/landing{n}", store, f"{scratch}/ckpt{n}", FX.ingest_ts).awaitTermination()
+    valid = E.dedupe_entries(E.valid_entries(E.normalize_entries(raw, FX.ingest_ts())))
+    urls = {r.url for r in store.read().select("url").collect()}
+    assert urls >= {r.link for r in valid.filter("feed_pos <> 0").select("link").collect()}
+    assert len(store.manifest()["batches"]) == 2
+
+
+def test_store_never_reads_as_empty_nor_overwrites(spark, scratch):
+    import os
+
+    import pytest
+
+    from corpusflow.sources.store import CommitConflict
+
+    ent = deduped(spark, SF_SMALL)
+    a, b = (SnapshotStore(spark, f"{scratch}/s", part_rows=1000) for _ in range(2))
+    _, changes = U.plan_upsert(a.read(), ent, FX.ingest_ts())
+    a.commit(changes)
+    n = a.read().count()
+    # a writer that was lost while it wrote its manifest: readers keep the last whole one
+    open(f"{scratch}/s/_manifests/v2.json", "w").close()
+    assert b.current_version() == 1 and b.read().count() == n
+    folders = set(os.listdir(f"{scratch}/s/data"))
+    one = ent.orderBy("entry_pos").limit(1).withColumn("title", F.lit("changed"))
+    _, more = U.plan_upsert(b.read(), one, FX.ingest_ts())
+    assert b.commit(more) == 3 and folders < set(os.listdir(f"{scratch}/s/data"))
+    # two writers for the same version: the second fails, the first one's rows stay
+    with pytest.raises(CommitConflict):
+        a._create_text(f"{scratch}/s/_manifests/v3.json", "{}")
+    assert a.current_version() == 3 and a.read().filter("title = 'changed'").count() == 1
