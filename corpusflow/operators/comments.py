@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusflow.functions.text import py_strip
 from corpusflow.operators.articles import AUTHOR_MAX
 from corpusflow.operators.ids import assign_ids
 from corpusflow.operators.joins import broadcast_if_small
@@ -17,7 +18,7 @@ def validate(requests: DataFrame) -> DataFrame:
     Adds ``reject_reason`` (NULL when valid). Both of the reference's input paths are
     folded into one rule: a blank body is rejected rather than stored as ''.
     """
-    body = F.trim(F.col("body"))
+    body = py_strip(F.col("body"))
     author = F.nullif(F.col("author_name"), F.lit(""))
     reason = (
         F.when(F.col("body").isNull() | (body == ""), F.lit("body_blank"))

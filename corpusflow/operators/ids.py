@@ -2,31 +2,36 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BUCKETS = 64
+ROWS_PER_RANGE = 100_000   # rows that one running number goes over, about
+MAX_RANGES = 10_000
 
 
-def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: str = "id", buckets: int = ID_BUCKETS,
+def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: str = "id", buckets: int | None = None,
                partition_col: str | None = None, weight: Column | None = None) -> DataFrame:
     """Add ``out = base + rank`` where rank is 1..n in ``order_key`` order (a unique long),
     over the whole frame or within each value of ``partition_col``.
 
-    The key range is split into ``buckets`` equal ranges from exact min / max scalar
-    subqueries; ``row_number`` runs per (partition, range) in many tasks, and each range's
-    offset comes from a count table of at most (partitions x buckets) rows, which is
-    broadcast. ``partition_col`` must have few values (datasets, feeds), not one per row.
+    The keys are split at their approximate quantiles into ranges of about equally many rows
+    (``buckets``, else one per ``ROWS_PER_RANGE`` rows), so neither clustered keys nor an
+    outlier fill one range. ``row_number`` runs per (partition, range) in many tasks, and
+    each range's offset comes from a count table of at most (partitions x ranges) rows,
+    which is broadcast. ``partition_col`` must have few values (datasets, feeds).
     With ``weight`` the result is the running sum of weights (inclusive) instead of the
     row number, e.g. cumulative counts over a frequency table.
     """
     part = [partition_col] if partition_col else []
     base_col = base if isinstance(base, Column) else F.lit(base)
-    k = df.withColumn("_k", order_key)
-    lo = k.select(F.min("_k")).scalar()
-    hi = k.select(F.max("_k")).scalar()
-    width = (hi - lo + F.lit(1)).cast("double") / F.lit(buckets)
-    k = k.withColumn("_b", F.least(F.lit(buckets - 1), F.floor((F.col("_k") - lo).cast("double") / width)).cast("int"))
+    k = df.withColumn("_k", order_key).withColumn("_d", F.col("_k").cast("double"))
+    n = buckets or min(MAX_RANGES, -(-k.count() // ROWS_PER_RANGE))
+    cuts = k.stat.approxQuantile("_d", [i / n for i in range(1, n)], 0.1 / n) if n > 1 else []
+    cuts = sorted(set(cuts))
+    # equal keys as doubles share a range, so the ranges keep the order of the keys
+    ranges = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="_d", outputCol="_b")
+    k = (ranges.transform(k) if cuts else k.withColumn("_b", F.lit(0))).withColumn("_b", F.col("_b").cast("int")).drop("_d")
     # one shuffle on (partition, range): the row numbers and the per-range counts come from
     # the same exchange, so the input is not evaluated a second time for the counts
     wb = Window.partitionBy(*part, "_b")

@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key-only frame (ids, guids, urls) of this many rows stays well under the broadcast limit.
-BROADCAST_MAX_ROWS = 2_000_000
+from corpusflow.session import materialize
 
+# What one executor is asked to hold of a key set, with an allowance per row for the hash table.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+ROW_OVERHEAD = 32
 
-def broadcast_if_small(keys: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``keys`` only when it holds at most ``max_rows`` rows; otherwise return it
-    unchanged so the join shuffles both sides. The check is a bounded count (it stops after
-    ``max_rows + 1`` rows); callers pass narrow, already materialised key frames."""
-    n = keys.limit(max_rows + 1).count()
-    return F.broadcast(keys) if n <= max_rows else keys
+
+def broadcast_if_small(keys: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``keys`` only if its rows take at most ``max_bytes``; else return it unmarked,
+    so that the join shuffles both sides.
+
+    The keys are materialised first: the plan above them runs once, for the check and the
+    join. The check sums sizes per partition and moves one row per partition."""
+    keys = materialize(keys)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in keys.columns), F.lit(ROW_OVERHEAD))
+    size = keys.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]
+    return F.broadcast(keys) if size <= max_bytes else keys

@@ -188,16 +188,24 @@ def inbatch_scores(packed: DataFrame, spec: BatchSpec, dim: int = 64) -> DataFra
     return j.select("batch_id", "draw", "step", "i", "j", (F.lit(spec.scale) * dot("a", "c")).alias("score"))
 
 
+def _lse(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, lse): log(sum(exp(score))) of each group, with its maximum taken out first so
+    that no scale overflows. A group is a row or a column of one step: at most a batch."""
+    g = scores.groupBy(*keys).agg(F.collect_list("score").alias("_s"), F.max("score").alias("_t"))
+    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_t")))
+    return g.select(*keys, (F.col("_t") + F.log(total)).alias("lse"))
+
+
 def inbatch_loss(scores: DataFrame, widths: DataFrame) -> DataFrame:
     """Cross-entropy with the diagonal as label. Pairs: mean of the row-wise and the
     column-wise loss (symmetric); triplets: row-wise only. One row per step."""
     keys = ["batch_id", "draw", "step"]
     diag = scores.filter(F.col("i") == F.col("j")).select(*keys, "i", F.col("score").alias("d"))
-    row_lse = scores.groupBy(*keys, "i").agg(F.log(F.sum(F.exp("score"))).alias("lse"))
+    row_lse = _lse(scores, [*keys, "i"])
     row = row_lse.join(diag, [*keys, "i"]).groupBy(*keys).agg(F.avg(F.col("lse") - F.col("d")).alias("row_loss"))
     n_anchor = scores.groupBy(*keys).agg(F.max("i").alias("_mi"))
     col_scores = scores.join(n_anchor, keys).filter(F.col("j") <= F.col("_mi"))
-    col_lse = col_scores.groupBy(*keys, F.col("j").alias("i")).agg(F.log(F.sum(F.exp("score"))).alias("lse"))
+    col_lse = _lse(col_scores.select(*keys, F.col("j").alias("i"), "score"), [*keys, "i"])
     col = col_lse.join(diag, [*keys, "i"]).groupBy(*keys).agg(F.avg(F.col("lse") - F.col("d")).alias("col_loss"))
     out = row.join(col, keys).join(widths, keys)
     return out.select(*keys, F.when(F.col("width") == 2, (F.col("row_loss") + F.col("col_loss")) / 2).otherwise(

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -64,13 +63,15 @@ def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints, snapshots and stream state.
 
     Read from ``spark.checkpoint.dir`` (the cluster's shared folder) or the context's
-    checkpoint directory. Only when the session has neither (local tests, a bare driver)
-    do we create one and register it with ``setCheckpointDir`` (the config key itself
+    checkpoint directory. A session on a cluster that has neither is an error; on a local
+    master (tests, the smoke driver) a temporary folder is made and registered with ``setCheckpointDir`` (the config key itself
     cannot be changed at runtime).
     """
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not d:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="corpusflow-ckpt-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(d)
@@ -79,10 +80,7 @@ def work_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the shared work folder."""
-    base = work_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, *parts)
+    return "/".join([work_dir(spark), *parts])
 
 
 def materialize(df):
@@ -96,12 +94,17 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+SPREAD_MAX_BYTES = 1 << 30
+
+
 def spread(df, min_partitions: int | None = None, key: str | None = None):
     """Give CPU-heavy per-row work (HTML cleaning, chunking, hashing) at least the
-    session's parallelism. A no-op when the input already has that many partitions, as any
-    large input does; small inputs stored as one row group are spread, by hash of ``key``
-    when given (deterministic on retry without sorting the rows), else round-robin."""
+    session's parallelism. A no-op when the input already has that many partitions or is
+    more than ``SPREAD_MAX_BYTES`` in its files; small inputs stored as one row group are
+    spread, by hash of ``key`` when given (deterministic on retry without sorting the rows),
+    else round-robin."""
     n = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.rdd().getNumPartitions() >= n:
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size > SPREAD_MAX_BYTES or df._jdf.rdd().getNumPartitions() >= n:
         return df
     return df.repartition(n, key) if key and key in df.columns else df.repartition(n)

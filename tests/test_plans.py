@@ -55,11 +55,11 @@ def test_broadcast_only_below_the_bound(spark):
 
     big = spark.range(0, 5000).withColumnRenamed("id", "k")
     keys = spark.range(0, 50).withColumnRenamed("id", "k")
-    small_plan = plan(big.join(broadcast_if_small(keys, max_rows=100), "k", "left_semi"))
+    small_plan = plan(big.join(broadcast_if_small(keys, max_bytes=100_000), "k", "left_semi"))
     assert "BroadcastHashJoin" in small_plan
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        over = plan(big.join(broadcast_if_small(keys, max_rows=10), "k", "left_semi"))
+        over = plan(big.join(broadcast_if_small(keys, max_bytes=100), "k", "left_semi"))
         assert "BroadcastHashJoin" not in over and "SortMergeJoin" in over
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

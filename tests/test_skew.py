@@ -64,3 +64,18 @@ def test_hot_article_detail_rows(spark):
     d = detail_rows(arts, com)
     assert d.count() == 900 + 4  # articles 6..9 have no comments: one row each
     assert d.filter("id = 0").count() == 600 and d.filter("comment_id is null").count() == 4
+
+
+def test_clustered_keys_and_an_outlier_fill_many_ranges(spark):
+    # one hot feed whose positions lie close together, and one far key
+    rows = [(3 * 2**32 + i,) for i in range(3000)] + [(i * 2**32,) for i in range(3)] + [(2**52,)]
+    df = spark.createDataFrame(rows, "k long")
+    out = assign_ids(df, F.col("k"), 100, "r", buckets=16)
+    got = sorted((r.k, r.r) for r in out.collect())
+    assert [r for _, r in got] == list(range(101, 101 + len(rows)))
+    from pyspark.ml.feature import Bucketizer  # the ranges that assign_ids draws
+
+    d = df.withColumn("d", F.col("k").cast("double"))
+    cuts = sorted(set(d.stat.approxQuantile("d", [i / 16 for i in range(1, 16)], 0.1 / 16)))
+    sizes = Bucketizer(splits=[float("-inf"), *cuts, float("inf")], inputCol="d", outputCol="b").transform(d).groupBy("b").count()
+    assert sizes.count() >= 15 and sizes.agg(F.max("count")).first()[0] < 400
