@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import cosine_distance, norm, similarity
 from corpusflow.operators.articles import check_k
+from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.session import materialize
 
 BLOCK_ROWS = 2048
@@ -82,8 +83,8 @@ def blocked_topk(units: DataFrame, k: int, group_col: str | None = None, block_r
         u = units.withColumn("_g", F.col(group_col))
         counts = u.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
         counts = counts.select("_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_nb"))
-        # one row per group, bounded by tables x 2^bits: a proven broadcast bound
-        u = u.join(F.broadcast(counts), "_g")
+        # one row per group: their number grows with the table, so the broadcast is checked
+        u = u.join(broadcast_if_small(counts), "_g")
     u = u.withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
     others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
     # fresh aliases on each side: both sides come from the same frame

@@ -6,6 +6,8 @@ Flow: match (guid first, then url) -> classify (insert / update / unchanged / co
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,24 +26,37 @@ _MATCH_COLS = ("id", "source", "rss_guid", "title", "url", "content", "content_p
 ACTIONS = ("insert", "update", "unchanged", "conflict")
 
 
+Lookup = Callable[[DataFrame], DataFrame]
+
+
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in _MATCH_COLS])
 
 
-def match_existing(entries: DataFrame, existing: DataFrame) -> DataFrame:
+def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None) -> DataFrame:
     """Attach the stored row matched by guid, else by url.
 
-    The stored table is first reduced to candidates with two semi joins on the incoming
-    keys (the big side is filtered, not shuffled, when the key sets are small), then two
-    equi left joins; an ``OR`` join condition would plan as a nested loop.
-    Adds ``ex_*`` columns, ``match_by`` and ``conflict``.
+    One scan of the stored table's three key columns finds the ids that the incoming keys
+    hit (filtered in place, not shuffled, while the key sets are small). Whole rows are read
+    for those ids only: ``lookup`` maps a frame of ids to them, as ``SnapshotStore.rows``
+    does from the touched parts; without it the stored table is semi-joined. Two equi left
+    joins follow; an ``OR`` join condition would plan as a nested loop. Adds ``ex_*``
+    columns, ``match_by`` and ``conflict``.
     """
     # the incoming batch is usually far smaller than the stored table: broadcast its keys
     # (size-checked) so the stored table is filtered in place instead of shuffled
-    guids = broadcast_if_small(entries.select(F.col("guid").alias("_k")))
-    links = broadcast_if_small(entries.select(F.col("link").alias("_k")))
-    by_guid = _prefixed(existing.join(guids, existing.rss_guid == guids._k, "left_semi"), "g_")
-    by_url = _prefixed(existing.join(links, existing.url == links._k, "left_semi"), "u_")
+    keys = materialize(entries.select("guid", "link"))
+    guids = broadcast_if_small(keys.select(F.col("guid").alias("_g")).distinct(), ready=True)
+    links = broadcast_if_small(keys.select(F.col("link").alias("_l")).distinct(), ready=True)
+    slim = existing.select("id", "rss_guid", "url")
+    slim = slim.join(guids, slim.rss_guid == guids._g, "left").join(links, slim.url == links._l, "left")
+    ids = materialize(slim.filter("_g is not null or _l is not null").select("id"))
+    if lookup is None:
+        found = existing.join(broadcast_if_small(ids, ready=True), "id", "left_semi")
+    else:
+        found = lookup(ids)
+    found = materialize(found.select(*_MATCH_COLS))
+    by_guid, by_url = _prefixed(found, "g_"), _prefixed(found, "u_")
     # a url match whose stored guid is also claimed by another incoming entry cannot be applied
     taken = entries.select(F.col("guid").alias("_taken_guid"))
     by_url = by_url.join(taken, by_url.u_rss_guid == taken._taken_guid, "left").withColumn(
@@ -118,22 +133,22 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
 
 
 def classify_batch(existing: DataFrame, entries: DataFrame, strict_rfc: bool = False,
-                   materialize_batch: bool = True) -> DataFrame:
+                   materialize_batch: bool = True, lookup: Lookup | None = None) -> DataFrame:
     """Match and classify a batch; checkpointed because the changes, the untouched-row
     filter and the counters all read it."""
-    classified = classify(match_existing(entries, existing), strict_rfc)
+    classified = classify(match_existing(entries, existing, lookup), strict_rfc)
     return materialize(classified) if materialize_batch else classified
 
 
 def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
                 strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
-                max_id: int | None = None) -> tuple[DataFrame, DataFrame]:
+                max_id: int | None = None, lookup: Lookup | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(classified, changes)``: per-entry actions and the full inserted/updated rows.
 
     The classified batch feeds the changes, the untouched-row filter and the counters, so
     it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
     """
-    classified = classify_batch(existing, entries, strict_rfc, materialize_batch)
+    classified = classify_batch(existing, entries, strict_rfc, materialize_batch, lookup)
     # the highest stored id: from the store's manifest when known, else one pruned scan
     base = F.lit(max_id).cast("long") if max_id is not None else existing.select(
         F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
@@ -145,7 +160,7 @@ def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embe
 
 def apply_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
     """Next snapshot = untouched stored rows + changed rows."""
-    untouched = existing.join(broadcast_if_small(changes.select("id")), "id", "left_anti")
+    untouched = existing.join(broadcast_if_small(changes.select("id"), ready=True), "id", "left_anti")
     return untouched.select(*ARTICLE_COLUMNS).unionByName(changes.select(*ARTICLE_COLUMNS))
 
 

@@ -105,6 +105,16 @@ class SnapshotStore:
             return self.spark.createDataFrame([], ARTICLE_SCHEMA)
         return self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths).select(*ARTICLE_COLUMNS)
 
+    def rows(self, ids: DataFrame) -> DataFrame:
+        """The stored rows with these ids (a materialised frame), from the parts that hold them."""
+        m = self.manifest()
+        touched = [str(r[0]) for r in ids.select(self.part_of().alias("part")).distinct().collect()]
+        paths = [f"{self.root}/data/{m['parts'][k]}/part={k}" for k in sorted(touched) if k in m["parts"]]
+        if not paths:
+            return self.spark.createDataFrame([], ARTICLE_SCHEMA)
+        stored = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths).select(*ARTICLE_COLUMNS)
+        return stored.join(broadcast_if_small(ids.select("id"), ready=True), "id", "left_semi")
+
     def part_of(self, id_col="id"):
         return F.floor(F.col(id_col) / F.lit(self.part_rows)).cast("long")
 
@@ -131,7 +141,7 @@ class SnapshotStore:
         rewrite = changes
         if old_paths:
             old = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*old_paths).withColumn("part", self.part_of())
-            kept = old.join(broadcast_if_small(changes.select("id")), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
+            kept = old.join(broadcast_if_small(changes.select("id"), ready=True), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
             rewrite = kept.unionByName(changes)
         salt = F.pmod(F.xxhash64("id"), F.lit(self.files_per_part))
         rewrite.repartition(F.col("part"), salt).write.partitionBy("part").parquet(

@@ -46,7 +46,8 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
         # cleaned once: matching reads the entries' keys and rows several times
         entries = materialize(E.dedupe_entries(E.valid_entries(norm)))
         existing = store.read()
-        _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id())
+        _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id(),
+                                   lookup=store.rows)
         # an empty change set writes nothing (the reference skips the commit too)
         store.commit(changes, batch=(query_id(), batch_id))
 

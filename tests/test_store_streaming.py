@@ -140,3 +140,30 @@ def test_store_never_reads_as_empty_nor_overwrites(spark, scratch):
     with pytest.raises(CommitConflict):
         a._create_text(f"{scratch}/s/_manifests/v3.json", "{}")
     assert a.current_version() == 3 and a.read().filter("title = 'changed'").count() == 1
+
+
+def test_upsert_reads_keys_of_all_parts_and_rows_of_the_touched_ones(spark, scratch):
+    from corpusflow.operators import upsert as module
+
+    store = SnapshotStore(spark, f"{scratch}/s", part_rows=5)
+    ent = deduped(spark, SF_SMALL)
+    store.commit(U.plan_upsert(store.read(), ent, FX.ingest_ts())[1])
+    assert len(store.manifest()["parts"]) > 3
+    scans, real = [], module.materialize
+
+    def watch(df):
+        scans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df)
+
+    module.materialize = watch
+    try:
+        one = ent.orderBy("entry_pos").limit(1).withColumn("title", F.lit("changed"))
+        classified, _ = U.plan_upsert(store.read(), one, FX.ingest_ts(), max_id=store.max_id(), lookup=store.rows)
+    finally:
+        module.materialize = real
+    assert [r.action for r in classified.collect()] == ["update"]
+    files = [p for p in scans if "FileScan parquet" in p]
+    keys = [p for p in files if "content:string" not in p]
+    rows = [p for p in files if "content:string" in p]
+    assert len(keys) == 1 and "embedding" not in keys[0] and "InMemoryFileIndex(1 paths)" not in keys[0]
+    assert len(rows) == 1 and "InMemoryFileIndex(1 paths)" in rows[0]
