@@ -99,6 +99,9 @@ def weighted_draws(spark: SparkSession, pairs: DataFrame, weights: tuple[tuple[s
     later draws pick among datasets of the same width, which equals the reference's
     redraw-until-same-format loop."""
     widths = arity(pairs).select("dataset", F.col("max_cols").alias("width"))
+    # the manifest as given, less the datasets without rows: their draws go to the others
+    with_rows = {r["dataset"] for r in widths.filter(F.col("dataset").isin([n for n, _ in weights])).select("dataset").collect()}
+    weights = tuple((n, w) for n, w in weights if n in with_rows)
     m = manifest(spark, weights).join(widths, "dataset")
     wpos = Window.partitionBy("width").orderBy("first")
     m = m.withColumn("wfirst", F.coalesce(F.sum("weight").over(wpos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

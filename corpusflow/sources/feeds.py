@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusflow.operators.joins import broadcast_if_small
+
 RSS_SCHEMA = (
     "title string, item array<struct<guid: string, link: string, title: string, description: string, "
     "`content:encoded`: string, pubDate: string>>, _corrupt_record string"
@@ -100,9 +102,10 @@ def feed_documents(spark: SparkSession, rss_path: str | None = None, atom_path:
         docs = docs.unionByName(p)
     if feed_order is not None:
         order = feed_order.select("feed_url", F.col("pos").alias("feed_pos"))
-        return docs.join(F.broadcast(order), "feed_url", "left")
-    # file order: the number of landed files per run is small (one per feed)
-    return docs.withColumn("feed_pos", F.dense_rank().over(Window.orderBy("feed_url")) - 1)
+        return docs.join(broadcast_if_small(order), "feed_url", "left")
+    # file order over the distinct names only: one short row per feed, not the documents
+    names = docs.select("feed_url").distinct().withColumn("feed_pos", F.row_number().over(Window.orderBy("feed_url")) - 1)
+    return docs.join(broadcast_if_small(names), "feed_url", "left")
 
 
 def failed_feeds(docs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
