@@ -307,3 +307,58 @@ def q_feed_xml(spark, sf_dir):
     flat = E.flatten_feeds(read_rss(spark, f"{base}/rss").withColumn("feed_pos", F.lit(0)))
     n = E.normalize_entries(flat, FX.ingest_ts())
     return n.select("source", "guid", "link", "title", "content_clean")
+
+
+CUT_OFF, ABSENT = 5, 6      # of the seven Atom feeds below: one lands cut off, one does not land
+
+
+def _land_atom(spark, sf_dir) -> str:
+    """Atom documents written from the pages table, one per page, below ``feed=<page_id % 7>``."""
+    import uuid
+
+    from corpusflow.session import scratch_path
+
+    base = scratch_path(spark, "runs", f"feed_atom-{uuid.uuid4().hex[:12]}")
+    p = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("feed", F.col("page_id") % 7)
+    guid = F.concat(F.lit("guid-"), F.col("page_id").cast("string"))
+    entry = F.struct(
+        guid.alias("id"),
+        F.array(F.struct(F.lit("https://example.invalid/self").alias("_href"), F.lit("self").alias("_rel")),
+                F.struct(F.col("url").alias("_href"), F.lit("alternate").alias("_rel"))).alias("link"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.col("html").alias("summary"),
+    )
+    whole = p.filter(F.col("feed") < CUT_OFF)
+    whole.select("feed", F.concat(F.lit("Feed "), F.col("feed").cast("string")).alias("title"), F.array(entry).alias("entry")).write.format(
+        "xml").option("rootTag", "feeds").option("rowTag", "feed").partitionBy("feed").save(f"{base}/atom")
+    p.filter(F.col("feed") == CUT_OFF).select(F.concat(F.lit("<feed><title>Cut off</title><entry><id>"), guid).alias("value")).write.text(
+        f"{base}/atom/feed={CUT_OFF}")
+    return f"{base}/atom"
+
+
+def _atom_documents(spark, sf_dir) -> DataFrame:
+    from corpusflow.sources.feeds import feed_documents
+
+    docs = feed_documents(spark, atom_path=f"{_land_atom(spark, sf_dir)}/*")
+    return docs.withColumn("feed_url", F.concat(F.lit(FX.FEED_BASE), F.regexp_extract("feed_url", "feed=([0-9]+)", 1)))
+
+
+@query("feed_atom_read", sql=f"""
+select 'Feed ' || cast(page_id % 7 as varchar) as source, 'guid-' || cast(page_id as varchar) as guid, url as link,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {S.strip_html('html')} as content_clean
+from pages where page_id % 7 < {CUT_OFF}""")
+def q_feed_atom(spark, sf_dir):
+    """Atom files read back, flattened and normalised; the alternate link is the entry's."""
+    n = E.normalize_entries(E.flatten_feeds(_atom_documents(spark, sf_dir)), FX.ingest_ts())
+    return n.select("source", "guid", "link", "title", "content_clean")
+
+
+@query("feed_failures", sql=f"""
+select '{FX.FEED_BASE}' || cast(k as varchar) as feed_url, count(page_id) as n_entries, k >= {CUT_OFF} as failed
+from (select unnest(range(0, 7)) as k) f left join pages p on p.page_id % 7 = k and k < {CUT_OFF} group by k""")
+def q_feed_failures(spark, sf_dir):
+    """A feed whose files are cut off and one that did not land, through the feed reader."""
+    from corpusflow.sources.feeds import failed_feeds as failures
+
+    expected = spark.range(7).select(F.concat(F.lit(FX.FEED_BASE), F.col("id").cast("string")).alias("feed_url"))
+    return failures(_atom_documents(spark, sf_dir), expected).select("feed_url", "n_entries", "failed")
