@@ -45,6 +45,14 @@ cte("stream_emb", sql_hash_weights(f"(select entry_pos, {S.embedding_text('title
                                    "entry_pos", "etext"))
 
 
+def _ingested(spark, sf_dir, name) -> SnapshotStore:
+    base = _run_dir(spark, name)
+    FX.raw_entries(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/landing")
+    store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS, files_per_part=2)
+    SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts).awaitTermination()
+    return store
+
+
 @query("stream_ingest", sql=with_ctes(f"""
 select row_number() over (order by feed_pos, entry_pos) as id, source, guid as rss_guid, title, link as url,
        content_clean as content, content_preview, {sql_ts('published_at', True)} as published_at,
@@ -53,12 +61,7 @@ select row_number() over (order by feed_pos, entry_pos) as id, source, guid as r
 from entries_dedup d"""))
 def q_stream_ingest(spark, sf_dir):
     """Landed entries -> readStream -> foreachBatch upsert into the snapshot store."""
-    base = _run_dir(spark, "stream_ingest")
-    FX.raw_entries(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/landing")
-    store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS, files_per_part=2)
-    q = SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts)
-    q.awaitTermination()
-    snap = store.read()
+    snap = _ingested(spark, sf_dir, "stream_ingest").read()
     return snap.select(
         "id", "source", "rss_guid", "title", "url", "content", "content_preview",
         ts_str("published_at", True).alias("published_at"), ts_str("created_at").alias("created_at"),
@@ -67,6 +70,22 @@ def q_stream_ingest(spark, sf_dir):
     )
 
 
+@query("stream_counters", sql=with_ctes("""
+select (select count(*) from entries_dedup) as ingested, 0 as updated, 0 as unchanged, 0 as conflicts,
+       (select count(*) from entries_norm where reject_reason is not null) as skipped"""))
+def q_stream_counters(spark, sf_dir):
+    """A1 in the stream: counters of all batches of an ingest into an empty store."""
+    runs = _ingested(spark, sf_dir, "stream_counters").runs("counters")
+    return runs.agg(*[F.sum(c).alias(c) for c in ("ingested", "updated", "unchanged", "conflicts", "skipped")])
+
+
+@query("stream_issues", sql=with_ctes("""
+select feed_url, entry_pos, guid, link, reject_reason as reason from entries_norm where reject_reason is not null"""))
+def q_stream_issues(spark, sf_dir):
+    """P5 in the stream: entries that the batches rejected, with the reason."""
+    return _ingested(spark, sf_dir, "stream_issues").runs("issues").select("feed_url", "entry_pos", "guid", "link", "reason")
+
+
 @query("stream_dedupe", sql=with_ctes(f"""
 select entry_pos, guid, md5(list_aggregate(list_transform([source, title, link, content_clean, content_preview,
          case when published_ok then {sql_ts('published_at')} else '' end], lambda x: length(x) || ':' || x), 'string_agg', '')) as content_hash

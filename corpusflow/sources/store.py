@@ -118,6 +118,18 @@ class SnapshotStore:
     def part_of(self, id_col="id"):
         return F.floor(F.col(id_col) / F.lit(self.part_rows)).cast("long")
 
+    def committed(self, batch: tuple[str, int], m: dict | None = None) -> bool:
+        """Whether this batch of a streaming query, or a later one, has been committed."""
+        return batch[1] <= (m or self.manifest())["batches"].get(batch[0], -1)
+
+    def run_log(self, batch: tuple[str, int], name: str) -> str:
+        """The folder of one batch's counters or issues."""
+        return f"{self.root}/_runs/{name}/query={batch[0]}/batch={batch[1]}"
+
+    def runs(self, name: str) -> DataFrame:
+        """Counters or issues of all batches so far, with ``query`` and ``batch``."""
+        return self.spark.read.parquet(f"{self.root}/_runs/{name}")
+
     def commit(self, changes: DataFrame, batch: tuple[str, int] | None = None) -> int:
         """Apply changed rows (inserted and updated articles, full rows keyed by id).
 
@@ -127,7 +139,7 @@ class SnapshotStore:
         Raises ``CommitConflict`` if another writer commits the same version first.
         """
         m = self.manifest()
-        if batch is not None and batch[1] <= m["batches"].get(batch[0], -1):
+        if batch is not None and self.committed(batch, m):
             return m["version"]
         changes = changes.select(*ARTICLE_COLUMNS).withColumn("part", self.part_of())
         # the touched part numbers: at most (table size / part_rows) small integers

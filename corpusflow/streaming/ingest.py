@@ -26,6 +26,9 @@ RAW_ENTRY_SCHEMA = (
 )
 
 
+ISSUE_COLUMNS = ("feed_url", "feed_pos", "entry_pos", "guid", "link")
+
+
 def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None,
                  recursive: bool = False) -> DataFrame:
     """Landed entry files as a stream, with ``_landed_at`` (the file's modification time)."""
@@ -39,17 +42,30 @@ def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int |
 
 def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embedder: Embedder | None = None,
                     strict_rfc: bool = False, query_id: Callable[[], str] = lambda: "ingest") -> Callable[[DataFrame, int], None]:
-    """``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint."""
+    """``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint.
+
+    Every batch also writes its counters and its rejected and conflicting entries below the
+    store (``store.runs("counters")``, ``store.runs("issues")``). They are written before the
+    commit: a batch that is lost in between is planned again and writes them again."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        number = (query_id(), batch_id)
+        if store.committed(number):
+            return
         norm = E.normalize_entries(batch, ingest_ts(), strict_rfc)
         # cleaned once: matching reads the entries' keys and rows several times
         entries = materialize(E.dedupe_entries(E.valid_entries(norm)))
         existing = store.read()
-        _, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id(),
-                                   lookup=store.rows)
+        classified, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id(),
+                                               lookup=store.rows)
+        rejected = materialize(E.rejected_entries(norm).select(*ISSUE_COLUMNS, F.col("reject_reason").alias("reason")))
+        conflicts = classified.filter("action = 'conflict'").select(*ISSUE_COLUMNS, F.lit("conflict").alias("reason"))
+        rejected.unionByName(conflicts).write.mode("overwrite").parquet(store.run_log(number, "issues"))
+        none_failed = batch.sparkSession.createDataFrame([], "feed_url string")
+        counters = U.ingest_metrics(classified, rejected, none_failed).drop("failed_feeds")
+        counters.coalesce(1).write.mode("overwrite").parquet(store.run_log(number, "counters"))
         # an empty change set writes nothing (the reference skips the commit too)
-        store.commit(changes, batch=(query_id(), batch_id))
+        store.commit(changes, batch=number)
 
     return run
 

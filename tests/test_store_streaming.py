@@ -115,6 +115,9 @@ def test_two_checkpoints_feed_one_store(spark, scratch):
     urls = {r.url for r in store.read().select("url").collect()}
     assert urls >= {r.link for r in valid.filter("feed_pos <> 0").select("link").collect()}
     assert len(store.manifest()["batches"]) == 2
+    counters = store.runs("counters").collect()
+    assert len(counters) == 2 and sum(r.ingested for r in counters) == len(urls)
+    assert store.runs("issues").count() == E.rejected_entries(E.normalize_entries(raw, FX.ingest_ts())).count()
 
 
 def test_store_never_reads_as_empty_nor_overwrites(spark, scratch):
