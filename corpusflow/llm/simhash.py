@@ -26,6 +26,7 @@ SHINGLE = 3
 RADIUS = 2
 SHARD = 2048
 LAST_BITS = 9
+EDGES_PER_FILE = 200_000
 FULL = (1 << 64) - 1
 
 
@@ -188,7 +189,8 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "h")
         small = large.join(low, F.col("u") == F.col("h")).select(F.explode(F.array(
             F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
-        cur = stored(small.select("e.u", "e.v").filter("u <> v").distinct())
+        # the number of edges never grows: a file for every EDGES_PER_FILE of them
+        cur = stored(small.select("e.u", "e.v").filter("u <> v").distinct(), 1 + last[0] // EDGES_PER_FILE)
         now = state(cur)
         if now == last:
             break
