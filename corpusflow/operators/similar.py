@@ -13,7 +13,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.vectors import cosine_distance, norm, similarity
@@ -67,30 +67,39 @@ def _block_topk(key, left: pd.DataFrame, right: pd.DataFrame, k: int) -> pd.Data
     return out[np.isfinite(out["distance"])]
 
 
-def blocked_topk(units: DataFrame, k: int, group_col: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _blocks(units: DataFrame, block_rows: int) -> Column:
+    """The number of blocks of ``units`` as a scalar subquery (no join against a constant key)."""
+    return units.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int")).scalar()
+
+
+def blocked_topk(units: DataFrame, k: int, group_col: str | None = None, block_rows: int = BLOCK_ROWS,
+                 subjects: DataFrame | None = None) -> DataFrame:
     """Top-k candidates per subject among rows of the same group (all rows when
     ``group_col`` is None) as ``(subject_id, id, distance)``, possibly several per
     subject per group block; callers merge them.
 
     Each group is split into ``ceil(n_group / block_rows)`` hash blocks; block pairs
-    are co-grouped and reduced with a NumPy matmul to a local top-k.
+    are co-grouped and reduced with a NumPy matmul to a local top-k. Without groups,
+    ``subjects`` (units as well) are the rows to search for, else every row is one; each side
+    is copied once per block of the other.
     """
     if group_col is None:
-        # one group: the block count is a scalar subquery (no join against a constant key)
-        nb = units.select(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(block_rows))).cast("int")).scalar()
-        u = units.withColumn("_g", F.lit(0)).withColumn("_nb", nb)
+        searched = units if subjects is None else subjects
+        nr, nl = _blocks(units, block_rows), _blocks(searched, block_rows)
+        left = searched.withColumn("_g", F.lit(0)).withColumn("_nb", nl).withColumn("_no", nr)
+        right = units.withColumn("_g", F.lit(0)).withColumn("_nb", nr).withColumn("_no", nl)
     else:
         u = units.withColumn("_g", F.col(group_col))
         counts = u.groupBy("_g").agg(F.count(F.lit(1)).alias("_n"))
         counts = counts.select("_g", F.greatest(F.lit(1), F.ceil(F.col("_n") / F.lit(block_rows))).cast("int").alias("_nb"))
         # one row per group: their number grows with the table, so the broadcast is checked
-        u = u.join(broadcast_if_small(counts), "_g")
-    u = u.withColumn("_blk", F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int"))
-    others = F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))
+        left = right = u.join(broadcast_if_small(counts), "_g").withColumn("_no", F.col("_nb"))
+    block = F.pmod(F.xxhash64("id"), F.col("_nb")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("_no") - 1))
     # fresh aliases on each side: both sides come from the same frame
     fresh = [F.col("_g").alias("_g"), F.col("id").alias("id"), F.col("u").alias("u")]
-    left = u.select(*fresh, F.col("_blk").alias("_l"), others.alias("_r"))
-    right = u.select(*fresh, others.alias("_l"), F.col("_blk").alias("_r"))
+    left = left.select(*fresh, block.alias("_l"), others.alias("_r"))
+    right = right.select(*fresh, others.alias("_l"), block.alias("_r"))
 
     def kernel(key, lpdf, rpdf):
         return _block_topk(key, lpdf, rpdf, k)
@@ -114,6 +123,16 @@ def all_pairs_topk(vectors: DataFrame, k: int = 5, id_col: str = "id", vec_col:
     return rank_topk(blocked_topk(unit_vectors(vectors, id_col, vec_col), k, None, block_rows), k)
 
 
+def topk_for(vectors: DataFrame, subject_ids: DataFrame, k: int = 5, id_col: str = "id", vec_col: str = "embedding",
+             block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Exact top-k neighbours of the rows named in ``subject_ids`` (column ``id_col``), among
+    all rows. Ids without a (non-zero) vector have no row in the result."""
+    check_k(k)
+    units = unit_vectors(vectors, id_col, vec_col)
+    wanted = broadcast_if_small(subject_ids.select(F.col(id_col).cast("long").alias("id")).distinct())
+    return rank_topk(blocked_topk(units, k, None, block_rows, units.join(wanted, "id", "left_semi")), k)
+
+
 def hyperplanes(dim: int, n_tables: int, n_bits: int, seed: int) -> np.ndarray:
     """Sign-random (+1/-1) hyperplane normals, a parameter of the index, not data.
 
@@ -151,21 +170,57 @@ def lsh_buckets(units: DataFrame, dim: int, n_tables: int = 6, n_bits: int = 8,
     return units.mapInPandas(sign_bits, "id long, u array<double>, table int, bucket long")
 
 
-def lsh_bits(n_rows: int, bucket_target: int = 128) -> int:
-    """Sign bits per table so that a bucket holds about ``bucket_target`` rows."""
-    return max(1, round(math.log2(max(2, n_rows) / bucket_target)))
+SAMPLE_SUBJECTS = 128    # subjects whose exact neighbours tell how far a neighbour is
+TABLE_COST = 64          # what a row costs per table (hashing, shuffle), in candidates compared
+MAX_BITS = 30
+
+
+def subject_sample(units: DataFrame, n: int = SAMPLE_SUBJECTS) -> DataFrame:
+    """At most ``n`` subjects, the first by md5 of their id."""
+    return units.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n)
+
+
+def neighbour_angle(units: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> float | None:
+    """Mean angle between the sampled subjects and their k-th neighbour among all rows; None
+    when there are fewer than k others."""
+    sample = materialize(subject_sample(units))
+    exact = rank_topk(blocked_topk(units, k, None, block_rows, sample), k).filter(F.col("rank") == k)
+    cos = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), 1 - F.col("distance")))
+    return exact.agg(F.avg(F.acos(cos))).first()[0]
+
+
+def lsh_shape(n_rows: int, angle: float, recall: float = 0.9) -> tuple[int, int]:
+    """(bits, tables) of the index with the least work whose expected recall at ``angle``
+    reaches ``recall``.
+
+    A sign bit of two vectors agrees with probability p = 1 - angle / pi, so T tables of b bits
+    find a neighbour with probability 1 - (1 - p^b)^T; of far rows (p = 1/2) a table
+    compares n / 2^b. The closer neighbours are, the more bits pay off."""
+    p = min(1 - 1e-9, max(0.5, 1 - angle / math.pi))
+
+    def tables(b: int) -> int:
+        return math.ceil(math.log(1 - recall) / math.log(1 - p**b))
+
+    return min(((b, tables(b)) for b in range(1, MAX_BITS + 1)), key=lambda x: (x[1] * (n_rows / 2 ** x[0] + TABLE_COST), x[0]))
 
 
 def lsh_topk(vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "id", vec_col: str = "embedding",
-             n_tables: int = 24, n_bits: int | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS,
-             bucket_target: int = 128) -> DataFrame:
+             n_tables: int | None = None, n_bits: int | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS,
+             recall: float = 0.9) -> DataFrame:
     """V5: approximate top-k from candidates that share an LSH bucket in any table,
-    re-ranked by exact cosine distance. Bits per table grow with log2 of the row count
-    (one count), so bucket sizes, and the work per subject, stay flat as the table grows."""
+    re-ranked by exact cosine distance.
+
+    Bits and tables, where not given, follow from the number of rows, the target ``recall`` and
+    the angle of the k-th neighbours of a bounded sample of subjects, measured against all
+    rows. On vectors without near neighbours the shape comes close to comparing all pairs: no
+    other would reach the recall."""
     check_k(k)
     units = unit_vectors(vectors, id_col, vec_col)
-    if n_bits is None:
-        n_bits = lsh_bits(units.count(), bucket_target)
+    if n_bits is None or n_tables is None:
+        units = materialize(units)
+        angle = neighbour_angle(units, k, block_rows)
+        shape = lsh_shape(units.count(), angle, recall) if angle is not None else (1, 8)
+        n_bits, n_tables = n_bits or shape[0], n_tables or shape[1]
     # the signature table is the index: materialised once, read for bucket sizes and pairs
     b = lsh_buckets(units, dim, n_tables, n_bits, seed)
     b = materialize(b.withColumn("_tb", F.col("table").cast("long") * F.lit(1 << n_bits) + F.col("bucket")))

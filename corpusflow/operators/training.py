@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusflow.functions.vectors import dot
 from corpusflow.operators.embed import hashing_vector
 from corpusflow.operators.ids import assign_ids
 
@@ -77,6 +78,16 @@ def arity(pairs: DataFrame) -> DataFrame:
     ).withColumn("consistent", F.col("min_cols") == F.col("max_cols"))
 
 
+def check_arity(pairs: DataFrame) -> DataFrame:
+    """A7 as a contract: ``pairs``, or an error that names the datasets whose rows are not all
+    pairs or all triplets (a few names; datasets are configuration)."""
+    widths = arity(pairs)
+    bad = widths.filter(~F.col("consistent") | ~F.col("max_cols").isin(2, 3)).select("dataset").orderBy("dataset").collect()
+    if bad:
+        raise ValueError(f"datasets of mixed or unsupported width: {', '.join(str(r['dataset']) for r in bad)}")
+    return pairs
+
+
 def manifest(spark: SparkSession, weights: tuple[tuple[str, int], ...]) -> DataFrame:
     """``(dataset, weight, first, last)`` - the weight's interval in the repeated index list."""
     rows = []
@@ -169,47 +180,60 @@ def step_key(spec: BatchSpec) -> Column:
     return (F.col("chunk") / spec.nprocs).cast("int")
 
 
-def inbatch_scores(packed: DataFrame, spec: BatchSpec, dim: int = 64) -> DataFrame:
-    """``scale * cos(anchor_i, candidate_j)`` for every anchor and every positive (and
-    negative) of the same step. A step holds ``nprocs * batch_size`` samples, so the
-    self-join emits a bounded matrix per step."""
+def _steps(packed: DataFrame, spec: BatchSpec, dim: int) -> DataFrame:
+    """Anchor, positive and negative vectors of every sample with its place ``i`` in its step."""
     rows = packed.withColumn("step", step_key(spec)).withColumn(
         "i", ((F.col("chunk") % spec.nprocs) * spec.batch_size + F.col("slot")).cast("int")
     )
-    n = spec.nprocs * spec.batch_size
-    emb = rows.select(
-        "batch_id", "draw", "step", "i", "dataset",
+    return rows.select(
+        "batch_id", "draw", "step", "i", F.size("texts").alias("width"),
         hashing_vector(F.get("texts", 0), dim).alias("a"),
         hashing_vector(F.get("texts", 1), dim).alias("p"),
         F.when(F.size("texts") > 2, hashing_vector(F.get("texts", 2), dim)).alias("n"),
     )
-    anchors = emb.select("batch_id", "draw", "step", "i", "a")
-    cands = emb.select("batch_id", "draw", "step", F.col("i").alias("_i"), F.posexplode_outer(
-        F.when(F.col("n").isNull(), F.array("p")).otherwise(F.array("p", "n"))).alias("part", "c"))
-    cands = cands.select("batch_id", "draw", "step", (F.col("part") * n + F.col("_i")).cast("int").alias("j"), "c")
-    j = anchors.join(cands, ["batch_id", "draw", "step"])
-    return j.select("batch_id", "draw", "step", "i", "j", (F.lit(spec.scale) * dot("a", "c")).alias("score"))
-
-
-def _lse(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, lse): log(sum(exp(score))) of each group, with its maximum taken out first so
-    that no scale overflows. A group is a row or a column of one step: at most a batch."""
-    g = scores.groupBy(*keys).agg(F.collect_list("score").alias("_s"), F.max("score").alias("_t"))
-    total = F.aggregate("_s", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("_t")))
-    return g.select(*keys, (F.col("_t") + F.log(total)).alias("lse"))
-
-
-def inbatch_loss(scores: DataFrame, widths: DataFrame) -> DataFrame:
-    """Cross-entropy with the diagonal as label. Pairs: mean of the row-wise and the
-    column-wise loss (symmetric); triplets: row-wise only. One row per step."""
-    keys = ["batch_id", "draw", "step"]
-    diag = scores.filter(F.col("i") == F.col("j")).select(*keys, "i", F.col("score").alias("d"))
-    row_lse = _lse(scores, [*keys, "i"])
-    row = row_lse.join(diag, [*keys, "i"]).groupBy(*keys).agg(F.avg(F.col("lse") - F.col("d")).alias("row_loss"))
-    n_anchor = scores.groupBy(*keys).agg(F.max("i").alias("_mi"))
-    col_scores = scores.join(n_anchor, keys).filter(F.col("j") <= F.col("_mi"))
-    col_lse = _lse(col_scores.select(*keys, F.col("j").alias("i"), "score"), [*keys, "i"])
-    col = col_lse.join(diag, [*keys, "i"]).groupBy(*keys).agg(F.avg(F.col("lse") - F.col("d")).alias("col_loss"))
-    out = row.join(col, keys).join(widths, keys)
-    return out.select(*keys, F.when(F.col("width") == 2, (F.col("row_loss") + F.col("col_loss")) / 2).otherwise(
-        F.col("row_loss")).alias("loss"))
+
+
+def _step_scores(step: pd.DataFrame, spec: BatchSpec) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchors i, candidates j, scores) of one step: positives first, then the negatives there are."""
+    step = step.sort_values("i", kind="stable")
+    i, neg = step["i"].to_numpy(), step["n"].notna().to_numpy()
+    a, p = np.stack(step["a"]).astype(np.float64), np.stack(step["p"]).astype(np.float64)
+    c = np.vstack([p, np.stack(step["n"][neg]).astype(np.float64)]) if neg.any() else p
+    return i, np.concatenate([i, spec.nprocs * spec.batch_size + i[neg]]), spec.scale * (a @ c.T)
+
+
+def inbatch_scores(packed: DataFrame, spec: BatchSpec, dim: int = 64) -> DataFrame:
+    """``scale * cos(anchor_i, candidate_j)`` for every anchor and every positive (and
+    negative) of the same step: one matmul per step of at most ``nprocs * batch_size`` samples.
+    The scores are the result here; ``inbatch_loss`` never emits them."""
+
+    def scores(key: tuple, step: pd.DataFrame) -> pd.DataFrame:
+        i, j, m = _step_scores(step, spec)
+        return pd.DataFrame({"batch_id": key[0], "draw": key[1], "step": key[2], "i": np.repeat(i, len(j)),
+                             "j": np.tile(j, len(i)), "score": m.ravel()})
+
+    return _steps(packed, spec, dim).groupBy("batch_id", "draw", "step").applyInPandas(
+        scores, "batch_id long, draw int, step int, i int, j int, score double")
+
+
+def _log_sum_exp(m: np.ndarray, axis: int) -> np.ndarray:
+    """The maximum is taken out first, so that no scale overflows."""
+    top = m.max(axis=axis, keepdims=True)
+    return (top + np.log(np.exp(m - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+
+
+def inbatch_loss(packed: DataFrame, spec: BatchSpec, dim: int = 64) -> DataFrame:
+    """Cross-entropy of a step's scores with the own positive as label. Pairs: mean of the
+    row-wise and the column-wise loss (symmetric); triplets: row-wise only. One row per step,
+    which one task computes from at most ``nprocs * batch_size`` samples."""
+
+    def loss(key: tuple, step: pd.DataFrame) -> pd.DataFrame:
+        i, _, m = _step_scores(step, spec)
+        own = np.diagonal(m)
+        value = float(np.mean(_log_sum_exp(m, 1) - own))
+        if step["width"].max() == 2:
+            value = (value + float(np.mean(_log_sum_exp(m[:, :len(i)], 0) - own))) / 2
+        return pd.DataFrame({"batch_id": [key[0]], "draw": [key[1]], "step": [key[2]], "loss": [value]})
+
+    return _steps(packed, spec, dim).groupBy("batch_id", "draw", "step").applyInPandas(
+        loss, "batch_id long, draw int, step int, loss double")

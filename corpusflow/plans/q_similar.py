@@ -84,14 +84,38 @@ def q_all_pairs(spark, sf_dir):
     return _pairs_out(SIM.all_pairs_topk(_vectors(spark, sf_dir), K, "vec_id", "embedding"))
 
 
-LSH_TABLES, LSH_SEED, LSH_BUCKET_TARGET = 24, 17, 128
+SUBJECT_STEP = 50
+
+
+@query("similar_subjects", sql=f"select * from ({ALL_PAIRS_SQL}) where subject_id % {SUBJECT_STEP} = 0")
+def q_similar_subjects(spark, sf_dir):
+    """J4 for a set of subjects: the exact neighbours, among all vectors, of every id that
+    ``SUBJECT_STEP`` divides (the query set; all rows are searched)."""
+    v = _vectors(spark, sf_dir)
+    return _pairs_out(SIM.topk_for(v, v.filter(F.col("vec_id") % SUBJECT_STEP == 0), K, "vec_id", "embedding"))
+
+
+LSH_SEED, LSH_RECALL = 17, 0.9
 
 cte("lsh_vecs", "select vec_id as id, cast(embedding as double[]) as e from embeddings where list_dot_product(cast(embedding as double[]), cast(embedding as double[])) > 0")
-cte("lsh_bits", f"select greatest(1, round(log2(count(*) / {LSH_BUCKET_TARGET}.0)))::int as bits, max(len(e)) as dim from lsh_vecs")
+cte("lsh_angle", f"""
+select avg(acos(least(1.0, greatest(-1.0, 1 - d)))) as angle from (
+  select d, row_number() over (partition by subject order by d, id) as rank from (
+    select a.id as subject, b.id as id, {_sql_dist('a.e', 'b.e')} as d
+    from (select * from lsh_vecs order by md5(cast(id as varchar)), id limit {SIM.SAMPLE_SUBJECTS}) a
+         join lsh_vecs b on b.id <> a.id))
+where rank = {K}""")
+cte("lsh_shapes", f"""
+select b, cast(ceil(ln({1 - LSH_RECALL!r}) / ln(1 - pow(p, b))) as bigint) as t
+from (select unnest(range(1, {SIM.MAX_BITS + 1})) as b) bb, (select least(1 - 1e-9, greatest(0.5, 1 - angle / pi())) as p from lsh_angle) pp""")
+cte("lsh_bits", f"""
+select (select b from lsh_shapes order by t * ((select count(*) from lsh_vecs) / pow(2, b) + {SIM.TABLE_COST}), b limit 1) as bits,
+       (select t from lsh_shapes order by t * ((select count(*) from lsh_vecs) / pow(2, b) + {SIM.TABLE_COST}), b limit 1) as tables,
+       (select max(len(e)) from lsh_vecs) as dim""")
 cte("lsh_planes", f"""
 select t, b, i, case when ('0x' || substr(md5('{LSH_SEED}:' || cast(t as varchar) || ':' || cast(b as varchar) || ':' || cast(i as varchar)), 1, 1))::int % 2 = 0
                      then 1.0 else -1.0 end as sgn
-from (select unnest(range({LSH_TABLES})) as t) tt,
+from (select unnest(range((select tables from lsh_bits))) as t) tt,
      (select unnest(range((select bits from lsh_bits))) as b) bb,
      (select unnest(range((select dim from lsh_bits))) as i) ii""")
 cte("lsh_sig", """
@@ -116,8 +140,7 @@ select subject_id, rank, id, round(distance, 6) + 0.0 as distance, round(greates
 from lsh_top"""))
 def q_lsh(spark, sf_dir):
     """V5: approximate top-5 neighbours from sign-hyperplane LSH buckets, exactly re-ranked."""
-    return _pairs_out(SIM.lsh_topk(_vectors(spark, sf_dir), K, 64, "vec_id", "embedding", n_tables=LSH_TABLES,
-                                   seed=LSH_SEED, bucket_target=LSH_BUCKET_TARGET))
+    return _pairs_out(SIM.lsh_topk(_vectors(spark, sf_dir), K, 64, "vec_id", "embedding", seed=LSH_SEED, recall=LSH_RECALL))
 
 
 @query("lsh_recall", sql=with_ctes(f"""
@@ -128,7 +151,7 @@ left join (select l.subject_id, count(*) as h from lsh_top l join exact_top x on
 def q_lsh_recall(spark, sf_dir):
     """V6: recall@5 of the LSH neighbours against the exact ones."""
     v = _vectors(spark, sf_dir)
-    approx = SIM.lsh_topk(v, K, 64, "vec_id", "embedding", n_tables=LSH_TABLES, seed=LSH_SEED, bucket_target=LSH_BUCKET_TARGET)
+    approx = SIM.lsh_topk(v, K, 64, "vec_id", "embedding", seed=LSH_SEED, recall=LSH_RECALL)
     r = SIM.recall_at_k(approx, SIM.all_pairs_topk(v, K, "vec_id", "embedding"), K)
     return r.select((F.round("recall_at_k", 6) + F.lit(0.0)).alias("recall_at_k"), "subjects")
 

@@ -33,7 +33,7 @@ def pair_lines(spark, sf_dir):
 
 
 def loaded(spark, sf_dir):
-    return materialize(TR.parse_pairs(pair_lines(spark, sf_dir), REDDIT))
+    return TR.check_arity(materialize(TR.parse_pairs(pair_lines(spark, sf_dir), REDDIT)))
 
 
 def packed(spark, sf_dir):
@@ -43,8 +43,8 @@ def packed(spark, sf_dir):
     return materialize(TR.pack_batches(order, draws, SPEC))
 
 
-def deduped(spark, sf_dir):
-    return materialize(TR.dedupe_batches(packed(spark, sf_dir), SPEC))
+def undoubled(spark, sf_dir):
+    return TR.dedupe_batches(packed(spark, sf_dir), SPEC)
 
 
 def _manifest_sql() -> str:
@@ -160,18 +160,14 @@ def q_batch_pack(spark, sf_dir):
 @query("batch_dedupe", sql=with_ctes("select batch_id, new_pos, dataset, pair_id from pairs_dedup"))
 def q_batch_dedupe(spark, sf_dir):
     """No text twice in one iteration (first holder keeps it), slots re-packed."""
-    d = deduped(spark, sf_dir)
+    d = undoubled(spark, sf_dir)
     return d.select("batch_id", F.col("new_pos").cast("long").alias("new_pos"), "dataset", "pair_id")
 
 
-def _scores(spark, sf_dir, batches=None):
-    return materialize(TR.inbatch_scores(batches if batches is not None else deduped(spark, sf_dir), SPEC))
-
-
 @query("inbatch_scores", sql=with_ctes("select batch_id, draw, step, i, j, round(score, 6) + 0.0 as score from pairs_scores"))
 def q_inbatch_scores(spark, sf_dir):
     """Scaled cosine scores of every anchor against every candidate of its step."""
-    s = _scores(spark, sf_dir)
+    s = TR.inbatch_scores(undoubled(spark, sf_dir), SPEC)
     return s.select("batch_id", F.col("draw").cast("long").alias("draw"), F.col("step").cast("long").alias("step"),
                     F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"),
                     (F.round("score", 6) + F.lit(0.0)).alias("score"))
@@ -194,8 +190,6 @@ select batch_id, draw, step, round(case when width = 2 then (row_loss + col_loss
 from loss_rl join loss_cl using (batch_id, draw, step) join loss_w using (batch_id, draw, step)"""))
 def q_inbatch_loss(spark, sf_dir):
     """Symmetric (pairs) or one-way (triplets) in-batch cross-entropy per step."""
-    d = deduped(spark, sf_dir)
-    widths = d.groupBy("batch_id", "draw", TR.step_key(SPEC).alias("step")).agg(F.max(F.size("texts")).alias("width"))
-    loss = TR.inbatch_loss(_scores(spark, sf_dir, d), widths)
+    loss = TR.inbatch_loss(undoubled(spark, sf_dir), SPEC)
     return loss.select("batch_id", F.col("draw").cast("long").alias("draw"), F.col("step").cast("long").alias("step"),
                        (F.round("loss", 6) + F.lit(0.0)).alias("loss"))

@@ -48,7 +48,40 @@ def test_all_pairs_blocked_matches_brute_force(spark):
 
 def test_lsh_recall(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding")
-    approx = SIM.lsh_topk(emb, 5, 64, "vec_id", "embedding")
+    approx = SIM.lsh_topk(emb, 5, 64, "vec_id", "embedding", recall=0.9)
     exact = SIM.all_pairs_topk(emb, 5, "vec_id", "embedding")
     rec = SIM.recall_at_k(approx, exact, 5).first()
-    assert rec.subjects == 500 and rec.recall_at_k > 0.8
+    assert rec.subjects == 500 and rec.recall_at_k >= 0.9
+
+
+def test_lsh_shape_reaches_the_recall_with_fewer_candidates(spark):
+    # groups of near vectors: 30 rows around each of 100 centres
+    rng = np.random.default_rng(11)
+    centres = rng.standard_normal((100, 32))
+    vecs = np.repeat(centres, 30, axis=0) + 0.25 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "id long, embedding array<double>")
+    units = SIM.unit_vectors(df).checkpoint()
+    bits, tables = SIM.lsh_shape(3000, SIM.neighbour_angle(units, 5))
+    res = SIM.lsh_topk(df, 5, 32, recall=0.9)
+    assert res.count() == 5 * 3000
+    assert SIM.recall_at_k(res, SIM.all_pairs_topk(df, 5), 5).first().recall_at_k >= 0.9
+    b = SIM.lsh_buckets(units, 32, tables, bits).groupBy("table", "bucket").count()
+    assert b.agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0] / 3000 < 0.1 * 3000
+
+
+def test_lsh_shape_follows_rows_and_angle():
+    near = [SIM.lsh_shape(n, 0.4) for n in (10**3, 10**6, 10**9)]
+    assert [b for b, _ in near] == sorted(b for b, _ in near) and near[0][0] < near[2][0]
+    for bits, tables in near:
+        p = 1 - 0.4 / np.pi
+        assert 1 - (1 - p**bits) ** tables >= 0.9
+    # no neighbours: few bits, which is close to comparing everything
+    assert SIM.lsh_shape(10**6, np.pi / 2)[0] <= 2
+
+
+def test_topk_for_a_set_of_subjects(spark):
+    emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", "embedding")
+    ids = spark.createDataFrame([(3,), (77,), (77,), (-1,), (None,)], "vec_id long")
+    got = [tuple(r) for r in SIM.topk_for(emb, ids, 5, "vec_id", "embedding", block_rows=64).orderBy("subject_id", "rank").collect()]
+    exp = SIM.all_pairs_topk(emb, 5, "vec_id", "embedding").filter("subject_id in (3, 77)").orderBy("subject_id", "rank").collect()
+    assert [g[:2] for g in got] == [tuple(e)[:2] for e in exp] and len(got) == 10

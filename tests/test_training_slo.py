@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
@@ -51,10 +52,10 @@ def test_batch_dedupe_keeps_first_holder(spark):
 
 
 def test_loss_matches_numpy(spark):
-    d = QT.deduped(spark, SF_SMALL)
-    scores = QT._scores(spark, SF_SMALL, d)
+    d = QT.undoubled(spark, SF_SMALL)
+    scores = TR.inbatch_scores(d, QT.SPEC)
     widths = d.groupBy("batch_id", "draw", TR.step_key(QT.SPEC).alias("step")).agg(F.max(F.size("texts")).alias("width"))
-    loss = {(r.batch_id, r.draw, r.step): r.loss for r in TR.inbatch_loss(scores, widths).collect()}
+    loss = {(r.batch_id, r.draw, r.step): r.loss for r in TR.inbatch_loss(d, QT.SPEC).collect()}
     w = {(r.batch_id, r.draw, r.step): r.width for r in widths.collect()}
     mats = {}
     for r in scores.collect():
@@ -62,6 +63,7 @@ def test_loss_matches_numpy(spark):
     for key, cells in list(mats.items())[:5]:
         anchors = sorted({i for i, _ in cells})
         cols = sorted({j for _, j in cells})
+        assert len(cells) == len(anchors) * len(cols)
         m = np.array([[cells[(i, j)] for j in cols] for i in anchors])
         lse_r = np.log(np.exp(m).sum(axis=1))
         diag = np.array([cells[(i, i)] for i in anchors])
@@ -74,6 +76,34 @@ def test_loss_matches_numpy(spark):
         assert math.isclose(loss[key], exp, rel_tol=1e-9)
 
 
+def test_loss_of_a_large_scale_does_not_overflow(spark):
+    spec = TR.BatchSpec(batch_size=2, nprocs=1, scale=5000.0)
+    packed = spark.createDataFrame(
+        [(0, 0, 0, 0, "d", 1, ["red fox", "red fox"]), (0, 0, 0, 1, "d", 2, ["blue sky", "blue sky"])],
+        "batch_id long, draw int, chunk int, slot int, dataset string, pair_id long, texts array<string>")
+    loss = TR.inbatch_loss(packed, spec).first().loss
+    assert math.isfinite(loss) and abs(loss) < 1e-6
+
+
+def test_mixed_widths_fail(spark):
+    pairs = spark.createDataFrame([("a", ["x", "y"]), ("a", ["x", "y", "z"]), ("b", ["x", "y"])], "dataset string, texts array<string>")
+    with pytest.raises(ValueError, match=": a$"):
+        TR.check_arity(pairs)
+    assert TR.check_arity(pairs.filter("dataset = 'b'")).count() == 1
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 21, 1000, 30_000])
+def test_percentile_bracket_holds_both_ranks(spark, n):
+    rng = np.random.default_rng(n)
+    values = np.round(rng.lognormal(3, 1, n), 3)
+    df = spark.createDataFrame([("a", float(v)) for v in values] + [("a", None), ("only nulls", None)], "g string, v double")
+    got = {r.g: r for r in SLO.exact_percentile(df, "g", "v", 0.95).collect()}
+    assert got["a"].n == n + 1 and math.isclose(got["a"].p, np.quantile(values, 0.95), rel_tol=1e-12)
+    assert got["only nulls"].p is None
+    if n == 30_000:   # the exact pass keeps the values near the rank only
+        assert SLO.bracketed(df, "g", "v", 0.95)[1].count() < n / 100
+
+
 def test_exact_percentile_skewed(spark):
     rng = np.random.default_rng(3)
     hot = rng.exponential(100, 5000)  # one group holds most rows
