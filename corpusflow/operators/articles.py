@@ -19,6 +19,7 @@ RECS_K_DEFAULT, RECS_K_MAX = 5, 20
 # Column limits of the stored tables.
 MAX_LEN = {"source": 255, "rss_guid": 1024, "title": 512, "url": 1024}
 AUTHOR_MAX = 120
+PAGE_IDS = 10_000    # comment ids per list of a nested payload
 
 
 def check_page(limit: int, offset: int) -> None:
@@ -85,41 +86,56 @@ def detail_rows(articles: DataFrame, comments: DataFrame) -> DataFrame:
     return with_comments.unionByName(without, allowMissingColumns=True)
 
 
-def nest_comments(articles: DataFrame, comments: DataFrame) -> DataFrame:
-    """API payload shape for requested articles: ``comments`` as an id-ordered list."""
-    c = comments.groupBy("article_id").agg(
-        F.sort_array(F.collect_list(F.struct(*[F.col(x) for x in COMMENT_COLUMNS]))).alias("comments")
-    )
-    a = articles.select(*DETAIL_COLUMNS)
-    return a.join(c, a.id == c.article_id, "left").select(
-        *DETAIL_COLUMNS, F.coalesce("comments", F.array().cast(c.schema["comments"].dataType)).alias("comments")
-    )
+def nest_comments(articles: DataFrame, comments: DataFrame, ids: DataFrame, id_col: str = "article_id") -> DataFrame:
+    """A3, the API payload of the requested articles: ``comments`` as an id-ordered list.
 
+    Both tables are reduced to the requested ids first. A list holds the comments of one
+    article in one range of ``PAGE_IDS`` comment ids, so it is bounded by that number however
+    many comments an article has; such an article has several rows, in the order of ``page``.
+    An article without comments has one row with page 0 and an empty list; an id without an
+    article has none."""
+    k = broadcast_if_small(ids.select(F.col(id_col).alias("_req")).distinct())
+    a = articles.select(*DETAIL_COLUMNS).join(k, F.col("id") == F.col("_req"), "left_semi")
+    c = comments.select(*COMMENT_COLUMNS).join(k, F.col("article_id") == F.col("_req"), "left_semi")
+    pages = c.groupBy("article_id", F.floor(F.col("id") / PAGE_IDS).alias("page")).agg(
+        F.sort_array(F.collect_list(F.struct(*COMMENT_COLUMNS))).alias("comments"))
+    empty = F.array().cast(pages.schema["comments"].dataType)
+    return a.join(pages, a.id == pages.article_id, "left").select(
+        *DETAIL_COLUMNS, F.coalesce("page", F.lit(0)).alias("page"), F.coalesce("comments", empty).alias("comments"))
 
-def quality_report(articles: DataFrame, comments: DataFrame) -> DataFrame:
-    """One-row constraint report: NOT NULL, VARCHAR(n), UNIQUE and FK violations."""
+
+def quality_report(articles: DataFrame, comments: DataFrame, dim: int | None = None) -> DataFrame:
+    """One-row constraint report: NOT NULL, VARCHAR(n), UNIQUE and FK violations, and vectors
+    that are absent or not ``dim`` long. Both unique keys are counted in one aggregate."""
     nulls = F.count_if(F.greatest(*[F.col(c).isNull() for c in ("source", "rss_guid", "title", "url", "content", "published_at")]))
     lens = [F.count_if(F.length(c) > n).alias(f"{c}_too_long") for c, n in MAX_LEN.items()]
-    base = articles.agg(F.count(F.lit(1)).alias("n_articles"), nulls.alias("null_violations"), *lens)
-    dup_guid = articles.groupBy("rss_guid").count().filter("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    dup_url = articles.groupBy("url").count().filter("count > 1").agg(F.count(F.lit(1)).alias("n"))
-    orphans = comments.join(articles.select(F.col("id").alias("_aid")), comments.article_id == F.col("_aid"), "left_anti")
-    orphans = orphans.agg(F.count(F.lit(1)).alias("n"))
-    return base.select(
-        "*",
-        dup_guid.select("n").scalar().alias("duplicate_guids"),
-        dup_url.select("n").scalar().alias("duplicate_urls"),
-        orphans.select("n").scalar().alias("orphan_comments"),
-    )
+    vectors = [] if dim is None else [F.count_if(bad_vector("embedding", dim)).alias("bad_vectors")]
+    base = articles.agg(F.count(F.lit(1)).alias("n_articles"), nulls.alias("null_violations"), *lens, *vectors)
+    keys = articles.select(F.explode(F.array(F.struct(F.lit("guid").alias("of"), F.col("rss_guid").alias("v")),
+                                             F.struct(F.lit("url").alias("of"), F.col("url").alias("v")))).alias("k"))
+    twice = keys.groupBy("k.of", "k.v").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").agg(F.struct(
+        F.count_if(F.col("of") == "guid").alias("guid"), F.count_if(F.col("of") == "url").alias("url"))).scalar()
+    orphans = comments.join(articles.select(F.col("id").alias("_aid")), comments.article_id == F.col("_aid"), "left_anti").agg(
+        F.count(F.lit(1))).scalar()
+    return base.select("*", twice["guid"].alias("duplicate_guids"), twice["url"].alias("duplicate_urls"), orphans.alias("orphan_comments"))
+
 
+def bad_vector(col: str, dim: int) -> Column:
+    return F.col(col).isNull() | (F.size(col) != dim)
 
-def quarantine(articles: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Split rows that would violate a column limit or NOT NULL into a quarantine with a reason."""
-    reason = F.lit(None).cast("string")
-    for c, n in reversed(list(MAX_LEN.items())):
-        reason = F.when(F.length(c) > n, F.lit(f"{c}_too_long")).otherwise(reason)
-    reason = F.when(F.col("rss_guid").isNull() | F.col("url").isNull(), F.lit("null_key")).otherwise(reason)
-    tagged = articles.withColumn("reason", reason)
+
+def length_reason(columns: dict[str, str]) -> Column:
+    """``<column>_too_long`` for the first column above its limit, else NULL. ``columns`` maps the
+    stored column to the one that holds its value."""
+    return F.coalesce(*[F.when(F.length(columns[c]) > n, F.lit(f"{c}_too_long")) for c, n in MAX_LEN.items()])
+
+
+def quarantine(articles: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Split rows that would violate NOT NULL, a column limit or the vector length into a
+    quarantine with a reason."""
+    null_key = F.when(F.col("rss_guid").isNull() | F.col("url").isNull(), F.lit("null_key"))
+    vector = F.lit(None) if dim is None else F.when(bad_vector("embedding", dim), F.lit("vector_length"))
+    tagged = articles.withColumn("reason", F.coalesce(null_key, length_reason({c: c for c in MAX_LEN}), vector))
     return tagged.filter(F.col("reason").isNull()).drop("reason"), tagged.filter(F.col("reason").isNotNull())
 
 
@@ -136,9 +152,17 @@ def backfill_previews(articles: DataFrame) -> DataFrame:
     return articles.withColumn("content_preview", X.preview_backfill("content"))
 
 
+def missing_ids(articles: DataFrame, ids: DataFrame, id_col: str = "id") -> DataFrame:
+    """The requested ids that no article has (what a reindex request reports)."""
+    req = ids.select(F.col(id_col).alias("_rid")).distinct()
+    hit = articles.select(F.col("id").alias("_hit")).join(broadcast_if_small(req), F.col("_hit") == F.col("_rid"), "left_semi")
+    return req.join(hit, F.col("_rid") == F.col("_hit"), "left_anti").select(F.col("_rid").alias(id_col))
+
+
 def reindex(articles: DataFrame, ids: DataFrame | None, embedder: Embedder | None = None, dim: int = 64) -> DataFrame:
     """Re-clean stored content, re-embed title + content and refresh the preview for the
-    articles in ``ids`` (all when None); stored ``content`` is left as is."""
+    articles in ``ids`` (all when None); stored ``content`` is left as is. Ids that no article
+    has change nothing; ``missing_ids`` names them."""
     cols = articles.columns
     if ids is None:
         todo, rest = articles, None

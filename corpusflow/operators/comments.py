@@ -10,6 +10,9 @@ from corpusflow.operators.articles import AUTHOR_MAX
 from corpusflow.operators.ids import assign_ids
 from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.session import materialize
+from corpusflow.sources.store import SnapshotStore
+
+COMMENT_SCHEMA = "id long, article_id long, author_name string, body string, created_at timestamp"
 
 
 def validate(requests: DataFrame) -> DataFrame:
@@ -43,16 +46,31 @@ def split_fk(valid: DataFrame, articles: DataFrame) -> tuple[DataFrame, DataFram
     return accepted, rejected
 
 
-def append(comments: DataFrame, requests: DataFrame, articles: DataFrame, created_at: Column,
+def append(comments: DataFrame | int, requests: DataFrame, articles: DataFrame, created_at: Column,
            order_col: str = "request_id") -> tuple[DataFrame, DataFrame]:
-    """Validate, check the article, and return ``(appended_rows, rejected_requests)``."""
+    """Validate, check the article, and return ``(appended_rows, rejected_requests)``. New ids
+    follow the highest one of ``comments``, or that id itself where it is known."""
     v = validate(requests)
     ok = v.filter(F.col("reject_reason").isNull()).drop("reject_reason")
     bad = v.filter(F.col("reject_reason").isNotNull())
     accepted, missing = split_fk(ok, articles)
     # the numbering reads the accepted batch three times: check the articles once
     accepted = materialize(accepted)
-    base = comments.select(F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
+    base = F.lit(comments).cast("long") if isinstance(comments, int) else comments.select(
+        F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
     rows = assign_ids(accepted, F.col(order_col).cast("long"), base, out="id")
     rows = rows.select("id", "article_id", "author_name", "body", created_at.alias("created_at"))
     return rows, bad.unionByName(missing)
+
+
+def append_to(store: SnapshotStore, requests: DataFrame, articles: DataFrame, created_at: Column,
+              batch: tuple[str, int] | None = None) -> DataFrame:
+    """Append the valid requests to the stored comments and return the rejected ones.
+
+    The first free id comes from the store's manifest, so stored comments are not scanned; new
+    ids fall into the last parts, the only ones written. ``batch`` makes a replay a no-op."""
+    if batch is not None and store.committed(batch):
+        return validate(requests).limit(0)
+    rows, rejected = append(store.max_id(), requests, articles, created_at)
+    store.commit(materialize(rows), batch=batch)
+    return rejected

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -68,29 +68,29 @@ def hashing_vector(text, dim: int = DEFAULT_DIM, max_tokens: int | None = None)
     return _scatter_udf(dim)(token_codes(text, dim, max_tokens))
 
 
-Embedder = Callable[[pd.Series], "list[list[float]]"]
+# makes the model; the model maps a pandas Series of texts to one vector per text, in order
+Embedder = Callable[[], Callable[[pd.Series], "list[list[float]]"]]
 
 
 def embed(df: DataFrame, text_col: str, out: str = "embedding", embedder: Embedder | None = None,
           dim: int = DEFAULT_DIM) -> DataFrame:
     """Add an ``array<float>`` embedding of ``text_col``.
 
-    With no ``embedder`` the native hashing embedder runs. A model plugs in as a function
-    from a pandas Series of texts to one vector per text (order kept); it runs in
-    ``mapInPandas``, loaded once per Python worker, in Arrow batches.
+    With no ``embedder`` the native hashing embedder runs. A model plugs in as a factory,
+    called once per task, so that a large model is opened from its own files rather than
+    shipped. Only the texts reach Python, in Arrow batches; a null is an empty text.
     """
     if embedder is None:
         return df.withColumn(out, hashing_vector(F.col(text_col), dim))
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(out, T.ArrayType(T.FloatType()))])
 
-    def run(batches):
-        for pdf in batches:
-            texts = pdf[text_col].fillna("")
-            vecs = embedder(texts) if len(texts) else []
-            pdf[out] = [np.asarray(v, dtype=np.float32).tolist() for v in vecs]
-            yield pdf
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = embedder()
+        for texts in batches:
+            vectors = model(texts) if len(texts) else []
+            yield pd.Series([np.asarray(v, dtype=np.float32) for v in vectors], dtype=object)
 
-    return df.mapInPandas(run, schema)
+    return df.withColumn(out, run(F.coalesce(F.col(text_col), F.lit(""))))
 
 
 def mean_pool(token_vectors: Column, mask: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions.dates import parse_published
 from corpusflow.functions.text import make_preview, strip_html
+from corpusflow.operators.articles import length_reason
 
 ENTRY_FIELDS = ("id", "guid", "link", "title", "content", "summary", "published", "updated")
 
@@ -52,13 +53,15 @@ def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = Fals
         F.when(guid.isNull(), F.lit("no_guid"))
         .when(F.col("link").isNull() | (F.col("link") == ""), F.lit("no_link"))
     )
+    source = resolve_source(F.col("feed_title"), F.col("feed_url"))
+    stored = {"source": "source", "rss_guid": "guid", "title": "title", "url": "link"}
     parsed = parse_published(F.col("published"), F.col("updated"), strict_rfc=strict_rfc)
     base = raw.select(
         *keep,
         "feed_url",
         "feed_pos",
         "entry_pos",
-        resolve_source(F.col("feed_title"), F.col("feed_url")).alias("source"),
+        source.alias("source"),
         guid.alias("guid"),
         F.col("link"),
         F.coalesce(F.col("title"), F.lit("Untitled")).alias("title"),
@@ -80,7 +83,8 @@ def normalize_entries(raw: DataFrame, ingest_ts: Column, strict_rfc: bool = Fals
         make_preview(F.col("clean")).alias("content_preview"),
         F.coalesce(F.col("published_parsed"), ingest_ts).alias("published_at"),
         F.col("published_parsed").isNotNull().alias("published_ok"),
-        "reject_reason",
+        # longer than the stored column: kept out of the table, with a reason
+        F.coalesce("reject_reason", length_reason(stored)).alias("reject_reason"),
     )
 
 

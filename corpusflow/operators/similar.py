@@ -204,13 +204,13 @@ def lsh_shape(n_rows: int, angle: float, recall: float = 0.9) -> tuple[int, int]
     return min(((b, tables(b)) for b in range(1, MAX_BITS + 1)), key=lambda x: (x[1] * (n_rows / 2 ** x[0] + TABLE_COST), x[0]))
 
 
-def lsh_topk(vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "id", vec_col: str = "embedding",
+def lsh_topk(vectors: DataFrame, k: int = 5, dim: int | None = None, id_col: str = "id", vec_col: str = "embedding",
              n_tables: int | None = None, n_bits: int | None = None, seed: int = 17, block_rows: int = BLOCK_ROWS,
              recall: float = 0.9) -> DataFrame:
     """V5: approximate top-k from candidates that share an LSH bucket in any table,
     re-ranked by exact cosine distance.
 
-    Bits and tables, where not given, follow from the number of rows, the target ``recall`` and
+    ``dim`` is the vectors' length (read from the data when not given). Bits and tables, where not given, follow from the number of rows, the target ``recall`` and
     the angle of the k-th neighbours of a bounded sample of subjects, measured against all
     rows. On vectors without near neighbours the shape comes close to comparing all pairs: no
     other would reach the recall."""
@@ -221,6 +221,9 @@ def lsh_topk(vectors: DataFrame, k: int = 5, dim: int = 64, id_col: str = "id",
         angle = neighbour_angle(units, k, block_rows)
         shape = lsh_shape(units.count(), angle, recall) if angle is not None else (1, 8)
         n_bits, n_tables = n_bits or shape[0], n_tables or shape[1]
+    if dim is None:
+        first = units.select(F.size("u")).first()
+        dim = first[0] if first else 1
     # the signature table is the index: materialised once, read for bucket sizes and pairs
     b = lsh_buckets(units, dim, n_tables, n_bits, seed)
     b = materialize(b.withColumn("_tb", F.col("table").cast("long") * F.lit(1 << n_bits) + F.col("bucket")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions import text as X
@@ -13,7 +15,9 @@ from corpusflow.plans.common import sql_ts, ts_str
 from corpusflow.plans.q_ingest import sql_hash_weights
 from corpusflow.plans.registry import query
 from corpusflow.plans.sqlfixtures import INGEST_TS, cte, with_ctes
+from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import fixtures as FX
+from corpusflow.sources.store import SnapshotStore
 
 PAGE_LIMIT, PAGE_OFFSET = 50, 20
 FILTER_SOURCE = "src3"
@@ -88,11 +92,25 @@ select count(*) as n_articles,
        count(*) filter (where length(url) > 1024) as url_too_long,
        (select count(*) from (select rss_guid from articles group by 1 having count(*) > 1)) as duplicate_guids,
        (select count(*) from (select url from articles group by 1 having count(*) > 1)) as duplicate_urls,
+       count(*) filter (where embedding is null or len(embedding) <> 64) as bad_vectors,
        (select count(*) from comments where article_id not in (select id from articles)) as orphan_comments
 from articles"""))
 def q_quality(spark, sf_dir):
-    """P10: one-pass NOT NULL / length / UNIQUE / FK report."""
-    return A.quality_report(FX.articles(spark, sf_dir), FX.comments(spark, sf_dir))
+    """P10: NOT NULL / length / UNIQUE / FK / vector length report."""
+    return A.quality_report(FX.articles(spark, sf_dir), FX.comments(spark, sf_dir), dim=64)
+
+
+@query("article_payload", sql=with_ctes(f"""
+select a.id, a.title, coalesce(c.id // {A.PAGE_IDS}, 0) as page, count(c.id) as n_comments,
+       coalesce(string_agg(c.id || ':' || coalesce(c.author_name, '-') || ':' || md5(c.body), '|' order by c.id), '') as comments
+from articles a left join comments c on c.article_id = a.id
+where a.id in (select article_id from comment_requests) group by a.id, a.title, coalesce(c.id // {A.PAGE_IDS}, 0)"""))
+def q_article_payload(spark, sf_dir):
+    """A3: the requested articles with their comments nested (shown as one digest per list)."""
+    p = A.nest_comments(FX.articles(spark, sf_dir), FX.comments(spark, sf_dir), FX.comment_requests(spark, sf_dir))
+    line = F.transform("comments", lambda c: F.concat(c["id"].cast("string"), F.lit(":"), F.coalesce(c["author_name"], F.lit("-")),
+                                                     F.lit(":"), F.md5(c["body"])))
+    return p.select("id", "title", "page", F.size("comments").cast("long").alias("n_comments"), F.array_join(line, "|").alias("comments"))
 
 
 @query("cascade_delete", sql=with_ctes(f"""
@@ -127,7 +145,7 @@ from articles where id not in (select id from reindex_set)"""))
 def q_reindex(spark, sf_dir):
     """U4: re-clean, re-embed and refresh the preview of the articles that got comments."""
     arts = FX.articles(spark, sf_dir)
-    ids = arts.join(FX.comment_requests(spark, sf_dir), F.col("id") == F.col("article_id"), "left_semi").select("id")
+    ids = materialize(arts.join(FX.comment_requests(spark, sf_dir), F.col("id") == F.col("article_id"), "left_semi").select("id"))
     out = A.reindex(arts, ids)
     flag = out.join(ids.withColumn("reindexed", F.lit(True)), "id", "left")
     return flag.select(
@@ -137,6 +155,12 @@ def q_reindex(spark, sf_dir):
     )
 
 
+@query("reindex_missing", sql=with_ctes("select distinct article_id from comment_requests where article_id not in (select id from articles)"))
+def q_reindex_missing(spark, sf_dir):
+    """U4: requested ids that no article has are reported."""
+    return A.missing_ids(FX.articles(spark, sf_dir), FX.comment_requests(spark, sf_dir), "article_id")
+
+
 cte("comments_valid", f"""
 select request_id, article_id, nullif(author_name, '') as author_name, {S.py_strip('body')} as body,
        case when body is null or {S.py_strip('body')} = '' then 'body_blank'
@@ -196,3 +220,22 @@ def q_article_view(spark, sf_dir):
     return out.select(F.col("rank").cast("long").alias("rank"), "id", "source", "title", "similarity_display",
                       F.col("_h.t").alias("subject_title"), F.col("_h.p").alias("subject_published"),
                       F.col("_h.b").alias("subject_body"))
+
+
+cte("comments_new", f"""
+select (select max(id) from comments) + row_number() over (order by article_id % 2, request_id) as id, article_id, author_name, body,
+       {INGEST_TS} as created_at
+from comments_valid where reject_reason is null and article_id in (select id from articles)""")
+
+
+@query("comments_store", sql=with_ctes(f"""
+select id, article_id, author_name, body, {sql_ts('created_at')} as created_at
+from (select * from comments union all select * from comments_new)"""))
+def q_comments_store(spark, sf_dir):
+    """The stored comment table after two batches of requests (even article ids, then odd)."""
+    store = SnapshotStore(spark, scratch_path(spark, "runs", f"comments-{uuid.uuid4().hex[:12]}"), schema=C.COMMENT_SCHEMA)
+    store.commit(FX.comments(spark, sf_dir))
+    requests, arts = FX.comment_requests(spark, sf_dir), FX.articles(spark, sf_dir).select("id")
+    for odd in (0, 1):
+        C.append_to(store, requests.filter(F.col("article_id") % 2 == odd), arts, FX.ingest_ts(), ("requests", odd))
+    return store.read().select("id", "article_id", "author_name", "body", ts_str("created_at").alias("created_at"))

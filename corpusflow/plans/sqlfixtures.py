@@ -78,7 +78,8 @@ select 'https://feeds.example.invalid/' || cast(p.page_id % 5 as varchar) as fee
             else 'guid-' || cast(p.page_id as varchar) end as id,
        cast(null as varchar) as guid,
        case when p.page_id % 11 = 0 then '' else p.url end as link,
-       case when p.page_id % 17 = 0 then null else regexp_extract(p.html, '<title>([^<]*)</title>', 1) end as title,
+       case when p.page_id % 17 = 0 then null when p.page_id % 37 = 0 then rpad(regexp_extract(p.html, '<title>([^<]*)</title>', 1), 513, 'x')
+            else regexp_extract(p.html, '<title>([^<]*)</title>', 1) end as title,
        case when p.page_id % 3 = 0 then null else p.html end as content_value,
        case when p.page_id % 19 = 0 then null else p.html end as summary,
        case when p.page_id % 23 = 0 then null
@@ -105,7 +106,9 @@ select feed_url, feed_pos, entry_pos, source, guid, link, title,
        {S.make_preview("clean")} as content_preview,
        coalesce(published_parsed, {INGEST_TS}) as published_at,
        published_parsed is not null as published_ok,
-       case when guid is null then 'no_guid' when link is null or link = '' then 'no_link' end as reject_reason
+       case when guid is null then 'no_guid' when link is null or link = '' then 'no_link'
+            when length(source) > 255 then 'source_too_long' when length(guid) > 1024 then 'rss_guid_too_long'
+            when length(title) > 512 then 'title_too_long' when length(link) > 1024 then 'url_too_long' end as reject_reason
 from entries_clean0""")
 
 cte("entries_valid", "select * exclude (reject_reason) from entries_norm where reject_reason is null")

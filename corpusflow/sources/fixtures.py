@@ -56,7 +56,10 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("id"),
         F.lit(None).cast("string").alias("guid"),
         F.when(pid % 11 == 0, F.lit("")).otherwise(F.col("url")).alias("link"),
-        F.when(pid % 17 == 0, F.lit(None)).otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"),
+        F.when(pid % 17 == 0, F.lit(None))
+        .when(pid % 37 == 0, F.rpad(F.regexp_extract("html", "<title>([^<]*)</title>", 1), 513, "x"))
+        .otherwise(F.regexp_extract("html", "<title>([^<]*)</title>", 1))
+        .alias("title"),
         F.when(content_value.isNull(), F.array().cast("array<struct<value:string>>"))
         .otherwise(F.array(F.struct(content_value.alias("value"))))
         .alias("content"),

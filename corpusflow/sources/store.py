@@ -1,4 +1,4 @@
-"""Versioned Parquet snapshots of the article table (the article sink).
+"""Versioned Parquet snapshots of a table keyed by a long ``id`` (articles, comments).
 
 Layout under ``root``::
 
@@ -23,9 +23,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusflow.operators.joins import broadcast_if_small
-from corpusflow.operators.upsert import ARTICLE_COLUMNS
 
 ARTICLE_SCHEMA = (
     "id long, source string, rss_guid string, title string, url string, content string, content_preview string, "
@@ -38,8 +38,11 @@ class CommitConflict(RuntimeError):
 
 
 class SnapshotStore:
-    def __init__(self, spark: SparkSession, root: str, part_rows: int = 1_000_000, files_per_part: int = 16):
+    def __init__(self, spark: SparkSession, root: str, part_rows: int = 1_000_000, files_per_part: int = 16,
+                 schema: str = ARTICLE_SCHEMA):
         self.spark = spark
+        self.schema = schema
+        self.columns = T.StructType.fromDDL(schema).names
         self.root = root.rstrip("/")
         self.part_rows = part_rows
         # a part of a million articles is several GB: it is written by this many tasks
@@ -95,15 +98,15 @@ class SnapshotStore:
 
     # ------------------------------------------------------------- reads and commits
     def max_id(self) -> int:
-        """Highest article id ever committed (kept in the manifest, no scan)."""
+        """Highest id ever committed (kept in the manifest, no scan)."""
         return int(self.manifest().get("max_id") or 0)
 
     def read(self, version: int | None = None) -> DataFrame:
         m = self.manifest(version)
         paths = [f"{self.root}/data/{d}/part={k}" for k, d in sorted(m["parts"].items(), key=lambda kv: int(kv[0]))]
         if not paths:
-            return self.spark.createDataFrame([], ARTICLE_SCHEMA)
-        return self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths).select(*ARTICLE_COLUMNS)
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*paths).select(*self.columns)
 
     def rows(self, ids: DataFrame) -> DataFrame:
         """The stored rows with these ids (a materialised frame), from the parts that hold them."""
@@ -111,8 +114,8 @@ class SnapshotStore:
         touched = [str(r[0]) for r in ids.select(self.part_of().alias("part")).distinct().collect()]
         paths = [f"{self.root}/data/{m['parts'][k]}/part={k}" for k in sorted(touched) if k in m["parts"]]
         if not paths:
-            return self.spark.createDataFrame([], ARTICLE_SCHEMA)
-        stored = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*paths).select(*ARTICLE_COLUMNS)
+            return self.spark.createDataFrame([], self.schema)
+        stored = self.spark.read.schema(self.schema).parquet(*paths).select(*self.columns)
         return stored.join(broadcast_if_small(ids.select("id"), ready=True), "id", "left_semi")
 
     def part_of(self, id_col="id"):
@@ -131,7 +134,7 @@ class SnapshotStore:
         return self.spark.read.parquet(f"{self.root}/_runs/{name}")
 
     def commit(self, changes: DataFrame, batch: tuple[str, int] | None = None) -> int:
-        """Apply changed rows (inserted and updated articles, full rows keyed by id).
+        """Apply changed rows (inserted and updated, full rows keyed by id).
 
         ``batch`` is (id of the streaming query, number of its batch); the manifest keeps the
         highest number committed by each query. Returns the new version, or the current one
@@ -141,7 +144,7 @@ class SnapshotStore:
         m = self.manifest()
         if batch is not None and self.committed(batch, m):
             return m["version"]
-        changes = changes.select(*ARTICLE_COLUMNS).withColumn("part", self.part_of())
+        changes = changes.select(*self.columns).withColumn("part", self.part_of())
         # the touched part numbers: at most (table size / part_rows) small integers
         touched = sorted(r[0] for r in changes.select("part").distinct().collect())
         if not touched:
@@ -152,8 +155,8 @@ class SnapshotStore:
         old_paths = [f"{self.root}/data/{m['parts'][str(k)]}/part={k}" for k in touched if str(k) in m["parts"]]
         rewrite = changes
         if old_paths:
-            old = self.spark.read.schema(ARTICLE_SCHEMA).parquet(*old_paths).withColumn("part", self.part_of())
-            kept = old.join(broadcast_if_small(changes.select("id"), ready=True), "id", "left_anti").select(*ARTICLE_COLUMNS, "part")
+            old = self.spark.read.schema(self.schema).parquet(*old_paths).withColumn("part", self.part_of())
+            kept = old.join(broadcast_if_small(changes.select("id"), ready=True), "id", "left_anti").select(*self.columns, "part")
             rewrite = kept.unionByName(changes)
         salt = F.pmod(F.xxhash64("id"), F.lit(self.files_per_part))
         rewrite.repartition(F.col("part"), salt).write.partitionBy("part").parquet(

@@ -6,12 +6,14 @@ from corpusflow.operators.embed import embed, hashing_vector
 def test_plugin_embedder_keeps_order_and_nulls(spark):
     df = spark.createDataFrame([(1, "a bb"), (2, None), (3, "ccc")], "id long, text string")
 
-    def model(texts):  # stand-in for a real model: one vector per text, order kept
-        return [[float(len(t)), 1.0] for t in texts]
+    def make():  # stand-in for a real model: one vector per text, order kept
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
 
-    out = {r.id: list(r.embedding) for r in embed(df, "text", embedder=model).collect()}
+    embedded = embed(df, "text", embedder=make)
+    out = {r.id: list(r.embedding) for r in embedded.collect()}
     assert out == {1: [4.0, 1.0], 2: [0.0, 1.0], 3: [3.0, 1.0]}
-    assert df.columns == ["id", "text"]
+    assert embedded.columns == ["id", "text", "embedding"]
+    assert embed(df.limit(0), "text", embedder=make).count() == 0
 
 
 def test_hashing_embedder_is_deterministic_and_unit_length(spark):

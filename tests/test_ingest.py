@@ -91,6 +91,13 @@ def test_keys_defaults_and_rejections(spark):
     assert n[5].reject_reason == "no_guid"
 
 
+def test_overlong_keys_are_rejected_with_the_column(spark):
+    rows = [dict(id="g" * 1024, link="l" * 1024, title="t" * 512), dict(id="g" * 1025, link="l"), dict(id="g", link="l", title="t" * 513),
+            dict(id="g", link="l" * 1025), dict(id="g" * 1025, link="")]
+    n = {r.entry_pos: r.reject_reason for r in E.normalize_entries(raw(spark, rows), ts()).collect()}
+    assert n == {0: None, 1: "rss_guid_too_long", 2: "title_too_long", 3: "url_too_long", 4: "no_link"}
+
+
 def test_dedupe_last_occurrence_wins(spark):
     rows = [dict(id="g", link="https://l/1", title="first", feed_pos=0, entry_pos=0),
             dict(id="g", link="https://l/1", title="second", feed_pos=1, entry_pos=0),
