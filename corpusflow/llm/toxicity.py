@@ -15,12 +15,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import let, text_of
+from corpusflow.llm.common import let, stored, text_of
 
 STEMS = (3, 4, 5, 6, 7)  # lengths of the beginnings that count as terms
 SLOTS = 1 << 20          # hash slots
 FACTORS = 4
 TRAIN_ROWS = 4_000       # bound of the training sample, per label
+SAMPLE_FILES = 8         # the sample's terms are stored in so many files
 MIN_DF = 5               # a term in fewer training texts gets no weight
 MIN_Z, MIN_RATIO = 3.0, 2.0     # terms that differ less between the labels get no weight
 THRESHOLD = 0.3
@@ -133,7 +134,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, slots: int = S
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           rows_per_label: int = TRAIN_ROWS) -> FactorizationMachine:
     """Fit on at most ``rows_per_label`` rows of either label, the smallest by a hash of their
-    id; held-out rows are never read. An id labelled twice counts with its largest label."""
+    id; held-out rows are never read. An id labelled twice counts with its largest label, and one
+    with several texts with the text of the smallest hash."""
     known = (labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id is not null and y in (0, 1)")
              .filter(~held_out("id")).groupBy("id").agg(F.max("y").alias("y")))
     n = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -148,7 +150,25 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = docs.sparkSession.createDataFrame([(r["id"], int(r["y"])) for r in picked], "id long, y int")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # at most 2 * rows_per_label ids: a proven bound
-    feats = texts.join(F.broadcast(sample), "id").select("id", "y", terms(F.col("text")).alias("t")).toArrow()
+    feats = texts.join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("text").alias("k"), terms(F.col("text")).alias("t"))
+    # one row per id, whatever number of rows carries it: at most 2 * rows_per_label rows
+    feats = stored(feats.groupBy("id", "y").agg(F.min_by("t", "k").alias("t")), SAMPLE_FILES)
+    # texts may be long: the terms are judged in the cluster, and only the informative ones are sent
+    per_slot = feats.select("y", F.explode("t").alias("s")).groupBy("s").agg(
+        *[F.count_if(F.col("y") == y).alias(f"n{y}") for y in (0, 1)]).filter(F.col("n0") + F.col("n1") >= MIN_DF).toArrow()
+    df = np.zeros((2, SLOTS))
+    for y in (0, 1):
+        df[y, np.asarray(per_slot["s"], dtype=np.int64)] = np.asarray(per_slot[f"n{y}"])
+    texts_of = {r["y"]: r["n"] for r in feats.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted = np.zeros(SLOTS, bool)
+    wanted[informative(df, np.array([texts_of.get(0, 0), texts_of.get(1, 0)]))] = True
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+
+    @F.pandas_udf("array<int>")
+    def told(t: pd.Series) -> pd.Series:
+        return t.map(lambda s: s[shared.value[s]])
+
+    feats = feats.select("id", "y", told("t").alias("t")).toArrow()
     order = np.argsort(np.asarray(feats["id"], dtype=np.int64), kind="stable")
     rows = [np.asarray(x.values, dtype=np.int32) for x in feats["t"]]
     y = np.asarray(feats["y"], dtype=np.float64)
