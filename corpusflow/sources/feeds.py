@@ -1,6 +1,6 @@
 """Landed RSS / Atom feed files -> feed documents with nested entries.
 
-One row per feed file (``rowTag`` ``channel`` for RSS, ``feed`` for Atom), read with an
+One row per feed file (``rowTag`` ``channel`` for RSS, ``feed`` for Atom, ``rdf:RDF`` for RSS 1.0), read with an
 explicit schema (never inferred) so the entry struct is stable. RSS ``item`` and Atom
 ``entry`` are mapped to the entry fields the normaliser reads:
 ``id, guid, link, title, content array<struct<value>>, summary, published, updated``.
@@ -20,7 +20,11 @@ RSS_SCHEMA = (
 )
 ATOM_SCHEMA = (
     "title string, entry array<struct<id: string, link: array<struct<_href: string, _rel: string>>, title: string, "
-    "summary: string, content: struct<_VALUE: string>, published: string, updated: string>>, _corrupt_record string"
+    "summary: string, content: string, published: string, updated: string>>, _corrupt_record string"
+)
+RDF_SCHEMA = (
+    "channel struct<title: string>, item array<struct<`_rdf:about`: string, link: string, title: string, "
+    "description: string, `content:encoded`: string, `dc:date`: string>>, _corrupt_record string"
 )
 ENTRY_TYPE = (
     "array<struct<id: string, guid: string, link: string, title: string, content: array<struct<value: string>>, "
@@ -61,6 +65,27 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
                      F.col("_corrupt_record").isNotNull().alias("failed"))
 
 
+def read_rdf(spark: SparkSession, path: str) -> DataFrame:
+    """RSS 1.0: items stand beside the channel, are named by ``rdf:about`` and dated by ``dc:date``."""
+    df = _read(spark, path, "rdf:RDF", RDF_SCHEMA)
+    entries = F.transform(
+        F.coalesce("item", F.array()),
+        lambda i: F.struct(
+            i.getField("_rdf:about").alias("id"),
+            F.lit(None).cast("string").alias("guid"),
+            i["link"].alias("link"),
+            i["title"].alias("title"),
+            F.when(i.getField("content:encoded").isNotNull(), F.array(F.struct(i.getField("content:encoded").alias("value"))))
+            .otherwise(F.array().cast("array<struct<value:string>>")).alias("content"),
+            i["description"].alias("summary"),
+            F.lit(None).cast("string").alias("published"),
+            i.getField("dc:date").alias("updated"),
+        ),
+    )
+    return df.select("feed_url", F.col("channel.title").alias("feed_title"), entries.cast(ENTRY_TYPE).alias("entries"),
+                     F.col("_corrupt_record").isNotNull().alias("failed"))
+
+
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
     df = _read(spark, path, "feed", ATOM_SCHEMA)
 
@@ -75,7 +100,8 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
             F.lit(None).cast("string").alias("guid"),
             href(e["link"]).alias("link"),
             e["title"].alias("title"),
-            F.when(e["content"]["_VALUE"].isNotNull(), F.array(F.struct(e["content"]["_VALUE"].alias("value"))))
+            # escaped html, plain text, or the markup of an XHTML body
+            F.when(e["content"].isNotNull(), F.array(F.struct(e["content"].alias("value"))))
             .otherwise(F.array().cast("array<struct<value:string>>")).alias("content"),
             e["summary"].alias("summary"),
             e["published"].alias("published"),
@@ -87,7 +113,7 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
 
 
 def feed_documents(spark: SparkSession, rss_path: str | None = None, atom_path: str | None = None,
-                   feed_order: DataFrame | None = None) -> DataFrame:
+                   feed_order: DataFrame | None = None, rdf_path: str | None = None) -> DataFrame:
     """All landed feed documents with ``feed_pos``: the position in ``feed_order``
     (``feed_url, pos``, e.g. the exploded feed list) or, without it, file-name order."""
     parts = []
@@ -95,6 +121,8 @@ def feed_documents(spark: SparkSession, rss_path: str | None = None, atom_path:
         parts.append(read_rss(spark, rss_path))
     if atom_path:
         parts.append(read_atom(spark, atom_path))
+    if rdf_path:
+        parts.append(read_rdf(spark, rdf_path))
     if not parts:
         raise ValueError("no feed path given")
     docs = parts[0]

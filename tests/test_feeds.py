@@ -49,3 +49,31 @@ def test_missing_or_broken_feed_is_failed(spark, scratch):
     assert per_file["good.xml"].n_entries == 2 and not per_file["good.xml"].failed
     if "broken.xml" in per_file:  # a corrupt document parses to a corrupt record with no entries
         assert per_file["broken.xml"].failed
+
+
+def test_rdf_items_and_xhtml_content(spark, scratch):
+    import os
+
+    from corpusflow.sources.feeds import feed_documents
+
+    for name, text in (
+        ("rdf", '''<?xml version="1.0"?><rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#"
+            xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">
+            <channel rdf:about="https://c"><title>Old feed</title></channel>
+            <item rdf:about="https://l/1"><title>one</title><link>https://l/1</link><description>d &lt;b&gt;e&lt;/b&gt;</description>
+            <dc:date>2024-01-02T03:04:05Z</dc:date></item><item rdf:about="https://l/2"><title>two</title><link>https://l/2</link></item>
+            </rdf:RDF>'''),
+        ("atom", '''<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>New feed</title>
+            <entry><id>x</id><link href="https://l/3"/><title>three</title>
+            <content type="xhtml"><div xmlns="http://www.w3.org/1999/xhtml"><p>Hello <b>bold</b> text</p></div></content></entry>
+            <entry><id>y</id><link href="https://l/4"/><title>four</title><content type="html">&lt;p&gt;a &amp;amp; b&lt;/p&gt;</content></entry>
+            </feed>'''),
+    ):
+        os.makedirs(f"{scratch}/{name}")
+        with open(f"{scratch}/{name}/f.xml", "w") as f:
+            f.write(text)
+    docs = feed_documents(spark, rdf_path=f"{scratch}/rdf", atom_path=f"{scratch}/atom")
+    n = {r.link: r for r in E.normalize_entries(E.flatten_feeds(docs), F.lit("2020-01-01").cast("timestamp")).collect()}
+    assert (n["https://l/1"].guid, n["https://l/1"].source, n["https://l/1"].content_clean) == ("https://l/1", "Old feed", "d e")
+    assert str(n["https://l/1"].published_at) == "2024-01-02 03:04:05" and not n["https://l/2"].published_ok
+    assert n["https://l/3"].content_clean == "Hello bold text" and n["https://l/4"].content_clean == "a & b"
