@@ -1,7 +1,10 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(b + sum_i w_i + 1/2 sum_f ((sum_i v_if)^2 - sum_i v_if^2)) over the distinct
-terms of a text, so pairs of terms add their own evidence. Terms are lower-cased runs of
+score = sigmoid(b + sum_i w_i + 1/2 sum_f c_f ((sum_i v_if)^2 - sum_i v_if^2)) over the k distinct
+known terms of a text, so pairs of terms add their own evidence. The first half of the factors
+belongs to terms that tell the labels apart alone (c = 1), the second to all frequent terms, so
+that pairs of terms that alone say nothing count too; there c = 1 / sqrt(k) keeps the many pairs
+of a long text from adding up. Terms are lower-cased runs of
 letters or digits and their beginnings (which carries inflected and compounded forms),
 hashed on the JVM; a task scores a batch with a few NumPy reductions.
 """
@@ -19,11 +22,11 @@ from corpusflow.llm.common import let, stored, text_of
 
 STEMS = (3, 4, 5, 6, 7)  # lengths of the beginnings that count as terms
 SLOTS = 1 << 20          # hash slots
-FACTORS = 4
+FACTORS = 4              # of either half
 TRAIN_ROWS = 4_000       # bound of the training sample, per label
 SAMPLE_FILES = 8         # the sample's terms are stored in so many files
-MIN_DF = 5               # a term in fewer training texts gets no weight
-MIN_Z, MIN_RATIO = 3.0, 2.0     # terms that differ less between the labels get no weight
+MIN_DF = 5               # a term in fewer training texts gets neither a weight nor factors
+MIN_Z, MIN_RATIO = 3.0, 2.0     # terms that differ less between the labels get no weight and half of the factors
 THRESHOLD = 0.3
 HELD_OUT = 2             # rows whose crc32(doc_id) mod 4 is this are never trained on
 
@@ -62,7 +65,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 @dataclass
 class FactorizationMachine:
-    """``index`` maps a hash slot to a row of ``w`` and ``v`` (-1: no weight)."""
+    """``index`` maps a hash slot to a row of ``w`` and ``v`` (-1: neither)."""
 
     index: np.ndarray
     b: float
@@ -76,14 +79,19 @@ class FactorizationMachine:
             k = k[k >= 0]
             if len(k):
                 v = self.v[k]
-                out[i] += self.w[k].sum(dtype=np.float64) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)).sum())
+                out[i] += self.w[k].sum(dtype=np.float64) + 0.5 * float((v.sum(0) ** 2 - (v * v).sum(0)) @ halves(len(k), v.shape[1]))
         return out
 
 
+def halves(k: int, width: int) -> np.ndarray:
+    """c of each factor, for a text of k known terms."""
+    return np.repeat((1.0, 1 / np.sqrt(max(k, 1))), width // 2)
+
+
 def informative(df: np.ndarray, n: np.ndarray, min_df: int = MIN_DF, z: float = MIN_Z, ratio: float = MIN_RATIO) -> np.ndarray:
-    """Slots that tell the labels apart: ``df[y]`` counts the texts of label y that hold a slot.
-    A slot stays if its shares differ by ``z`` standard errors and by the factor ``ratio``;
-    all other terms would only add the noise of a long text's many words."""
+    """Slots that tell the labels apart alone: ``df[y]`` counts the texts of label y that hold a
+    slot. A slot is one if its shares differ by ``z`` standard errors and by the factor ``ratio``;
+    all others' weights would only add the noise of a long text's many words."""
     p0, p1 = (df[0] + 0.5) / (n[0] + 1), (df[1] + 0.5) / (n[1] + 1)
     p = (df.sum(0) + 1) / (n.sum() + 2)
     error = np.sqrt(p * (1 - p) * (1 / max(n[0], 1) + 1 / max(n[1], 1)))
@@ -91,21 +99,26 @@ def informative(df: np.ndarray, n: np.ndarray, min_df: int = MIN_DF, z: float =
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, slots: int = SLOTS, factors: int = FACTORS,
-        epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, min_df: int = MIN_DF, seed: int = 7) -> FactorizationMachine:
-    """AdaGrad on the logistic loss, over a bounded sample. ``prior`` is the share of label 1
-    among all training labels; the bias is shifted from the sample's share to it."""
+        epochs: int = 12, rate: float = 0.1, l2: float = 2e-3, min_df: int = MIN_DF, seed: int = 7,
+        pair_rate: float = 0.015) -> FactorizationMachine:
+    """AdaGrad on the logistic loss, over a bounded sample. Every term of ``min_df`` texts has
+    the second half of the factors, informative ones the first and a weight too. ``prior`` is the share of label 1 among all training
+    labels; the bias is shifted from the sample's share to it."""
     df = np.zeros((2, slots))
     for r, y in zip(rows, labels):
         df[int(y), np.asarray(r, dtype=np.int64)] += 1
-    used = informative(df, np.array([(labels == 0).sum(), (labels == 1).sum()]), min_df)
+    used = np.flatnonzero(df.sum(0) >= min_df)
+    alone = np.isin(used, informative(df, np.array([(labels == 0).sum(), (labels == 1).sum()]), min_df))
     index = np.full(slots, -1, np.int32)
     index[used] = np.arange(len(used), dtype=np.int32)
     rng = np.random.default_rng(seed)
     w = np.zeros(len(used))
-    v = rng.normal(0, 0.01, (len(used), factors))
+    own = np.concatenate((np.repeat(alone[:, None], factors, 1), np.ones((len(used), factors), bool)), 1)
+    v = rng.normal(0, 0.01, own.shape) * own
+    step = np.repeat((rate, pair_rate), factors)
     share = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     b = float(np.log(share / (1 - share)))
-    gw, gv, gb = np.full(len(used), 1e-3), np.full((len(used), factors), 1e-3), 1e-3
+    gw, gv, gb = np.full(len(used), 1e-3), np.full(v.shape, 1e-3), 1e-3
     data = [index[np.asarray(r, dtype=np.int64)] for r in rows]
     data = [d[d >= 0] for d in data]
     for _ in range(epochs if len(used) and 0 < labels.sum() < len(labels) else 0):
@@ -113,19 +126,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, slots: int = S
             k = data[i]
             vk = v[k]
             s = vk.sum(0)
-            m = b + w[k].sum() + 0.5 * float((s * s - (vk * vk).sum(0)).sum())
+            c = halves(len(k), v.shape[1])
+            m = b + w[k].sum() + 0.5 * float((s * s - (vk * vk).sum(0)) @ c)
             g = 1 / (1 + np.exp(-np.clip(m, -30, 30))) - labels[i]
             gb += g * g
             b -= rate * g / np.sqrt(gb)
             if len(k):
-                # a long text has many terms: its step is shared among them
-                scale = g / np.sqrt(len(k))
-                d = scale + l2 * w[k]
+                # a long text has many terms: its step is shared among them, in either half
+                told = alone[k]
+                scale = g / np.sqrt(max(told.sum(), 1))
+                d = (scale + l2 * w[k]) * told
                 gw[k] += d * d
                 w[k] -= rate * d / np.sqrt(gw[k])
-                d = scale * (s - vk) + l2 * vk
+                scale = np.repeat((scale, g / np.sqrt(len(k))), factors)
+                d = (scale * c * (s - vk) + l2 * vk) * own[k]
                 gv[k] += d * d
-                v[k] = vk - rate * d / np.sqrt(gv[k])
+                v[k] = vk - step * d / np.sqrt(gv[k])
     p = float(np.clip(prior, 1e-6, 1 - 1e-6))
     b += float(np.log(p / (1 - p)) - np.log(share / (1 - share)))
     return FactorizationMachine(index, b, w.astype(np.float32), v.astype(np.float32))
@@ -153,22 +169,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     feats = texts.join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("text").alias("k"), terms(F.col("text")).alias("t"))
     # one row per id, whatever number of rows carries it: at most 2 * rows_per_label rows
     feats = stored(feats.groupBy("id", "y").agg(F.min_by("t", "k").alias("t")), SAMPLE_FILES)
-    # texts may be long: the terms are judged in the cluster, and only the informative ones are sent
-    per_slot = feats.select("y", F.explode("t").alias("s")).groupBy("s").agg(
-        *[F.count_if(F.col("y") == y).alias(f"n{y}") for y in (0, 1)]).filter(F.col("n0") + F.col("n1") >= MIN_DF).toArrow()
-    df = np.zeros((2, SLOTS))
-    for y in (0, 1):
-        df[y, np.asarray(per_slot["s"], dtype=np.int64)] = np.asarray(per_slot[f"n{y}"])
-    texts_of = {r["y"]: r["n"] for r in feats.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # texts may be long: the terms are counted in the cluster, and only the frequent ones are sent
+    per_slot = feats.select(F.explode("t").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= MIN_DF).toArrow()
     wanted = np.zeros(SLOTS, bool)
-    wanted[informative(df, np.array([texts_of.get(0, 0), texts_of.get(1, 0)]))] = True
+    wanted[np.asarray(per_slot["s"], dtype=np.int64)] = True
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     @F.pandas_udf("array<int>")
-    def told(t: pd.Series) -> pd.Series:
+    def frequent(t: pd.Series) -> pd.Series:
         return t.map(lambda s: s[shared.value[s]])
 
-    feats = feats.select("id", "y", told("t").alias("t")).toArrow()
+    feats = feats.select("id", "y", frequent("t").alias("t")).toArrow()
     order = np.argsort(np.asarray(feats["id"], dtype=np.int64), kind="stable")
     rows = [np.asarray(x.values, dtype=np.int32) for x in feats["t"]]
     y = np.asarray(feats["y"], dtype=np.float64)

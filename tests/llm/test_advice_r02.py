@@ -40,3 +40,33 @@ def test_lm_score_counts_more_bigrams_than_any_fixed_table(spark, monkeypatch):
             each = [-math.log((c[2]((u, w)) + m.STRENGTH * (c[0](w) + 1) / (n + vocabulary)) / (c[1](u) + m.STRENGTH))
                     for u, w in zip(["^", *ws], ws)]
             assert loss == pytest.approx(sum(each) / len(each), abs=1e-9)
+
+
+def test_toxicity_learns_pairs_of_terms_that_say_nothing_alone(spark):
+    import numpy as np
+
+    from corpusflow.llm import toxicity
+
+    r = np.random.default_rng(1)
+    texts, labels = [], []
+    for i in range(3_000):                  # toxic only where both meet or neither is there
+        a, b = r.random(2) < 0.5
+        filler = " ".join(f"{'abcdefghij'[x % 10]}{'klmnopqrst'[x // 10 % 10]}" for x in r.integers(0, 100, 6))
+        texts.append((i, f"{'ux' if a else 'uy'} {'vx' if b else 'vy'} {filler}"))
+        labels.append((i, int(a == b)))
+    got = toxicity.detect(docs(spark, texts, extra=False), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(x.score >= 0.5, labels[x.doc_id][1]) for x in got if x.held_out]
+    toxic = [p for p, y in held if y == 1]
+    clean = [p for p, y in held if y == 0]
+    assert len(toxic) > 200 and sum(toxic) / len(toxic) > 0.9 and sum(clean) / len(clean) < 0.1
+
+
+def test_toxicity_held_out_recall(spark):
+    from corpusflow.llm.queries import op2_toxicity
+
+    sf = "/root/testdata/sf0.1"
+    rows = op2_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
+    toxic = [x.predicted for x in rows if x.toxic == 1]
+    clean = [x.predicted for x in rows if x.toxic == 0]
+    print(f"held out: {sum(toxic)} of {len(toxic)} toxic, {sum(clean)} of {len(clean)} clean")
+    assert sum(toxic) / len(toxic) > 0.7 and sum(clean) / len(clean) < 0.01
