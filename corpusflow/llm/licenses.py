@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text's canonical form has lower case, no punctuation, no copyright lines, single spaces
+A text's canonical form has lower case, no punctuation, no copyright notices, single spaces
 and one spelling of equivalent words; its SHA-256 is looked up among the digests of known
 licences. Whole texts and, for notices inside other texts, single lines are looked up.
 """
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import lru_cache
+from importlib.resources import files
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -68,7 +70,7 @@ BSD_3 = BSD_2.replace(
     "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote"
     " products derived from this software without specific prior written permission.\n\nTHIS SOFTWARE")
 
-# licence texts and one-line notices; callers can pass their own (license_id, text) frame
+# short licence texts and one-line notices; ``known_texts`` adds the long ones
 KNOWN: list[tuple[str, str]] = [
     ("MIT", MIT), ("MIT", MIT.split("\n\n", 1)[1]),
     ("ISC", ISC), ("ISC", ISC.split("\n\n", 1)[1]),
@@ -83,15 +85,21 @@ KNOWN: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC0-1.0", "Released under CC0 1.0."),
 ]
 
-_COPYRIGHT = re.compile(r"\s*(?:all rights reserved\b.*|(?:portions\s+)?(?:copyright\b|\(c\)|©).*)", re.S)
+# a copyright line is a notice: a year, a placeholder, a sign or a holder's name follows the word
+_COPYRIGHT = re.compile(
+    r"\s*(?:(?i:all\s+rights\s+reserved\b)"
+    r"|(?:(?i:portions)\s+)?(?:(?i:copyright\W*(?:\(c\)|©|\d|<|\[|yyyy|year\b|by\b))|©|(?i:\(c\)\W*copyright)|\([cC]\).*\b(?:19|20)\d\d\b"
+    r"|Copyright:?\s+(?!(?i:notice|holder|owner|licen[sc]e|law|act|statement|right|and)s?\b)(?:[Tt]he\s+)?[A-Z]))")
+_END = re.compile(r"^[ ]*(?:END OF TERMS AND CONDITIONS|ADDENDUM: How to use)", re.M)
 _WORD = re.compile(r"[^\W_]+")
 
 
 def canonical(text: str | None) -> str:
     """The canonical form (empty if nothing but copyright lines and punctuation is there)."""
-    low = (text or "").lower()
+    text = text or ""
+    low = text.lower()
     if "copyright" in low or "(c)" in low or "©" in low or "all rights reserved" in low:
-        low = "\n".join(x for x in low.split("\n") if not _COPYRIGHT.match(x))
+        low = "\n".join(x for x in text.split("\n") if not _COPYRIGHT.match(x)).lower()
     return " ".join([EQUIVALENT.get(w, w) for w in _WORD.findall(low)])
 
 
@@ -100,10 +108,25 @@ def digest(text: str | None) -> bytes | None:
     return hashlib.sha256(form.encode("utf-8", "surrogatepass")).digest() if form else None
 
 
+@lru_cache
+def known_texts() -> list[tuple[str, str]]:
+    """``KNOWN`` and the full texts in ``license_texts``, each with and without its title and the
+    instructions after its terms, and their SPDX lines."""
+    out = list(KNOWN)
+    for file in sorted(files("corpusflow.llm").joinpath("license_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text("utf-8").strip("\n")
+        forms = [text]
+        if end := _END.search(text):
+            forms += [text[:end.start()], text[:text.index("\n", end.start())]]
+        out += [(name, x) for form in forms for x in (form, form.split("\n\n", 1)[1])]
+        out += [(name, f"SPDX-License-Identifier: {name}{x}") for x in ("", "-only", "-or-later", "+")]
+    return out
+
+
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] | DataFrame | None = None) -> DataFrame:
     """(digest, license_id) of the known texts; of two ids with one form the smaller stays."""
     if known is None or isinstance(known, list):
-        known = spark.createDataFrame(KNOWN if known is None else known, "license_id string, text string")
+        known = spark.createDataFrame(known_texts() if known is None else known, "license_id string, text string")
     udf = F.pandas_udf(lambda s: s.map(digest), "binary")
     return known.select(udf("text").alias("digest"), "license_id").filter("digest is not null").groupBy("digest").agg(
         F.min("license_id").alias("license_id"))

@@ -70,3 +70,33 @@ def test_toxicity_held_out_recall(spark):
     clean = [x.predicted for x in rows if x.toxic == 0]
     print(f"held out: {sum(toxic)} of {len(toxic)} toxic, {sum(clean)} of {len(clean)} clean")
     assert sum(toxic) / len(toxic) > 0.7 and sum(clean) / len(clean) < 0.01
+
+
+def test_licenses_known_as_whole_wrapped_texts(spark):
+    import re
+    import textwrap
+
+    from corpusflow.llm import licenses
+
+    def wrapped(text, width):
+        """Paragraphs without a copyright notice, wrapped anew."""
+        out = []
+        for para in re.split(r"\n\s*\n", text):
+            notice = re.search(r"(?im)^\s*copyright\W*(\(c\)|\[|<)", para)
+            out.append(para if notice else textwrap.fill(" ".join(para.split()), width, break_long_words=False, break_on_hyphens=False))
+        return "\n\n".join(out)
+
+    from pathlib import Path
+
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(texts)
+    texts |= {"MIT": licenses.MIT, "ISC": licenses.ISC, "0BSD": licenses.ZERO_BSD, "BSD-2-Clause": licenses.BSD_2, "BSD-3-Clause": licenses.BSD_3}
+    rows = [(name, w, wrapped(t, w)) for name, t in texts.items() for w in (40, 50, 60, 66, 72, 76, 80, 100)]
+    rows += [(name, 0, t) for name, t in texts.items()]
+    isc = licenses.ISC.replace("the above copyright notice", "the above\ncopyright notice")
+    rows += [("ISC", 1, isc), ("MIT", 1, licenses.MIT.replace("(c) <year> <copyright holders>", "Jane Doe")),
+             ("Apache-2.0", 1, texts["Apache-2.0"].split("APPENDIX")[0]), ("GPL-3.0", 1, texts["GPL-3.0"].split("How to Apply These")[0])]
+    found = {r.doc_id: r.license_id for r in licenses.scan(docs(spark, [(i, t) for i, (_, _, t) in enumerate(rows)], extra=False)).collect()}
+    assert [(n, w) for i, (n, w, _) in enumerate(rows) if found[i] != n] == []
+    assert licenses.canonical("copyright notice and this permission notice appear") and licenses.canonical("(c) You must retain")
+    assert not licenses.canonical("Copyright (C) 2007 Free Software Foundation") and not licenses.canonical("(c) 2020 Me")
