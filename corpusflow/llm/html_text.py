@@ -26,13 +26,16 @@ _TAG = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)(?:>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+_MAY_HIDE = re.compile(r"hidden|display", re.I)
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+_SHOWN_ON = re.compile(r"[\w-]+:(?:block|flex|grid|inline[\w-]*|table[\w-]*|contents)")   # shown from some width on
 _HUMP = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _PART = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
-RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "math", "object"))
-DROP = frozenset(("head", "select", "button", "option", "form", "label", "input", "dialog", "datalist", "canvas", "video", "audio"))
+RAW = frozenset(("script", "style", "noscript", "template", "iframe", "textarea", "title", "svg", "object"))
+DROP = frozenset(("head", "select", "button", "option", "form", "label", "input", "dialog", "datalist", "canvas", "video", "audio", "annotation", "annotation-xml"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -68,13 +71,28 @@ def _names(tag: str, attrs: str) -> tuple[str, ...]:
     out = [tag]
     if tag not in ("html", "body") and "=" in attrs:
         for a, b, c in _NAMES.findall(attrs):
-            for value in (a or b or c).split():
+            values = (a or b or c).split()
+            if "hidden" in values and any(map(_SHOWN_ON.fullmatch, values)):
+                values = [x for x in values if x != "hidden"]
+            for value in values:
                 parts = _PART.findall(_HUMP.sub("-", value).lower())
                 if parts:
                     out.append("." + "-".join(parts))
     return tuple(dict.fromkeys(out))
 
 
+def _hides(attrs: str) -> bool:
+    """Whether the attributes hidden, aria-hidden or style hide the element; the words in other
+    attributes' values say nothing."""
+    if not attrs or not _MAY_HIDE.search(attrs):
+        return False
+    for name, a, b, c in _ATTR.findall(attrs):
+        name, value = name.lower(), a or b or c
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (name == "style" and _NO_DISPLAY.search(value)):
+            return True
+    return False
+
+
 def read_page(page: str) -> tuple[list[_Run], list[int]]:
     """The page's runs, and the parent of each element (0 is the page, -1 its parent)."""
     runs: list[_Run] = []
@@ -117,7 +135,7 @@ def read_page(page: str) -> tuple[list[_Run], list[int]]:
             continue
         mark = ("@main",) if "data-main" in attrs else ()
         parents.append(stack[-1][0])
-        hard = stack[-1][3] or tag in DROP or bool(attrs and _HIDDEN.search(attrs))
+        hard = stack[-1][3] or tag in DROP or _hides(attrs)
         stack.append((len(parents) - 1, tag, (*stack[-1][2], _names(tag, attrs) + mark), hard))
     text(len(page))
     return runs, parents

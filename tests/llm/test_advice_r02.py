@@ -100,3 +100,25 @@ def test_licenses_known_as_whole_wrapped_texts(spark):
     assert [(n, w) for i, (n, w, _) in enumerate(rows) if found[i] != n] == []
     assert licenses.canonical("copyright notice and this permission notice appear") and licenses.canonical("(c) You must retain")
     assert not licenses.canonical("Copyright (C) 2007 Free Software Foundation") and not licenses.canonical("(c) 2020 Me")
+
+
+@pytest.mark.parametrize("attrs, shown", [
+    ('title="A hidden gem"', True), ('class="grid hidden lg:block"', True), ("data-x='aria-hidden=\"true\"'", True),
+    ("hidden", False), ('hidden=""', False), ("class=a aria-hidden=true", False), ('style="color:red; display: none"', False)])
+def test_html_text_reads_hiding_attributes_by_name(spark, attrs, shown):
+    from corpusflow.llm.html_text import extract
+
+    story = "The river rose in the night and the town woke to water in every street of the old quarter. " * 4
+    page = f"<html><body><nav><a>Home</a></nav><article {attrs}><h1>Flood</h1><p>{story}</p></article></body></html>"
+    df = spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")
+    assert ("water in every street" in extract(df).first().text) == shown
+
+
+def test_html_text_keeps_math(spark):
+    from corpusflow.llm.html_text import extract
+
+    story = "The energy of a body at rest follows from its mass by the relation that is shown here in the text. " * 3
+    math = "<math><mi>E</mi><mo>=</mo><mi>mcc</mi><annotation>TeXsource</annotation></math>"
+    page = f"<html><body><article><p>{story}{math} {story}</p></article></body></html>"
+    text = extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first().text
+    assert "E=mcc" in text and "TeXsource" not in text
