@@ -56,4 +56,52 @@ a as (select r, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n
 select d.doc_id, n_lines, n_dropped, sha256(kept) as kept_sha256 from d join a using (r)
 """
 
-ORACLE = {"op4_quality": OP4, "op5_decontam": OP5, "op10_line_dedup": OP10}
+OP11 = f"""
+with tab as (select list(list_reduce(range(0, 8), lambda c, k: if(c % 2 = 1, xor(c // 2, 3988292384), c // 2), b) order by b) as t from range(0, 256) r(b)),
+d as (select row_number() over () as r, doc_id, ws from (select doc_id, {_WORDS5} as ws from documents)),
+dw as (select r, unnest(ws) as w from d),
+tw as (select unnest(ws) as w from (select {_WORDS5} as ws from benchmark)),
+v as (select w, list_transform(range(1, length(hex(encode(w))), 2), lambda i: ('0x' || substr(hex(encode(w)), i, 2))::bigint) as bs
+      from (select w from dw union select w from tw)),
+crc as (select w, xor(list_reduce(bs, lambda c, b: xor(c // 256, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 10000 as b from v, tab),
+s as (select b, count(*) as n from dw join crc using (w) group by b),
+t as (select b, count(*) as n from tw join crc using (w) group by b),
+g as (select b, floor(1000 * ln((coalesce(t.n, 0) + 1)::double * ((select coalesce(sum(n), 0) from s) + 10000)::double
+        / ((s.n + 1)::double * ((select coalesce(sum(n), 0) from t) + 10000)::double)))::bigint as gain from s left join t using (b)),
+w as (select r, sum(gain)::bigint as weight from dw join crc using (w) join g using (b) group by r),
+sc as (select d.r, doc_id, len(ws)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::varchar, 'null')), 1, 8))::bigint + 0.5)::double
+    / 4294967296)))::bigint as score from d left join w using (r)),
+rk as (select r, row_number() over (order by score desc, doc_id asc nulls last) as k from sc where n_features >= 20)
+select doc_id, n_features, weight, score, if(k <= (select count(*) from rk) * 10 // 100, k, null)::bigint as rank from sc left join rk using (r)
+"""
+
+_NEAR12 = "min({'d': list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, 'k': k}) as a"
+
+
+def _mean12(i: int) -> str:
+    return f"""m{i} as (select p, k, list(m order by j) as c from
+  (select p, a.k as k, j, ((sum(x[j]) - (sum(x[j]) % count(*) + count(*)) % count(*)) / count(*))::bigint as m
+   from a{i}, w, unnest(range(1, w + 1)) u(j) group by p, a.k, j) group by p, k),
+c{i} as (select o.p, o.k, coalesce(m.c, o.c) as c from c{i - 1} o left join m{i} m using (p, k))"""
+
+
+OP12 = f"""
+with e0 as (select vec_id, label, list_transform(embedding, lambda x: floor(x::double * 256)::bigint) as v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = len(embedding)),
+e as (select row_number() over () as r, * from e0),
+w as (select any_value(len(v)) // 16 as w from e),
+p as (select r, p, list_slice(v, p * w + 1, p * w + w) as x from e, w, unnest(range(0, 16)) u(p)),
+first as (select r, row_number() over (order by vec_id, v) - 1 as k from e qualify k < 64),
+c0 as (select p, k, x as c from p join first using (r)),
+a1 as (select r, p, any_value(x) as x, {_NEAR12} from p join c0 using (p) group by r, p),
+{_mean12(1)},
+a2 as (select r, p, any_value(x) as x, {_NEAR12} from p join c1 using (p) group by r, p),
+{_mean12(2)},
+a3 as (select r, p, {_NEAR12} from p join c2 using (p) group by r, p),
+code as (select r, string_agg(printf('%02x', a.k), '' order by p) as code, sum(a.d)::bigint as error from a3 group by r),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, k)) as codebooks_sha256 from c2)
+select vec_id, code, error, (sum(error) over (partition by label))::bigint as label_error, codebooks_sha256 from e join code using (r), books
+"""
+
+ORACLE = {"op4_quality": OP4, "op5_decontam": OP5, "op10_line_dedup": OP10, "op11_importance": OP11, "op12_vector_codes": OP12}

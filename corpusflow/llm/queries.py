@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: whole tables, production parameters."""
+"""The registered queries of the operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusflow.llm import (
-    decontam, html_text, licenses, line_dedup, lm_score, mixing, quality, simhash, token_counts, toxicity,
+    decontam, html_text, importance, licenses, line_dedup, lm_score, mixing, quality, quality_qda, simhash, token_counts,
+    toxicity, vector_codes,
 )
 from corpusflow.llm.common import read
 from corpusflow.llm.oracle import ORACLE  # noqa: F401
@@ -70,5 +71,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents", "doc_id", "text"), read(spark, sf_dir, "benchmark", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+def op13_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_qda.classify(docs, read(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_simhash, op4_quality, op5_decontam, op6_lm_score,
-                                   op7_licenses, op8_html_text, op9_mixing, op10_line_dedup)}
+                                   op7_licenses, op8_html_text, op9_mixing, op10_line_dedup,
+                                   op11_importance, op12_vector_codes, op13_quality_qda)}
