@@ -1,7 +1,9 @@
 """Keyed change detection and snapshot upsert of normalised entries into the article table.
 
 Flow: match (guid first, then url) -> classify (insert / update / unchanged / conflict)
--> embed only what changed -> new snapshot = untouched + updated + inserted.
+-> embed only what changed -> new snapshot = untouched + updated + inserted. With
+``ordered`` a batch may hold several entries of one article: they are applied in feed order
+(:mod:`corpusflow.operators.ordered`); without it the batch must be de-duplicated.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from corpusflow.functions.text import embedding_text
 from corpusflow.operators.embed import Embedder, embed
 from corpusflow.operators.ids import assign_ids
 from corpusflow.operators.joins import broadcast_if_small
+from corpusflow.operators.ordered import resolve_entries
 from corpusflow.session import materialize
 
 ARTICLE_COLUMNS = (
@@ -33,19 +36,11 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in _MATCH_COLS])
 
 
-def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None) -> DataFrame:
-    """Attach the stored row matched by guid, else by url.
-
-    One scan of the stored table's three key columns finds the ids that the incoming keys
-    hit (filtered in place, not shuffled, while the key sets are small). Whole rows are read
-    for those ids only: ``lookup`` maps a frame of ids to them, as ``SnapshotStore.rows``
-    does from the touched parts; without it the stored table is semi-joined. Two equi left
-    joins follow; an ``OR`` join condition would plan as a nested loop. Adds ``ex_*``
-    columns, ``match_by`` and ``conflict``.
-    """
+def stored_hits(keys: DataFrame, existing: DataFrame, lookup: Lookup | None = None) -> DataFrame:
+    """The stored rows that have one of the batch's guids or links."""
     # the incoming batch is usually far smaller than the stored table: broadcast its keys
     # (size-checked) so the stored table is filtered in place instead of shuffled
-    keys = materialize(entries.select("guid", "link"))
+    keys = materialize(keys.select("guid", "link"))
     guids = broadcast_if_small(keys.select(F.col("guid").alias("_g")).distinct(), ready=True)
     links = broadcast_if_small(keys.select(F.col("link").alias("_l")).distinct(), ready=True)
     slim = existing.select("id", "rss_guid", "url")
@@ -55,7 +50,20 @@ def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | Non
         found = existing.join(broadcast_if_small(ids, ready=True), "id", "left_semi")
     else:
         found = lookup(ids)
-    found = materialize(found.select(*_MATCH_COLS))
+    return materialize(found.select(*_MATCH_COLS))
+
+
+def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None) -> DataFrame:
+    """Attach the stored row matched by guid, else by url.
+
+    One scan of the stored table's three key columns finds the ids that the incoming keys
+    hit (filtered in place, not shuffled, while the key sets are small). Whole rows are read
+    for those ids only: ``lookup`` maps a frame of ids to them, as ``SnapshotStore.rows``
+    does from the touched parts; without it the stored table is semi-joined. Two equi left
+    joins follow; an ``OR`` join condition would plan as a nested loop. Adds ``ex_*``
+    columns, ``match_by`` and ``conflict``.
+    """
+    found = stored_hits(entries, existing, lookup)
     by_guid, by_url = _prefixed(found, "g_"), _prefixed(found, "u_")
     # a url match whose stored guid is also claimed by another incoming entry cannot be applied
     taken = entries.select(F.col("guid").alias("_taken_guid"))
@@ -75,6 +83,19 @@ def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | Non
     )
 
 
+def match_ordered(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None, strict_rfc: bool = False) -> DataFrame:
+    """Entries that may share keys, applied in feed order: one row per touched article and
+    per conflicting entry, with the columns of :func:`match_existing`."""
+    hits = []
+
+    def found_for(keys: DataFrame) -> DataFrame:
+        hits.append(stored_hits(keys, existing, lookup))
+        return hits[0]
+
+    resolved = resolve_entries(entries, found_for, strict_rfc)
+    return resolved.join(_prefixed(hits[0], "ex_").withColumnRenamed("ex_id", "_id"), F.col("ex_id") == F.col("_id"), "left").drop("_id")
+
+
 def classify(matched: DataFrame, strict_rfc: bool = False) -> DataFrame:
     """``action`` in insert / update / unchanged / conflict.
 
@@ -117,7 +138,8 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
     work = embedded.unionByName(kept)
     ins = work.filter(F.col("action") == "insert")
     upd = work.filter(F.col("action") == "update")
-    ins = assign_ids(ins, F.col("feed_pos").cast("long") * F.lit(1 << 32) + F.col("entry_pos"), base_id, out="_new_id")
+    at = ("first_feed_pos", "first_entry_pos") if "first_feed_pos" in classified.columns else ("feed_pos", "entry_pos")
+    ins = assign_ids(ins, F.col(at[0]).cast("long") * F.lit(1 << 32) + F.col(at[1]), base_id, out="_new_id")
     ins = ins.select(
         F.col("_new_id").alias("id"), "source", F.col("guid").alias("rss_guid"), "title", F.col("link").alias("url"),
         F.col("content_clean").alias("content"), "content_preview", "published_at",
@@ -133,22 +155,23 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
 
 
 def classify_batch(existing: DataFrame, entries: DataFrame, strict_rfc: bool = False,
-                   materialize_batch: bool = True, lookup: Lookup | None = None) -> DataFrame:
+                   materialize_batch: bool = True, lookup: Lookup | None = None, ordered: bool = False) -> DataFrame:
     """Match and classify a batch; checkpointed because the changes, the untouched-row
     filter and the counters all read it."""
-    classified = classify(match_existing(entries, existing, lookup), strict_rfc)
+    matched = match_ordered(entries, existing, lookup, strict_rfc) if ordered else match_existing(entries, existing, lookup)
+    classified = classify(matched, strict_rfc)
     return materialize(classified) if materialize_batch else classified
 
 
 def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
                 strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
-                max_id: int | None = None, lookup: Lookup | None = None) -> tuple[DataFrame, DataFrame]:
+                max_id: int | None = None, lookup: Lookup | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns ``(classified, changes)``: per-entry actions and the full inserted/updated rows.
 
     The classified batch feeds the changes, the untouched-row filter and the counters, so
     it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
     """
-    classified = classify_batch(existing, entries, strict_rfc, materialize_batch, lookup)
+    classified = classify_batch(existing, entries, strict_rfc, materialize_batch, lookup, ordered)
     # the highest stored id: from the store's manifest when known, else one pruned scan
     base = F.lit(max_id).cast("long") if max_id is not None else existing.select(
         F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()
@@ -165,9 +188,10 @@ def apply_changes(existing: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
-           strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True) -> tuple[DataFrame, DataFrame]:
+           strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
+           ordered: bool = False) -> tuple[DataFrame, DataFrame]:
     """Returns ``(snapshot, classified)``: the full next snapshot and the per-entry actions."""
-    classified, changes = plan_upsert(existing, entries, ingest_ts, embedder, strict_rfc, dim, materialize_batch)
+    classified, changes = plan_upsert(existing, entries, ingest_ts, embedder, strict_rfc, dim, materialize_batch, ordered=ordered)
     return apply_changes(existing, changes), classified
 
 
