@@ -13,7 +13,7 @@ from corpusflow.functions.text import embedding_text
 from corpusflow.plans import sqltext as S
 from corpusflow.plans.common import sql_ts, ts_str
 from corpusflow.plans.registry import query
-from corpusflow.plans.sqlfixtures import INGEST_TS, cte, with_ctes
+from corpusflow.plans.sqlfixtures import INGEST_TS, cte, cte_fold, derived, with_ctes
 from corpusflow.sources import fixtures as FX
 from corpusflow.sources.tables import table
 from corpusflow.session import materialize
@@ -66,6 +66,11 @@ def classified(spark, sf_dir):
     return U.classify_batch(existing_articles(spark, sf_dir, batch), batch)
 
 
+def chained(spark, sf_dir) -> DataFrame:
+    """Valid entries of which many share a guid or a link, cleaned once."""
+    return materialize(E.valid_entries(E.normalize_entries(FX.chained_entries(spark, sf_dir), FX.ingest_ts())))
+
+
 def failed_feeds(spark, sf_dir) -> DataFrame:
     expected = feed_list(spark, sf_dir).filter(F.col("feed_url").startswith(FX.FEED_BASE)).select("feed_url").distinct()
     landed = FX.raw_entries(spark, sf_dir).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n_entries"))
@@ -164,6 +169,19 @@ select ex_id as id, source, ex_rss_guid as rss_guid, title, link as url, content
 from upsert_e e where action = 'update'""")
 
 
+# the ordered upsert: the same stages over what the fold comes to
+cte_fold("ordered_fold", "chained_valid", "existing_articles")
+cte("ordered_m", """
+select f.* exclude (art), f.art as ex_id, x.source as ex_source, x.rss_guid as ex_rss_guid, x.title as ex_title, x.url as ex_url,
+       x.content as ex_content, x.content_preview as ex_content_preview, x.published_at as ex_published_at, x.embedding as ex_embedding,
+       x.created_at as ex_created_at
+from ordered_fold f left join existing_articles x on x.id = f.art""")
+_ORDERED = {n: n.replace("upsert_", "ordered_") for n in ("upsert_m", "upsert_c", "upsert_e", "upsert_emb", "upsert_changes")}
+for _name in ("upsert_c", "upsert_e", "upsert_emb"):
+    derived(_ORDERED[_name], _name, _ORDERED)
+derived("ordered_changes", "upsert_changes", {**_ORDERED, "order by feed_pos, entry_pos": "order by ins_feed, ins_entry"})
+
+
 # ---------------------------------------------------------------- registered queries
 @query("feed_list_explode", sql=with_ctes("select config_id, pos, feed_url from feed_list"))
 def q_feed_list(spark, sf_dir):
@@ -256,6 +274,31 @@ def q_upsert_snapshot(spark, sf_dir):
                        ts_str("updated_at").alias("updated_at"), _emb_sum(F.col("embedding")).alias("embedding_sum"))
 
 
+@query("upsert_ordered", sql=with_ctes(f"""
+select id, source, rss_guid, title, url, content, content_preview, {sql_ts('published_at', True)} as published_at,
+       {sql_ts('created_at')} as created_at, {sql_ts('updated_at')} as updated_at, round(emb_sum, 6) + 0.0 as embedding_sum
+from (select * from ordered_changes
+      union all
+      select id, source, rss_guid, title, url, content, content_preview, published_at,
+             list_sum(cast(embedding as double[])) as emb_sum, created_at, updated_at
+      from existing_articles where id not in (select id from ordered_changes))"""))
+def q_upsert_ordered(spark, sf_dir):
+    """The next snapshot after entries that share keys, applied in feed order."""
+    batch = chained(spark, sf_dir)
+    snap, _ = U.upsert(existing_articles(spark, sf_dir), batch, FX.ingest_ts(), ordered=True)
+    return snap.select("id", "source", "rss_guid", "title", "url", "content", "content_preview",
+                       ts_str("published_at", True).alias("published_at"), ts_str("created_at").alias("created_at"),
+                       ts_str("updated_at").alias("updated_at"), _emb_sum(F.col("embedding")).alias("embedding_sum"))
+
+
+@query("upsert_ordered_actions", sql=with_ctes("""
+select entry_pos, guid, link, match_by, ex_id, action, ins_entry as first_entry_pos from ordered_c"""))
+def q_upsert_ordered_actions(spark, sf_dir):
+    """What each article touched by the batch comes to, and each conflicting entry."""
+    c = U.classify_batch(existing_articles(spark, sf_dir), chained(spark, sf_dir), ordered=True)
+    return c.select("entry_pos", "guid", "link", "match_by", "ex_id", "action", "first_entry_pos")
+
+
 @query("embed_changed_only", sql=with_ctes("select k as entry_pos, dim, round(weight, 6) + 0.0 as weight from upsert_emb where weight <> 0"))
 def q_embed_changed_only(spark, sf_dir):
     """Embeddings are computed only for inserted rows and rows whose text changed."""

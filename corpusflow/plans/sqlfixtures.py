@@ -41,7 +41,14 @@ def with_ctes(final: str) -> str:
         visit(n)
     if not order:
         return final
-    return "with " + ",\n".join(f"{n} as (\n{CTES[n]}\n)" for n in order) + "\n" + final
+    # a CTE that names itself is recursive
+    head = "with recursive " if any(re.search(rf"\b{n}\b", CTES[n]) for n in order) else "with "
+    return head + ",\n".join(f"{n} as (\n{CTES[n]}\n)" for n in order) + "\n" + final
+
+
+def derived(name: str, source: str, names: dict[str, str]) -> None:
+    """Register ``name`` as CTE ``source`` over other relations."""
+    cte(name, re.sub(r"\b(" + "|".join(names) + r")\b", lambda m: names[m[1]], CTES[source]))
 
 
 def published_sql(src: str, strict: bool) -> str:
@@ -120,6 +127,50 @@ select * exclude (rn) from (
           select *, row_number() over (partition by guid order by feed_pos desc, entry_pos desc) as rn
           from entries_valid) where rn = 1)) where rn = 1""")
 
+# entries applied one after the other: by guid, else by link; first guid, last link and content
+def cte_fold(name: str, entries: str, stored: str) -> None:
+    """``name``: one row per touched article and conflicting entry. ``entries`` has the valid entries,
+    ``stored`` (id, rss_guid, url); i is an entry's place in feed order."""
+    cte(f"{name}_in", f"select row_number() over (order by feed_pos, entry_pos) as i, * from {entries}")
+    cte(f"{name}_run", f"""
+select 0::bigint as i, (select coalesce(list({{'k': id::bigint, 'g': rss_guid, 'u': url, 'p': null::bigint, 'f': null::bigint, 'd': null::bigint}}), [])
+                from {stored}) as st, []::bigint[] as bad
+union all
+select i, case when a is not null and b is not null and a.k <> b.k then st
+               when a is null and b is null then list_append(st, {{'k': -i, 'g': guid, 'u': link, 'p': i, 'f': i, 'd': case when published_ok then i end}})
+               else list_transform(st, lambda x: case when x.k = coalesce(a.k, b.k) then {{'k': x.k, 'g': x.g, 'u': link, 'p': i, 'f': coalesce(x.f, i),
+                                                        'd': case when published_ok then i else x.d end}} else x end) end,
+       case when a is not null and b is not null and a.k <> b.k then list_append(bad, i) else bad end
+from (select n.i, n.guid, n.link, n.published_ok, r.st, r.bad, list_filter(r.st, lambda x: x.g = n.guid)[1] as a,
+             list_filter(r.st, lambda x: x.u = n.link)[1] as b from {name}_run r join {name}_in n on n.i = r.i + 1)""")
+    cte(f"{name}_end", f"select st, bad from {name}_run order by i desc limit 1")
+    cte(name, f"""
+select e.* replace (x.g as guid, coalesce(d.published_at, e.published_at) as published_at, d.i is not null as published_ok),
+       f.feed_pos as ins_feed, f.entry_pos as ins_entry, case when x.k >= 0 then x.k end as art,
+       case when x.k < 0 then null when e.guid = x.g then 'guid' else 'url' end as match_by, false as conflict
+from (select unnest(st) as x from {name}_end) join {name}_in e on e.i = x.p join {name}_in f on f.i = x.f left join {name}_in d on d.i = x.d
+union all
+select e.*, feed_pos, entry_pos, null, null, true from {name}_in e where list_contains((select bad from {name}_end), i)""")
+
+
+cte("no_articles", "select 0::bigint as id, ''::varchar as rss_guid, ''::varchar as url where false")
+cte_fold("entries_ordered", "entries_valid", "no_articles")
+
+# entries that share keys in chains and across feeds: see fixtures.chained_entries
+cte("chained_raw", """
+select * from raw_entries
+union all
+select 'https://feeds.example.invalid/' || cast(feed as varchar), 'Feed ' || cast(feed as varchar), feed, entry_pos + 1000000 * k,
+       case k when 2 then 'guid-' || cast(entry_pos as varchar) when 5 then 'late-' || cast(entry_pos as varchar) else 'alt-' || cast(entry_pos as varchar) end,
+       guid, case when k in (2, 4, 5) then link || '#moved' else link end, title || ' (' || cast(k as varchar) || ')',
+       content_value, summary, case when k = 2 then null else published end, case when k = 2 then null else updated end
+from raw_entries, (select unnest([1, 2, 3, 4, 5]) as k, unnest([5, 5, 6, 6, 6]) as feed)
+where entry_pos % 10 = 3 and link <> '' and (k <= 3 or (k = 4) = (entry_pos % 20 = 3))""")
+cte("chained_parsed", published_sql("chained_raw", strict=False))
+derived("chained_clean0", "entries_clean0", {"entries_parsed": "chained_parsed"})
+derived("chained_norm", "entries_norm", {"entries_clean0": "chained_clean0"})
+derived("chained_valid", "entries_valid", {"entries_norm": "chained_norm"})
+
 cte("articles", f"""
 select d.doc_id as id, d.source as source, 'guid-' || cast(d.doc_id as varchar) as rss_guid,
        left(d.text, 60) as title, 'https://example.invalid/' || cast(d.doc_id as varchar) as url,

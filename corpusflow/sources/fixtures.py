@@ -73,6 +73,28 @@ def raw_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def chained_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The landed entries, and for every tenth page with a link up to four more in two later feeds that
+    share its keys: another guid on its link (1), its guid on a new link (2), the freed link under
+    the other guid (3), and then either that guid on the new link, which is a conflict (4), or a third
+    guid on the new link (5)."""
+    raw = raw_entries(spark, sf_dir)
+    base = raw.filter((F.col("entry_pos") % 10 == 3) & (F.col("link") != ""))
+    more = base.select("*", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(f).alias("feed"))
+                                                 for k, f in ((1, 5), (2, 5), (3, 6), (4, 6), (5, 6))])).alias("x")).select("*", "x.k", "x.feed")
+    more = more.filter((F.col("k") <= 3) | ((F.col("k") == 4) == (F.col("entry_pos") % 20 == 3)))
+    number, feed, k = F.col("entry_pos").cast("string"), F.col("feed").cast("string"), F.col("k")
+    dated = lambda c: F.when(k != 2, F.col(c))
+    changed = {
+        "feed_url": F.concat(F.lit(FEED_BASE), feed), "feed_title": F.concat(F.lit("Feed "), feed), "feed_pos": F.col("feed").cast("long"),
+        "entry_pos": F.col("entry_pos") + k * 1_000_000,
+        "id": F.concat(F.when(k == 2, F.lit("guid-")).when(k == 5, F.lit("late-")).otherwise(F.lit("alt-")), number),
+        "link": F.when(k.isin(2, 4, 5), F.concat("link", F.lit("#moved"))).otherwise(F.col("link")),
+        "title": F.concat("title", F.lit(" ("), k.cast("string"), F.lit(")")), "published": dated("published"), "updated": dated("updated"),
+    }
+    return raw.unionByName(more.select(*[changed.get(c, F.col(c)).alias(c) for c in raw.columns]))
+
+
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored article table: documents joined to an event time and a vector."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source")
