@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusflow.llm.common import text_of
+from corpusflow.llm.common import stored, text_of
 
 POOL, RIDGE = 0.1, 0.02     # shares of the pooled covariance and of the identity
 THRESHOLD = 0.3
@@ -128,17 +128,27 @@ def fit(m: Moments, pool: float = POOL, ridge: float = RIDGE) -> Discriminant:
     return Discriminant(means, factors, offsets)
 
 
+def measured(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, x): the statistics of every whole text, measured once and stored."""
+
+    @F.pandas_udf("array<double>")
+    def x(t: pd.Series) -> pd.Series:
+        return pd.Series(list(matrix(list(t))))
+
+    return stored(docs.select(F.col(id_col).alias("id"), x(text_of(text_col).cast("binary")).alias("x")))
+
+
 def moments(rows: DataFrame) -> Moments:
-    """Exact moments of ``rows`` (y int, text binary). Each task adds up its own rows in integers, so
-    the result does not depend on the order of tasks; one row per label, task and cell is shuffled,
-    and one per label and cell reaches the driver."""
+    """Exact moments of ``rows`` (y int, x array<double>). Each task adds up its own rows in integers,
+    so the result does not depend on the order of tasks; one row per label, task and cell is
+    shuffled, and one per label and cell reaches the driver."""
     d = len(STATISTICS)
 
     def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total, outer = np.zeros(2, np.int64), np.zeros((2, d), object), np.zeros((2, d, d), object)
         for b in batches:
             y = np.asarray(b.column("y"))
-            x = np.rint(matrix(b.column("text").to_pylist()) * (1 << SHIFT)).astype(np.int64)
+            x = np.rint(np.asarray(b.column("x").flatten()).reshape(-1, d) * (1 << SHIFT)).astype(np.int64)
             for k in (0, 1):
                 of = x[y == k].astype(object)
                 if len(of):
@@ -157,13 +167,13 @@ def moments(rows: DataFrame) -> Moments:
     return Moments(found[:, 0], found[:, 1:1 + d] / 2.0**SHIFT, found[:, 1 + d:].reshape(2, d, d) / 4.0**SHIFT)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> DataFrame:
-    """(y, text) of the training rows: an id labelled twice counts with its smallest label, and every
-    row that carries a labelled id counts. Held-out ids are left out on both sides of the join."""
+def labelled(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
+    """(y, x) of the training rows: an id labelled twice counts with its smallest label, and every
+    row that carries a labelled id counts. Held-out ids are left out on both sides of the join,
+    which moves statistics, not texts."""
     known = (labels.select(F.col(id_col).alias("of"), F.col(label_col).cast("int").alias("y")).filter("of is not null and y in (0, 1)")
              .filter(~held_out("of")).groupBy("of").agg(F.min("y").alias("y")))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(~held_out("id"))
-    return texts.join(known, F.col("id") == F.col("of")).select("y", text_of("text").cast("binary").alias("text"))
+    return stats.filter(~held_out("id")).join(known, F.col("id") == F.col("of")).select("y", "x")
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
@@ -175,13 +185,12 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     1. Null ids are scored, never trained on. Without usable labels every score is 0.5, and with one
     label only all scores lean to it. Other columns of either table are not read.
     """
-    model = docs.sparkSession.sparkContext.broadcast(
-        fit(moments(labelled(docs, labels, id_col, text_col, label_col)), pool, ridge))
+    stats = measured(docs, id_col, text_col)
+    model = docs.sparkSession.sparkContext.broadcast(fit(moments(labelled(stats, labels, id_col, label_col)), pool, ridge))
 
     @F.pandas_udf("double")
-    def score(t: pd.Series) -> pd.Series:
-        return pd.Series(model.value.scores(matrix(list(t))))
+    def score(x: pd.Series) -> pd.Series:
+        return pd.Series(model.value.scores(np.stack(x)) if len(x) else [])
 
-    slim = docs.select(F.col(id_col).alias("id"), text_of(text_col).cast("binary").alias("text"))
-    return slim.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score("text").alias("score")).withColumn(
+    return stats.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), score("x").alias("score")).withColumn(
         "predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -194,14 +194,14 @@ def test_moments_are_exact_and_leave_held_out_rows(spark):
 
     d = spark.read.parquet(f"{SF}/documents.parquet")
     labels = spark.read.parquet(f"{SF}/labels.parquet")
-    got = q.moments(q.labelled(d.repartition(5), labels, "doc_id", "text", "quality"))
+    got = q.moments(q.labelled(q.measured(d.repartition(5), "doc_id", "text"), labels))
     text = {r.doc_id: r.text for r in d.collect()}
     for k in (0, 1):
         x = q.matrix([text[r.doc_id].encode() for r in labels.collect()
                       if r.quality == k and zlib.crc32(str(r.doc_id).encode()) % 5 != 0])
         assert got.n[k] == len(x) and np.allclose(got.total[k], x.sum(0), atol=1e-3)
         assert np.allclose(got.outer[k], x.T @ x, atol=1e-2)
-    again = q.moments(q.labelled(d, labels, "doc_id", "text", "quality"))
+    again = q.moments(q.labelled(q.measured(d, "doc_id", "text"), labels))
     assert (again.outer == got.outer).all()          # whatever the partitions
 
 
