@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusflow.functions.text import py_strip
@@ -352,56 +352,143 @@ def q_feed_xml(spark, sf_dir):
     return n.select("source", "guid", "link", "title", "content_clean")
 
 
-CUT_OFF, ABSENT = 5, 6      # of the seven Atom feeds below: one lands cut off, one does not land
+PER_FEED = 16        # pages in a file of several, below
 
 
-def _land_atom(spark, sf_dir) -> str:
-    """Atom documents written from the pages table, one per page, below ``feed=<page_id % 7>``."""
+def _land(rows: DataFrame, by: str, out: str) -> None:
+    """One text file per value of ``by``, its lines in page order. The files are short, and their
+    number grows with the pages."""
+    rows.repartition(by).sortWithinPartitions(by, "page_id").select(by, "value").write.partitionBy(by).text(out)
+
+
+def _feed_dir(spark, name: str) -> str:
     import uuid
 
     from corpusflow.session import scratch_path
 
-    base = scratch_path(spark, "runs", f"feed_atom-{uuid.uuid4().hex[:12]}")
-    p = table(spark, sf_dir, "pages", "page_id", "url", "html").withColumn("feed", F.col("page_id") % 7)
-    guid = F.concat(F.lit("guid-"), F.col("page_id").cast("string"))
+    return f"{scratch_path(spark, 'runs', f'{name}-{uuid.uuid4().hex[:12]}')}/feeds"
+
+
+def _escaped(c: str):
+    return F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit('"'), F.lit("&quot;"))
+
+
+def _page_fields(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "pages", "page_id", "url", "html").select(
+        "page_id", "url", "html", F.concat(F.lit("guid-"), F.col("page_id").cast("string")).alias("guid"),
+        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+
+
+@query("feed_atom_read", sql=f"""
+select 'Feed ' || cast(page_id % 7 as varchar) as source, 'guid-' || cast(page_id as varchar) as guid, url as link,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {S.strip_html('html')} as content_clean
+from pages""")
+def q_feed_atom(spark, sf_dir):
+    """Every page as an Atom document, read back, flattened and normalised; the alternate
+    link is the entry's."""
+    from corpusflow.sources.feeds import feed_documents
+
+    out = _feed_dir(spark, "feed_atom")
     entry = F.struct(
-        guid.alias("id"),
+        F.col("guid").alias("id"),
         F.array(F.struct(F.lit("https://example.invalid/self").alias("_href"), F.lit("self").alias("_rel")),
                 F.struct(F.col("url").alias("_href"), F.lit("alternate").alias("_rel"))).alias("link"),
-        F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
-        F.col("html").alias("summary"),
-    )
-    whole = p.filter(F.col("feed") < CUT_OFF)
-    whole.select("feed", F.concat(F.lit("Feed "), F.col("feed").cast("string")).alias("title"), F.array(entry).alias("entry")).write.format(
-        "xml").option("rootTag", "feeds").option("rowTag", "feed").partitionBy("feed").save(f"{base}/atom")
-    p.filter(F.col("feed") == CUT_OFF).select(F.concat(F.lit("<feed><title>Cut off</title><entry><id>"), guid).alias("value")).write.text(
-        f"{base}/atom/feed={CUT_OFF}")
-    return f"{base}/atom"
+        "title", F.col("html").alias("summary"))
+    docs = _page_fields(spark, sf_dir).select(F.concat(F.lit("Feed "), (F.col("page_id") % 7).cast("string")).alias("title"),
+                                              F.array(entry).alias("entry"))
+    docs.write.format("xml").option("rootTag", "feeds").option("rowTag", "feed").save(out)
+    n = E.normalize_entries(E.flatten_feeds(feed_documents(spark, atom_path=out)), FX.ingest_ts())
+    return n.select("source", "guid", "link", "title", "content_clean")
 
 
-def _atom_documents(spark, sf_dir) -> DataFrame:
+@query("feed_rdf_read", sql=f"""
+select 'Feed ' || cast(page_id % 7 as varchar) as source, url as guid, url as link,
+       regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {S.strip_html('html')} as content_clean,
+       {sql_ts('ts')} as published_at
+from pages join events on event_id = page_id""")
+def q_feed_rdf(spark, sf_dir):
+    """Every page as an RSS 1.0 document: its item stands beside the channel, is named by
+    ``rdf:about`` and dated by ``dc:date`` in ISO-8601."""
     from corpusflow.sources.feeds import feed_documents
 
-    docs = feed_documents(spark, atom_path=f"{_land_atom(spark, sf_dir)}/*")
+    out = _feed_dir(spark, "feed_rdf")
+    p = _page_fields(spark, sf_dir)
+    ev = table(spark, sf_dir, "events", "event_id", "ts")
+    doc = F.concat(
+        F.lit('<rdf:RDF xmlns="http://purl.org/rss/1.0/" xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" '
+              'xmlns:dc="http://purl.org/dc/elements/1.1/"><channel rdf:about="https://example.invalid"><title>Feed '),
+        (F.col("page_id") % 7).cast("string"), F.lit('</title></channel><item rdf:about="'), _escaped("url"), F.lit('"><title>'), _escaped("title"),
+        F.lit("</title><link>"), _escaped("url"), F.lit("</link><description>"), _escaped("html"), F.lit("</description><dc:date>"),
+        F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit("</dc:date></item></rdf:RDF>"))
+    # one feed per page, several in a file below one root
+    rows = p.join(ev, p.page_id == ev.event_id).select(F.floor(F.col("page_id") / PER_FEED).alias("file"), "page_id", doc.alias("value"))
+    ends = [F.col("page_id") == f("page_id").over(Window.partitionBy("file")) for f in (F.min, F.max)]
+    rows = rows.withColumn("value", F.concat(F.when(ends[0], F.lit("<feeds>")).otherwise(""), "value", F.when(ends[1], F.lit("</feeds>")).otherwise("")))
+    _land(rows, "file", out)
+    n = E.normalize_entries(E.flatten_feeds(feed_documents(spark, rdf_path=f"{out}/*")), FX.ingest_ts())
+    return n.select("source", "guid", "link", "title", "content_clean", ts_str("published_at").alias("published_at"))
+
+
+# what is wrong with a feed, by its number modulo the number of kinds
+WHOLE, AMPERSAND, CUT, NESTING, LOST, ABSENT = range(6)
+
+
+def _damaged_feeds(spark, sf_dir) -> str:
+    """RSS files of ``PER_FEED`` pages each: whole ones, and ones with a bare ampersand and an
+    undeclared entity in titles, cut within the last item, with wrong nesting and a control
+    character, cut within the first item, and absent ones."""
+    p = _page_fields(spark, sf_dir).withColumn("feed", F.floor(F.col("page_id") / PER_FEED)).withColumn("kind", F.col("feed") % 6)
+    k = F.col("kind")
+    spoiled = F.when(k == AMPERSAND, F.lit(" & R&D caf&eacute;")).when(k == NESTING, F.lit(" <b>x</i>\x0b")).otherwise(F.lit(""))
+    # of a cut-off feed the last item loses its end, and of a lost one every item but the first is gone
+    last = F.col("page_id") == F.max("page_id").over(Window.partitionBy("feed"))
+    first = F.col("page_id") == F.min("page_id").over(Window.partitionBy("feed"))
+    cut = ((k == CUT) & last) | ((k == LOST) & first)
+    item = F.concat(F.lit("<item><guid>"), "guid", F.lit("</guid><link>"), _escaped("url"), F.lit("</link><title>"), _escaped("title"), spoiled,
+                    F.lit("</title><description>"), _escaped("html"), F.when(cut, F.lit("")).otherwise(F.lit("</description></item>")))
+    head = F.when(first, F.concat(F.lit('<?xml version="1.0"?><rss version="2.0"><channel><title>Feed '), F.col("feed").cast("string"),
+                                  F.lit("</title>"))).otherwise("")
+    tail = F.when(last & (k != CUT), F.lit("</channel></rss>")).otherwise("")
+    lines = p.withColumn("keep", (k != ABSENT) & ((k != LOST) | first)).withColumn("value", F.concat(head, item, tail)).filter("keep")
+    out = _feed_dir(spark, "feed_damaged")
+    _land(lines, "feed", out)
+    return out
+
+
+def _damaged_documents(spark, sf_dir) -> DataFrame:
+    from corpusflow.sources.feeds import feed_documents
+
+    docs = feed_documents(spark, rss_path=f"{_damaged_feeds(spark, sf_dir)}/*")
     return docs.withColumn("feed_url", F.concat(F.lit(FX.FEED_BASE), F.regexp_extract("feed_url", "feed=([0-9]+)", 1)))
 
 
-@query("feed_atom_read", sql=f"""
-select 'Feed ' || cast(page_id % 7 as varchar) as source, 'guid-' || cast(page_id as varchar) as guid, url as link,
-       regexp_extract(html, '<title>([^<]*)</title>', 1) as title, {S.strip_html('html')} as content_clean
-from pages where page_id % 7 < {CUT_OFF}""")
-def q_feed_atom(spark, sf_dir):
-    """Atom files read back, flattened and normalised; the alternate link is the entry's."""
-    n = E.normalize_entries(E.flatten_feeds(_atom_documents(spark, sf_dir)), FX.ingest_ts())
+cte("damaged", f"""
+select *, page_id // {PER_FEED} as feed, (page_id // {PER_FEED}) % 6 as kind,
+       page_id = max(page_id) over (partition by page_id // {PER_FEED}) as last
+from pages""")
+
+
+@query("feed_recovered", sql=with_ctes(f"""
+select 'Feed ' || cast(feed as varchar) as source, 'guid-' || cast(page_id as varchar) as guid, url as link,
+       regexp_extract(html, '<title>([^<]*)</title>', 1)
+         || case kind when {AMPERSAND} then ' & R&D café' when {NESTING} then ' <b>x</i>' || chr(11) else '' end as title,
+       {S.strip_html('html')} as content_clean
+from damaged where kind in ({WHOLE}, {AMPERSAND}, {NESTING}) or (kind = {CUT} and not last)"""))
+def q_feed_recovered(spark, sf_dir):
+    """Whole entries before and after the errors of malformed feeds."""
+    n = E.normalize_entries(E.flatten_feeds(_damaged_documents(spark, sf_dir)), FX.ingest_ts())
     return n.select("source", "guid", "link", "title", "content_clean")
 
 
-@query("feed_failures", sql=f"""
-select '{FX.FEED_BASE}' || cast(k as varchar) as feed_url, count(page_id) as n_entries, k >= {CUT_OFF} as failed
-from (select unnest(range(0, 7)) as k) f left join pages p on p.page_id % 7 = k and k < {CUT_OFF} group by k""")
+@query("feed_failures", sql=with_ctes(f"""
+select '{FX.FEED_BASE}' || cast(feed as varchar) as feed_url,
+       count(*) filter (where kind in ({WHOLE}, {AMPERSAND}, {NESTING}) or (kind = {CUT} and not last)) as n_entries,
+       n_entries = 0 and any_value(kind) in ({CUT}, {LOST}, {ABSENT}) as failed
+from damaged group by feed"""))
 def q_feed_failures(spark, sf_dir):
-    """A feed whose files are cut off and one that did not land, through the feed reader."""
+    """Feeds without a whole entry, cut off or absent, fail; malformed ones with entries don't."""
     from corpusflow.sources.feeds import failed_feeds as failures
 
-    expected = spark.range(7).select(F.concat(F.lit(FX.FEED_BASE), F.col("id").cast("string")).alias("feed_url"))
-    return failures(_atom_documents(spark, sf_dir), expected).select("feed_url", "n_entries", "failed")
+    feed = F.floor(F.col("page_id") / PER_FEED)
+    expected = _page_fields(spark, sf_dir).select(F.concat(F.lit(FX.FEED_BASE), feed.cast("string")).alias("feed_url")).distinct()
+    return failures(_damaged_documents(spark, sf_dir), expected).select("feed_url", "n_entries", "failed")

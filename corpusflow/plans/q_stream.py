@@ -41,7 +41,7 @@ def q_slo_report(spark, sf_dir):
                     (F.round("error_rate", 6) + F.lit(0.0)).alias("error_rate"), "threshold_ms", "p95_ok", "error_ok", "passed")
 
 
-cte("stream_emb", sql_hash_weights(f"(select entry_pos, {S.embedding_text('title', 'content_clean')} as etext from entries_dedup)",
+cte("stream_emb", sql_hash_weights(f"(select entry_pos, {S.embedding_text('title', 'content_clean')} as etext from entries_ordered where not conflict)",
                                    "entry_pos", "etext"))
 
 
@@ -54,11 +54,11 @@ def _ingested(spark, sf_dir, name) -> SnapshotStore:
 
 
 @query("stream_ingest", sql=with_ctes(f"""
-select row_number() over (order by feed_pos, entry_pos) as id, source, guid as rss_guid, title, link as url,
+select row_number() over (order by ins_feed, ins_entry) as id, source, guid as rss_guid, title, link as url,
        content_clean as content, content_preview, {sql_ts('published_at', True)} as published_at,
        {sql_ts(INGEST_TS)} as created_at, {sql_ts(INGEST_TS)} as updated_at,
        round((select sum(weight) from stream_emb w where w.k = d.entry_pos), 6) + 0.0 as embedding_sum
-from entries_dedup d"""))
+from entries_ordered d where not conflict"""))
 def q_stream_ingest(spark, sf_dir):
     """Landed entries -> readStream -> foreachBatch upsert into the snapshot store."""
     snap = _ingested(spark, sf_dir, "stream_ingest").read()
@@ -71,7 +71,8 @@ def q_stream_ingest(spark, sf_dir):
 
 
 @query("stream_counters", sql=with_ctes("""
-select (select count(*) from entries_dedup) as ingested, 0 as updated, 0 as unchanged, 0 as conflicts,
+select (select count(*) from entries_ordered where not conflict) as ingested, 0 as updated, 0 as unchanged,
+       (select count(*) from entries_ordered where conflict) as conflicts,
        (select count(*) from entries_norm where reject_reason is not null) as skipped"""))
 def q_stream_counters(spark, sf_dir):
     """A1 in the stream: counters of all batches of an ingest into an empty store."""
@@ -80,9 +81,11 @@ def q_stream_counters(spark, sf_dir):
 
 
 @query("stream_issues", sql=with_ctes("""
-select feed_url, entry_pos, guid, link, reject_reason as reason from entries_norm where reject_reason is not null"""))
+select feed_url, entry_pos, guid, link, reject_reason as reason from entries_norm where reject_reason is not null
+union all
+select feed_url, entry_pos, guid, link, 'conflict' from entries_ordered where conflict"""))
 def q_stream_issues(spark, sf_dir):
-    """P5 in the stream: entries that the batches rejected, with the reason."""
+    """P5 in the stream: entries that the batches rejected or found in conflict, with the reason."""
     return _ingested(spark, sf_dir, "stream_issues").runs("issues").select("feed_url", "entry_pos", "guid", "link", "reason")
 
 

@@ -4,7 +4,8 @@ One row per feed file (``rowTag`` ``channel`` for RSS, ``feed`` for Atom, ``rdf:
 explicit schema (never inferred) so the entry struct is stable. RSS ``item`` and Atom
 ``entry`` are mapped to the entry fields the normaliser reads:
 ``id, guid, link, title, content array<struct<value>>, summary, published, updated``.
-A file that does not parse becomes a feed with ``failed = true`` and no entries.
+A file with an XML error is read again by a scanner that recovers its whole entries
+(:mod:`corpusflow.sources.recover`); one without any becomes a feed with ``failed = true``.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusflow.operators.joins import broadcast_if_small
+from corpusflow.session import materialize
+from corpusflow.sources.recover import recover
 
 RSS_SCHEMA = (
     "title string, item array<struct<guid: string, link: string, title: string, description: string, "
@@ -45,6 +48,29 @@ def _read(spark: SparkSession, path: str, row_tag: str, schema: str) -> DataFram
     )
 
 
+DOCUMENT_SCHEMA = f"feed_url string, feed_title string, entries {ENTRY_TYPE}, failed boolean"
+
+
+def _documents(df: DataFrame, title, entries) -> DataFrame:
+    """Feed documents of parsed files, parsed once. For a file with an error the reader keeps the
+    whole text as the corrupt record; what it had read before the error is read again from there."""
+    parsed = materialize(df.select("feed_url", title.alias("feed_title"), entries.cast(ENTRY_TYPE).alias("entries"),
+                                   F.col("_corrupt_record").alias("text")))
+    whole = parsed.filter("text is null").select("feed_url", "feed_title", "entries", F.lit(False).alias("failed"))
+    damaged = parsed.filter("text is not null").select("feed_url", "text")
+    if damaged.isEmpty():
+        return whole
+    damaged = damaged.groupBy("feed_url").agg(F.max_by("text", F.char_length("text")).alias("text"))
+    whole = whole.join(broadcast_if_small(damaged.select("feed_url")), "feed_url", "left_anti")
+    return whole.unionByName(damaged.mapInArrow(recover, DOCUMENT_SCHEMA))
+
+
+def landed_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(feed_url, length)`` of the files below ``path``, without reading contents. Spark passes over
+    files of no bytes; like absent ones they only show against a list of the feeds that should land."""
+    return spark.read.format("binaryFile").load(path).select(F.input_file_name().alias("feed_url"), "length")
+
+
 def read_rss(spark: SparkSession, path: str) -> DataFrame:
     df = _read(spark, path, "channel", RSS_SCHEMA)
     entries = F.transform(
@@ -61,8 +87,7 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
             F.lit(None).cast("string").alias("updated"),
         ),
     )
-    return df.select("feed_url", F.col("title").alias("feed_title"), entries.cast(ENTRY_TYPE).alias("entries"),
-                     F.col("_corrupt_record").isNotNull().alias("failed"))
+    return _documents(df, F.col("title"), entries)
 
 
 def read_rdf(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +107,7 @@ def read_rdf(spark: SparkSession, path: str) -> DataFrame:
             i.getField("dc:date").alias("updated"),
         ),
     )
-    return df.select("feed_url", F.col("channel.title").alias("feed_title"), entries.cast(ENTRY_TYPE).alias("entries"),
-                     F.col("_corrupt_record").isNotNull().alias("failed"))
+    return _documents(df, F.col("channel.title"), entries)
 
 
 def read_atom(spark: SparkSession, path: str) -> DataFrame:
@@ -108,8 +132,7 @@ def read_atom(spark: SparkSession, path: str) -> DataFrame:
             e["updated"].alias("updated"),
         ),
     )
-    return df.select("feed_url", F.col("title").alias("feed_title"), entries.cast(ENTRY_TYPE).alias("entries"),
-                     F.col("_corrupt_record").isNotNull().alias("failed"))
+    return _documents(df, F.col("title"), entries)
 
 
 def feed_documents(spark: SparkSession, rss_path: str | None = None, atom_path: str | None = None,
@@ -137,8 +160,10 @@ def feed_documents(spark: SparkSession, rss_path: str | None = None, atom_path:
 
 
 def failed_feeds(docs: DataFrame, expected: DataFrame | None = None) -> DataFrame:
-    """A feed fails when its file did not parse, when it parsed to a corrupt record
-    with no entries, or (with ``expected`` feed URLs) when no file landed for it."""
+    """A feed fails when its file holds no feed and no whole entry, or (with ``expected`` feed
+    URLs: the feed list or :func:`landed_files`) when nothing was read for it: its file is
+    absent, empty or no feed at all. A feed without entries, or one whose entries before and after
+    an error could be read, does not fail."""
     per = docs.groupBy("feed_url").agg(
         F.sum(F.size("entries")).alias("n_entries"), F.max(F.col("failed").cast("int")).alias("_bad")
     ).withColumn("failed", (F.col("_bad") == 1) & (F.col("n_entries") == 0)).drop("_bad")

@@ -1,7 +1,7 @@
 """Incremental ingest with Structured Streaming.
 
-Landed feed-entry files are read as a stream; each micro-batch is normalised,
-de-duplicated and upserted into the snapshot store inside ``foreachBatch``. The commit
+Landed feed-entry files are read as a stream; each micro-batch is normalised and its entries
+are upserted in feed order into the snapshot store inside ``foreachBatch``. The commit
 is keyed by the query's id and the batch number: a batch replayed after a failure is a
 no-op, and a second query with a checkpoint of its own never looks like a replay.
 """
@@ -54,10 +54,10 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
             return
         norm = E.normalize_entries(batch, ingest_ts(), strict_rfc)
         # cleaned once: matching reads the entries' keys and rows several times
-        entries = materialize(E.dedupe_entries(E.valid_entries(norm)))
+        entries = materialize(E.valid_entries(norm))
         existing = store.read()
         classified, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id(),
-                                               lookup=store.rows)
+                                            lookup=store.rows, ordered=True)
         rejected = materialize(E.rejected_entries(norm).select(*ISSUE_COLUMNS, F.col("reject_reason").alias("reason")))
         conflicts = classified.filter("action = 'conflict'").select(*ISSUE_COLUMNS, F.lit("conflict").alias("reason"))
         rejected.unionByName(conflicts).write.mode("overwrite").parquet(store.run_log(number, "issues"))
