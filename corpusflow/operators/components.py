@@ -29,6 +29,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     The number of rounds grows with the logarithm of the component size, not with path length.
     Every round is materialised; a round that changes nothing ends it."""
+    if edges.isEmpty():
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("comp"))
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = (F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")))

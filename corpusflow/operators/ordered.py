@@ -13,7 +13,8 @@ components over guids and links, and each component is folded in order on narrow
 positions). Before the fold, every task replaces runs of neighbouring entries that differ only in
 a link (or a guid) of their own by the first and the last of the run, so one guid or link that
 holds a large part of the batch reaches the fold as a few rows per task. The fold streams sorted
-rows and keeps the keys of one component at a time.
+rows and keeps the keys of one component at a time. The joins are left to adaptive execution, which
+broadcasts a side once its size is known and splits hot keys.
 """
 
 from __future__ import annotations
@@ -26,7 +27,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.operators.components import connected_components
-from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.session import materialize
 
 POS = "struct<feed_pos: bigint, entry_pos: bigint, h: bigint>"
@@ -41,7 +41,7 @@ def _node(kind: str, key: Column) -> Column:
 def _shared(edges: DataFrame, key: str) -> DataFrame:
     """Keys that occur in more than one distinct pair."""
     n = edges.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return broadcast_if_small(n.select(F.col(key).alias(f"_{key}")))
+    return n.select(F.col(key).alias(f"_{key}"))
 
 
 def _flagged(df: DataFrame, guids: DataFrame, links: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def _components(flagged_edges: DataFrame) -> DataFrame:
     """Components over the keys that occur in several pairs: ``(_node, _comp)``. Pairs with a key
     of their own join nothing, so only pairs of two shared keys are edges."""
     edges = flagged_edges.filter("gs and ls").select(_node("g", F.col("guid")).alias("a"), _node("l", F.col("link")).alias("b"))
-    return broadcast_if_small(connected_components(edges).select(F.col("node").alias("_node"), F.col("comp").alias("_comp")))
+    return connected_components(edges).select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
 
 
 def _with_comp(flagged: DataFrame, comps: DataFrame) -> DataFrame:
@@ -191,21 +191,23 @@ def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame
         F.max(F.when(F.col("published_ok"), F.struct("pos", "published_at"))).alias("ok_date")))
     found = materialize(found_for(pairs.select("guid", "link")).select("id", F.col("rss_guid").alias("guid"), F.col("url").alias("link")))
     edges = pairs.select("guid", "link").unionByName(found.select("guid", "link")).distinct()
-    guids, links = _shared(edges, "guid"), _shared(edges, "link")
-    flagged = _flagged(pairs, guids, links)
+    edges = materialize(_flagged(edges, _shared(edges, "guid"), _shared(edges, "link")))
+    pair = ["guid", "link"]
+    tied = edges.filter("gs or ls")
+    none_tied = tied.isEmpty()
     # settled by the last entry: the pair's guid and link are nobody else's
     same = found.select(F.col("guid").alias("_g"), F.col("link").alias("_l"), F.col("id").alias("ex_id"))
-    alone = _settled(flagged.filter("not (gs or ls)").drop("gs", "ls"), strict_rfc)
+    alone = _settled(pairs if none_tied else pairs.join(tied, pair, "left_anti"), strict_rfc)
     alone = alone.join(same, (F.col("guid") == F.col("_g")) & (F.col("link") == F.col("_l")), "left")
     alone = alone.withColumn("match_by", F.when(F.col("ex_id").isNotNull(), F.lit("guid"))).withColumn("conflict", F.lit(False))
     out = [*columns, "ex_id", "match_by", "conflict", F.col("first.feed_pos").alias("first_feed_pos"),
            F.col("first.entry_pos").alias("first_entry_pos")]
     alone = alone.select(*out)
-    if flagged.filter("gs or ls").isEmpty():
+    if none_tied:
         return alone
 
-    comps = _components(_flagged(edges, guids, links))
-    shared = _with_comp(_flagged(rows, guids, links).filter("gs or ls"), comps)
+    tied = materialize(_with_comp(tied, _components(edges)))
+    shared = rows.select("pos", "guid", "link", "published_ok").join(tied, pair)
     # an entry with a link of its own changes nothing that its guid's next entry does not change
     # again, and one with a guid of its own nothing that its link's next one does not
     run_key = F.when(~F.col("ls"), F.concat(F.lit("g"), F.col("guid"))).when(~F.col("gs"), F.concat(F.lit("l"), F.col("link"))).otherwise(
@@ -213,7 +215,7 @@ def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame
     slim = materialize(shared.select("comp", run_key.alias("run_key"), "pos", "guid", "link", "published_ok"))
     runs = slim.repartitionByRange("pos").sortWithinPartitions("comp", "pos").mapInArrow(compress_runs, RUN_SCHEMA)
     nothing = F.lit(None)
-    stored = _with_comp(_flagged(found, guids, links).filter("gs or ls"), comps).select(
+    stored = found.join(tied, pair).select(
         "comp", "id", *[nothing.cast(POS).alias(c) for c in ("first", "last", "ok")], "guid", "link",
         nothing.cast("string").alias("guid2"), nothing.cast("string").alias("link2"), F.lit(0).cast("long").alias("n"))
     outcomes = materialize(runs.unionByName(stored).repartition("comp").sortWithinPartitions("comp", "first").mapInArrow(
@@ -221,17 +223,17 @@ def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame
 
     # back to the whole rows: those applied last, their dates, and the conflicting ones
     done = outcomes.filter("not conflict").select(F.col("id").alias("ex_id"), F.col("guid").alias("_g"), "first", "last", "ok")
-    whole = rows.join(broadcast_if_small(done, ready=True), F.col("pos") == F.col("last")).dropDuplicates(["_g", "pos"])
+    whole = rows.join(done, F.col("pos") == F.col("last")).dropDuplicates(["_g", "pos"])
     if not strict_rfc:
         dates = rows.select(F.col("pos").alias("_p"), F.col("published_at").alias("_date"))
-        dates = dates.join(broadcast_if_small(outcomes.select("ok").filter("ok is not null").distinct(), ready=True),
+        dates = dates.join(outcomes.select("ok").filter("ok is not null").distinct(),
                            F.col("_p") == F.col("ok"), "left_semi").distinct()
-        whole = whole.join(broadcast_if_small(dates), F.col("ok") == F.col("_p"), "left")
+        whole = whole.join(dates, F.col("ok") == F.col("_p"), "left")
         whole = whole.withColumn("published_at", F.coalesce("_date", "published_at")).withColumn("published_ok", F.col("_p").isNotNull())
     match_by = F.when(F.col("ex_id").isNotNull(), F.when(F.col("guid") == F.col("_g"), F.lit("guid")).otherwise(F.lit("url")))
     whole = whole.withColumn("match_by", match_by).withColumn("guid", F.col("_g")).withColumn("conflict", F.lit(False)).select(*out)
     bad = outcomes.filter("conflict").select(F.col("guid").alias("_g"), F.col("link").alias("_l"), F.col("first").alias("_first"), F.col("last").alias("_last"))
-    refused = rows.join(broadcast_if_small(bad, ready=True), (F.col("guid") == F.col("_g")) & (F.col("link") == F.col("_l"))
+    refused = rows.join(bad, (F.col("guid") == F.col("_g")) & (F.col("link") == F.col("_l"))
                         & (F.col("pos") >= F.col("_first")) & (F.col("pos") <= F.col("_last"))).dropDuplicates(["guid", "link", "pos"])
     refused = refused.withColumn("ex_id", nothing.cast("long")).withColumn("match_by", nothing.cast("string")).withColumn(
         "conflict", F.lit(True)).withColumn("first", F.col("pos")).select(*out)

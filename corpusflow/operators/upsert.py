@@ -36,8 +36,12 @@ def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(prefix + c) for c in _MATCH_COLS])
 
 
-def stored_hits(keys: DataFrame, existing: DataFrame, lookup: Lookup | None = None) -> DataFrame:
-    """The stored rows that have one of the batch's guids or links."""
+def stored_hits(keys: DataFrame, existing: DataFrame, lookup: Lookup | None = None, by_key: Lookup | None = None) -> DataFrame:
+    """The stored rows that have one of the batch's guids or links: through ``by_key``
+    (``KeyIndex.lookup``), which reads the index buckets of these keys and the parts they name, or
+    else by one scan of the stored table's key columns."""
+    if by_key is not None:
+        return materialize(by_key(keys.select("guid", "link")).select(*_MATCH_COLS))
     # the incoming batch is usually far smaller than the stored table: broadcast its keys
     # (size-checked) so the stored table is filtered in place instead of shuffled
     keys = materialize(keys.select("guid", "link"))
@@ -83,13 +87,14 @@ def match_existing(entries: DataFrame, existing: DataFrame, lookup: Lookup | Non
     )
 
 
-def match_ordered(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None, strict_rfc: bool = False) -> DataFrame:
+def match_ordered(entries: DataFrame, existing: DataFrame, lookup: Lookup | None = None, strict_rfc: bool = False,
+                  by_key: Lookup | None = None) -> DataFrame:
     """Entries that may share keys, applied in feed order: one row per touched article and
     per conflicting entry, with the columns of :func:`match_existing`."""
     hits = []
 
     def found_for(keys: DataFrame) -> DataFrame:
-        hits.append(stored_hits(keys, existing, lookup))
+        hits.append(stored_hits(keys, existing, lookup, by_key))
         return hits[0]
 
     resolved = resolve_entries(entries, found_for, strict_rfc)
@@ -155,23 +160,25 @@ def changed_rows(classified: DataFrame, ingest_ts: Column, base_id: Column, embe
 
 
 def classify_batch(existing: DataFrame, entries: DataFrame, strict_rfc: bool = False,
-                   materialize_batch: bool = True, lookup: Lookup | None = None, ordered: bool = False) -> DataFrame:
+                   materialize_batch: bool = True, lookup: Lookup | None = None, ordered: bool = False,
+                   by_key: Lookup | None = None) -> DataFrame:
     """Match and classify a batch; checkpointed because the changes, the untouched-row
     filter and the counters all read it."""
-    matched = match_ordered(entries, existing, lookup, strict_rfc) if ordered else match_existing(entries, existing, lookup)
+    matched = match_ordered(entries, existing, lookup, strict_rfc, by_key) if ordered else match_existing(entries, existing, lookup)
     classified = classify(matched, strict_rfc)
     return materialize(classified) if materialize_batch else classified
 
 
 def plan_upsert(existing: DataFrame, entries: DataFrame, ingest_ts: Column, embedder: Embedder | None = None,
                 strict_rfc: bool = False, dim: int = 64, materialize_batch: bool = True,
-                max_id: int | None = None, lookup: Lookup | None = None, ordered: bool = False) -> tuple[DataFrame, DataFrame]:
+                max_id: int | None = None, lookup: Lookup | None = None, ordered: bool = False,
+                by_key: Lookup | None = None) -> tuple[DataFrame, DataFrame]:
     """Returns ``(classified, changes)``: per-entry actions and the full inserted/updated rows.
 
     The classified batch feeds the changes, the untouched-row filter and the counters, so
     it is checkpointed once (``materialize_batch``) instead of being recomputed per use.
     """
-    classified = classify_batch(existing, entries, strict_rfc, materialize_batch, lookup, ordered)
+    classified = classify_batch(existing, entries, strict_rfc, materialize_batch, lookup, ordered, by_key)
     # the highest stored id: from the store's manifest when known, else one pruned scan
     base = F.lit(max_id).cast("long") if max_id is not None else existing.select(
         F.coalesce(F.max("id"), F.lit(0)).cast("long")).scalar()

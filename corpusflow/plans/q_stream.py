@@ -18,6 +18,7 @@ from corpusflow.sources.store import SnapshotStore
 from corpusflow.streaming import ingest as SI
 from corpusflow.streaming import slo as SS
 
+STREAM_KEY_BITS = 4     # and few buckets of keys
 STREAM_PART_ROWS = 256  # small id-range parts so that the benchmark table spans several parts
 
 
@@ -49,7 +50,7 @@ def _ingested(spark, sf_dir, name) -> SnapshotStore:
     base = _run_dir(spark, name)
     FX.raw_entries(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/landing")
     store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS, files_per_part=2)
-    SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts).awaitTermination()
+    SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts, key_bits=STREAM_KEY_BITS).awaitTermination()
     return store
 
 

@@ -18,6 +18,7 @@ from corpusflow.operators import entries as E
 from corpusflow.operators import upsert as U
 from corpusflow.operators.embed import Embedder
 from corpusflow.session import materialize
+from corpusflow.sources.keyindex import KeyIndex
 from corpusflow.sources.store import SnapshotStore
 
 RAW_ENTRY_SCHEMA = (
@@ -41,12 +42,17 @@ def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int |
 
 
 def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embedder: Embedder | None = None,
-                    strict_rfc: bool = False, query_id: Callable[[], str] = lambda: "ingest") -> Callable[[DataFrame, int], None]:
+                    strict_rfc: bool = False, query_id: Callable[[], str] = lambda: "ingest",
+                    key_bits: int = 8) -> Callable[[DataFrame, int], None]:
     """``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint.
 
     Every batch also writes its counters and its rejected and conflicting entries below the
     store (``store.runs("counters")``, ``store.runs("issues")``). They are written before the
-    commit: a batch that is lost in between is planned again and writes them again."""
+    commit: a batch that is lost in between is planned again and writes them again. Stored articles
+    are found through the key index below the store; a store that was filled without a stream needs
+    ``KeyIndex.add(store.read())`` once."""
+
+    index = KeyIndex(store.spark, f"{store.root}/_keys", key_bits)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         number = (query_id(), batch_id)
@@ -57,13 +63,15 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
         entries = materialize(E.valid_entries(norm))
         existing = store.read()
         classified, changes = U.plan_upsert(existing, entries, ingest_ts(), embedder, strict_rfc, max_id=store.max_id(),
-                                            lookup=store.rows, ordered=True)
+                                            ordered=True, by_key=index.lookup(store.rows))
         rejected = materialize(E.rejected_entries(norm).select(*ISSUE_COLUMNS, F.col("reject_reason").alias("reason")))
         conflicts = classified.filter("action = 'conflict'").select(*ISSUE_COLUMNS, F.lit("conflict").alias("reason"))
         rejected.unionByName(conflicts).write.mode("overwrite").parquet(store.run_log(number, "issues"))
         none_failed = batch.sparkSession.createDataFrame([], "feed_url string")
         counters = U.ingest_metrics(classified, rejected, none_failed).drop("failed_feeds")
         counters.coalesce(1).write.mode("overwrite").parquet(store.run_log(number, "counters"))
+        # the keys first: a lost batch leaves keys that lead nowhere, never articles without keys
+        index.add(changes)
         # an empty change set writes nothing (the reference skips the commit too)
         store.commit(changes, batch=number)
 
@@ -77,11 +85,11 @@ def checkpoint_id(store: SnapshotStore, checkpoint: str) -> str:
 
 def run_ingest_stream(spark: SparkSession, landing: str, store: SnapshotStore, checkpoint: str,
                       ingest_ts: Callable[[], Column], embedder: Embedder | None = None, strict_rfc: bool = False,
-                      max_files_per_trigger: int | None = None, processing_time: str | None = None):
-    """Start the ingest stream. By default it processes what has landed and stops
+                      max_files_per_trigger: int | None = None, processing_time: str | None = None, key_bits: int = 8):
+    """Start the ingest stream; ``key_bits`` sizes the key index (see ``KeyIndex``). By default it processes what has landed and stops
     (``availableNow``); pass ``processing_time='30 minutes'`` for a standing query."""
     w = entry_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(
-        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc, lambda: checkpoint_id(store, checkpoint))
+        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc, lambda: checkpoint_id(store, checkpoint), key_bits)
     ).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()

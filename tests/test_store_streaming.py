@@ -37,7 +37,8 @@ def test_stream_equals_batch_and_is_idempotent(spark, scratch):
     q = run_ingest_stream(spark, f"{scratch}/landing", store, f"{scratch}/ckpt", FX.ingest_ts)
     q.awaitTermination()
     snap_stream = store.read()
-    batch, _ = U.upsert(store.read().limit(0), deduped(spark, SF_SMALL), FX.ingest_ts())
+    valid = E.valid_entries(E.normalize_entries(FX.raw_entries(spark, SF_SMALL), FX.ingest_ts())).checkpoint()
+    batch, _ = U.upsert(store.read().limit(0), valid, FX.ingest_ts(), ordered=True)
     cols = ["id", "rss_guid", "url", "title", "content", "content_preview", "published_at"]
     assert snap_stream.select(cols).exceptAll(batch.select(cols)).count() == 0
     assert batch.select(cols).exceptAll(snap_stream.select(cols)).count() == 0
@@ -170,3 +171,72 @@ def test_upsert_reads_keys_of_all_parts_and_rows_of_the_touched_ones(spark, scra
     rows = [p for p in files if "content:string" in p]
     assert len(keys) == 1 and "embedding" not in keys[0] and "InMemoryFileIndex(1 paths)" not in keys[0]
     assert len(rows) == 1 and "InMemoryFileIndex(1 paths)" in rows[0]
+
+
+def _index(spark, scratch, n=400, bits=8):
+    from corpusflow.sources.keyindex import KeyIndex
+
+    store = SnapshotStore(spark, f"{scratch}/s", part_rows=20)
+    arts = spark.range(1, n + 1).selectExpr("id", "'F' as source", "concat('g', id) as rss_guid", "'t' as title", "concat('u', id) as url",
+                                            "'c' as content", "'c' as content_preview", "timestamp'2025-01-01' as published_at",
+                                            "array(cast(0.5 as float)) as embedding", "timestamp'2025-01-01' as created_at",
+                                            "timestamp'2025-01-01' as updated_at")
+    index = KeyIndex(spark, f"{scratch}/s/_keys", bits)
+    index.add(arts)
+    store.commit(arts)
+    return store, index
+
+
+def test_key_index_opens_only_the_buckets_and_parts_of_a_batch(spark, scratch):
+    from corpusflow.operators import upsert as module
+    from corpusflow.sources import keyindex
+
+    store, index = _index(spark, scratch)
+    keys = spark.createDataFrame([("g7", "nowhere"), ("new", "u8"), ("none", "none")], "guid string, link string")
+    opened, real = [], keyindex.materialize
+
+    def watch(df):
+        opened.extend(df.inputFiles())
+        return real(df)
+
+    keyindex.materialize = module.materialize = watch
+    try:
+        found = module.stored_hits(keys, store.read(), by_key=index.lookup(store.rows))
+    finally:
+        keyindex.materialize = module.materialize = real
+    assert sorted(r.id for r in found.collect()) == [7, 8]
+    buckets = {f.split("bucket=")[1].split("/")[0] for f in opened if "/_keys/" in f}
+    parts = {f.split("part=")[1].split("/")[0] for f in opened if "/data/" in f}
+    assert 0 < len(buckets) <= 6 < 200 < len(index.read().select("bucket").distinct().collect())
+    assert parts == {"0"} and len(store.manifest()["parts"]) == 21
+
+
+def test_key_index_survives_stale_and_repeated_rows_and_equal_hashes(spark, scratch):
+    store, index = _index(spark, scratch, n=30, bits=3)
+    index.add(store.read())                                                         # a replayed batch
+    index.add(spark.createDataFrame([(9999, "g1", "u1")], "id long, rss_guid string, url string"))      # a lost one
+    moved = store.read().filter("id = 5").withColumn("url", F.lit("u5-new"))
+    index.add(moved)
+    store.commit(moved)
+    index._rows = lambda a: a.select(F.lit(0).cast("long").alias("h"), "id", F.lit(0).alias("bucket"))  # every key alike
+    hits = index.lookup(store.rows)
+    ask = lambda *k: sorted(r.id for r in hits(spark.createDataFrame(list(k), "guid string, link string")).collect())
+    assert ask(("g1", "x")) == [1] and ask(("x", "u5")) == [] and ask(("x", "u5-new")) == [5] and ask(("g5", "u6")) == [5, 6]
+    assert ask(("x", None)) == []
+    from corpusflow.sources.keyindex import KeyIndex
+
+    assert KeyIndex(spark, f"{scratch}/none").candidates(spark.createDataFrame([("a", "b")], "guid string, link string")).count() == 0
+
+
+def test_stream_over_several_batches_equals_one_ordered_batch(spark, scratch):
+    raw = FX.chained_entries(spark, SF_SMALL)
+    for k in range(7):
+        raw.filter(F.col("feed_pos") == k).coalesce(1).write.parquet(f"{scratch}/landing/feed={k}")
+        run_ingest_stream(spark, f"{scratch}/landing/feed={k}", SnapshotStore(spark, f"{scratch}/store", part_rows=8), f"{scratch}/ckpt{k}",
+                          FX.ingest_ts).awaitTermination()
+    valid = E.valid_entries(E.normalize_entries(raw, FX.ingest_ts())).checkpoint()
+    none = spark.createDataFrame([], SnapshotStore(spark, f"{scratch}/x").schema)
+    want, _ = U.upsert(none, valid, FX.ingest_ts(), ordered=True)
+    cols = ["id", "rss_guid", "url", "title", "content", "published_at"]
+    got = SnapshotStore(spark, f"{scratch}/store", part_rows=8).read()
+    assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
