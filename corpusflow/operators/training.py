@@ -175,6 +175,82 @@ def dedupe_batches(packed: DataFrame, spec: BatchSpec) -> DataFrame:
     return keep.withColumn("new_pos", (F.row_number().over(w) - 1).cast("int")).drop("pos")
 
 
+def shard_slices(ordered: DataFrame, draws: DataFrame, spec: BatchSpec, shard_iterations: int) -> DataFrame:
+    """``(shard, dataset, lo, n, n_ds)``: the ``n`` stream rows from ``lo`` on (modulo the ``n_ds`` rows
+    of the dataset) that a shard reads, over and over. Slices follow each other in the epoch's order
+    and are as long as the shard's share of the dataset's draws, but never shorter than the shard's
+    need, as far as the dataset has rows."""
+    need = draws.groupBy((F.col("batch_id") / shard_iterations).cast("long").alias("shard"), "dataset").agg(
+        F.count(F.lit(1)).alias("need"))
+    # one row per shard and dataset: far fewer than samples
+    before = Window.partitionBy("dataset").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ordered.groupBy("dataset").agg(F.count(F.lit(1)).alias("n_ds"))
+    s = need.withColumn("before", F.coalesce(F.sum("need").over(before), F.lit(0))).withColumn(
+        "all", F.sum("need").over(Window.partitionBy("dataset"))).join(sizes, "dataset")
+    cut = lambda x: F.floor(F.col("n_ds") * x / F.col("all"))
+    share = cut(F.col("before") + F.col("need")) - cut(F.col("before"))
+    least = F.least("n_ds", F.col("need") * spec.samples_per_draw)
+    return s.select("shard", "dataset", cut(F.col("before")).alias("lo"), F.greatest(share, least).alias("n"), "n_ds")
+
+
+def refill_shard(draws: list[tuple[int, int, str]], streams: dict[str, list[tuple]], per_draw: int) -> list[tuple]:
+    """The reference's scan for the iterations of one shard: every draw takes samples from where its
+    dataset's stream stands until it has ``per_draw`` of them; one that shares a text with a sample
+    taken before in the iteration is passed over and claims nothing. ``streams`` holds the samples'
+    text keys. Rows (batch_id, draw, j, dataset, i). A draw that finds no sample in a whole pass
+    over its stream stays short, where the reference would look for ever."""
+    at = dict.fromkeys(streams, 0)
+    out, current, taken = [], None, set()
+    for batch_id, draw, dataset in draws:
+        if batch_id != current:
+            current, taken = batch_id, set()
+        stream = streams.get(dataset, [])
+        j = passed = 0
+        while j < per_draw and passed < len(stream):
+            i = at[dataset] % len(stream)
+            at[dataset] += 1
+            if taken.isdisjoint(stream[i]):
+                taken.update(stream[i])
+                out.append((batch_id, draw, j, dataset, i))
+                j, passed = j + 1, 0
+            else:
+                passed += 1
+    return out
+
+
+def greedy_batches(ordered: DataFrame, draws: DataFrame, spec: BatchSpec, shard_iterations: int = 256) -> DataFrame:
+    """D4/D5 by the reference's greedy scan: device batches in which no text occurs twice in one
+    iteration, every skipped sample being replaced by the next of its dataset's stream. Same columns
+    as :func:`pack_batches`.
+
+    Where a draw starts depends on what all earlier draws of its dataset skipped. So the iterations
+    are dealt to shards of ``shard_iterations``, each with its own slice of every dataset's epoch
+    order; within a shard the scan is sequential, over text keys only (16 bytes a text), and shards
+    run in parallel. With one shard it is the reference's single producer."""
+    slices = shard_slices(ordered, draws, spec, shard_iterations)
+    rows = slices.select("shard", "dataset", "n_ds", "lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("i"))
+    rows = rows.withColumn("r", F.pmod(F.col("lo") + F.col("i"), F.col("n_ds"))).select("shard", "dataset", "i", "r")
+    keys = ordered.select("dataset", "r", F.transform(F.array_distinct("texts"), lambda t: F.unhex(F.md5(t.cast("binary")))).alias("keys"))
+    # names of their own: the two sides of the cogroup come from the same frames
+    streams = rows.join(keys, ["dataset", "r"]).select(*[F.col(c).alias(f"s_{c}") for c in ("shard", "dataset", "i", "r", "keys")])
+    per_draw = spec.samples_per_draw
+
+    def scan(key: tuple, d: pd.DataFrame, s: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values(["batch_id", "draw"])
+        s = s.sort_values(["s_dataset", "s_i"])
+        by_dataset = {name: [tuple(k) for k in g["s_keys"]] for name, g in s.groupby("s_dataset")}
+        place = {(name, i): r for name, i, r in zip(s["s_dataset"], s["s_i"], s["s_r"])}
+        got = refill_shard(list(zip(d["batch_id"], d["draw"], d["d_dataset"])), by_dataset, per_draw)
+        return pd.DataFrame([(b, w, j, n, place[n, i]) for b, w, j, n, i in got], columns=["batch_id", "draw", "j", "dataset", "r"])
+
+    shard = draws.select((F.col("batch_id") / shard_iterations).cast("long").alias("shard"), "batch_id", "draw", F.col("dataset").alias("d_dataset"))
+    taken = shard.groupBy("shard").cogroup(streams.groupBy("s_shard")).applyInPandas(
+        scan, "batch_id long, draw int, j int, dataset string, r long")
+    return taken.join(ordered, ["dataset", "r"]).select(
+        "batch_id", "draw", (F.col("j") / spec.batch_size).cast("int").alias("chunk"),
+        (F.col("j") % spec.batch_size).cast("int").alias("slot"), "dataset", "pair_id", "texts")
+
+
 def step_key(spec: BatchSpec) -> Column:
     """One training step gathers ``nprocs`` consecutive device batches of one draw."""
     return (F.col("chunk") / spec.nprocs).cast("int")

@@ -43,6 +43,15 @@ def packed(spark, sf_dir):
     return materialize(TR.pack_batches(order, draws, SPEC))
 
 
+SHARD = 8       # iterations of a shard
+
+
+def refilled(spark, sf_dir):
+    pairs = loaded(spark, sf_dir)
+    draws = materialize(TR.weighted_draws(spark, pairs, FX.PAIR_WEIGHTS, SPEC))
+    return TR.greedy_batches(materialize(TR.epoch_order(pairs, SPEC)), draws, SPEC, SHARD)
+
+
 def undoubled(spark, sf_dir):
     return TR.dedupe_batches(packed(spark, sf_dir), SPEC)
 
@@ -164,6 +173,45 @@ def q_batch_dedupe(spark, sf_dir):
     return d.select("batch_id", F.col("new_pos").cast("long").alias("new_pos"), "dataset", "pair_id")
 
 
+cte("refill_slices", f"""
+select shard, dataset, n_ds, floor(n_ds * bef / tot)::bigint as lo,
+       greatest(floor(n_ds * (bef + need) / tot)::bigint - floor(n_ds * bef / tot)::bigint, least(n_ds, need * {S})) as n
+from (select *, coalesce(sum(need) over (partition by dataset order by shard rows between unbounded preceding and 1 preceding), 0) as bef,
+             sum(need) over (partition by dataset) as tot
+      from (select batch_id // {SHARD} as shard, dataset, count(*) as need from pairs_draws group by all)
+           join (select dataset, count(*) as n_ds from pairs_loaded group by dataset) using (dataset))""")
+cte("refill_queue", f"""
+select batch_id // {SHARD} as shard, row_number() over (partition by batch_id // {SHARD} order by batch_id, draw) as q, batch_id, draw, dataset
+from pairs_draws""")
+# one step looks at one sample: at[d] samples of the shard's dataset d were looked at before
+cte("refill_run", f"""
+select shard, 1::bigint as q, 0::bigint as j, 0::bigint as passed, -1::bigint as cur, []::varchar[] as taken,
+       (select list({{'d': dataset, 'n': 0::bigint}}) from (select distinct dataset from pairs_loaded)) as looked, null::bigint as pair_id, null::bigint as o_q, null::bigint as o_j
+from (select distinct shard from refill_queue)
+union all
+select shard, case when j2 = {S} or passed2 >= n then q + 1 else q end, case when j2 = {S} or passed2 >= n then 0 else j2 end,
+       case when j2 = {S} or passed2 >= n then 0 else passed2 end, batch_id, case when ok then seen || texts else seen end,
+       list_transform(looked, lambda x: {{'d': x.d, 'n': case when x.d = dataset then x.n + 1 else x.n end}}), case when ok then pid end, q, j
+from (select *, j + ok::bigint as j2, case when ok then 0 else passed + 1 end as passed2
+      from (select r.shard, r.q, r.j, r.passed, r.looked, k.batch_id, k.dataset, s.n, o.texts, o.pair_id as pid,
+                   case when k.batch_id = r.cur then r.taken else []::varchar[] end as seen,
+                   not list_has_any(case when k.batch_id = r.cur then r.taken else []::varchar[] end, o.texts) as ok
+            from refill_run r join refill_queue k on k.shard = r.shard and k.q = r.q
+                 join refill_slices s on s.shard = k.shard and s.dataset = k.dataset
+                 join pairs_order o on o.dataset = k.dataset
+                   and o.r = (s.lo + list_filter(r.looked, lambda x: x.d = k.dataset)[1].n % s.n) % s.n_ds))""")
+
+
+@query("batch_refill", sql=with_ctes(f"""
+select k.batch_id, k.draw, o_j // {SPEC.batch_size} as chunk, o_j % {SPEC.batch_size} as slot, k.dataset, r.pair_id
+from refill_run r join refill_queue k on k.shard = r.shard and k.q = r.o_q where r.pair_id is not null"""))
+def q_batch_refill(spark, sf_dir):
+    """The greedy scan with refill: no text twice in an iteration, and every iteration full."""
+    p = refilled(spark, sf_dir)
+    return p.select("batch_id", F.col("draw").cast("long").alias("draw"), F.col("chunk").cast("long").alias("chunk"),
+                    F.col("slot").cast("long").alias("slot"), "dataset", "pair_id")
+
+
 @query("inbatch_scores", sql=with_ctes("select batch_id, draw, step, i, j, round(score, 6) + 0.0 as score from pairs_scores"))
 def q_inbatch_scores(spark, sf_dir):
     """Scaled cosine scores of every anchor against every candidate of its step."""

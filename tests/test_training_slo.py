@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from conftest import SF_MID, SF_SMALL
 from corpusflow.operators import slo as SLO
 from corpusflow.operators import training as TR
 from corpusflow.plans import q_training as QT
@@ -115,3 +115,64 @@ def test_exact_percentile_skewed(spark):
         assert math.isclose(got[g], float(np.percentile(vals, 95)), rel_tol=1e-12)
     ref = df.groupBy("operation").agg(F.percentile("latency_ms", 0.95).alias("p")).collect()
     assert all(math.isclose(got[r.operation], r.p, rel_tol=1e-12) for r in ref)
+
+
+def one_producer(streams, draws, per_draw):
+    """Samples (batch_id, draw, j, pair) of endless streams, as the rule reads."""
+    at, out, seen, now = {d: 0 for d in streams}, [], set(), None
+    for batch, draw, d in draws:
+        if batch != now:
+            now, seen = batch, set()
+        got, looked = 0, 0
+        while got < per_draw and looked < len(streams[d]):
+            pair, texts = streams[d][at[d] % len(streams[d])]
+            at[d] += 1
+            looked += 1
+            if not any(t in seen for t in texts):
+                seen.update(texts)
+                out.append((batch, draw, got, pair))
+                got, looked = got + 1, 0
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 3])
+def test_greedy_refill_equals_one_producer(spark, shards):
+    import random
+
+    r = random.Random(shards)
+    spec = TR.BatchSpec(batch_size=3, nprocs=2, datasets_per_batch=2)
+    sizes = {"a": 50, "b": 23, "c": 9}
+    rows = [(d, i, 1000 * n + i, [f"t{r.randrange(60)}" for _ in range(2)]) for n, (d, k) in enumerate(sizes.items()) for i in range(k)]
+    rows[3] = ("a", 3, 3, ["same", "same"])
+    ordered = spark.createDataFrame(rows, "dataset string, r long, pair_id long, texts array<string>").repartition(5)
+    draws = [(b, w, r.choice("aaabbc")) for b in range(12) for w in range(2)]
+    df = spark.createDataFrame(draws, "batch_id long, draw int, dataset string").repartition(4)
+    per_shard = -(-12 // shards)
+    got = TR.greedy_batches(ordered, df, spec, per_shard).collect()
+    slices = {(x.shard, x.dataset): x for x in TR.shard_slices(ordered, df, spec, per_shard).collect()}
+    want = []
+    for k in range(shards):
+        mine = [d for d in draws if d[0] // per_shard == k]
+        streams = {d: [next((p, t) for e, i, p, t in rows if e == d and i == (s.lo + j) % s.n_ds) for j in range(s.n)]
+                   for d in {m[2] for m in mine} for s in [slices[k, d]]}
+        if shards == 1:
+            assert all(s.lo == 0 and s.n == sizes[s.dataset] for s in slices.values())      # the whole dataset
+        want += one_producer(streams, mine, spec.samples_per_draw)
+    assert sorted((x.batch_id, x.draw, x.chunk * 3 + x.slot, x.pair_id) for x in got) == sorted(want)
+
+
+def test_refilled_iterations_are_full_and_without_repeats(spark):
+    got = QT.refilled(spark, SF_MID).collect()
+    by = {}
+    for x in got:
+        by.setdefault(x.batch_id, []).append(x)
+    full = QT.SPEC.datasets_per_batch * QT.SPEC.samples_per_draw
+    assert by and all(len(v) == full for v in by.values())
+    for v in by.values():
+        texts = [t for x in v for t in set(x.texts)]
+        assert len(texts) == len(set(texts))
+
+
+def test_a_stream_without_new_texts_leaves_its_draw_short(spark):
+    got = TR.refill_shard([(0, 0, "a"), (0, 1, "none"), (1, 0, "a")], {"a": [("x",), ("x",), ("y",)]}, 4)
+    assert got == [(0, 0, 0, "a", 0), (0, 0, 1, "a", 2), (1, 0, 0, "a", 0), (1, 0, 1, "a", 2)]
