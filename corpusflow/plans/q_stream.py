@@ -108,6 +108,36 @@ def q_stream_dedupe(spark, sf_dir):
     return spark.read.parquet(f"{base}/out")
 
 
+@query("stream_changes", sql=with_ctes(f"""
+select d.copy, entry_pos, guid, md5(list_aggregate(list_transform([source, title || case when d.copy in (2, 3) then ' (new)' else '' end, link, content_clean,
+         content_preview, case when published_ok then {sql_ts('published_at')} else '' end], lambda x: length(x) || ':' || x), 'string_agg', '')) as content_hash
+from entries_dedup, (select unnest([1, 2, 4]) as copy) d"""))
+def q_stream_changes(spark, sf_dir):
+    """Every entry delivered as A, B, B, A in four micro-batches over two runs of the query: the
+    changed deliveries pass, also the one back to A."""
+    base = _run_dir(spark, "stream_changes")
+    # one delivery per guid, so that the expected changes are A, B, A for each
+    raw = FX.raw_entries(spark, sf_dir)
+    raw = raw.join(SI.E.dedupe_entries(SI.E.valid_entries(SI.E.normalize_entries(raw, FX.ingest_ts()))).select("entry_pos"), "entry_pos", "left_semi")
+    before = {k: spark.conf.get(k) for k in SI.STATE_CONF}
+    for k, v in SI.STATE_CONF.items():
+        spark.conf.set(k, v)
+    try:
+        for copy in (1, 2, 3, 4):
+            title = F.coalesce("title", F.lit("Untitled"))
+            state = raw.withColumn("title", F.concat(title, F.lit(" (new)"))) if copy in (2, 3) else raw
+            state.write.mode("overwrite").parquet(f"{base}/landing/copy={copy}")
+            src = SI.entry_stream(spark, f"{base}/landing", recursive=True)
+            out = SI.changed_entries(src, FX.ingest_ts()).withColumn("copy", F.lit(copy))
+            q = (out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint")
+                 .outputMode("append").trigger(availableNow=True).start())
+            q.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    return spark.read.parquet(f"{base}/out").select("copy", "entry_pos", "guid", "content_hash")
+
+
 def _r6(name):
     return (F.round(name, 6) + F.lit(0.0)).alias(name)
 

@@ -9,10 +9,12 @@ no-op, and a second query with a checkpoint of its own never looks like a replay
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusflow.operators import entries as E
 from corpusflow.operators import upsert as U
@@ -95,21 +97,73 @@ def run_ingest_stream(spark: SparkSession, landing: str, store: SnapshotStore, c
     return w.start()
 
 
+def content_hash() -> Column:
+    """md5 of a normalised entry's published fields."""
+    # the time as published: an unparsable date must not hash the run's own time
+    published = F.when(F.col("published_ok"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).otherwise("")
+    fields = [F.col(c) for c in ("source", "title", "link", "content_clean", "content_preview")] + [published]
+    # each field with its length in front, so that no two rows share a joined form
+    return F.md5(F.concat(*[F.concat(F.char_length(f).cast("string"), F.lit(":"), f) for f in fields]))
+
+
+CHANGED_SCHEMA = "guid string, feed_pos long, entry_pos long, content_hash string"
+# what a session needs when a query on changed_entries starts: the state store with time-to-live, and,
+# for a query that ends when it has read all there is, no batches without data (they would never end)
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+
+class LastState(StatefulProcessor):
+    """Keeps the hash of the last state of one guid, for ``ttl_ms`` after its last change."""
+
+    def __init__(self, ttl_ms: int):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "content_hash string", ttlDurationMs=self.ttl_ms)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # positions and hashes of one guid in one micro-batch, in the order of delivery
+        got = pd.concat(list(rows)).sort_values(["landed", "feed_pos", "entry_pos", "content_hash"], kind="stable")
+        before = self.last.get()[0] if self.last.exists() else None
+        changed = got["content_hash"] != got["content_hash"].shift(fill_value=before or "")
+        self.last.update((got["content_hash"].iloc[-1],))
+        yield pd.DataFrame({"guid": key[0], **{c: got.loc[changed, c] for c in ("feed_pos", "entry_pos", "content_hash")}})
+
+    def close(self) -> None:
+        pass
+
+
+def changed_entries(stream: DataFrame, ingest_ts: Column, ttl: str = "30 days", strict_rfc: bool = False,
+                    time_col: str = "_landed_at") -> DataFrame:
+    """The deliveries that change their entry: (guid, feed_pos, entry_pos, content_hash).
+
+    State holds one hash per guid, of the last delivery, so A, B, A passes three times and A, A once,
+    also over restarts; a guid not delivered for ``ttl`` is forgotten and passes again. Deliveries of
+    one micro-batch are taken in the order of landing time, feed and entry position; of equal rows
+    the first passes. Only keys, positions and hashes go through the state, so a guid with many
+    deliveries in one micro-batch takes some 60 bytes for each. The session needs ``STATE_CONF`` when the
+    query starts."""
+    norm = E.valid_entries(E.normalize_entries(stream, ingest_ts, strict_rfc, keep=(time_col,)))
+    slim = norm.select("guid", F.col("feed_pos").cast("long").alias("feed_pos"), F.col("entry_pos").cast("long").alias("entry_pos"),
+                       F.unix_micros(F.col(time_col).cast("timestamp")).alias("landed"), content_hash().alias("content_hash"))
+    ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
+    return slim.groupBy("guid").transformWithStateInPandas(LastState(ttl_ms), CHANGED_SCHEMA, "Append", "ProcessingTime")
+
+
 def dedupe_stream(stream: DataFrame, ingest_ts: Column, watermark: str = "1 day", strict_rfc: bool = False,
                   time_col: str = "_landed_at") -> DataFrame:
-    """Drop identical re-deliveries of an entry while letting real updates through:
-    the key is the guid plus a hash of the normalised content.
+    """Drop identical re-deliveries of an entry while letting new states through: the key is
+    the guid plus a hash of the normalised content. An update back to a state that was delivered
+    within the watermark is dropped as well; :func:`changed_entries` passes it.
 
     The watermark is on the landing time, not the publication date: a stream drops rows
     older than its watermark, and an old article re-delivered or updated today must not be
     discarded as late. State is kept for ``watermark`` of landing time.
     """
     norm = E.valid_entries(E.normalize_entries(stream, ingest_ts, strict_rfc, keep=(time_col,)))
-    # the time as published: an unparsable date must not hash the run's own time
-    published = F.when(F.col("published_ok"), F.date_format("published_at", "yyyy-MM-dd HH:mm:ss")).otherwise("")
-    fields = [F.col(c) for c in ("source", "title", "link", "content_clean", "content_preview")] + [published]
-    # each field with its length in front, so that no two rows share a joined form
-    h = F.md5(F.concat(*[F.concat(F.char_length(f).cast("string"), F.lit(":"), f) for f in fields]))
-    return norm.withColumn("content_hash", h).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(
+    return norm.withColumn("content_hash", content_hash()).withWatermark(time_col, watermark).dropDuplicatesWithinWatermark(
         ["guid", "content_hash"]
     )

@@ -240,3 +240,29 @@ def test_stream_over_several_batches_equals_one_ordered_batch(spark, scratch):
     cols = ["id", "rss_guid", "url", "title", "content", "published_at"]
     got = SnapshotStore(spark, f"{scratch}/store", part_rows=8).read()
     assert sorted(map(tuple, got.select(*cols).collect())) == sorted(map(tuple, want.select(*cols).collect()))
+
+
+def test_changed_entries_over_restarts(spark, scratch):
+    from corpusflow.streaming.ingest import RAW_ENTRY_SCHEMA, STATE_CONF, changed_entries, entry_stream
+
+    def row(pos, guid, title):
+        return ("https://f", "F", 0, pos, guid, None, f"https://l/{guid}", title, [], "s", None, None)
+
+    # a run of the query per list: a goes A, B, A; b stays A; c changes twice within one batch
+    runs = [[row(0, "a", "A"), row(1, "b", "A"), row(2, "c", "A"), row(3, "c", "A"), row(4, "c", "B"), row(5, "c", "A")],
+            [row(0, "a", "B"), row(1, "b", "A"), row(2, "c", "A")], [row(0, "a", "A"), row(1, "b", "A"), row(2, "c", "B")]]
+    before = {k: spark.conf.get(k) for k in STATE_CONF}
+    try:
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
+        for n, rows in enumerate(runs):
+            spark.createDataFrame(rows, RAW_ENTRY_SCHEMA).coalesce(1).write.parquet(f"{scratch}/land/{n}")
+            src = entry_stream(spark, f"{scratch}/land", recursive=True)
+            out = changed_entries(src, F.to_timestamp(F.lit("2026-06-01 00:00:00"))).withColumn("run", F.lit(n))
+            (out.writeStream.format("parquet").option("path", f"{scratch}/out").option("checkpointLocation", f"{scratch}/ck")
+             .trigger(availableNow=True).start()).awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    got = sorted((r.guid, r.run, r.entry_pos) for r in spark.read.parquet(f"{scratch}/out").collect())
+    assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("b", 0, 1), ("c", 0, 2), ("c", 0, 4), ("c", 0, 5), ("c", 2, 2)]
