@@ -12,7 +12,7 @@ from corpusflow.plans.q_ingest import sql_hash_weights
 from corpusflow.plans.registry import query
 from corpusflow.plans.sqlfixtures import INGEST_TS, cte, with_ctes
 from corpusflow.plans import sqltext as S
-from corpusflow.session import scratch_path
+from corpusflow.session import materialize, scratch_path
 from corpusflow.sources import fixtures as FX
 from corpusflow.sources.store import SnapshotStore
 from corpusflow.streaming import ingest as SI
@@ -142,14 +142,14 @@ def _r6(name):
     return (F.round(name, 6) + F.lit(0.0)).alias(name)
 
 
-def _slo_stream(spark, sf_dir, name):
+def _slo_stream(spark, sf_dir, name, aggregate=SS.rolling_slo, values=("n", "errors", "p95_ms")):
     """Update mode: each micro-batch emits the windows it changed (state older than the
     watermark is dropped); the sink keeps every batch's rows and readers take the latest
     row per window and operation."""
     base = _run_dir(spark, name)
     # a glob that matches only the events file: file stream sources take a directory or a glob
     events = spark.readStream.schema(SS.EVENTS_SCHEMA).parquet(f"{sf_dir.rstrip('/')}/[e]vents.parquet")
-    agg = SS.rolling_slo(SS.request_log(events))
+    agg = aggregate(SS.request_log(events))
 
     def write(batch, batch_id):
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={batch_id}")
@@ -158,10 +158,34 @@ def _slo_stream(spark, sf_dir, name):
          .trigger(availableNow=True).start())
     q.awaitTermination()
     out = spark.read.parquet(f"{base}/out")
-    latest = out.groupBy("window", "operation").agg(F.max_by(F.struct("n", "errors", "p95_ms"), F.col("batch")).alias("r"))
+    latest = out.groupBy("window", "operation").agg(F.max_by(F.struct(*values), F.col("batch")).alias("r"))
     return latest.select("window", "operation", "r.*")
 
 
+@query("slo_rollup", sql=with_ctes("""
+select span, operation, count(*) as n, cast(sum(is_error) as bigint) as errors, true as within_rank_error
+from (select strftime(ts, '%Y-%m-%d') as span, operation, is_error from request_log union all select 'all', operation, is_error from request_log)
+group by all"""))
+def q_slo_rollup(spark, sf_dir):
+    """Hourly latency sketches of a stream, merged to days and to the whole time; the merged
+    p95 is checked against its real rank among the requests."""
+    hours = materialize(_slo_stream(spark, sf_dir, "slo_rollup", SS.rolling_sketches, ("n", "errors", "sketch")))
+    day = F.date_format("window.start", "yyyy-MM-dd")
+    spans = SS.roll_up(hours, day).unionByName(SS.roll_up(hours, F.lit("all"))).drop("sketch")
+    spans = materialize(spans)
+    log = FX.request_log(spark, sf_dir)
+    log = log.select(F.explode(F.array(F.date_format("ts", "yyyy-MM-dd"), F.lit("all"))).alias("span"), "operation", "latency_ms")
+    # a row per day and operation
+    real = log.join(spans.select("span", "operation", "p95_ms"), ["span", "operation"]).groupBy("span", "operation").agg(
+        F.avg((F.col("latency_ms") < F.col("p95_ms")).cast("double")).alias("below"),
+        F.avg((F.col("latency_ms") <= F.col("p95_ms")).cast("double")).alias("upto"), F.count(F.lit(1)).alias("m"))
+    # a rank error, and one request more: ranks of few requests are coarse
+    off = F.lit(SS.RANK_ERROR) + 1 / F.col("m")
+    ok = (F.col("below") <= 0.95 + off) & (F.col("upto") >= 0.95 - off)
+    return spans.join(real, ["span", "operation"]).select("span", "operation", "n", F.col("errors").cast("long").alias("errors"),
+                                                          ok.alias("within_rank_error"))
+
+
 @query("stream_slo", sql=with_ctes(f"""
 select {sql_ts("date_trunc('hour', ts)")} as window_start, operation, count(*) as n, cast(sum(is_error) as bigint) as errors,
        round(avg(is_error), 6) + 0.0 as error_rate

@@ -176,3 +176,20 @@ def test_refilled_iterations_are_full_and_without_repeats(spark):
 def test_a_stream_without_new_texts_leaves_its_draw_short(spark):
     got = TR.refill_shard([(0, 0, "a"), (0, 1, "none"), (1, 0, "a")], {"a": [("x",), ("x",), ("y",)]}, 4)
     assert got == [(0, 0, 0, "a", 0), (0, 0, 1, "a", 2), (1, 0, 0, "a", 0), (1, 0, 1, "a", 2)]
+
+
+def test_merged_sketches_stay_within_the_rank_error(spark):
+    from corpusflow.streaming import slo as SS
+
+    rng = np.random.default_rng(8)
+    values = np.concatenate([rng.lognormal(3, 1, 60_000), rng.normal(500, 5, 20_000)])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i long, latency_ms double").select(
+        F.timestamp_seconds(F.col("i") * 5).alias("ts"), F.lit("read").alias("operation"), "latency_ms", F.lit(0).alias("is_error"))
+    hours = SS.rolling_sketches(df)
+    assert hours.count() > 100
+    got = SS.roll_up(hours, F.lit("all")).first()
+    assert got.n == len(values)
+    for p in (0.05, 0.5, 0.95, 0.99):
+        v = SS.roll_up(hours, F.lit("all"), p).first().p95_ms
+        assert abs((values <= v).mean() - p) <= SS.RANK_ERROR
+    assert SS.roll_up(hours.limit(0), F.lit("all")).collect() == []
