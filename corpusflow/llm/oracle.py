@@ -24,7 +24,9 @@ b as (select *, (n_words < 20)::int + 2 * (100 * n_repeat_words > 30 * n_words):
   + 8 * (10 * n_dup_lines > 3 * n_lines)::int + 16 * (100 * n_exclaim > 30 * n_words)::int
   + 32 * (word_chars < 2 * n_words)::int + 64 * (word_chars > 20 * n_words)::int as bits from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 as base_failed,
-  (bits & 119) = 0 as kept, bits::bigint as fail_bits from b
+  (bits & 119) = 0 as kept, bits::bigint as fail_bits, only_rule, (case when only_rule is not null then count(*) over (partition by only_rule) end)::bigint as n_only_rule
+from (select *, case bits & 119 when 1 then 'too_short' when 2 then 'repeated_words' when 4 then 'symbols' when 16 then 'exclamation'
+                when 32 then 'word_length_low' when 64 then 'word_length_high' end as only_rule from b)
 """
 
 _WORDS5 = rf"list_filter(regexp_split_to_array(translate(coalesce(text, ''), {UP}, {LOW}), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"

@@ -104,6 +104,16 @@ def apply_policy(led: DataFrame, version: str = CURRENT) -> DataFrame:
             .withColumn("kept", ~base & (F.col("fail_bits").bitwiseAND(mask) == 0)))
 
 
+def with_sole_rule(led: DataFrame, version: str = CURRENT) -> DataFrame:
+    """Add ``only_rule``, the rule of the policy that alone rejects the document (null if none or
+    several do), and ``n_only_rule``, how many documents of the ledger it alone rejects."""
+    hit = F.col("fail_bits").bitwiseAND(F.lit(policy_mask(version)).cast("long"))
+    sole = F.coalesce(*[F.when(hit == BIT[n], F.lit(n)) for n in POLICIES[version]])
+    per_rule = ablation(led, version).select(F.col("rule").alias("_rule"), F.col("n_only").alias("n_only_rule"))
+    # one row per rule
+    return led.withColumn("only_rule", sole).join(F.broadcast(per_rule), F.col("only_rule") == F.col("_rule"), "left").drop("_rule")
+
+
 def ablation(led: DataFrame, version: str = CURRENT) -> DataFrame:
     """Per rule of the policy: documents that fail it, and those that only this rule rejects
     (what the policy would regain without it). One pass of bitwise sums, one row per rule."""

@@ -9,7 +9,7 @@ from corpusflow.llm import (
     decontam, html_text, importance, licenses, line_dedup, lm_score, mixing, quality, quality_qda, simhash, token_counts,
     toxicity, vector_codes,
 )
-from corpusflow.llm.common import read
+from corpusflow.llm.common import read, stored
 from corpusflow.llm.oracle import ORACLE  # noqa: F401
 
 BATCHES = 8
@@ -30,9 +30,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    led = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents", "doc_id", "text")))
+    # rules are evaluated once, into the stored ledger; the policy and its ablation read only that
+    led = stored(quality.ledger(read(spark, sf_dir, "documents", "doc_id", "text")))
+    led = quality.with_sole_rule(quality.apply_policy(led))
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-                      "kept", "fail_bits")
+                      "kept", "fail_bits", "only_rule", "n_only_rule")
 
 
 def op5_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -355,3 +355,43 @@ def test_queries_match_sql(spark):
         got = QUERIES[name](spark, SF)
         assert sorted(got.columns) == sorted(cols)
         assert sorted(map(tuple, got.select(*cols).collect())) == sorted(cur.fetchall())
+
+
+def test_batches_anti_join_the_runs_and_add_up(spark):
+    """New keys of the runs never meet, and the counts are those of one pass, at any fan-out."""
+    from collections import Counter
+
+    from corpusflow.llm.line_dedup import LineRuns, batch_of
+
+    r = random.Random(11)
+    rows = [(i, "\n".join(f"line {int(r.paretovariate(0.7))}" for _ in range(r.randrange(6)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = Counter(Counter(k for _, t in rows for k in set(t.split("\n")) if k).values())
+    for fanout, n in ((4, 8), (2, 5), (9, 3)):
+        runs = LineRuns(spark, fanout=fanout)
+        runs.add(df, batch=batch_of(F.col("doc_id"), n), n_batches=n)
+        assert Counter(x.n_docs for x in runs.counts().collect()) == want
+        new = runs._read("new").select("h1", "h2")
+        assert new.count() == new.distinct().count() and runs._read("again").count() > 0
+
+
+def test_line_batches_are_anti_joined_in_the_plan(spark, monkeypatch):
+    from corpusflow.llm.line_dedup import LineRuns
+
+    frame = type(spark.range(1))
+    plans, real = [], frame.sortWithinPartitions
+    monkeypatch.setattr(frame, "sortWithinPartitions", lambda self, *a, **k: (plans.append(self._jdf.queryExecution().toString()), real(self, *a, **k))[1])
+    runs = LineRuns(spark)
+    for b in range(2):
+        runs.add(docs(spark, [(b, f"same\nonly {b}")]))
+    assert sum("SortMergeJoin" in p and "LeftAnti" in p for p in plans) >= 1
+
+
+def test_sole_rules_equal_the_ablation(spark):
+    from corpusflow.llm import quality
+
+    led = quality.ledger(spark.read.parquet(f"{SF}/documents.parquet"))
+    rows = quality.with_sole_rule(led, "v1").collect()
+    for x in quality.ablation(led, "v1").collect():
+        mine = [r for r in rows if r.only_rule == x.rule]
+        assert len(mine) == x.n_only and all(r.n_only_rule == x.n_only for r in mine)
