@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"          # what separates words
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BROADCAST_ROWS = 500_000             # a narrow key frame of this many rows stays below about 16 MB
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 48
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -63,3 +64,15 @@ def broadcast_bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     """Mark a narrow, stored frame for broadcast if a count shows at most ``max_rows`` rows;
     else leave it, so that the join shuffles both sides."""
     return F.broadcast(df) if df.count() <= max_rows else df
+
+
+def broadcast_checked(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a stored frame for broadcast if its values take at most ``max_bytes``, with an allowance
+    per row; else leave it, so that the join shuffles both sides."""
+    return F.broadcast(df) if frame_bytes(df) <= max_bytes else df
+
+
+def frame_bytes(df: DataFrame) -> int:
+    """Bytes of all values as strings and ``ROW_BYTES`` per row, summed in the cluster."""
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in df.columns), F.lit(ROW_BYTES))
+    return df.agg(F.coalesce(F.sum(width.cast("long")), F.lit(0))).first()[0]

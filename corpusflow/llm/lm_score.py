@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.common import broadcast_bounded, stored
 
-WORDS = 1 << 18         # least size of the vocabulary in the add-one unigrams
 STRENGTH = 50.0         # K above
 CACHE = 400_000         # words whose hash a task remembers
 BLOCK_CHARS = 6_000_000  # characters of a block's texts, about
@@ -156,7 +155,7 @@ def block_losses(texts: pa.ChunkedArray, good: np.ndarray, rows: pa.Table, shard
     ends = cut(keys, shards)
     at, n_at = unpacked(rows["at"], np.uint32, True)
     at = at + np.repeat(ends[rows["shard"].to_numpy()], n_at)
-    vocabulary = max(WORDS, int(rows["n_words"].to_numpy().sum()) + 1)
+    vocabulary = int(rows["n_words"].to_numpy().sum()) + 1         # the corpus's distinct words, and one for all others
     losses = []
     for name, held in (("target", good), ("background", np.ones(len(n), bool))):
         mine = np.repeat(held, n).astype(np.int64)

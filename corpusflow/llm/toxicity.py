@@ -163,7 +163,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         near = F.shiftrightunsigned(F.xxhash64("id"), 33) <= int(share * (1 << 31))
         picked += known.filter((F.col("y") == y) & near).orderBy(
             F.shiftrightunsigned(F.xxhash64("id"), 33), "id").limit(rows_per_label).collect()
-    sample = docs.sparkSession.createDataFrame([(r["id"], int(r["y"])) for r in picked], "id long, y int")
+    kind = known.schema["id"].dataType.simpleString()
+    sample = docs.sparkSession.createDataFrame([(r["id"], int(r["y"])) for r in picked], f"id {kind}, y int")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     # at most 2 * rows_per_label ids: a proven bound
     feats = texts.join(F.broadcast(sample), "id").select("id", "y", F.xxhash64("text").alias("k"), terms(F.col("text")).alias("t"))
@@ -181,16 +182,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return t.map(lambda s: s[shared.value[s]])
 
     feats = feats.select("id", "y", frequent("t").alias("t")).toArrow()
-    order = np.argsort(np.asarray(feats["id"], dtype=np.int64), kind="stable")
+    ids = feats["id"].to_pylist()
+    order = sorted(range(len(ids)), key=ids.__getitem__)
     rows = [np.asarray(x.values, dtype=np.int32) for x in feats["t"]]
     y = np.asarray(feats["y"], dtype=np.float64)
     total = sum(n.values())
     return fit([rows[i] for i in order], y[order], n.get(1, 0) / total if total else 0.0)
 
 
-def scored(model: FactorizationMachine, docs: DataFrame, text_col: str = "text", out: str = "__score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1, in column ``out``. Only the term slots
-    reach Python; the model has at most ``SLOTS`` rows and is broadcast once."""
+def scored(model: FactorizationMachine, docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """``row`` (struct of all columns of ``docs``, whatever their names) and ``score`` of each whole
+    text, 0 to 1. Only the term slots reach Python; the model has at most ``SLOTS`` rows and is
+    broadcast once."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -198,8 +201,8 @@ def scored(model: FactorizationMachine, docs: DataFrame, text_col: str = "text",
         return pd.Series(1 / (1 + np.exp(-np.clip(shared.value.margin(list(t)), -500, 500))))
 
     # an outer explode of one array keeps the terms' expression out of the Python node's inputs
-    slots = docs.select("*", F.explode_outer(F.array(terms(text_of(text_col)))).alias("__terms"))
-    return slots.withColumn(out, margin("__terms")).drop("__terms")
+    slots = docs.select(F.struct("*").alias("row"), F.explode_outer(F.array(terms(text_of(text_col)))).alias("terms"))
+    return slots.select("row", margin("terms").alias("score"))
 
 
 def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -207,9 +210,11 @@ def detect(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Null and empty texts have no terms and score the bias alone. Without usable labels every
     score is near 0. Labels, languages and sources never enter a score; equal texts score
-    alike. Extra columns are not read.
+    alike, repeated rows each get a row, and a score of exactly ``THRESHOLD`` is predicted 1.
+    Very long texts are read whole, and only their distinct terms reach Python. Ids may be of any
+    type that sorts. Extra columns are not read.
     """
     model = train(docs, labels, id_col, text_col)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return scored(model, slim, out="score").select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score",
-                                                   (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored(model, slim).select(F.col("row.id").alias(id_col), held_out("row.id").alias("held_out"), "score",
+                                      (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

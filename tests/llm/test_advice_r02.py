@@ -11,7 +11,6 @@ from .cases import docs
 def test_lm_score_counts_more_bigrams_than_any_fixed_table(spark, monkeypatch):
     from corpusflow.llm import lm_score as m
 
-    monkeypatch.setattr(m, "WORDS", 1 << 4, raising=True)
     monkeypatch.setattr(m, "BLOCK_CHARS", 20_000, raising=False)
     r = random.Random(3)
     texts = [(i, " ".join(f"w{int(r.paretovariate(0.4)) % 9_000}" for _ in range(r.randrange(1, 120)))) for i in range(600)]

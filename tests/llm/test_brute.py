@@ -166,7 +166,7 @@ def test_decontam_in_blocks_equals_one_pass(spark, monkeypatch):
     got = lambda: sorted(map(tuple, decontam.find_windows(
         docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).drop("text_key").collect()))
     whole = got()
-    monkeypatch.setattr(decontam, "BLOCK_WINDOWS", 20)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
     assert got() == whole
     want = []
     for i, t in texts:
@@ -204,6 +204,8 @@ def test_lm_score_against_plain_counts(spark):
     good = spark.createDataFrame([(1,), (2,)], "doc_id long")
     got = {r.doc_id: (r.target_loss, r.background_loss) for r in m.cross_entropy_difference(docs(spark, texts), good).collect()}
 
+    vocabulary = len({w for _, t in texts for w in t.split()}) + 1
+
     def loss(own, held):
         uni, ctx, pair, total = {}, {}, {}, 0
         for i, t in held:
@@ -214,7 +216,7 @@ def test_lm_score_against_plain_counts(spark):
                 uni[w], ctx[u], pair[u, w] = uni.get(w, 0) + 1, ctx.get(u, 0) + 1, pair.get((u, w), 0) + 1
             total += len(ws)
         ws = own[1].split()
-        each = [-math.log((pair.get((u, w), 0) + m.STRENGTH * (uni.get(w, 0) + 1) / (total + m.WORDS)) / (ctx.get(u, 0) + m.STRENGTH))
+        each = [-math.log((pair.get((u, w), 0) + m.STRENGTH * (uni.get(w, 0) + 1) / (total + vocabulary)) / (ctx.get(u, 0) + m.STRENGTH))
                 for u, w in zip(["^", *ws], ws)]
         return sum(each) / len(each) if each else 0.0
 
@@ -347,7 +349,7 @@ def test_queries_match_sql(spark):
     from corpusflow.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     for name, sql in ORACLE.items():
         cur = con.execute(sql)
@@ -395,3 +397,20 @@ def test_sole_rules_equal_the_ablation(spark):
     for x in quality.ablation(led, "v1").collect():
         mine = [r for r in rows if r.only_rule == x.rule]
         assert len(mine) == x.n_only and all(r.n_only_rule == x.n_only for r in mine)
+
+
+def test_template_of_a_third_of_the_benchmark(spark, monkeypatch):
+    """One passage in many items stands once in the index, and documents that quote it name them all."""
+    from corpusflow.llm import decontam
+
+    shared = " ".join(f"s{i}" for i in range(40))
+    items = [(i, f"{shared} own{i} " + " ".join(f"x{i}y{k}" for k in range(12))) for i in range(60)] + [(100 + i, " ".join(f"q{i}z{k}" for k in range(11))) for i in range(90)]
+    texts = [(1, f"before {shared} after"), (2, " ".join(f"x7y{k}" for k in range(12))), (3, "nothing of it"), (4, shared + " own9 x9y0")]
+    it = spark.createDataFrame(items, "item_id long, text string")
+    wins, lists = decontam._groups(decontam.item_windows(it))
+    assert lists.filter("items_key.n = 60").count() == 60 and wins.filter("items_key.n = 60").count() == 31
+    want = {1: (40, 60), 2: (12, 1), 3: (0, 0), 4: (42, 60)}
+    for size in (decontam.BLOCK_BYTES, 4000):            # one broadcast, or several passes
+        monkeypatch.setattr(decontam, "BLOCK_BYTES", size)
+        got = {r.doc_id: (r.n_hit, len(r["items"])) for r in decontam.find_windows(docs(spark, texts), it).collect()}
+        assert got == want
