@@ -12,9 +12,12 @@ BATCHES = 8
 
 
 def toxic_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity score is below the threshold; all columns as they are."""
+    """Documents whose toxicity score is below the threshold; all columns as they are, whatever
+    their names. Null and empty texts have the bias's score alone and stay unless nearly all
+    training rows are toxic; a score of exactly the threshold goes; repeated rows go or stay
+    together; no documents, no rows."""
     model = toxicity.train(docs, read(spark, sf_dir, "labels", "doc_id", "toxic"))
-    return toxicity.scored(model, docs).filter(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    return toxicity.scored(model, docs).filter(F.col("score") < toxicity.THRESHOLD).select("row.*")
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,14 +40,20 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def decontam_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window of a benchmark item."""
+    """Documents without a window of a benchmark item; all columns as they are, whatever their
+    names. Null and empty texts hold no window and stay, rows of one id and text go or stay
+    together, and without benchmark items all stay."""
     found = decontam.find_windows(docs, read(spark, sf_dir, "benchmark", "item_id", "text"))
-    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("__bad_id"), F.col("text_key").alias("__bad_key")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("__bad_id")) & (text_key(docs["text"]) == F.col("__bad_key")), "left_anti")
+    bad = found.filter("n_hit > 0").select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    whole = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_key("text").alias("key"))
+    same = F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("key") == F.col("bad_key"))
+    return whole.join(bad, same, "left_anti").select("row.*")
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix's plan per document: doc_id, size, source, source_size, target, taken."""
+    """The mix's plan, one row per document: doc_id, size, source, source_size, target, taken. Null
+    and empty texts have size 0 and are not taken; a null source is one of its own; the order
+    within a source is by hash, id and size, so repeated rows lie side by side; no documents, no rows."""
     return mixing.mix(docs).documents
 
 
@@ -67,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-# A trained classifier and SimHash are not expressible in SQL; tests hold the stages against brute force.
+# A trained classifier and SimHash are not expressible in SQL: tests/llm/test_pipeline.py holds every stage
+# against plain Python on its own input.
 ORACLE_SQL = None
