@@ -41,6 +41,9 @@ def assign_ids(df: DataFrame, order_key: Column, base: Column | int = 0, out: st
         k = k.withColumn("_w", weight)
         running = wb.orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         ranked = k.withColumn("_r", F.sum("_w").over(running)).withColumn("_n", F.sum("_w").over(wb)).drop("_w")
+    if not part and not cuts:
+        # one range: its numbers are final
+        return ranked.withColumn(out, (base_col + F.col("_r")).cast("long")).drop("_k", "_b", "_r", "_n")
     counts = ranked.groupBy(*part, "_b").agg(F.max("_n").alias("_n"))
     w = Window.partitionBy(*part).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*part, "_b", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))

@@ -50,23 +50,45 @@ def hash_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 15), 16, 10).cast("long")
 
 
-def read_pair_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(dataset, line)`` from gzipped or plain JSON-lines files; dataset = file stem."""
+def read_pair_lines(spark: SparkSession, paths: list[str], by_folder: bool = False) -> DataFrame:
+    """``(dataset, line)`` from gzipped or plain JSON-lines files; dataset = file stem, or with
+    ``by_folder`` the name of the file's folder (after a ``=`` if it has one). Plain files are split
+    by Spark; a gzipped file is one task, so a large corpus should land as many of them."""
     df = spark.read.text(paths).withColumnRenamed("value", "line")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.jsonl?)?(\.gz)?$", 1)
-    return df.select(name.alias("dataset"), "line")
+    stem, folder = r"([^/]+?)(\.jsonl?)?(\.gz)?$", r"([^/=]+)/[^/]+$"
+    return df.select(F.regexp_extract(F.input_file_name(), folder if by_folder else stem, 1).alias("dataset"), "line")
 
 
-def parse_pairs(lines: DataFrame, reddit_datasets: tuple[str, ...] = ()) -> DataFrame:
-    """A JSON list, ``{"texts": [...]}``, or (reddit) ``{"response", "context"}``
-    -> ``texts array<string>``; reddit rows need both keys and become [response, context]."""
+def _texts(reddit_datasets: tuple[str, ...]) -> Column:
     as_list = F.from_json("line", "array<string>")
     as_dict = F.from_json("line", "struct<texts: array<string>>")["texts"]
     red = F.from_json("line", "struct<response: string, context: string>")
     red_arr = F.when(red["response"].isNotNull() & red["context"].isNotNull(), F.array(red["response"], red["context"]))
     is_reddit = F.col("dataset").isin(*reddit_datasets) if reddit_datasets else F.lit(False)
-    texts = F.when(is_reddit, red_arr).otherwise(F.coalesce(as_list, as_dict))
-    return lines.select("*", texts.alias("texts")).drop("line").filter(F.col("texts").isNotNull())
+    return F.when(is_reddit, red_arr).otherwise(F.coalesce(as_list, as_dict))
+
+
+def parse_pairs(lines: DataFrame, reddit_datasets: tuple[str, ...] = ()) -> DataFrame:
+    """A JSON list, ``{"texts": [...]}``, or (reddit) ``{"response", "context"}``
+    -> ``texts array<string>``; reddit rows need both keys and become [response, context].
+    Lines that are none of these are left out: :func:`split_pairs` reports them."""
+    return lines.select("*", _texts(reddit_datasets).alias("texts")).drop("line").filter(F.col("texts").isNotNull())
+
+
+def split_pairs(lines: DataFrame, reddit_datasets: tuple[str, ...] = ()) -> DataFrame:
+    """S9/P11 with nothing lost: every line with ``texts`` or with a ``reject_reason``.
+
+    ``empty`` (null or white space), ``not_json``, ``missing_key`` (an object without the keys of
+    its dataset's format, which the reference passes over for reddit and fails on elsewhere),
+    ``no_texts`` (another JSON value, or an empty list) and ``null_text`` (a null among the texts)."""
+    texts = F.col("texts")
+    value = F.try_parse_json("line")
+    reason = (
+        F.when(F.col("line").isNull() | ~F.col("line").rlike(r"\S"), "empty").when(value.isNull(), "not_json")
+        .when(texts.isNull() & F.schema_of_variant(value).startswith("OBJECT"), "missing_key")
+        .when(texts.isNull() | (F.size(texts) == 0), "no_texts").when(F.exists(texts, lambda t: t.isNull()), "null_text"))
+    out = lines.withColumn("texts", _texts(reddit_datasets)).withColumn("reject_reason", reason)
+    return out.withColumn("texts", F.when(F.col("reject_reason").isNull(), texts))
 
 
 def arity(pairs: DataFrame) -> DataFrame:
@@ -88,16 +110,6 @@ def check_arity(pairs: DataFrame) -> DataFrame:
     return pairs
 
 
-def manifest(spark: SparkSession, weights: tuple[tuple[str, int], ...]) -> DataFrame:
-    """``(dataset, weight, first, last)`` - the weight's interval in the repeated index list."""
-    rows = []
-    start = 0
-    for name, w in weights:
-        rows.append((name, w, start, start + w - 1))
-        start += w
-    return spark.createDataFrame(rows, "dataset string, weight int, first int, last int")
-
-
 def epoch_order(pairs: DataFrame, spec: BatchSpec, key_col: str = "pair_id") -> DataFrame:
     """Per-dataset stream position ``r`` (0-based) of the epoch's shuffle."""
     return assign_ids(pairs, hash_key(F.lit(spec.seed), F.lit(spec.epoch), F.col(key_col)), -1, "r",
@@ -105,36 +117,41 @@ def epoch_order(pairs: DataFrame, spec: BatchSpec, key_col: str = "pair_id") ->
 
 
 def weighted_draws(spark: SparkSession, pairs: DataFrame, weights: tuple[tuple[str, int], ...], spec: BatchSpec) -> DataFrame:
-    """``(batch_id, draw, dataset, width)``. Draw 0 of an iteration picks a dataset
+    """``(batch_id, draw, dataset, width)``. Draw 0 of an iteration picks a dataset
     with probability proportional to its weight (uniform over the repeated index list);
     later draws pick among datasets of the same width, which equals the reference's
     redraw-until-same-format loop."""
-    widths = arity(pairs).select("dataset", F.col("max_cols").alias("width"))
+    names = [n for n, _ in weights]
+    # one row per configured dataset
+    widths = {r["dataset"]: r["max_cols"] for r in arity(pairs.filter(F.col("dataset").isin(names))).collect()}
     # the manifest as given, less the datasets without rows: their draws go to the others
-    with_rows = {r["dataset"] for r in widths.filter(F.col("dataset").isin([n for n, _ in weights])).select("dataset").collect()}
-    weights = tuple((n, w) for n, w in weights if n in with_rows)
-    m = manifest(spark, weights).join(widths, "dataset")
-    wpos = Window.partitionBy("width").orderBy("first")
-    m = m.withColumn("wfirst", F.coalesce(F.sum("weight").over(wpos.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # the repeated index lists (all datasets, and per width): sum(weights) rows of configuration
-    all_idx = F.broadcast(m.select("dataset", "width", F.explode(F.sequence("first", "last")).alias("idx")))
-    width_idx = F.broadcast(m.select(F.col("width").alias("bw"), "dataset",
-                                     F.explode(F.sequence("wfirst", F.col("wfirst") + F.col("weight") - 1)).alias("idx")))
-    width_sum = F.broadcast(m.groupBy(F.col("width").alias("bw")).agg(F.sum("weight").alias("wsum")))
+    entries = [(n, w) for n, w in weights if n in widths]
+    if not entries:
+        return spark.createDataFrame([], "batch_id long, draw int, dataset string, width int")
+
+    def pick(u: Column, among: list[tuple[str, int]]) -> Column:
+        """The dataset whose interval of the repeated index list holds floor(u * sum of weights)."""
+        idx, end, out = F.floor(u * F.lit(sum(w for _, w in among))), 0, []
+        for name, w in among:
+            end += w
+            out.append(F.when(idx < end, F.lit(name)))
+        return F.coalesce(*out)
+
+    def u(draw: Column) -> Column:
+        return hash_uniform(F.lit(spec.seed), F.col("batch_id"), draw)
+
+    width_of = F.create_map(*[F.lit(x) for n, _ in entries for x in (n, widths[n])])
     total = pairs.count()
     n_iter = max(1, -(-total // (spec.datasets_per_batch * spec.samples_per_draw)))
     draws = spark.range(n_iter * spec.datasets_per_batch).select(
         (F.col("id") / spec.datasets_per_batch).cast("long").alias("batch_id"),
         (F.col("id") % spec.datasets_per_batch).cast("int").alias("draw"),
     )
-    draws = draws.withColumn("u", hash_uniform(F.lit(spec.seed), F.col("batch_id"), F.col("draw")))
-    wall = int(sum(w for _, w in weights))
-    first = draws.filter(F.col("draw") == 0).withColumn("idx", F.floor(F.col("u") * F.lit(wall)).cast("int"))
-    first = first.join(all_idx, "idx").select("batch_id", "draw", "dataset", "width")
-    rest = draws.filter(F.col("draw") > 0).join(first.select("batch_id", F.col("width").alias("bw")), "batch_id")
-    rest = rest.join(width_sum, "bw").withColumn("idx", F.floor(F.col("u") * F.col("wsum")).cast("int"))
-    rest = rest.join(width_idx, ["bw", "idx"]).select("batch_id", "draw", "dataset", F.col("bw").alias("width"))
-    return first.unionByName(rest)
+    # the first draw fixes the width; its hash is computed anew for every draw, so nothing is joined
+    draws = draws.withColumn("width", F.element_at(width_of, pick(u(F.lit(0)), entries)))
+    same = [F.when(F.col("width") == k, pick(u(F.col("draw")), [e for e in entries if widths[e[0]] == k])) for k in sorted(set(widths.values()))]
+    dataset = F.when(F.col("draw") == 0, pick(u(F.lit(0)), entries)).otherwise(F.coalesce(*same))
+    return draws.select("batch_id", "draw", dataset.alias("dataset"), "width")
 
 
 def pack_batches(ordered: DataFrame, draws: DataFrame, spec: BatchSpec) -> DataFrame:

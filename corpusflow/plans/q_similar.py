@@ -189,8 +189,9 @@ def q_mean_pool(spark, sf_dir):
     toks = toks.select("doc_id", token_bucket(F.col("tok"), FX.row_count(spark, sf_dir, "embeddings")).cast("long").alias("vec_id"),
                        F.when(F.col("pos") < MAX_TOKENS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
     v = _vectors(spark, sf_dir)
-    # repeated tokens add the same vector: weight each distinct vector by its masked count
-    counts = toks.groupBy("doc_id", "vec_id").agg(F.sum("m").alias("m"))
+    # repeated tokens add the same vector: weight each distinct vector by its masked count; tokens
+    # behind the mask weigh nothing, so a document has at most MAX_TOKENS vectors
+    counts = toks.filter("m > 0").groupBy("doc_id", "vec_id").agg(F.sum("m").alias("m"))
     per_doc = counts.join(v, "vec_id").groupBy("doc_id").agg(F.collect_list(F.struct("m", "embedding")).alias("t"))
     pooled = per_doc.select("doc_id", mean_pool(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: x["m"])).alias("p"))
     out = pooled.select("doc_id", F.posexplode("p").alias("dim", "value"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.operators import slo as SLO
 from corpusflow.plans.common import sql_ts, ts_str
-from corpusflow.plans.q_ingest import sql_hash_weights
+from corpusflow.plans.q_ingest import feed_list, sql_hash_weights
 from corpusflow.plans.registry import query
 from corpusflow.plans.sqlfixtures import INGEST_TS, cte, with_ctes
 from corpusflow.plans import sqltext as S
@@ -46,11 +46,12 @@ cte("stream_emb", sql_hash_weights(f"(select entry_pos, {S.embedding_text('title
                                    "entry_pos", "etext"))
 
 
-def _ingested(spark, sf_dir, name) -> SnapshotStore:
+def _ingested(spark, sf_dir, name, expected=None) -> SnapshotStore:
     base = _run_dir(spark, name)
     FX.raw_entries(spark, sf_dir).write.mode("overwrite").parquet(f"{base}/landing")
     store = SnapshotStore(spark, f"{base}/store", part_rows=STREAM_PART_ROWS, files_per_part=2)
-    SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts, key_bits=STREAM_KEY_BITS).awaitTermination()
+    SI.run_ingest_stream(spark, f"{base}/landing", store, f"{base}/checkpoint", FX.ingest_ts, key_bits=STREAM_KEY_BITS,
+                         expected=expected).awaitTermination()
     return store
 
 
@@ -74,11 +75,15 @@ def q_stream_ingest(spark, sf_dir):
 @query("stream_counters", sql=with_ctes("""
 select (select count(*) from entries_ordered where not conflict) as ingested, 0 as updated, 0 as unchanged,
        (select count(*) from entries_ordered where conflict) as conflicts,
-       (select count(*) from entries_norm where reject_reason is not null) as skipped"""))
+       (select count(*) from entries_norm where reject_reason is not null) as skipped,
+       (select string_agg(feed_url, ',' order by feed_url) from failed_feeds where failed) as failed_feeds"""))
 def q_stream_counters(spark, sf_dir):
-    """A1 in the stream: counters of all batches of an ingest into an empty store."""
-    runs = _ingested(spark, sf_dir, "stream_counters").runs("counters")
-    return runs.agg(*[F.sum(c).alias(c) for c in ("ingested", "updated", "unchanged", "conflicts", "skipped")])
+    """A1 in the stream: counters of all batches of an ingest into an empty store, and the feeds that
+    landed nothing."""
+    expected = feed_list(spark, sf_dir).filter(F.col("feed_url").startswith(FX.FEED_BASE)).select("feed_url").distinct()
+    runs = _ingested(spark, sf_dir, "stream_counters", expected).runs("counters")
+    failed = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("failed_feeds")))), ",").alias("failed_feeds")
+    return runs.agg(*[F.sum(c).alias(c) for c in ("ingested", "updated", "unchanged", "conflicts", "skipped")], failed)
 
 
 @query("stream_issues", sql=with_ctes("""

@@ -9,7 +9,7 @@ from corpusflow.plans.q_ingest import sql_hash_weights
 from corpusflow.plans.registry import query
 from corpusflow.plans.sqlfixtures import cte, with_ctes
 from corpusflow.sources import fixtures as FX
-from corpusflow.session import materialize
+from corpusflow.session import materialize, scratch_path
 
 SPEC = TR.BatchSpec()
 S = SPEC.samples_per_draw
@@ -134,6 +134,44 @@ def q_pairs_load(spark, sf_dir):
     return p.select("dataset", "pair_id", F.posexplode("texts").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long"))
 
 
+def pair_files(spark, sf_dir):
+    """The corpora as gzipped files, one folder per dataset, some lines cut off and some blank; read
+    back with a reason for every line that holds no texts."""
+    import uuid
+
+    out = scratch_path(spark, "runs", f"pair_files-{uuid.uuid4().hex[:12]}")
+    p = pair_lines(spark, sf_dir)
+    line = F.when(F.col("pair_id") % 11 == 5, F.expr("left(line, length(line) div 2)")).when(F.col("pair_id") % 13 == 6, F.lit("  ")).otherwise(
+        F.col("line"))
+    p.select("dataset", line.alias("line")).write.partitionBy("dataset").option("compression", "gzip").text(out)
+    return TR.split_pairs(TR.read_pair_lines(spark, [f"{out}/*"], by_folder=True), REDDIT)
+
+
+cte("pair_files", f"""
+select dataset, case when dataset = 'conv0' then [texts[2], texts[1]] else texts end as texts,
+       case when pair_id % 11 = 5 then 'not_json' when pair_id % 13 = 6 then 'empty'
+            when dataset = 'conv0' and (texts[1] is null or length(texts[1]) < {MIN_CONTEXT} or texts[2] is null) then 'missing_key' end as reject_reason
+from training_pairs""")
+
+
+@query("pairs_files", sql=with_ctes("""
+select dataset, pos, text, count(*) as n from (
+  select dataset, unnest(range(len(texts))) as pos, unnest(texts) as text from pair_files where reject_reason is null) group by all"""))
+def q_pairs_files(spark, sf_dir):
+    """Pair corpora from gzipped files, in three formats, some lines damaged."""
+    p = pair_files(spark, sf_dir).filter("reject_reason is null")
+    return p.select("dataset", F.posexplode("texts").alias("pos", "text")).withColumn("pos", F.col("pos").cast("long")).groupBy(
+        "dataset", "pos", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("pairs_rejects", sql=with_ctes("""
+select dataset, coalesce(reject_reason, 'kept') as outcome, count(*) as n from pair_files group by all"""))
+def q_pairs_rejects(spark, sf_dir):
+    """Every line of the files is kept or has a reason."""
+    return pair_files(spark, sf_dir).groupBy("dataset", F.coalesce("reject_reason", F.lit("kept")).alias("outcome")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 @query("pairs_arity", sql=with_ctes("""
 select dataset, count(*) as n_rows, min(len(texts)) as min_cols, max(len(texts)) as max_cols,
        min(len(texts)) = max(len(texts)) as consistent

@@ -45,8 +45,9 @@ def entry_stream(spark: SparkSession, landing: str, max_files_per_trigger: int |
 
 def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embedder: Embedder | None = None,
                     strict_rfc: bool = False, query_id: Callable[[], str] = lambda: "ingest",
-                    key_bits: int = 8) -> Callable[[DataFrame, int], None]:
-    """``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint.
+                    key_bits: int = 8, expected: DataFrame | None = None) -> Callable[[DataFrame, int], None]:
+    """``expected`` (feed_url): the feeds that should land entries in every batch; those that
+    don't are the batch's failed feeds. ``query_id`` names the streaming query, whose batch numbers start at 0 with its checkpoint.
 
     Every batch also writes its counters and its rejected and conflicting entries below the
     store (``store.runs("counters")``, ``store.runs("issues")``). They are written before the
@@ -69,8 +70,9 @@ def upsert_batch_fn(store: SnapshotStore, ingest_ts: Callable[[], Column], embed
         rejected = materialize(E.rejected_entries(norm).select(*ISSUE_COLUMNS, F.col("reject_reason").alias("reason")))
         conflicts = classified.filter("action = 'conflict'").select(*ISSUE_COLUMNS, F.lit("conflict").alias("reason"))
         rejected.unionByName(conflicts).write.mode("overwrite").parquet(store.run_log(number, "issues"))
-        none_failed = batch.sparkSession.createDataFrame([], "feed_url string")
-        counters = U.ingest_metrics(classified, rejected, none_failed).drop("failed_feeds")
+        landed = batch.select("feed_url").distinct()
+        failed = landed.limit(0) if expected is None else expected.select("feed_url").distinct().join(landed, "feed_url", "left_anti")
+        counters = U.ingest_metrics(classified, rejected, failed)
         counters.coalesce(1).write.mode("overwrite").parquet(store.run_log(number, "counters"))
         # the keys first: a lost batch leaves keys that lead nowhere, never articles without keys
         index.add(changes)
@@ -87,11 +89,12 @@ def checkpoint_id(store: SnapshotStore, checkpoint: str) -> str:
 
 def run_ingest_stream(spark: SparkSession, landing: str, store: SnapshotStore, checkpoint: str,
                       ingest_ts: Callable[[], Column], embedder: Embedder | None = None, strict_rfc: bool = False,
-                      max_files_per_trigger: int | None = None, processing_time: str | None = None, key_bits: int = 8):
+                      max_files_per_trigger: int | None = None, processing_time: str | None = None, key_bits: int = 8,
+                      expected: DataFrame | None = None):
     """Start the ingest stream; ``key_bits`` sizes the key index (see ``KeyIndex``). By default it processes what has landed and stops
     (``availableNow``); pass ``processing_time='30 minutes'`` for a standing query."""
     w = entry_stream(spark, landing, max_files_per_trigger).writeStream.foreachBatch(
-        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc, lambda: checkpoint_id(store, checkpoint), key_bits)
+        upsert_batch_fn(store, ingest_ts, embedder, strict_rfc, lambda: checkpoint_id(store, checkpoint), key_bits, expected)
     ).option("checkpointLocation", checkpoint)
     w = w.trigger(processingTime=processing_time) if processing_time else w.trigger(availableNow=True)
     return w.start()

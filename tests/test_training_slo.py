@@ -193,3 +193,17 @@ def test_merged_sketches_stay_within_the_rank_error(spark):
         v = SS.roll_up(hours, F.lit("all"), p).first().p95_ms
         assert abs((values <= v).mean() - p) <= SS.RANK_ERROR
     assert SS.roll_up(hours.limit(0), F.lit("all")).collect() == []
+
+
+def test_every_line_has_texts_or_a_reason(spark):
+    rows = [("d", '["a", "b"]', None), ("d", '{"texts": ["a", "b", "c"]}', None), ("r", '{"response": "r", "context": "c", "x": 1}', None),
+            ("r", '{"response": "r"}', "missing_key"), ("d", '{"text": 1}', "missing_key"), ("d", '["a", "b"', "not_json"), ("d", "plain", "not_json"),
+            ("d", "", "empty"), ("d", " \t", "empty"), ("d", None, "empty"), ("d", "[]", "no_texts"), ("d", "7", "no_texts"),
+            ("d", '["a", null]', "null_text"), ("d", '{"texts": null}', "missing_key")]
+    df = spark.createDataFrame(rows, "dataset string, line string, want string")
+    got = TR.split_pairs(df, ("r",)).collect()
+    assert [(r.line, r.reject_reason) for r in got] == [(r[1], r[2]) for r in rows]
+    assert all((r.texts is None) == (r.reject_reason is not None) for r in got)
+    kept = [list(r.texts) for r in got if r.texts]
+    assert kept == [["a", "b"], ["a", "b", "c"], ["r", "c"]]
+    assert TR.split_pairs(df.limit(0)).collect() == []
