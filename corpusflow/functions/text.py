@@ -43,12 +43,15 @@ def _unescape_series(s: pd.Series) -> pd.Series:
 
 
 def html_unescape2(col) -> Column:
-    """``html.unescape`` applied twice; NULL becomes ''. One Arrow-batched pandas UDF.
+    """``html.unescape`` applied twice; NULL becomes ''. One Arrow-batched pandas UDF, which is sent
+    the texts that have an ``&`` only: the others cross to Python as nulls and stay as they are.
 
     A fresh UDF object per use: a reused one whose output feeds another Python UDF is not
     always split into its own Arrow evaluation node by the planner.
     """
-    return F.pandas_udf(_unescape_series, T.StringType())(col)
+    text = _c(col)
+    coded = text.contains("&")
+    return F.when(coded, F.pandas_udf(_unescape_series, T.StringType())(F.when(coded, text))).otherwise(F.coalesce(text, F.lit("")))
 
 
 def _c(col) -> Column:
