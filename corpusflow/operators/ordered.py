@@ -157,15 +157,15 @@ def fold_components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     yield flush([*out, *fold.outcomes()])
 
 
-def _settled(pairs: DataFrame, strict_rfc: bool) -> DataFrame:
-    """One row per pair that shares no key: its last entry; without a date of its own, the date of
-    the last entry that has one."""
-    last = pairs.select("guid", "link", "last.*", "first", "ok_date")
+def _settled(rows: DataFrame, pairs: DataFrame, strict_rfc: bool) -> DataFrame:
+    """The last entry of each of ``pairs``, which share no key; without a date of its own, with the
+    date of the last entry that has one."""
+    last = rows.join(pairs, ["guid", "link"]).filter(F.col("pos") == F.col("last")).dropDuplicates(["guid", "link"])
     if not strict_rfc:
         # a later entry without a readable date keeps the date that an earlier one gave
         last = last.withColumn("published_at", F.when(F.col("published_ok"), F.col("published_at")).otherwise(
             F.coalesce("ok_date.published_at", "published_at"))).withColumn("published_ok", F.col("ok_date").isNotNull())
-    return last.drop("ok_date")
+    return last.drop("ok_date", "last", "pos")
 
 
 def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame], strict_rfc: bool = False) -> DataFrame:
@@ -182,12 +182,12 @@ def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame
     come first. An empty batch gives no rows.
     """
     columns = valid.columns
-    rest = [c for c in columns if c not in ("guid", "link")]
     pos = F.struct(F.col("feed_pos").cast("long").alias("feed_pos"), F.col("entry_pos").cast("long").alias("entry_pos"),
                    F.xxhash64(*columns).alias("h"))
     rows = valid.withColumn("pos", pos)
+    # keys and positions only: the rows themselves are joined again at the end
     pairs = materialize(rows.groupBy("guid", "link").agg(
-        F.max_by(F.struct(*rest, "pos"), F.col("pos")).alias("last"), F.min("pos").alias("first"),
+        F.max("pos").alias("last"), F.min("pos").alias("first"),
         F.max(F.when(F.col("published_ok"), F.struct("pos", "published_at"))).alias("ok_date")))
     found = materialize(found_for(pairs.select("guid", "link")).select("id", F.col("rss_guid").alias("guid"), F.col("url").alias("link")))
     edges = pairs.select("guid", "link").unionByName(found.select("guid", "link")).distinct()
@@ -197,7 +197,7 @@ def resolve_entries(valid: DataFrame, found_for: Callable[[DataFrame], DataFrame
     none_tied = tied.isEmpty()
     # settled by the last entry: the pair's guid and link are nobody else's
     same = found.select(F.col("guid").alias("_g"), F.col("link").alias("_l"), F.col("id").alias("ex_id"))
-    alone = _settled(pairs if none_tied else pairs.join(tied, pair, "left_anti"), strict_rfc)
+    alone = _settled(rows, pairs if none_tied else pairs.join(tied, pair, "left_anti"), strict_rfc)
     alone = alone.join(same, (F.col("guid") == F.col("_g")) & (F.col("link") == F.col("_l")), "left")
     alone = alone.withColumn("match_by", F.when(F.col("ex_id").isNotNull(), F.lit("guid"))).withColumn("conflict", F.lit(False))
     out = [*columns, "ex_id", "match_by", "conflict", F.col("first.feed_pos").alias("first_feed_pos"),
