@@ -165,7 +165,8 @@ def classify_batch(existing: DataFrame, entries: DataFrame, strict_rfc: bool = F
     """Match and classify a batch; checkpointed because the changes, the untouched-row
     filter and the counters all read it."""
     matched = match_ordered(entries, existing, lookup, strict_rfc, by_key) if ordered else match_existing(entries, existing, lookup)
-    classified = classify(matched, strict_rfc)
+    # what was compared is not stored again: the stored text stays out of the checkpoint
+    classified = classify(matched, strict_rfc).drop(*[f"ex_{c}" for c in ("source", "title", "url", "content", "content_preview", "published_at")])
     return materialize(classified) if materialize_batch else classified
 
 

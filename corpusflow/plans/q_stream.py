@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corpusflow.operators import slo as SLO
+from corpusflow.operators.joins import broadcast_if_small
 from corpusflow.plans.common import sql_ts, ts_str
 from corpusflow.plans.q_ingest import feed_list, sql_hash_weights
 from corpusflow.plans.registry import query
@@ -180,8 +181,8 @@ def q_slo_rollup(spark, sf_dir):
     spans = materialize(spans)
     log = FX.request_log(spark, sf_dir)
     log = log.select(F.explode(F.array(F.date_format("ts", "yyyy-MM-dd"), F.lit("all"))).alias("span"), "operation", "latency_ms")
-    # a row per day and operation
-    real = log.join(spans.select("span", "operation", "p95_ms"), ["span", "operation"]).groupBy("span", "operation").agg(
+    # a row per day and operation: behind the size check
+    real = log.join(broadcast_if_small(spans.select("span", "operation", "p95_ms"), ready=True), ["span", "operation"]).groupBy("span", "operation").agg(
         F.avg((F.col("latency_ms") < F.col("p95_ms")).cast("double")).alias("below"),
         F.avg((F.col("latency_ms") <= F.col("p95_ms")).cast("double")).alias("upto"), F.count(F.lit(1)).alias("m"))
     # a rank error, and one request more: ranks of few requests are coarse
