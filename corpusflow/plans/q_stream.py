@@ -124,7 +124,8 @@ def q_stream_changes(spark, sf_dir):
     base = _run_dir(spark, "stream_changes")
     # one delivery per guid, so that the expected changes are A, B, A for each
     raw = FX.raw_entries(spark, sf_dir)
-    raw = raw.join(SI.E.dedupe_entries(SI.E.valid_entries(SI.E.normalize_entries(raw, FX.ingest_ts()))).select("entry_pos"), "entry_pos", "left_semi")
+    last = materialize(SI.E.dedupe_entries(SI.E.valid_entries(SI.E.normalize_entries(raw, FX.ingest_ts()))).select("entry_pos"))
+    raw = raw.join(last, "entry_pos", "left_semi")
     before = {k: spark.conf.get(k) for k in SI.STATE_CONF}
     for k, v in SI.STATE_CONF.items():
         spark.conf.set(k, v)
