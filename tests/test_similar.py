@@ -85,3 +85,44 @@ def test_topk_for_a_set_of_subjects(spark):
     got = [tuple(r) for r in SIM.topk_for(emb, ids, 5, "vec_id", "embedding", block_rows=64).orderBy("subject_id", "rank").collect()]
     exp = SIM.all_pairs_topk(emb, 5, "vec_id", "embedding").filter("subject_id in (3, 77)").orderBy("subject_id", "rank").collect()
     assert [g[:2] for g in got] == [tuple(e)[:2] for e in exp] and len(got) == 10
+
+
+def test_floats_move_as_floats_and_small_blocks_are_exact_over_ties_and_null_ids(spark):
+    # ten copies of each of 30 vectors over blocks smaller than the copies; a null id is never a subject's own
+    rng = np.random.default_rng(3)
+    vecs = np.round(rng.standard_normal((30, 4)), 2).astype(np.float32)
+    rows = [(i, vecs[i % 30].tolist()) for i in range(300)] + [(None, vecs[0].tolist()), (900, [0.0] * 4), (901, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    res = SIM.all_pairs_topk(df, 5, block_rows=8)
+    got = {}
+    for r in res.filter("subject_id is not null").collect():
+        got.setdefault(r.subject_id, []).append((r.rank, r.id, r.distance))
+    assert sorted(got) == list(range(300))
+    for s, found in got.items():
+        same = [i for i in range(s % 30, 300, 30) if i != s][:5]
+        ids = [i for _, i, _ in sorted(found)]
+        assert ids == same or s % 30 == 0 and set(ids) <= {None, *same}
+        assert all(d < 1e-12 for _, _, d in found)
+    assert SIM.raw_vectors(df).schema["u"].dataType.simpleString() == "array<float>"
+
+
+def test_a_row_is_shuffled_once_per_block(spark):
+    # before: once per block of either side, 32 rows of a vector for 16 blocks
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(256)], "id long, embedding array<float>")
+    cands = SIM.blocked_topk(SIM.raw_vectors(df), 1, block_rows=16)
+    assert cands.groupBy("subject_id").count().agg(F.max("count")).first()[0] <= 16
+    plan = cands._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode") == 1 and "CoGroup" not in plan
+
+
+def test_signatures_hold_a_vector_once(spark):
+    df = spark.createDataFrame([(i, [1.0 + i, 2.0, -1.0]) for i in range(20)], "id long, embedding array<float>")
+    sig = SIM.lsh_signatures(SIM.raw_vectors(df), 3, 50, 4)
+    assert sig.count() == 20 and sig.schema["u"].dataType.simpleString() == "array<float>"
+    assert {len(r.buckets) for r in sig.collect()} == {50}
+    flat = SIM.lsh_buckets(SIM.raw_vectors(df), 3, 50, 4)
+    assert flat.count() == 20 * 50
+    planes = SIM.hyperplanes(3, 50, 4, 17)
+    for r in flat.filter("id = 7").collect():
+        bits = np.array(r.u) @ planes[r.table * 4:r.table * 4 + 4].T >= 0
+        assert r.bucket == int((bits * (1 << np.arange(4))).sum())
