@@ -6,11 +6,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusflow.functions.text import _c
+from corpusflow.operators.joins import BROADCAST_MAX_BYTES, ROW_OVERHEAD
+from corpusflow.session import materialize
 
 DEFAULT_DIM = 64
 MAX_TOKENS = 256  # input limit of a sentence encoder; only where it is asked for
@@ -104,3 +108,66 @@ def mean_pool(token_vectors: Column, mask: Column) -> Column:
     )
     denom = F.greatest(F.aggregate(mask, F.lit(0.0), lambda a, m: a + m.cast("double")), F.lit(1e-9))
     return F.transform(total, lambda x: x / denom)
+
+
+MAX_SLICES = 8  # of a table of vectors that is broadcast a slice at a time
+
+
+def _run_means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (key, m, embedding) to (key, w, mean): neighbouring rows of one key become the sum of
+    their ``m`` and the mean of their vectors weighted by it. A vector that is null, has nulls or
+    is of another length stays a row of its own."""
+    names, vectors = ["key", "w", "mean"], pa.list_(pa.float64())
+    for b in batches:
+        lists = b.column("embedding")
+        width = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        dim = width.max(initial=0)
+        plain = width == dim
+        flat = lists.flatten()
+        if flat.null_count:
+            of = np.repeat(np.arange(len(lists)), np.maximum(width, 0))
+            plain[of[flat.is_null().to_numpy(zero_copy_only=False)]] = False
+        if not dim or not plain.all():
+            odd = b.filter(pa.array(~plain | (dim == 0)))
+            yield pa.RecordBatch.from_arrays([odd.column("key"), odd.column("m"), odd.column("embedding").cast(vectors)], names)
+            b = b.filter(pa.array(plain & (dim > 0)))
+        if not b.num_rows:
+            continue
+        key = b.column("key")
+        code = key.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+        m = b.column("m").to_numpy(zero_copy_only=False)
+        x = b.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        w = np.add.reduceat(m, first)
+        mean = np.add.reduceat(x * m[:, None], first) / w[:, None]
+        starts = pa.array(np.arange(len(first) + 1, dtype=np.int32) * np.int32(dim))
+        yield pa.RecordBatch.from_arrays([pc.take(key, pa.array(first)), pa.array(w), pa.ListArray.from_arrays(starts, pa.array(mean.ravel()))], names)
+
+
+def pool_tokens(toks: DataFrame, vectors: DataFrame, key: str, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """``(key, p)``: the mean of the vectors of every key's tokens, by ``m > 0``, the tokens' weight.
+
+    ``toks`` (key, id_col, m) has the tokens of one key next to each other, as ``explode`` makes
+    them. The vectors are broadcast, a slice of ``BROADCAST_MAX_BYTES`` at a time, and every
+    task adds them up as it reads the tokens: what is shuffled is a vector per key and slice,
+    not one per token. A table of more than ``MAX_SLICES`` slices is joined by shuffling the distinct tokens
+    of each key, with their vectors."""
+    v = vectors.select(id_col, F.col(vec_col).alias("embedding"))
+    size = F.greatest(F.size("embedding"), F.lit(0)).cast("long") * 8 + ROW_OVERHEAD
+    slices = max(1, -(-(v.agg(F.sum(size)).first()[0] or 0) // BROADCAST_MAX_BYTES))
+    if slices > MAX_SLICES:
+        counts = toks.groupBy(key, id_col).agg(F.sum("m").alias("w"))
+        part = counts.join(v, id_col).select(F.col(key).alias("key"), "w", F.col("embedding").cast("array<double>").alias("mean"))
+    else:
+        # the texts are read once, whatever the number of slices
+        toks = materialize(toks) if slices > 1 else toks
+        schema = T.StructType([T.StructField("key", toks.schema[key].dataType), T.StructField("w", T.DoubleType()),
+                               T.StructField("mean", T.ArrayType(T.DoubleType()))])
+        part = None
+        for i in range(slices):
+            some = v.filter(F.pmod(F.xxhash64(id_col), F.lit(slices)) == i) if slices > 1 else v
+            hit = toks.join(F.broadcast(some), id_col).select(F.col(key).alias("key"), F.col("m").cast("double").alias("m"), "embedding")
+            means = hit.mapInArrow(_run_means, schema)
+            part = means if part is None else part.unionByName(means)
+    per = part.groupBy("key").agg(F.collect_list(F.struct("w", "mean")).alias("t"))
+    return per.select(F.col("key").alias(key), mean_pool(F.transform("t", lambda x: x["mean"]), F.transform("t", lambda x: x["w"])).alias("p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions.text import embedding_text
 from corpusflow.functions.vectors import cosine_distance, l2_normalize
 from corpusflow.operators import similar as SIM
-from corpusflow.operators.embed import MAX_TOKENS, hashing_vector, mean_pool, token_bucket, tokens
+from corpusflow.operators.embed import MAX_TOKENS, hashing_vector, pool_tokens, token_bucket, tokens
 from corpusflow.plans import sqltext as S
 from corpusflow.plans.q_articles import _sql_dist
 from corpusflow.plans.q_ingest import sql_hash_weights
@@ -188,11 +188,7 @@ def q_mean_pool(spark, sf_dir):
     toks = docs.select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "tok"))
     toks = toks.select("doc_id", token_bucket(F.col("tok"), FX.row_count(spark, sf_dir, "embeddings")).cast("long").alias("vec_id"),
                        F.when(F.col("pos") < MAX_TOKENS, F.lit(1.0)).otherwise(F.lit(0.0)).alias("m"))
-    v = _vectors(spark, sf_dir)
-    # repeated tokens add the same vector: weight each distinct vector by its masked count; tokens
-    # behind the mask weigh nothing, so a document has at most MAX_TOKENS vectors
-    counts = toks.filter("m > 0").groupBy("doc_id", "vec_id").agg(F.sum("m").alias("m"))
-    per_doc = counts.join(v, "vec_id").groupBy("doc_id").agg(F.collect_list(F.struct("m", "embedding")).alias("t"))
-    pooled = per_doc.select("doc_id", mean_pool(F.transform("t", lambda x: x["embedding"]), F.transform("t", lambda x: x["m"])).alias("p"))
+    # tokens behind the mask weigh nothing, so a document has at most MAX_TOKENS vectors
+    pooled = pool_tokens(toks.filter("m > 0"), _vectors(spark, sf_dir), "doc_id")
     out = pooled.select("doc_id", F.posexplode("p").alias("dim", "value"))
     return out.select("doc_id", F.col("dim").cast("long").alias("dim"), _r6(F.col("value")).alias("value"))
