@@ -12,7 +12,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -127,13 +127,16 @@ class LastState(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", "content_hash string", ttlDurationMs=self.ttl_ms)
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        # positions and hashes of one guid in one micro-batch, in the order of delivery
-        got = pd.concat(list(rows)).sort_values(["landed", "feed_pos", "entry_pos", "content_hash"], kind="stable")
-        before = self.last.get()[0] if self.last.exists() else None
-        changed = got["content_hash"] != got["content_hash"].shift(fill_value=before or "")
-        self.last.update((got["content_hash"].iloc[-1],))
-        yield pd.DataFrame({"guid": key[0], **{c: got.loc[changed, c] for c in ("feed_pos", "entry_pos", "content_hash")}})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        # positions and hashes of one guid in one micro-batch, in the order of delivery; nulls last
+        got = sorted(rows, key=lambda r: [(v is None, 0 if v is None else v) for v in (r["landed"], r["feed_pos"], r["entry_pos"], r["content_hash"])])
+        state = self.last.get()
+        before = state[0] if state else None
+        for r in got:
+            if r["content_hash"] is None or r["content_hash"] != before:
+                yield Row(guid=key[0], feed_pos=r["feed_pos"], entry_pos=r["entry_pos"], content_hash=r["content_hash"])
+            before = r["content_hash"]
+        self.last.update((before,))
 
     def close(self) -> None:
         pass
@@ -153,7 +156,7 @@ def changed_entries(stream: DataFrame, ingest_ts: Column, ttl: str = "30 days",
     slim = norm.select("guid", F.col("feed_pos").cast("long").alias("feed_pos"), F.col("entry_pos").cast("long").alias("entry_pos"),
                        F.unix_micros(F.col(time_col).cast("timestamp")).alias("landed"), content_hash().alias("content_hash"))
     ttl_ms = int(pd.Timedelta(ttl).total_seconds() * 1000)
-    return slim.groupBy("guid").transformWithStateInPandas(LastState(ttl_ms), CHANGED_SCHEMA, "Append", "ProcessingTime")
+    return slim.groupBy("guid").transformWithState(LastState(ttl_ms), CHANGED_SCHEMA, "Append", "ProcessingTime")
 
 
 def dedupe_stream(stream: DataFrame, ingest_ts: Column, watermark: str = "1 day", strict_rfc: bool = False,
