@@ -30,12 +30,12 @@ ELLIPSIS = "…"
 EXCERPT_LENGTH = 240
 
 
-def _unescape_twice(v):
-    if v is None:
-        return ""
-    if "&" not in v:
-        return v
-    return unescape(unescape(v))
+# from an ampersand to the end of its word: no entity goes past white space or a tag's start
+ENTITY_RUN_RE = r"&[^\t\n\f <]*"
+
+
+def _unescape_twice(runs):
+    return None if runs is None else [unescape(unescape(r)) for r in runs]
 
 
 def _unescape_series(s: pd.Series) -> pd.Series:
@@ -44,14 +44,19 @@ def _unescape_series(s: pd.Series) -> pd.Series:
 
 def html_unescape2(col) -> Column:
     """``html.unescape`` applied twice; NULL becomes ''. One Arrow-batched pandas UDF, which is sent
-    the texts that have an ``&`` only: the others cross to Python as nulls and stay as they are.
+    the words that have an ``&`` only, from there on: the texts around them stay on the JVM, so that a batch
+    in Python is small however long the texts are.
 
     A fresh UDF object per use: a reused one whose output feeds another Python UDF is not
     always split into its own Arrow evaluation node by the planner.
     """
     text = _c(col)
     coded = text.contains("&")
-    return F.when(coded, F.pandas_udf(_unescape_series, T.StringType())(F.when(coded, text))).otherwise(F.coalesce(text, F.lit("")))
+    runs = F.when(coded, F.regexp_extract_all(text, F.lit(ENTITY_RUN_RE), 0))
+    decoded = F.pandas_udf(_unescape_series, T.ArrayType(T.StringType()))(runs)
+    # one more piece than runs
+    pieces = F.zip_with(F.split(text, ENTITY_RUN_RE, -1), decoded, lambda p, d: F.concat(p, F.coalesce(d, F.lit(""))))
+    return F.when(coded, F.array_join(pieces, "")).otherwise(F.coalesce(text, F.lit("")))
 
 
 def _c(col) -> Column:

@@ -89,3 +89,24 @@ def test_excerpt_and_backfill(spark):
     assert one(spark, "  a \n\t b  ", X.preview_backfill) == "a b"
     assert one(spark, None, X.display_author) == "Anonymous"
     assert one(spark, "", X.display_author) == "Anonymous"
+
+
+def test_unescape_is_sent_the_entities_only(spark, monkeypatch):
+    from html import unescape
+
+    from corpusflow.functions import text as X
+
+    cases = ["", "plain", None, "&amp;lt;b&amp;gt; x &lt; y", "a&b&c d", "&", "&&amp;&", "R&D &notit; &ampamp; &#38;#60; &#x26;amp;",
+             "x&#32;y&#10;z &amp;\tq&lt\n&gt;\f&copy", "<a href='?a=1&amp;b=2&copy=3'>q</a>&nbsp;&eacute", "tail &amp;amp;", "&#0;&#128;&#xD800; &#99999999;",
+             "é&eacute;\U0001f600&amp;\U0001f600 &" + "x" * 40 + ";", "&\u00a0amp; &am\rp; &lt;!--&amp;--&gt;", "w" * 50_000 + " &amp; " + "v" * 50_000]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t string")
+    got = {r.i: r.x for r in df.select("i", X.html_unescape2("t").alias("x")).collect()}
+    assert got == {i: unescape(unescape(c or "")) for i, c in enumerate(cases)}
+
+    # before: whole texts crossed to Python
+    def short(s):
+        assert all(len(r) < 100 for runs in s if runs is not None for r in runs)
+        return s.map(lambda runs: None if runs is None else [unescape(unescape(r)) for r in runs])
+
+    monkeypatch.setattr(X, "_unescape_series", short)
+    assert df.filter("i = 14").select(X.html_unescape2("t").alias("x")).first().x == "w" * 50_000 + " & " + "v" * 50_000
