@@ -71,6 +71,14 @@ def chained(spark, sf_dir) -> DataFrame:
     return materialize(E.valid_entries(E.normalize_entries(FX.chained_entries(spark, sf_dir), FX.ingest_ts())))
 
 
+def chained_upsert(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The stored articles and the batch of :func:`chained`. The articles come from the landed
+    entries in it, which are not cleaned again."""
+    batch = chained(spark, sf_dir)
+    landed = batch.filter(F.col("feed_pos") < FX.CHAINED_FEED)
+    return existing_articles(spark, sf_dir, materialize(E.dedupe_entries(landed))), batch
+
+
 def failed_feeds(spark, sf_dir) -> DataFrame:
     expected = feed_list(spark, sf_dir).filter(F.col("feed_url").startswith(FX.FEED_BASE)).select("feed_url").distinct()
     landed = FX.raw_entries(spark, sf_dir).groupBy("feed_url").agg(F.count(F.lit(1)).alias("n_entries"))
@@ -284,8 +292,8 @@ from (select * from ordered_changes
       from existing_articles where id not in (select id from ordered_changes))"""))
 def q_upsert_ordered(spark, sf_dir):
     """The next snapshot after entries that share keys, applied in feed order."""
-    batch = chained(spark, sf_dir)
-    snap, _ = U.upsert(existing_articles(spark, sf_dir), batch, FX.ingest_ts(), ordered=True)
+    existing, batch = chained_upsert(spark, sf_dir)
+    snap, _ = U.upsert(existing, batch, FX.ingest_ts(), ordered=True)
     return snap.select("id", "source", "rss_guid", "title", "url", "content", "content_preview",
                        ts_str("published_at", True).alias("published_at"), ts_str("created_at").alias("created_at"),
                        ts_str("updated_at").alias("updated_at"), _emb_sum(F.col("embedding")).alias("embedding_sum"))
@@ -295,7 +303,7 @@ def q_upsert_ordered(spark, sf_dir):
 select entry_pos, guid, link, match_by, ex_id, action, ins_entry as first_entry_pos from ordered_c"""))
 def q_upsert_ordered_actions(spark, sf_dir):
     """What each article touched by the batch comes to, and each conflicting entry."""
-    c = U.classify_batch(existing_articles(spark, sf_dir), chained(spark, sf_dir), ordered=True)
+    c = U.classify_batch(*chained_upsert(spark, sf_dir), ordered=True)
     return c.select("entry_pos", "guid", "link", "match_by", "ex_id", "action", "first_entry_pos")
 
 

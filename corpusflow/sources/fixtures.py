@@ -18,6 +18,7 @@ from corpusflow.sources.tables import table
 INGEST_TS = "2026-01-01 00:00:00"
 FEED_BASE = "https://feeds.example.invalid/"
 ARTICLE_BASE = "https://example.invalid/"
+CHAINED_FEED = 5  # the landed entries' feeds are before it, those that chained_entries adds are not
 
 
 def row_count(spark: SparkSession, sf_dir: str, name: str) -> int:

@@ -123,3 +123,15 @@ def test_snapshot_numbers_new_articles_by_their_first_entry(spark):
     again = valid.filter(F.col("entry_pos") > 0)
     _, cls = U.upsert(snap, again, ts(), ordered=True)
     assert {r.action for r in cls.collect()} == {"unchanged"}
+
+
+def test_the_chained_entries_are_cleaned_once(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from corpusflow.plans import q_ingest as Q
+
+    want = Q.existing_articles(spark, SF_SMALL)
+    calls, real = [], E.normalize_entries
+    monkeypatch.setattr(E, "normalize_entries", lambda *a, **k: calls.append(1) or real(*a, **k))
+    got, batch = Q.chained_upsert(spark, SF_SMALL)
+    assert len(calls) == 1 and batch.count() > got.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
