@@ -266,3 +266,28 @@ def test_changed_entries_over_restarts(spark, scratch):
             spark.conf.set(k, v)
     got = sorted((r.guid, r.run, r.entry_pos) for r in spark.read.parquet(f"{scratch}/out").collect())
     assert got == [("a", 0, 0), ("a", 1, 0), ("a", 2, 0), ("b", 0, 1), ("c", 0, 2), ("c", 0, 4), ("c", 0, 5), ("c", 2, 2)]
+
+
+def test_a_guid_reads_its_state_once_and_orders_its_deliveries():
+    from pyspark.sql import Row
+
+    from corpusflow.streaming.ingest import LastState
+
+    class Value:
+        kept, reads = ("a",), 0
+
+        def get(self):
+            self.reads += 1
+            return self.kept
+
+        def update(self, value):
+            self.kept = value
+
+    rows = [Row(landed=n, feed_pos=None if p is None else 0, entry_pos=p, content_hash=h)
+            for n, p, h in ((2, 1, "b"), (1, 5, "a"), (2, None, "c"), (2, 1, "b"), (None, 3, "c"), (1, 6, "b"))]
+    state = LastState(1000)
+    state.last = Value()
+    got = [(r.guid, r.entry_pos, r.content_hash) for r in state.handleInputRows(("g",), iter(rows), None)]
+    assert got == [("g", 6, "b"), ("g", None, "c")] and state.last.kept == ("c",) and state.last.reads == 1
+    state.last.kept = None
+    assert [r.entry_pos for r in state.handleInputRows(("g",), iter(rows[:1]), None)] == [1]
